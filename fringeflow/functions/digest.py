@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+def digest(text: str) -> str:
+    return f"cast(conv(substring(md5({text}), 1, 8), 16, 10) as bigint)"
 
-def digest(text: Column) -> Column:
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
-
-def row_digest(*columns: Column | str) -> Column:
+def row_digest(*columns: str) -> str:
     """Digest of the rendered columns joined by ``|``; nulls are skipped."""
-    return digest(F.concat_ws("|", *[_named(c).cast("string") for c in columns]))
-
-
-def _named(column: Column | str) -> Column:
-    return F.col(column) if isinstance(column, str) else column
+    rendered = ", ".join(f"cast({c} as string)" for c in columns)
+    return digest(f"concat_ws('|', {rendered})")

@@ -4,17 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Seconds are counted from year 1 so that they are positive for every valid
 # timestamp and truncation equals floor.
-_EPOCH = datetime(1, 1, 1)
+_EPOCH = "0001-01-01 00:00:00"
 
 
-def timeslot(ts: Column, start: str, slot_seconds: int) -> Column:
-    elapsed = ts.cast("timestamp_ntz") - F.lit(str(_EPOCH)).cast("timestamp_ntz")
-    seconds = elapsed.cast("interval second").cast("bigint")
-    offset = seconds - int((datetime.fromisoformat(start) - _EPOCH).total_seconds())
-    width = F.lit(slot_seconds)
-    return F.call_function("div", offset - F.pmod(offset, width), width).cast("int")
+def timeslot(ts: str, start: str, slot_seconds: int) -> str:
+    elapsed = f"cast({ts} as timestamp_ntz) - timestamp_ntz'{_EPOCH}'"
+    since = datetime.fromisoformat(start) - datetime.fromisoformat(_EPOCH)
+    offset = f"(cast(cast({elapsed} as interval second) as bigint) - {int(since.total_seconds())})"
+    return f"cast(({offset} - pmod({offset}, {slot_seconds})) div {slot_seconds} as int)"

@@ -9,20 +9,17 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 SCALE = 1_000_000
 
 
-def cos_factor(k: Column, x: Column, n: int) -> Column:
+def cos_factor(k: str, x: str, n: int) -> str:
     return _factor(math.cos, k, x, n)
 
 
-def sin_factor(k: Column, x: Column, n: int) -> Column:
+def sin_factor(k: str, x: str, n: int) -> str:
     return _factor(math.sin, k, x, n)
 
 
-def _factor(wave: Callable[[float], float], k: Column, x: Column, n: int) -> Column:
-    table = F.array(*[F.lit(round(wave(2 * math.pi * j / n) * SCALE)).cast("bigint") for j in range(n)])
-    return F.get(table, F.pmod(k * x, F.lit(n)).cast("int"))
+def _factor(wave: Callable[[float], float], k: str, x: str, n: int) -> str:
+    table = ", ".join(f"{round(wave(2 * math.pi * j / n) * SCALE)}L" for j in range(n))
+    return f"get(array({table}), pmod({k} * {x}, {n}))"

@@ -1,4 +1,7 @@
-"""Dataflow operators: key domains, fan-out, fan-in, placement and accounting."""
+"""Dataflow operators: key domains, fan-out, fan-in, placement and accounting.
+
+Keys, values and aggregates are SQL expressions, as in ``selectExpr``.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,7 @@ from math import prod
 
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fringeflow.functions.digest import row_digest
@@ -16,6 +19,15 @@ from fringeflow.functions.numeric import idiv
 from fringeflow.plans.joins import lookup
 
 
+def group(rows: DataFrame, keys: Sequence[str], *aggregates: str) -> DataFrame:
+    """``groupBy(keys).agg(...)`` with aggregates as SQL text."""
+    return rows.groupBy(*keys).agg(*[F.expr(a) for a in aggregates])
+
+
+def union_all(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 # Key domains
 
 
@@ -25,18 +37,17 @@ def index_grid(spark: SparkSession, dims: Mapping[str, int]) -> DataFrame:
     Keys are digits of a running number, so the domain is generated in
     parallel and needs no cross join.
     """
-    number = F.col("id")
-    stride = prod(dims.values())
+    total = stride = prod(dims.values())
     keys = []
     for name, size in dims.items():
         stride //= size
-        keys.append((idiv(number, stride) % size).cast("int").alias(name))
-    return spark.range(prod(dims.values())).select(*keys)
+        keys.append(f"cast({idiv('id', stride)} % {size} as int) as {name}")
+    return spark.range(total).selectExpr(*keys)
 
 
-def dep_edges(domain: DataFrame, sources: Mapping[str, Column]) -> DataFrame:
+def dep_edges(domain: DataFrame, **sources: str) -> DataFrame:
     """Edge list: each key beside the source keys it reads."""
-    return domain.withColumns({name: key.cast("int") for name, key in sources.items()})
+    return domain.selectExpr("*", *[f"cast({key} as int) as {name}" for name, key in sources.items()])
 
 
 # Fan-out
@@ -45,22 +56,23 @@ def dep_edges(domain: DataFrame, sources: Mapping[str, Column]) -> DataFrame:
 def fan_out(blocks: DataFrame, dims: Mapping[str, int]) -> DataFrame:
     """Copy each block to every key of the new dimensions."""
     for name, size in dims.items():
-        blocks = blocks.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+        blocks = blocks.selectExpr("*", f"explode(sequence(0, {size - 1})) as {name}")
     return blocks
 
 
 def refine(blocks: DataFrame, key: str, step: int, part: str = "part") -> DataFrame:
     """Split each coarse key ``k`` into ``step`` fine keys ``step * k + part``."""
-    parts = blocks.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(step - 1))))
-    return parts.withColumn(key, F.col(key) * step + F.col(part))
+    rest = [c for c in blocks.columns if c != key]
+    parts = fan_out(blocks, {part: step})
+    return parts.selectExpr(f"{key} * {step} + {part} as {key}", *rest, part)
 
 
 # Fan-in
 
 
-def fan_in_group(blocks: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
+def fan_in_group(blocks: DataFrame, keys: Sequence[str], **aggregates: str) -> DataFrame:
     """Combine the blocks of each key, with a partial result per task."""
-    return blocks.groupBy(*keys).agg(*[a.alias(name) for name, a in aggregates.items()])
+    return group(blocks, keys, *[f"{a} as {name}" for name, a in aggregates.items()])
 
 
 def fan_in_union(sources: Mapping[str, DataFrame], keys: Sequence[str], value: str) -> DataFrame:
@@ -68,16 +80,17 @@ def fan_in_union(sources: Mapping[str, DataFrame], keys: Sequence[str], value: s
 
     A source may carry ``n_in`` where a row already stands for several inputs.
     """
-    tagged = []
-    for name, source in sources.items():
-        count = F.col("n_in") if "n_in" in source.columns else F.lit(1).cast("bigint")
-        tagged.append(source.select(*keys, F.lit(name).alias("src"), F.col(value).alias("val"), count.alias("n_in")))
-    per_source = reduce(DataFrame.unionByName, tagged).groupBy(*keys, "src").agg(
-        F.sum("n_in").alias("n_in"), F.sum("val").alias("val")
-    )
-    return per_source.groupBy(*keys).agg(
-        F.sum("n_in").alias("n_in"), F.count("*").alias("n_sources"), F.sum("val").alias("val")
-    )
+    tagged = [
+        source.selectExpr(
+            *keys,
+            f"'{name}' as src",
+            f"{value} as val",
+            "n_in" if "n_in" in source.columns else "1L as n_in",
+        )
+        for name, source in sources.items()
+    ]
+    per_source = group(union_all(tagged), [*keys, "src"], "sum(n_in) as n_in", "sum(val) as val")
+    return group(per_source, keys, "sum(n_in) as n_in", "count(*) as n_sources", "sum(val) as val")
 
 
 def fan_in_zip(keys: Sequence[str], *blocks: DataFrame) -> DataFrame:
@@ -96,28 +109,32 @@ def broadcast_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], max
 
 
 def first_per_key(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], columns: Sequence[str]
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]
 ) -> DataFrame:
     """First row of each key under a total order.
 
-    A minimum over (order, columns) combines map-side and needs no sort, so
-    a key with very many rows costs one candidate per task.
+    Combines map-side, so a key with very many rows costs one candidate per
+    task. With one order column every buffer is a plain value and the rows
+    are hashed, not sorted.
     """
-    ranks = [(F.col(o) if isinstance(o, str) else o).alias(f"rank{i}") for i, o in enumerate(order)]
-    first = F.min(F.struct(*ranks, *[F.col(c) for c in columns])).alias("first")
-    return rows.groupBy(*keys).agg(first).select(*keys, *[F.col(f"first.{c}").alias(c) for c in columns])
+    if len(order) == 1:
+        return group(rows, keys, *[f"min_by({c}, {order[0]}) as {c}" for c in columns])
+    ranks = [f"'rank{i}', {o}" for i, o in enumerate(order)]
+    candidate = ", ".join([*ranks, *[f"'{c}', {c}" for c in columns]])
+    firsts = group(rows, keys, f"min(named_struct({candidate})) as first")
+    return firsts.selectExpr(*keys, *[f"first.{c} as {c}" for c in columns])
 
 
-def collapse_global(rows: DataFrame, **aggregates: Column) -> DataFrame:
+def collapse_global(rows: DataFrame, **aggregates: str) -> DataFrame:
     """One block from all rows, combined in parallel before the last step."""
-    return rows.groupBy().agg(*[a.alias(name) for name, a in aggregates.items()])
+    return fan_in_group(rows, [], **aggregates)
 
 
 # Mapping
 
 
-def per_row_map(rows: DataFrame, keep: Sequence[str], **columns: Column) -> DataFrame:
-    return rows.select(*keep, *[c.alias(name) for name, c in columns.items()])
+def per_row_map(rows: DataFrame, *keep: str, **columns: str) -> DataFrame:
+    return rows.selectExpr(*keep, *[f"{c} as {name}" for name, c in columns.items()])
 
 
 def per_partition_map(
@@ -139,44 +156,35 @@ def key_splits(spark: SparkSession, domain: int) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // domain)
 
 
-def partition_by_dim(
-    rows: DataFrame, dim: Column, domain: int, splits: int = 1, salt: Column | None = None
-) -> DataFrame:
+def partition_by_dim(rows: DataFrame, dim: str, domain: int, splits: int = 1, salt: str = "0") -> DataFrame:
     """Place rows so that no partition mixes two values of ``dim``.
 
     Value ``k`` owns the partitions ``k * splits`` to ``k * splits + splits - 1``
     and ``salt`` spreads its rows over them, so a hot value is not one task.
     """
-    target = dim.cast("int") * splits
-    if splits > 1:
-        target = target + F.pmod(salt, F.lit(splits)).cast("int")
-    return rows.repartitionById(domain * splits, target)
+    target = f"cast(({dim}) * {splits} + pmod({salt}, {splits}) as int)"
+    return rows.repartitionById(domain * splits, F.expr(target))
 
 
-def partition_by_facet(rows: DataFrame, facets: int, splits: int = 1, salt: Column | None = None) -> DataFrame:
-    return partition_by_dim(rows, F.col("facet"), facets, splits, salt)
+def partition_by_facet(rows: DataFrame, facets: int, splits: int = 1, salt: str = "0") -> DataFrame:
+    return partition_by_dim(rows, "facet", facets, splits, salt)
 
 
 def one_partition_per_key(
-    rows: DataFrame, dims: Mapping[str, int], splits: int = 1, salt: Column | None = None
+    rows: DataFrame, dims: Mapping[str, int], splits: int = 1, salt: str = "0"
 ) -> DataFrame:
     """Place rows by a dense number of their whole key."""
-    number = F.lit(0)
-    for name, size in dims.items():
-        number = number * size + F.col(name)
+    number = reduce(lambda head, dim: f"({head}) * {dim[1]} + {dim[0]}", dims.items(), "0")
     return partition_by_dim(rows, number, prod(dims.values()), splits, salt)
 
 
 def partition_census(placed: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Rows and sums per key, and how many partitions mix it with another key."""
-    per_partition = placed.groupBy(F.spark_partition_id().alias("partition"), *keys).agg(
-        F.count("*").alias("n_in"), F.sum(value).alias(value)
-    )
-    keys_here = F.count("*").over(Window.partitionBy("partition"))
-    return (
-        per_partition.withColumn("mixed", (keys_here > 1).cast("int"))
-        .groupBy(*keys)
-        .agg(F.sum("n_in").alias("n_in"), F.sum(value).alias(value), F.sum("mixed").alias("n_mixed"))
+    located = placed.selectExpr(*keys, value, "spark_partition_id() as partition")
+    sums = group(located, ["partition", *keys], "count(*) as n_in", f"sum({value}) as {value}")
+    marked = sums.selectExpr("*", "if(count(*) over (partition by partition) > 1, 1, 0) as mixed")
+    return group(
+        marked, keys, "sum(n_in) as n_in", f"sum({value}) as {value}", "sum(mixed) as n_mixed"
     )
 
 
@@ -189,35 +197,26 @@ def stage_cache(stage: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_
 
 
 def stage_count(stages: Mapping[str, DataFrame]) -> DataFrame:
-    """Row count of each stage."""
+    """Row count of each stage; an empty stage counts 0."""
     counts = [
-        stage.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("stage"), "n_rows")
+        group(stage, [], "count(*) as n_rows").selectExpr(f"'{name}' as stage", "n_rows")
         for name, stage in stages.items()
     ]
-    return reduce(DataFrame.unionByName, counts)
+    return union_all(counts)
 
 
 def lineage_digest(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Order-free digest per key. Equal rows cancel in pairs, so ``n_in`` stays beside it."""
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("n_in"), F.bit_xor(row_digest(*columns)).alias("digest")
-    )
+    return group(rows, keys, "count(*) as n_in", f"bit_xor({row_digest(*columns)}) as digest")
 
 
-def input_volume(rows: DataFrame, keys: Sequence[Column | str], payload: str) -> DataFrame:
+def input_volume(rows: DataFrame, keys: Sequence[str], payload: str) -> DataFrame:
     """Inputs and bytes read per key."""
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("n_in"), F.sum(F.octet_length(payload)).alias("input_bytes")
-    )
+    return group(rows, keys, "count(*) as n_in", f"sum(octet_length({payload})) as input_bytes")
 
 
 def stage_report(stages: Mapping[str, DataFrame]) -> DataFrame:
     """Blocks and inputs per stage, and in total in the row without a stage."""
-    parts = [
-        stage.agg(F.count("*").alias("n_tasks"), F.sum("n_in").alias("n_in")).select(
-            F.lit(name).alias("stage"), "n_tasks", "n_in"
-        )
-        for name, stage in stages.items()
-    ]
-    totals = reduce(DataFrame.unionByName, parts)
-    return totals.rollup("stage").agg(F.sum("n_tasks").alias("n_tasks"), F.sum("n_in").alias("n_in"))
+    blocks = [stage.selectExpr(f"'{name}' as stage", "n_in") for name, stage in stages.items()]
+    totals = group(union_all(blocks), ["stage"], "count(*) as n_tasks", "sum(n_in) as n_in")
+    return totals.rollup("stage").agg(F.expr("sum(n_tasks) as n_tasks"), F.expr("sum(n_in) as n_in"))

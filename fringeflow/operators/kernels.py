@@ -6,13 +6,12 @@ lookup against such a table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from fringeflow.config import ImagingConfig
-from fringeflow.functions.numeric import idiv, key_mod, round_div, wide
+from fringeflow.functions.numeric import idiv, key_mod, round_div, wide_dot
 from fringeflow.functions.twiddle import cos_factor, sin_factor
-from fringeflow.operators.dataflow import fan_out
+from fringeflow.operators.dataflow import fan_out, group
 from fringeflow.operators.stages import CELL, IMAGE
 from fringeflow.plans.joins import lookup
 
@@ -21,9 +20,11 @@ def reprojection(
     cells: DataFrame, config: ImagingConfig, axes: tuple[str, str] = ("u", "w"), values: tuple[str, ...] = ("cell",)
 ) -> DataFrame:
     """Shift each facet's image by its facet number along the first axis."""
-    first = axes[0]
-    shifted = cells.withColumn(first, key_mod(F.col(first) + F.col("facet"), config.cells))
-    return shifted.groupBy(*IMAGE, *axes).agg(*[F.sum(v).alias(v) for v in values])
+    first, second = axes
+    shifted = cells.selectExpr(
+        *IMAGE, f"{key_mod(f'{first} + facet', config.cells)} as {first}", second, *values
+    )
+    return group(shifted, [*IMAGE, *axes], *[f"sum({v}) as {v}" for v in values])
 
 
 def facet_images(cells: DataFrame, config: ImagingConfig) -> DataFrame:
@@ -31,72 +32,65 @@ def facet_images(cells: DataFrame, config: ImagingConfig) -> DataFrame:
     return reprojection(dft(cells, config), config, ("k", "l"), ("re", "im"))
 
 
-def _rows_pass(cells: DataFrame, n: int) -> DataFrame:
-    cos, sin = _factors("k", "u", n)
-    value = wide(F.col("cell"))
-    sums = fan_out(cells, {"k": n}).groupBy(*IMAGE, "k", "w").agg(
-        F.sum(value * cos).alias("re"), F.sum(-value * sin).alias("im")
-    )
-    return _scaled(sums, [*IMAGE, "k", "w"], 1_000)
+def _by_image(cells: DataFrame, config: ImagingConfig) -> DataFrame:
+    """Place whole images, so that all passes run without another shuffle.
+
+    The partition count is fixed because the passes are compute-heavy on few
+    bytes; an image holds at most cells**2 rows, whatever the input size.
+    """
+    parallelism = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(min(parallelism, config.max_images), *IMAGE)
 
 
 def dft_rows(cells: DataFrame, config: ImagingConfig) -> DataFrame:
     """First DFT pass, over ``u``; result scaled by 1e3."""
-    return _rows_pass(cells, config.cells)
+    cos, sin = _factors("k", "u", config.cells)
+    copies = fan_out(_by_image(cells, config), {"k": config.cells})
+    return _pass(copies, ["k", "w"], 1_000, re=[("cell", cos)], im=[("cell", f"-{sin}")])
 
 
 def dft(cells: DataFrame, config: ImagingConfig) -> DataFrame:
     """Forward two-dimensional DFT of every image, in cell units."""
-    n = config.cells
-    cos, sin = _factors("l", "w", n)
-    re, im = wide(F.col("re")), wide(F.col("im"))
-    sums = fan_out(_rows_pass(cells, n), {"l": n}).groupBy(*IMAGE, "k", "l").agg(
-        F.sum(re * cos + im * sin).alias("re"), F.sum(im * cos - re * sin).alias("im")
+    cos, sin = _factors("l", "w", config.cells)
+    copies = fan_out(dft_rows(cells, config), {"l": config.cells})
+    return _pass(
+        copies, ["k", "l"], 1_000_000_000, re=[("re", cos), ("im", sin)], im=[("im", cos), ("re", f"-{sin}")]
     )
-    return _scaled(sums, [*IMAGE, "k", "l"], 1_000_000_000)
 
 
 def idft_columns(spectrum: DataFrame, config: ImagingConfig) -> DataFrame:
     """First inverse pass, over ``l``; result scaled by 10."""
-    n = config.cells
-    cos, sin = _factors("l", "w", n)
-    re, im = wide(F.col("re")), wide(F.col("im"))
-    sums = fan_out(spectrum, {"w": n}).groupBy(*IMAGE, "k", "w").agg(
-        F.sum(re * cos - im * sin).alias("re"), F.sum(re * sin + im * cos).alias("im")
+    cos, sin = _factors("l", "w", config.cells)
+    copies = fan_out(spectrum, {"w": config.cells})
+    return _pass(
+        copies, ["k", "w"], 100_000, re=[("re", cos), ("im", f"-{sin}")], im=[("re", sin), ("im", cos)]
     )
-    return _scaled(sums, [*IMAGE, "k", "w"], 100_000)
 
 
 def idft(spectrum: DataFrame, config: ImagingConfig) -> DataFrame:
     """Inverse two-dimensional DFT back to cells; every cell of an image is present."""
-    n = config.cells
-    cos, sin = _factors("k", "u", n)
-    re, im = wide(F.col("re")), wide(F.col("im"))
-    sums = fan_out(idft_columns(spectrum, config), {"u": n}).groupBy(*CELL).agg(
-        F.sum(re * cos - im * sin).alias("cell")
+    cos, sin = _factors("k", "u", config.cells)
+    copies = fan_out(idft_columns(spectrum, config), {"u": config.cells})
+    return _pass(
+        copies, ["u", "w"], 10_000_000 * config.cells**2, cell=[("re", cos), ("im", f"-{sin}")]
     )
-    return sums.select(*CELL, round_div(F.col("cell"), 10_000_000 * n * n).alias("cell"))
 
 
 def phase_rotation(vis: DataFrame, config: ImagingConfig) -> DataFrame:
     """Rotate each visibility by the phase of its channel and facet."""
-    cos, sin = (f(F.col("frequency"), F.col("facet"), config.cells) for f in (cos_factor, sin_factor))
-    re, im = F.col("re"), F.col("im")
-    return vis.select(
-        "event_id", (re * cos - im * sin).alias("re"), (re * sin + im * cos).alias("im")
-    )
+    cos, sin = _factors("frequency", "facet", config.cells)
+    return vis.selectExpr("event_id", f"re * {cos} - im * {sin} as re", f"re * {sin} + im * {cos} as im")
 
 
 def kernel_spread(cells: DataFrame, values: list[str], config: ImagingConfig) -> DataFrame:
     """Copy each cell to its 3x3 neighbourhood, with ``weight`` 4, 2 or 1."""
     n = config.cells
-    spread = fan_out(cells, {"du": 3, "dw": 3})
-    return spread.select(
+    return fan_out(cells, {"du": 3, "dw": 3}).selectExpr(
         *IMAGE,
-        key_mod(F.col("u") + F.col("du") - 1 + n, n).alias("u"),
-        key_mod(F.col("w") + F.col("dw") - 1 + n, n).alias("w"),
+        f"{key_mod(f'u + du - 1 + {n}', n)} as u",
+        f"{key_mod(f'w + dw - 1 + {n}', n)} as w",
         *values,
-        (_tent("du") * _tent("dw")).alias("weight"),
+        "if(du = 1, 2, 1) * if(dw = 1, 2, 1) as weight",
     )
 
 
@@ -107,9 +101,7 @@ def convolve_grid(cells: DataFrame, config: ImagingConfig) -> DataFrame:
     measurement.
     """
     spread = kernel_spread(cells, ["cell", "n_in"], config)
-    return spread.groupBy(*CELL).agg(
-        F.sum(F.col("cell") * F.col("weight")).alias("cell"), F.sum("n_in").alias("n_in")
-    )
+    return group(spread, CELL, "sum(cell * weight) as cell", "sum(n_in) as n_in")
 
 
 def degrid(vis: DataFrame, cells: DataFrame, config: ImagingConfig) -> DataFrame:
@@ -120,23 +112,18 @@ def degrid(vis: DataFrame, cells: DataFrame, config: ImagingConfig) -> DataFrame
     measurement needs a single lookup.
     """
     n = config.cells
-    spread = kernel_spread(cells, ["cell"], config)
-    model = spread.groupBy(*CELL).agg(F.sum(F.col("cell") * F.col("weight")).alias("model"))
-    event_id = F.col("event_id")
-    placed = vis.select(
-        "event_id", *IMAGE, key_mod(event_id, n).alias("u"), key_mod(idiv(event_id, n), n).alias("w")
+    model = group(kernel_spread(cells, ["cell"], config), CELL, "sum(cell * weight) as model")
+    placed = vis.selectExpr(
+        "event_id", *IMAGE, f"{key_mod('event_id', n)} as u", f"{key_mod(idiv('event_id', n), n)} as w"
     )
     return lookup(placed, model, CELL, config.max_cells).select("event_id", "model")
 
 
-def _factors(k: str, x: str, n: int) -> tuple[Column, Column]:
-    """Cosine and sine as decimals, for sums that may pass BIGINT."""
-    return tuple(f(F.col(k), F.col(x), n).cast("decimal(7,0)") for f in (cos_factor, sin_factor))
-
-
-def _scaled(sums: DataFrame, keys: list[str], divisor: int) -> DataFrame:
-    return sums.select(*keys, *[round_div(F.col(c), divisor).alias(c) for c in ("re", "im")])
+def _factors(k: str, x: str, n: int) -> tuple[str, str]:
+    return cos_factor(k, x, n), sin_factor(k, x, n)
 
 
-def _tent(offset: str) -> Column:
-    return F.when(F.col(offset) == 1, 2).otherwise(1)
+def _pass(copies: DataFrame, keys: list[str], divisor: int, **sums: list[tuple[str, str]]) -> DataFrame:
+    """One separable pass: sum the weighted copies per key, then rescale."""
+    totals = group(copies, [*IMAGE, *keys], *[f"{wide_dot(*terms)} as {name}" for name, terms in sums.items()])
+    return totals.selectExpr(*IMAGE, *keys, *[f"{round_div(name, divisor)} as {name}" for name in sums])

@@ -9,130 +9,134 @@ dimension a stage lacks is 0. Beam and major loop are 0 throughout.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from fringeflow.config import ImagingConfig
 from fringeflow.functions.digest import row_digest
-from fringeflow.functions.numeric import idiv
-from fringeflow.operators.dataflow import fan_out, refine
+from fringeflow.operators.dataflow import fan_out, group, refine, union_all
 
 KEY = ["frequency", "time", "facet", "polarisation"]
 
 
-def source_blocks(stage: str, rows: DataFrame, columns: list[str], **key: Column) -> DataFrame:
-    """Blocks made of table rows."""
-    inputs = rows.select(*_key(**key), row_digest(*columns).alias("digest"), F.lit(1).alias("n"))
-    return _blocks(stage, inputs)
+def source_inputs(stage: str, rows: DataFrame, columns: list[str], **key: str) -> DataFrame:
+    """Table rows as inputs of a source stage, combined per block."""
+    inputs = rows.selectExpr(f"'{stage}' as stage", *_key(**key), f"{row_digest(*columns)} as digest", "1 as n")
+    return _combine(inputs, "stage")
 
 
 def derived_blocks(stage: str, *inputs: DataFrame) -> DataFrame:
-    """Blocks made of other blocks, each input already keyed by its reader."""
-    return _blocks(stage, reduce(DataFrame.unionByName, inputs))
+    """Blocks of a stage from its inputs, each keyed by the block that reads it."""
+    label = row_digest(f"'{stage}'", *KEY)
+    return _combine(union_all(inputs)).selectExpr(*KEY, f"{label} ^ digest as digest", "n as n_in")
 
 
-def read_by(blocks: DataFrame, **key: Column) -> DataFrame:
-    """Re-key blocks to the one block that reads each; blocks of one reader are combined."""
-    inputs = blocks.select(*_key(**key), row_digest("digest").alias("digest"))
-    return inputs.groupBy(*KEY).agg(F.bit_xor("digest").alias("digest"), F.count("*").alias("n"))
+def read_by(blocks: DataFrame, **key: str) -> DataFrame:
+    """Re-key blocks to the one block that reads each."""
+    return blocks.selectExpr(*_key(**key), f"{row_digest('digest')} as digest", "1 as n")
 
 
-def read_by_all(inputs: DataFrame, **dims: int) -> DataFrame:
-    """Every key of ``dims`` reads these (already combined) inputs."""
+def read_by_all(blocks: DataFrame, **dims: int) -> DataFrame:
+    """Let every key of ``dims`` read all these blocks.
+
+    All readers have the same inputs, so these are combined before the copy.
+    """
+    inputs = _combine(read_by(blocks))
     return fan_out(inputs.drop(*dims), dims).select(*inputs.columns)
 
 
 def stage_blocks(
-    vis: DataFrame, lsm: DataFrame, telescope: DataFrame, config: ImagingConfig
+    vis: DataFrame,
+    lsm: DataFrame,
+    telescope: DataFrame,
+    config: ImagingConfig,
+    settle: Callable[[DataFrame, str], DataFrame],
 ) -> dict[str, DataFrame]:
-    """Blocks of all stages, following the dependency edges of the cycle."""
-    f, x, p, t = (F.col(c) for c in ("frequency", "facet", "polarisation", "time"))
+    """Blocks of all stages, following the dependency edges of the cycle.
+
+    The tables are read in one pass into the source blocks. These and the
+    blocks with several readers are settled, all bounded by the key domains.
+    """
+    channel = {"frequency": "frequency"}
+    image = {"facet": "facet", "polarisation": "polarisation"}
     channels, slots = {"frequency": config.channels}, {"time": config.slots}
     images = {"facet": config.facets, "polarisation": config.polarisations}
-    stages: dict[str, DataFrame] = {}
-
-    def add(stage: str, blocks: DataFrame) -> DataFrame:
-        stages[stage] = blocks
-        return blocks
 
-    extract = add("extract_lsm", source_blocks("extract_lsm", lsm, ["comp_id", "flux"]))
-    local = add("local_sky_model", source_blocks("local_sky_model", lsm, ["comp_id", "flux"]))
-    management = add(
-        "telescope_management", source_blocks("telescope_management", telescope, ["antenna_id", "gain"])
-    )
-    visibility = add(
-        "visibility_buffer", source_blocks("visibility_buffer", vis, ["event_id", "re"], frequency=f)
-    )
-    rep = add(
-        "reppre_ifft",
-        derived_blocks(
-            "reppre_ifft", read_by_all(read_by(extract), frequency=config.coarse_channels, **images)
-        ),
-    )
-    data = add("telescope_data", derived_blocks("telescope_data", read_by(management)))
-    fine = refine(read_by(rep, frequency=f, facet=x, polarisation=p), "frequency", config.refinement)
-    deg = add(
-        "degkerupd_deg",
-        derived_blocks(
-            "degkerupd_deg", read_by_all(read_by(data), **channels, **images), fine.drop("part")
-        ),
-    )
-    predicted = add(
-        "pharotpre_dft_sumvis",
-        derived_blocks(
-            "pharotpre_dft_sumvis", read_by(deg, frequency=f), read_by_all(read_by(extract), **channels)
-        ),
-    )
-    slot = add(
-        "timeslots",
-        derived_blocks(
-            "timeslots", read_by_all(read_by(visibility), **slots), read_by_all(read_by(predicted), **slots)
-        ),
+    sources = [
+        source_inputs("local_sky_model", lsm, ["comp_id", "flux"]),
+        source_inputs("telescope_management", telescope, ["antenna_id", "gain"]),
+        source_inputs("visibility_buffer", vis, ["event_id", "re"], **channel),
+    ]
+    inputs = settle(union_all(sources), "lineage_sources")
+
+    def source(stage: str, table: str | None = None) -> DataFrame:
+        return derived_blocks(stage, inputs.where(f"stage = '{table or stage}'").drop("stage"))
+
+    extract = source("extract_lsm", "local_sky_model")
+    local = source("local_sky_model")
+    management = source("telescope_management")
+    visibility = source("visibility_buffer")
+    rep = derived_blocks("reppre_ifft", read_by_all(extract, frequency=config.coarse_channels, **images))
+    data = derived_blocks("telescope_data", read_by(management))
+    fine = refine(read_by(rep, **channel, **image), "frequency", config.refinement)
+    deg = derived_blocks("degkerupd_deg", read_by_all(data, **channels, **images), fine.drop("part"))
+    predicted = settle(
+        derived_blocks("pharotpre_dft_sumvis", read_by(deg, **channel), read_by_all(extract, **channels)),
+        "lineage_predicted",
     )
-    solved = add("solve", derived_blocks("solve", read_by(slot, time=t)))
-    corrected = add(
+    slot = derived_blocks("timeslots", read_by_all(visibility, **slots), read_by_all(predicted, **slots))
+    solved = derived_blocks("solve", read_by(slot, time="time"))
+    corrected = derived_blocks(
         "cor_subvis_flag",
-        derived_blocks(
-            "cor_subvis_flag",
-            read_by_all(read_by(solved), **channels),
-            read_by(visibility, frequency=f),
-            read_by(predicted, frequency=f),
-        ),
+        read_by_all(solved, **channels),
+        read_by(visibility, **channel),
+        read_by(predicted, **channel),
     )
-    gridded = add(
-        "grikerupd_pharot_grid_fft_rep",
-        derived_blocks(
-            "grikerupd_pharot_grid_fft_rep",
-            read_by_all(read_by(data), **images),
-            read_by_all(read_by(corrected), **images),
-        ),
+    gridded = derived_blocks(
+        "grikerupd_pharot_grid_fft_rep", read_by_all(data, **images), read_by_all(corrected, **images)
     )
-    summed = add("sum_facets", derived_blocks("sum_facets", read_by(gridded, facet=x, polarisation=p)))
-    component = add("identify_component", derived_blocks("identify_component", read_by(summed, facet=x)))
-    found = add("source_find", derived_blocks("source_find", read_by(component)))
-    add("subimacom", derived_blocks("subimacom", read_by(component, facet=x), read_by(summed, facet=x)))
-    add("update_lsm", derived_blocks("update_lsm", read_by(local), read_by(found)))
-    return stages
+    summed = settle(
+        derived_blocks("sum_facets", read_by(gridded, **image)), "lineage_images"
+    )
+    component = derived_blocks("identify_component", read_by(summed, facet="facet"))
+    found = derived_blocks("source_find", read_by(component))
+    return {
+        "extract_lsm": extract,
+        "local_sky_model": local,
+        "telescope_management": management,
+        "visibility_buffer": visibility,
+        "reppre_ifft": rep,
+        "telescope_data": data,
+        "degkerupd_deg": deg,
+        "pharotpre_dft_sumvis": predicted,
+        "timeslots": slot,
+        "solve": solved,
+        "cor_subvis_flag": corrected,
+        "grikerupd_pharot_grid_fft_rep": gridded,
+        "sum_facets": summed,
+        "identify_component": component,
+        "source_find": found,
+        "subimacom": derived_blocks("subimacom", read_by(component, facet="facet"), read_by(summed, facet="facet")),
+        "update_lsm": derived_blocks("update_lsm", read_by(local), read_by(found)),
+    }
 
 
 def lineage_report(stages: dict[str, DataFrame]) -> DataFrame:
     """Blocks, inputs and digest per stage."""
-    parts = [
-        blocks.agg(
-            F.count("*").alias("n_blocks"), F.sum("n_in").alias("n_in"), F.bit_xor("digest").alias("digest")
-        ).select(F.lit(stage).alias("stage"), "n_blocks", "n_in", "digest")
-        for stage, blocks in stages.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    blocks = [block.selectExpr(f"'{stage}' as stage", "digest", "n_in") for stage, block in stages.items()]
+    return group(
+        union_all(blocks),
+        ["stage"],
+        "count(*) as n_blocks",
+        "sum(n_in) as n_in",
+        "bit_xor(digest) as digest",
+    )
 
 
-def _blocks(stage: str, inputs: DataFrame) -> DataFrame:
-    gathered = inputs.groupBy(*KEY).agg(F.bit_xor("digest").alias("inputs"), F.sum("n").alias("n_in"))
-    label = row_digest(F.lit(stage), *KEY)
-    return gathered.select(*KEY, label.bitwiseXOR(F.col("inputs")).alias("digest"), "n_in")
+def _combine(inputs: DataFrame, *more_keys: str) -> DataFrame:
+    return group(inputs, [*more_keys, *KEY], "bit_xor(digest) as digest", "sum(n) as n")
 
 
-def _key(**key: Column) -> list[Column]:
-    return [key.get(name, F.lit(0)).cast("int").alias(name) for name in KEY]
+def _key(**key: str) -> list[str]:
+    return [f"cast({key.get(name, '0')} as int) as {name}" for name in KEY]

@@ -1,18 +1,17 @@
 """The seventeen stages of one imaging cycle.
 
-Row-level work (predict, correct, flag) is a chain of broadcast lookups
+Row-level work (predict, correct, flag) is a chain of lookups in small tables
 without a shuffle. Everything else first sums measurements to their key
 domain, with map-side combining, and works on the bounded result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from fringeflow.config import ImagingConfig
-from fringeflow.functions.numeric import WIDE, idiv, key_mod, round_half_away, wide
-from fringeflow.operators.dataflow import fan_out, first_per_key, refine
+from fringeflow.functions.numeric import idiv, key_mod, round_half_away, wide
+from fringeflow.operators.dataflow import fan_out, first_per_key, group, refine
 from fringeflow.plans.joins import lookup
 
 IMAGE = ["facet", "polarisation"]
@@ -21,18 +20,13 @@ CELL = [*IMAGE, "u", "w"]
 
 def extract_lsm(lsm: DataFrame) -> DataFrame:
     """Catalogue total per beam and major loop."""
-    return (
-        lsm.groupBy("beam")
-        .agg(F.count("*").alias("n_in"), F.sum("flux").alias("flux"))
-        .select("beam", F.lit(0).alias("major_loop"), "n_in", "flux")
-    )
+    sums = group(lsm, ["beam"], "count(*) as n_in", "sum(flux) as flux")
+    return sums.selectExpr("beam", "0 as major_loop", "n_in", "flux")
 
 
 def visibility_channels(vis: DataFrame) -> DataFrame:
     """Visibility sums per fine channel."""
-    return vis.groupBy("frequency").agg(
-        F.sum("re").alias("re"), F.sum("im").alias("im"), F.count("*").alias("n_in")
-    )
+    return group(vis, ["frequency"], "sum(re) as re", "sum(im) as im", "count(*) as n_in")
 
 
 def reppre_ifft(lsm: DataFrame, config: ImagingConfig) -> DataFrame:
@@ -41,43 +35,32 @@ def reppre_ifft(lsm: DataFrame, config: ImagingConfig) -> DataFrame:
     The weight depends on the channel only, so components are summed per
     facet before they are copied to the channels and polarisations.
     """
-    per_facet = lsm.groupBy("facet").agg(F.sum("flux").alias("flux"), F.count("*").alias("n_in"))
+    per_facet = group(lsm, ["facet"], "sum(flux) as flux", "count(*) as n_in")
     blocks = fan_out(
         per_facet, {"frequency": config.coarse_channels, "polarisation": config.polarisations}
     )
-    return blocks.select(
-        "frequency",
-        *IMAGE,
-        (F.col("flux") * (100 - 5 * F.col("frequency"))).alias("model"),
-        "n_in",
-    )
+    return blocks.selectExpr("frequency", *IMAGE, "flux * (100 - 5 * frequency) as model", "n_in")
 
 
 def telescope_data(telescope: DataFrame) -> DataFrame:
     """Configuration summed into the one block all facets read."""
-    sums = telescope.groupBy("beam").agg(F.count("*").alias("n_in"), F.sum("gain").alias("gain"))
-    return sums.select(
-        "beam", *[F.lit(0).alias(c) for c in ("frequency", "time", "baseline")], "n_in", "gain"
-    )
+    sums = group(telescope, ["beam"], "count(*) as n_in", "sum(gain) as gain")
+    return sums.selectExpr("beam", "0 as frequency", "0 as time", "0 as baseline", "n_in", "gain")
 
 
 def degkerupd_deg(rep: DataFrame, config: ImagingConfig) -> DataFrame:
     """Fine model: linear interpolation between a coarse channel and the next."""
-    across = Window.partitionBy(*IMAGE).orderBy("frequency")
     step = config.refinement
-    pairs = rep.withColumn("following", F.coalesce(F.lead("model").over(across), "model"))
-    return refine(pairs, "frequency", step, part="i").select(
-        "frequency",
-        *IMAGE,
-        idiv(F.col("model") * (step - F.col("i")) + F.col("following") * F.col("i"), step).alias("model"),
-    )
+    following = "lead(model) over (partition by facet, polarisation order by frequency)"
+    pairs = rep.selectExpr("frequency", *IMAGE, "model", f"coalesce({following}, model) as following")
+    model = idiv(f"model * ({step} - part) + following * part", step)
+    return refine(pairs, "frequency", step).selectExpr("frequency", *IMAGE, f"{model} as model")
 
 
 def pharotpre_dft_sumvis(deg: DataFrame) -> DataFrame:
     """Predicted visibility per fine channel: mean model over all images."""
-    sums = deg.groupBy("frequency").agg(F.sum(wide(F.col("model"))).alias("total"), F.count("*").alias("n_in"))
-    mean = idiv(F.col("total"), (F.col("n_in") * 10_000).cast("decimal(20,0)"))
-    return sums.select("frequency", mean.alias("model"), "n_in")
+    mean = idiv(f"sum({wide('model')})", "cast(count(*) * 10000 as decimal(20,0))")
+    return group(deg, ["frequency"], f"{mean} as model", "count(*) as n_in")
 
 
 def timeslots(vis: DataFrame, predicted: DataFrame, config: ImagingConfig) -> DataFrame:
@@ -92,16 +75,11 @@ def solve(vis: DataFrame, predicted: DataFrame, config: ImagingConfig) -> DataFr
     ``m`` is constant within a channel, so measurements are summed per
     (time, frequency) first and only those sums meet the prediction.
     """
-    sums = vis.groupBy("time", "frequency").agg(F.sum("re").alias("re"), F.count("*").alias("n"))
+    sums = group(vis, ["time", "frequency"], "sum(re) as re", "count(*) as n")
     paired = lookup(sums, predicted.select("frequency", "model"), ["frequency"], config.channels)
-    model = wide(F.col("model"))
-    slots = paired.groupBy("time").agg(
-        F.sum((wide(F.col("re")) * model).cast(WIDE)).alias("cross"),
-        F.sum((model * model * wide(F.col("n"))).cast(WIDE)).alias("power"),
-        F.sum("n").alias("n_in"),
-    )
-    gain = F.try_divide(F.col("cross").cast("double"), F.col("power").cast("double"))
-    return slots.select("time", gain.alias("gain"), "n_in")
+    cross = f"cast(sum({wide('re')} * {wide('model')}) as double)"
+    power = f"cast(sum({wide('model')} * {wide('model')} * {wide('n')}) as double)"
+    return group(paired, ["time"], f"try_divide({cross}, {power}) as gain", "sum(n) as n_in")
 
 
 def cor_subvis_flag(
@@ -114,8 +92,8 @@ def cor_subvis_flag(
     """
     paired = lookup(vis, predicted.select("frequency", "model"), ["frequency"], config.channels)
     paired = lookup(paired, solved.select("time", "gain"), ["time"])
-    residual = round_half_away(F.col("re") - F.col("gain") * F.col("model"))
-    return paired.select("event_id", "frequency", "time", *IMAGE, residual.alias("residual"))
+    residual = round_half_away("(re - gain * model)")
+    return paired.selectExpr("event_id", "frequency", "time", *IMAGE, f"{residual} as residual")
 
 
 def flag(residuals: DataFrame, config: ImagingConfig) -> DataFrame:
@@ -125,71 +103,60 @@ def flag(residuals: DataFrame, config: ImagingConfig) -> DataFrame:
     ``abs(r) > floor(2 * sum / n)``: one limit per channel, looked up, in
     place of a window over all rows of a channel.
     """
-    magnitude = F.abs("residual")
-    limits = residuals.groupBy("frequency").agg(
-        idiv(F.sum(magnitude) * 2, F.count("*")).alias("limit")
-    )
+    limit = idiv("sum(abs(residual)) * 2", "count(*)")
+    limits = group(residuals, ["frequency"], f"{limit} as limit")
     paired = lookup(residuals, limits, ["frequency"], config.channels)
-    return paired.select(*residuals.columns, (magnitude > F.col("limit")).alias("flag"))
+    return paired.selectExpr(*residuals.columns, "abs(residual) > limit as flag")
 
 
 def grid(residuals: DataFrame, config: ImagingConfig) -> DataFrame:
     """Sum residuals into image cells."""
     n = config.cells
-    event_id = F.col("event_id")
-    return (
-        residuals.select(
-            *IMAGE,
-            key_mod(event_id, n).alias("u"),
-            key_mod(idiv(event_id, n), n).alias("w"),
-            "residual",
-        )
-        .groupBy(*CELL)
-        .agg(F.sum("residual").alias("cell"), F.count("*").alias("n_in"))
+    placed = residuals.selectExpr(
+        *IMAGE,
+        f"{key_mod('event_id', n)} as u",
+        f"{key_mod(idiv('event_id', n), n)} as w",
+        "residual",
     )
+    return group(placed, CELL, "sum(residual) as cell", "count(*) as n_in")
 
 
 def sum_facets(cells: DataFrame) -> DataFrame:
     """Image flux per facet and polarisation."""
-    return cells.groupBy(*IMAGE).agg(F.sum("cell").alias("flux"), F.count("*").alias("n_cells"))
+    return group(cells, IMAGE, "sum(cell) as flux", "count(*) as n_cells")
 
 
 def identify_component(cells: DataFrame) -> DataFrame:
     """Strongest cell of each facet; ties by polarisation, u, w."""
-    strength = -F.abs("cell")
-    return first_per_key(cells, ["facet"], [strength, "polarisation", "u", "w"], [*CELL[1:], "cell"])
+    order = ["-abs(cell)", "polarisation", "u", "w"]
+    return first_per_key(cells, ["facet"], order, ["polarisation", "u", "w", "cell"])
 
 
 def source_find(components: DataFrame, config: ImagingConfig) -> DataFrame:
     """Components strong enough to enter the catalogue."""
-    found = components.where(F.abs("cell") > config.peak_threshold)
-    return found.select("facet", "u", "w", F.col("cell").alias("flux"))
+    found = components.where(f"abs(cell) > {config.peak_threshold}")
+    return found.selectExpr("facet", "u", "w", "cell as flux")
 
 
 def source_catalog(sources: DataFrame) -> DataFrame:
     """All found sources as one catalogue block."""
-    loop = sources.groupBy(F.lit(0).alias("beam"), F.lit(0).alias("major_loop"))
-    return loop.agg(F.count("*").alias("n_in"), F.sum("flux").alias("flux"))
+    keyed = sources.selectExpr("0 as beam", "0 as major_loop", "flux")
+    return group(keyed, ["beam", "major_loop"], "count(*) as n_in", "sum(flux) as flux")
 
 
 def subimacom(images: DataFrame, components: DataFrame, config: ImagingConfig) -> DataFrame:
     """Image flux left after removing the facet's component from its image."""
-    peaks = components.select(*IMAGE, "cell")
-    joined = lookup(images, peaks, IMAGE, config.facets, how="left")
-    return joined.select(*IMAGE, (F.col("flux") - F.coalesce("cell", F.lit(0))).alias("residual"))
+    joined = lookup(images, components.select(*IMAGE, "cell"), IMAGE, config.facets, how="left")
+    return joined.selectExpr(*IMAGE, "flux - coalesce(cell, 0) as residual")
 
 
 def subimacom_facets(remaining: DataFrame) -> DataFrame:
     """``subimacom`` keyed by facet alone: its polarisation images as one block."""
-    return remaining.groupBy("facet").agg(F.sum("residual").alias("residual"), F.count("*").alias("n_images"))
+    return group(remaining, ["facet"], "sum(residual) as residual", "count(*) as n_images")
 
 
 def update_lsm(lsm: DataFrame, sources: DataFrame) -> DataFrame:
     """Catalogue flux per facet merged with the sources found there."""
-    catalogue = lsm.groupBy("facet").agg(F.sum("flux").alias("catalogue_flux"))
-    found = sources.select("facet", F.col("flux").alias("source_flux"))
-    merged = catalogue.join(found, "facet", "full_outer")
-    zero = F.lit(0)
-    return merged.select(
-        "facet", (F.coalesce("catalogue_flux", zero) + F.coalesce("source_flux", zero)).alias("flux")
-    )
+    catalogue = group(lsm, ["facet"], "sum(flux) as catalogue_flux")
+    merged = catalogue.join(sources.selectExpr("facet", "flux as source_flux"), "facet", "full_outer")
+    return merged.selectExpr("facet", "coalesce(catalogue_flux, 0) + coalesce(source_flux, 0) as flux")

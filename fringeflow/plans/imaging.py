@@ -14,10 +14,11 @@ from fringeflow.sources.views import sky_model, telescope_config, visibilities
 
 
 class ImagingCycle:
-    """Stages by name. Nothing runs until a stage is used, except the solutions.
+    """Stages by name, each built when first used.
 
-    Solving is the cycle's barrier: every later stage needs all gains. They
-    are settled once per cycle, so later stages do not solve again.
+    The prediction and the solutions are barriers: every later stage needs
+    all of them. They are small and are settled once per cycle, so no later
+    stage predicts or solves again.
     """
 
     def __init__(self, spark: SparkSession, data_dir: str, config: ImagingConfig | None = None) -> None:
@@ -53,13 +54,17 @@ class ImagingCycle:
     def predicted(self) -> DataFrame:
         return stages.pharotpre_dft_sumvis(self.deg)
 
+    @cached_property
+    def settled_predicted(self) -> DataFrame:
+        return settle(self.predicted, "pharotpre_dft_sumvis")
+
     @cached_property
     def slots(self) -> DataFrame:
-        return stages.timeslots(self.vis, self.predicted, self.config)
+        return stages.timeslots(self.vis, self.settled_predicted, self.config)
 
     @cached_property
     def solutions(self) -> DataFrame:
-        return stages.solve(self.vis, self.predicted, self.config)
+        return stages.solve(self.vis, self.settled_predicted, self.config)
 
     @cached_property
     def settled_solutions(self) -> DataFrame:
@@ -67,7 +72,9 @@ class ImagingCycle:
 
     @cached_property
     def residuals(self) -> DataFrame:
-        return stages.cor_subvis_flag(self.vis, self.predicted, self.settled_solutions, self.config)
+        return stages.cor_subvis_flag(
+            self.vis, self.settled_predicted, self.settled_solutions, self.config
+        )
 
     @cached_property
     def flagged(self) -> DataFrame:
@@ -96,7 +103,10 @@ class ImagingCycle:
 
     @cached_property
     def remaining(self) -> DataFrame:
-        return stages.subimacom(self.images, self.components, self.config)
+        cells = self.settled_cells
+        return stages.subimacom(
+            stages.sum_facets(cells), stages.identify_component(cells), self.config
+        )
 
     @cached_property
     def updated_lsm(self) -> DataFrame:

@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fringeflow.config import NARROW_SNAPSHOT, WIDE_FACETS, WIDE_FACETS_TWELVE_SLOTS, ImagingConfig
 from fringeflow.functions.digest import digest
-from fringeflow.functions.numeric import idiv, round_half_away
+from fringeflow.functions.numeric import idiv, key_mod, round_half_away
 from fringeflow.operators import dataflow, kernels, lineage, stages
 from fringeflow.plans.imaging import ImagingCycle
+from fringeflow.plans.joins import lookup
 from fringeflow.sources import stage_store
 from fringeflow.sources.tables import read_table
 
@@ -32,26 +31,25 @@ def _on_cycle(build: Callable[[ImagingCycle], DataFrame], config: ImagingConfig
 def index_grid(cycle: ImagingCycle) -> DataFrame:
     """Coarse key domain with the catalogue components each key is built from."""
     c = cycle.config
-    sizes = dict(zip(COARSE_DIMS, (1, 1, c.coarse_channels, 1, c.facets, c.polarisations)))
-    domain = dataflow.index_grid(cycle.spark, sizes)
-    inputs = cycle.lsm.groupBy("facet").agg(F.count("*").alias("n_in"))
-    joined = stages.lookup(domain, inputs, ["facet"], c.facets, how="left")
-    return joined.select(*COARSE_DIMS, F.coalesce("n_in", F.lit(0).cast("bigint")).alias("n_in"))
+    sizes = (1, 1, c.coarse_channels, 1, c.facets, c.polarisations)
+    domain = dataflow.index_grid(cycle.spark, dict(zip(COARSE_DIMS, sizes)))
+    inputs = dataflow.group(cycle.lsm, ["facet"], "count(*) as n_in")
+    joined = lookup(domain, inputs, ["facet"], c.facets, how="left")
+    return joined.selectExpr(*COARSE_DIMS, "coalesce(n_in, 0L) as n_in")
 
 
 def dep_edges(cycle: ImagingCycle) -> DataFrame:
     """Fine keys, the coarse and configuration keys they read, and their measurements."""
     c = cycle.config
-    keys = ["frequency", "facet", "polarisation"]
-    domain = dataflow.index_grid(cycle.spark, dict(zip(keys, (c.channels, c.facets, c.polarisations))))
-    frequency = F.col("frequency")
+    dims = {"frequency": c.channels, "facet": c.facets, "polarisation": c.polarisations}
     edges = dataflow.dep_edges(
-        domain,
-        {"src_frequency": idiv(frequency, c.refinement), "tel_frequency": idiv(frequency, c.channels)},
+        dataflow.index_grid(cycle.spark, dims),
+        src_frequency=idiv("frequency", c.refinement),
+        tel_frequency=idiv("frequency", c.channels),
     )
-    rows = cycle.vis.groupBy(*keys).agg(F.count("*").alias("n_in"))
-    joined = stages.lookup(edges, rows, keys, c.channels * c.max_images, how="left")
-    return joined.select(*edges.columns, F.coalesce("n_in", F.lit(0).cast("bigint")).alias("n_in"))
+    inputs = dataflow.group(cycle.vis, list(dims), "count(*) as n_in")
+    joined = lookup(edges, inputs, list(dims), c.channels * c.max_images, how="left")
+    return joined.selectExpr(*edges.columns, "coalesce(n_in, 0L) as n_in")
 
 
 # Fan-out and fan-in
@@ -68,21 +66,21 @@ def refine(cycle: ImagingCycle) -> DataFrame:
 
 
 def fan_in_group(cycle: ImagingCycle) -> DataFrame:
-    return dataflow.fan_in_group(cycle.vis, ["facet"], n_in=F.count("*"), re=F.sum("re"))
+    return dataflow.fan_in_group(cycle.vis, ["facet"], n_in="count(*)", re="sum(re)")
 
 
 def _solution_total(cycle: ImagingCycle) -> DataFrame:
     """All solutions summed before they are copied to the channels that read them."""
-    gain = F.sum(round_half_away(F.col("gain") * 1_000_000))
-    total = dataflow.collapse_global(cycle.solutions, val=gain, n_in=F.count("*"))
+    gain = f"sum({round_half_away('(gain * 1000000)')})"
+    total = dataflow.collapse_global(cycle.solutions, val=gain, n_in="count(*)")
     return dataflow.fan_out(total, {"frequency": cycle.config.channels})
 
 
 def fan_in_union(cycle: ImagingCycle) -> DataFrame:
     """Model, visibility and solutions of each channel gathered by union."""
     sources = {
-        "model": cycle.predicted.select("frequency", F.col("model").alias("val")),
-        "vis": cycle.channels.select("frequency", F.col("re").alias("val")),
+        "model": cycle.settled_predicted.selectExpr("frequency", "model as val"),
+        "vis": cycle.channels.selectExpr("frequency", "re as val"),
         "solve": _solution_total(cycle),
     }
     return dataflow.fan_in_union(sources, ["frequency"], "val")
@@ -94,15 +92,15 @@ def fan_in_zip2(cycle: ImagingCycle) -> DataFrame:
 
 
 def fan_in_zip3(cycle: ImagingCycle) -> DataFrame:
-    model = cycle.predicted.select("frequency", "model")
-    solved = _solution_total(cycle).select("frequency", F.col("val").alias("gain_micro"))
+    model = cycle.settled_predicted.select("frequency", "model")
+    solved = _solution_total(cycle).selectExpr("frequency", "val as gain_micro")
     return dataflow.fan_in_zip(["frequency"], cycle.channels, model, solved)
 
 
 def cogroup_merge(cycle: ImagingCycle) -> DataFrame:
     """Catalogue and measurements of each facet side by side."""
-    catalogue = cycle.lsm.groupBy("facet").agg(F.count("*").alias("n_components"), F.sum("flux").alias("flux"))
-    measured = cycle.vis.groupBy("facet").agg(F.count("*").alias("n_measured"), F.sum("re").alias("re"))
+    catalogue = dataflow.group(cycle.lsm, ["facet"], "count(*) as n_components", "sum(flux) as flux")
+    measured = dataflow.group(cycle.vis, ["facet"], "count(*) as n_measured", "sum(re) as re")
     return dataflow.cogroup_merge(catalogue, measured, ["facet"])
 
 
@@ -119,8 +117,7 @@ def partition_by_dim(cycle: ImagingCycle) -> DataFrame:
     channels = cycle.config.channels
     splits = dataflow.key_splits(cycle.spark, channels)
     rows = cycle.vis.select("event_id", "frequency", "re")
-    salt = idiv(F.col("event_id"), channels)
-    placed = dataflow.partition_by_dim(rows, F.col("frequency"), channels, splits, salt)
+    placed = dataflow.partition_by_dim(rows, "frequency", channels, splits, idiv("event_id", channels))
     return dataflow.partition_census(placed, ["frequency"], "re")
 
 
@@ -128,7 +125,7 @@ def partition_by_facet(cycle: ImagingCycle) -> DataFrame:
     facets = cycle.config.facets
     splits = dataflow.key_splits(cycle.spark, facets)
     rows = cycle.vis.select("event_id", "facet", "re")
-    placed = dataflow.partition_by_facet(rows, facets, splits, F.col("event_id"))
+    placed = dataflow.partition_by_facet(rows, facets, splits, "event_id")
     return dataflow.partition_census(placed, ["facet"], "re")
 
 
@@ -136,7 +133,7 @@ def one_partition_per_key(cycle: ImagingCycle) -> DataFrame:
     dims = {"facet": cycle.config.facets, "polarisation": cycle.config.polarisations}
     splits = dataflow.key_splits(cycle.spark, cycle.config.max_images)
     rows = cycle.vis.select("event_id", *dims, "re")
-    placed = dataflow.one_partition_per_key(rows, dims, splits, F.col("event_id"))
+    placed = dataflow.one_partition_per_key(rows, dims, splits, "event_id")
     return dataflow.partition_census(placed, list(dims), "re")
 
 
@@ -145,10 +142,12 @@ def one_partition_per_key(cycle: ImagingCycle) -> DataFrame:
 
 def _channel_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        sums = table.group_by("frequency").aggregate([("re", "sum"), ("re", "max"), ([], "count_all")])
-        sums = sums.select(["frequency", "re_sum", "re_max", "count_all"]).rename_columns(
-            ["frequency", "re", "peak", "n_in"]
+        sums = (
+            pa.Table.from_batches([batch])
+            .group_by("frequency")
+            .aggregate([("re", "sum"), ("re", "max"), ([], "count_all")])
+            .select(["frequency", "re_sum", "re_max", "count_all"])
+            .rename_columns(["frequency", "re", "peak", "n_in"])
         )
         yield from sums.to_batches()
 
@@ -160,9 +159,7 @@ def per_partition_map(cycle: ImagingCycle) -> DataFrame:
         _channel_sums,
         "frequency int, re bigint, peak bigint, n_in bigint",
     )
-    return partial.groupBy("frequency").agg(
-        F.sum("re").alias("re"), F.max("peak").alias("peak"), F.sum("n_in").alias("n_in")
-    )
+    return dataflow.group(partial, ["frequency"], "sum(re) as re", "max(peak) as peak", "sum(n_in) as n_in")
 
 
 def first_per_key(cycle: ImagingCycle) -> DataFrame:
@@ -171,27 +168,27 @@ def first_per_key(cycle: ImagingCycle) -> DataFrame:
 
 def per_row_map(cycle: ImagingCycle) -> DataFrame:
     """Keys re-labelled per measurement: drop the baseline, add the coarse channel."""
-    frequency = F.col("frequency")
+    step = cycle.config.refinement
     return dataflow.per_row_map(
         cycle.vis,
-        ["event_id", "time", "facet", "polarisation"],
-        src_frequency=idiv(frequency, cycle.config.refinement).cast("int"),
-        part=(frequency % cycle.config.refinement).cast("int"),
-        amount=F.greatest(F.col("re"), F.lit(4).cast("bigint")),
+        *("event_id", "time", "facet", "polarisation"),
+        src_frequency=f"cast({idiv('frequency', step)} as int)",
+        part=f"frequency % {step}",
+        amount="greatest(re, 4L)",
     )
 
 
 def collapse_global(cycle: ImagingCycle) -> DataFrame:
     return dataflow.collapse_global(
-        cycle.vis, n_in=F.count("*"), re=F.sum("re"), first_id=F.min("event_id"), last_id=F.max("event_id")
+        cycle.vis, n_in="count(*)", re="sum(re)", first_id="min(event_id)", last_id="max(event_id)"
     )
 
 
 def stage_cache(cycle: ImagingCycle) -> DataFrame:
     """Channel sums kept once and read twice: as blocks and as their total."""
     blocks = dataflow.stage_cache(cycle.channels.select("frequency", "re", "n_in"))
-    total = dataflow.collapse_global(blocks, re=F.sum("re"), n_in=F.sum("n_in"))
-    return blocks.unionByName(total.select(F.lit(-1).alias("frequency"), "re", "n_in"))
+    total = dataflow.collapse_global(blocks, re="sum(re)", n_in="sum(n_in)")
+    return blocks.unionByName(total.selectExpr("-1 as frequency", "re", "n_in"))
 
 
 def stage_count(cycle: ImagingCycle) -> DataFrame:
@@ -202,7 +199,7 @@ def stage_count(cycle: ImagingCycle) -> DataFrame:
             "telescope_management": cycle.telescope,
             "reppre_ifft": cycle.rep,
             "degkerupd_deg": cycle.deg,
-            "pharotpre_dft_sumvis": cycle.predicted,
+            "pharotpre_dft_sumvis": cycle.settled_predicted,
             "solve": cycle.solutions,
         }
     )
@@ -214,20 +211,21 @@ def lineage_digest(cycle: ImagingCycle) -> DataFrame:
 
 def stage_lineage(cycle: ImagingCycle) -> DataFrame:
     """Blocks, inputs and lineage digest of all seventeen stages."""
-    blocks = lineage.stage_blocks(cycle.vis, cycle.lsm, cycle.telescope, cycle.config)
+    blocks = lineage.stage_blocks(cycle.vis, cycle.lsm, cycle.telescope, cycle.config, stage_store.settle)
     return lineage.lineage_report(blocks)
 
 
 def input_volume(spark: SparkSession, data_dir: str) -> DataFrame:
-    channel = stages.key_mod(F.col("event_id"), NARROW_SNAPSHOT.channels).alias("frequency")
-    return dataflow.input_volume(read_table(spark, data_dir, "events"), [channel], "props")
+    channel = f"{key_mod('event_id', NARROW_SNAPSHOT.channels)} as frequency"
+    rows = read_table(spark, data_dir, "events").selectExpr(channel, "props")
+    return dataflow.input_volume(rows, ["frequency"], "props")
 
 
 def stage_report(cycle: ImagingCycle) -> DataFrame:
     return dataflow.stage_report(
         {
             "reppre_ifft": cycle.rep,
-            "pharotpre_dft_sumvis": cycle.predicted,
+            "pharotpre_dft_sumvis": cycle.settled_predicted,
             "solve": cycle.solutions,
             "grid": cycle.cells,
         }
@@ -236,18 +234,18 @@ def stage_report(cycle: ImagingCycle) -> DataFrame:
 
 def key_labels(cycle: ImagingCycle) -> DataFrame:
     """Rendered keys: label, digest in hex, length, and a dimension parsed back."""
-    label = F.concat_ws("_", *[F.col(c).cast("string") for c in ("beam", "frequency", "time", "polarisation")])
-    named = cycle.vis.select("event_id", "re", label.alias("label"))
-    code = digest(F.col("label"))
-    return named.select(
+    rendered = ", ".join(f"cast({c} as string)" for c in ("beam", "frequency", "time", "polarisation"))
+    named = cycle.vis.selectExpr("event_id", "re", f"concat_ws('_', {rendered}) as label")
+    code = digest("label")
+    return named.selectExpr(
         "event_id",
         "label",
-        F.hex(code).alias("code"),
-        code.bitwiseXOR(F.col("event_id")).alias("mixed"),
-        F.octet_length("label").cast("bigint").alias("n_bytes"),
-        F.substring("label", 1, 4).alias("head"),
-        F.split("label", "_").getItem(1).cast("int").alias("frequency"),
-        idiv(F.greatest(F.lit(4).cast("bigint"), F.col("re")), 1000).alias("kilo"),
+        f"hex({code}) as code",
+        f"{code} ^ event_id as mixed",
+        "cast(octet_length(label) as bigint) as n_bytes",
+        "substring(label, 1, 4) as head",
+        "cast(split(label, '_')[1] as int) as frequency",
+        f"{idiv('greatest(4L, re)', 1000)} as kilo",
     )
 
 
@@ -260,7 +258,7 @@ def stored_by_channel(cycle: ImagingCycle) -> DataFrame:
     path = stage_store.new_stage_path(cycle.spark, "visibility_buffer")
     stage_store.write_stage(rows, path, ["frequency"], compact=True)
     stored = stage_store.read_stage(cycle.spark, path, rows.schema)
-    return stored.groupBy("time", "frequency").agg(F.sum("re").alias("re"), F.count("*").alias("n_in"))
+    return dataflow.group(stored, ["time", "frequency"], "sum(re) as re", "count(*) as n_in")
 
 
 def stored_one_channel(cycle: ImagingCycle) -> DataFrame:
@@ -272,10 +270,10 @@ def stored_one_channel(cycle: ImagingCycle) -> DataFrame:
 
 def stored_replaced(cycle: ImagingCycle) -> DataFrame:
     """Stored model blocks of the last coarse channel replaced; the others stay."""
-    dims = list(COARSE_DIMS[2:3])
+    dims = ["frequency"]
     path = stage_store.new_stage_path(cycle.spark, "reppre_ifft")
     last = cycle.config.coarse_channels - 1
-    changed = cycle.rep.where(F.col("frequency") == last).withColumn("model", -F.col("model"))
+    changed = cycle.rep.where(f"frequency = {last}").selectExpr("frequency", *stages.IMAGE, "-model as model", "n_in")
     stage_store.write_stage(cycle.rep, path, dims)
     stage_store.write_stage(changed, path, dims)
     return stage_store.read_stage(cycle.spark, path, cycle.rep.schema)

@@ -15,7 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "512m",
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # No call-site capture for every column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fringeflow.session import shared_dir
@@ -39,7 +38,7 @@ def read_stage(spark: SparkSession, path: str, schema: StructType, **key: int) -
     """
     stage = spark.read.schema(schema).parquet(path)
     for dim, value in key.items():
-        stage = stage.where(F.col(dim) == value)
+        stage = stage.where(f"{dim} = {value}")
     return stage
 
 

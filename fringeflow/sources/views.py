@@ -7,7 +7,6 @@ scan only the input columns behind them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from fringeflow.config import ImagingConfig
 from fringeflow.functions.numeric import idiv, key_mod, round_half_away
@@ -16,34 +15,31 @@ from fringeflow.functions.timeslot import timeslot
 
 def visibilities(events: DataFrame, config: ImagingConfig) -> DataFrame:
     """One measurement per event; amounts in cents. ``event_id`` identifies it."""
-    event_id = F.col("event_id")
-    return events.select(
+    return events.selectExpr(
         "event_id",
-        F.lit(0).alias("beam"),
-        key_mod(event_id, config.channels).alias("frequency"),
-        timeslot(F.col("ts"), config.start, config.slot_seconds).alias("time"),
-        F.col("user_id").alias("baseline"),
-        key_mod(F.col("user_id"), config.facets).alias("facet"),
-        key_mod(idiv(event_id, config.channels), config.polarisations).alias("polarisation"),
-        round_half_away(F.col("value") * 100).alias("re"),
-        F.get_json_object("props", "$.k").try_cast("bigint").alias("im"),
+        "0 as beam",
+        f"{key_mod('event_id', config.channels)} as frequency",
+        f"{timeslot('ts', config.start, config.slot_seconds)} as time",
+        "user_id as baseline",
+        f"{key_mod('user_id', config.facets)} as facet",
+        f"{key_mod(idiv('event_id', config.channels), config.polarisations)} as polarisation",
+        f"{round_half_away('(value * 100)')} as re",
+        "try_cast(get_json_object(props, '$.k') as bigint) as im",
     )
 
 
 def sky_model(part: DataFrame, config: ImagingConfig) -> DataFrame:
     """One catalogue component per part; flux in cents."""
-    return part.select(
-        F.col("p_partkey").alias("comp_id"),
-        F.lit(0).alias("beam"),
-        key_mod(F.col("p_partkey"), config.facets).alias("facet"),
-        round_half_away(F.col("p_retailprice") * 100).alias("flux"),
+    return part.selectExpr(
+        "p_partkey as comp_id",
+        "0 as beam",
+        f"{key_mod('p_partkey', config.facets)} as facet",
+        f"{round_half_away('(p_retailprice * 100)')} as flux",
     )
 
 
 def telescope_config(supplier: DataFrame) -> DataFrame:
     """One antenna per supplier; gain in cents."""
-    return supplier.select(
-        F.col("s_suppkey").alias("antenna_id"),
-        F.lit(0).alias("beam"),
-        round_half_away(F.col("s_acctbal") * 100).alias("gain"),
+    return supplier.selectExpr(
+        "s_suppkey as antenna_id", "0 as beam", f"{round_half_away('(s_acctbal * 100)')} as gain"
     )
