@@ -151,31 +151,42 @@ def per_partition_map(
 # Placement
 
 
-def key_splits(spark: SparkSession, domain: int) -> int:
-    """Partitions per key value that use the session's shuffle parallelism."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // domain)
+def placement(rows: DataFrame, key: str, partitions: int) -> DataFrame:
+    """Partition range of each key, as (place, first, splits).
+
+    ``partitions`` are dealt out by row count on top of one for each key, so
+    a key holding a third of all rows owns a third of them.
+    """
+    counts = group(rows.selectExpr(f"{key} as place"), ["place"], "count(*) as n")
+    sized = counts.selectExpr("place", f"1 + {idiv(f'{partitions} * n', 'sum(n) over ()')} as splits")
+    return sized.selectExpr("place", "splits", "sum(splits) over (order by place) - splits as first")
 
 
-def partition_by_dim(rows: DataFrame, dim: str, domain: int, splits: int = 1, salt: str = "0") -> DataFrame:
+def partition_by_dim(
+    rows: DataFrame, dim: str, domain: int, salt: str, partitions: int | None = None
+) -> DataFrame:
     """Place rows so that no partition mixes two values of ``dim``.
 
-    Value ``k`` owns the partitions ``k * splits`` to ``k * splits + splits - 1``
-    and ``salt`` spreads its rows over them, so a hot value is not one task.
+    ``dim`` has at most ``domain`` values. Each owns a range of partitions in
+    proportion to its rows, and ``salt`` spreads its rows over the range.
     """
-    target = f"cast(({dim}) * {splits} + pmod({salt}, {splits}) as int)"
-    return rows.repartitionById(domain * splits, F.expr(target))
+    if partitions is None:
+        partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = placement(rows, dim, partitions).where("place is not null")
+    located = lookup(rows.selectExpr("*", f"{dim} as place"), ranges, ["place"], domain, how="left")
+    # Rows without a key go to a partition of their own.
+    target = f"cast(coalesce(first + pmod({salt}, splits), {domain + partitions}) as int)"
+    return located.repartitionById(domain + partitions + 1, F.expr(target)).select(*rows.columns)
 
 
-def partition_by_facet(rows: DataFrame, facets: int, splits: int = 1, salt: str = "0") -> DataFrame:
-    return partition_by_dim(rows, "facet", facets, splits, salt)
+def partition_by_facet(rows: DataFrame, facets: int, salt: str) -> DataFrame:
+    return partition_by_dim(rows, "facet", facets, salt)
 
 
-def one_partition_per_key(
-    rows: DataFrame, dims: Mapping[str, int], splits: int = 1, salt: str = "0"
-) -> DataFrame:
+def one_partition_per_key(rows: DataFrame, dims: Mapping[str, int], salt: str) -> DataFrame:
     """Place rows by a dense number of their whole key."""
     number = reduce(lambda head, dim: f"({head}) * {dim[1]} + {dim[0]}", dims.items(), "0")
-    return partition_by_dim(rows, number, prod(dims.values()), splits, salt)
+    return partition_by_dim(rows, number, prod(dims.values()), salt)
 
 
 def partition_census(placed: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -28,8 +28,7 @@ def source_inputs(stage: str, rows: DataFrame, columns: list[str], **key: str) -
 
 def derived_blocks(stage: str, *inputs: DataFrame) -> DataFrame:
     """Blocks of a stage from its inputs, each keyed by the block that reads it."""
-    label = row_digest(f"'{stage}'", *KEY)
-    return _combine(union_all(inputs)).selectExpr(*KEY, f"{label} ^ digest as digest", "n as n_in")
+    return _labelled(stage, _combine(union_all(inputs)))
 
 
 def read_by(blocks: DataFrame, **key: str) -> DataFrame:
@@ -71,7 +70,7 @@ def stage_blocks(
     inputs = settle(union_all(sources), "lineage_sources")
 
     def source(stage: str, table: str | None = None) -> DataFrame:
-        return derived_blocks(stage, inputs.where(f"stage = '{table or stage}'").drop("stage"))
+        return _labelled(stage, inputs.where(f"stage = '{table or stage}'"))
 
     extract = source("extract_lsm", "local_sky_model")
     local = source("local_sky_model")
@@ -134,6 +133,11 @@ def lineage_report(stages: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def _labelled(stage: str, combined: DataFrame) -> DataFrame:
+    label = row_digest(f"'{stage}'", *KEY)
+    return combined.selectExpr(*KEY, f"{label} ^ digest as digest", "n as n_in")
+
+
 def _combine(inputs: DataFrame, *more_keys: str) -> DataFrame:
     return group(inputs, [*more_keys, *KEY], "bit_xor(digest) as digest", "sum(n) as n")
 

@@ -127,8 +127,8 @@ def sum_facets(cells: DataFrame) -> DataFrame:
 
 
 def identify_component(cells: DataFrame) -> DataFrame:
-    """Strongest cell of each facet; ties by polarisation, u, w."""
-    order = ["-abs(cell)", "polarisation", "u", "w"]
+    """Strongest cell of each facet; ties by polarisation, u, w, empty cells last."""
+    order = ["-coalesce(abs(cell), -1)", "polarisation", "u", "w"]
     return first_per_key(cells, ["facet"], order, ["polarisation", "u", "w", "cell"])
 
 

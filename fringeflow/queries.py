@@ -115,25 +115,21 @@ def broadcast_lookup(cycle: ImagingCycle) -> DataFrame:
 
 def partition_by_dim(cycle: ImagingCycle) -> DataFrame:
     channels = cycle.config.channels
-    splits = dataflow.key_splits(cycle.spark, channels)
     rows = cycle.vis.select("event_id", "frequency", "re")
-    placed = dataflow.partition_by_dim(rows, "frequency", channels, splits, idiv("event_id", channels))
+    placed = dataflow.partition_by_dim(rows, "frequency", channels, idiv("event_id", channels))
     return dataflow.partition_census(placed, ["frequency"], "re")
 
 
 def partition_by_facet(cycle: ImagingCycle) -> DataFrame:
-    facets = cycle.config.facets
-    splits = dataflow.key_splits(cycle.spark, facets)
     rows = cycle.vis.select("event_id", "facet", "re")
-    placed = dataflow.partition_by_facet(rows, facets, splits, "event_id")
+    placed = dataflow.partition_by_facet(rows, cycle.config.facets, "event_id")
     return dataflow.partition_census(placed, ["facet"], "re")
 
 
 def one_partition_per_key(cycle: ImagingCycle) -> DataFrame:
     dims = {"facet": cycle.config.facets, "polarisation": cycle.config.polarisations}
-    splits = dataflow.key_splits(cycle.spark, cycle.config.max_images)
     rows = cycle.vis.select("event_id", *dims, "re")
-    placed = dataflow.one_partition_per_key(rows, dims, splits, "event_id")
+    placed = dataflow.one_partition_per_key(rows, dims, "event_id")
     return dataflow.partition_census(placed, list(dims), "re")
 
 
