@@ -82,18 +82,21 @@ def solve(vis: DataFrame, predicted: DataFrame, config: ImagingConfig) -> DataFr
     return group(paired, ["time"], f"try_divide({cross}, {power}) as gain", "sum(n) as n_in")
 
 
-def cor_subvis_flag(
-    vis: DataFrame, predicted: DataFrame, solved: DataFrame, config: ImagingConfig
-) -> DataFrame:
-    """Residual of every measurement after subtracting the corrected prediction.
+def correct(vis: DataFrame, predicted: DataFrame, solved: DataFrame, config: ImagingConfig) -> DataFrame:
+    """Measurements with their prediction corrected by the timeslot's gain.
 
     ``solved`` has one row per timeslot present in the data, which the
     configuration does not bound: pass a settled table.
     """
     paired = lookup(vis, predicted.select("frequency", "model"), ["frequency"], config.channels)
     paired = lookup(paired, solved.select("time", "gain"), ["time"])
-    residual = round_half_away("(re - gain * model)")
-    return paired.selectExpr("event_id", "frequency", "time", *IMAGE, f"{residual} as residual")
+    return paired.selectExpr("event_id", "frequency", "time", *IMAGE, "re", "gain * model as corrected")
+
+
+def subtract_visibility(corrected: DataFrame) -> DataFrame:
+    """Residual of every measurement, in whole cents."""
+    residual = round_half_away("(re - corrected)")
+    return corrected.selectExpr("event_id", "frequency", "time", *IMAGE, f"{residual} as residual")
 
 
 def flag(residuals: DataFrame, config: ImagingConfig) -> DataFrame:
@@ -109,6 +112,11 @@ def flag(residuals: DataFrame, config: ImagingConfig) -> DataFrame:
     return paired.selectExpr(*residuals.columns, "abs(residual) > limit as flag")
 
 
+def flag_counts(flagged: DataFrame) -> DataFrame:
+    """Measurements and flagged measurements per channel."""
+    return group(flagged, ["frequency"], "count(*) as n_in", "count_if(flag) as n_flagged")
+
+
 def grid(residuals: DataFrame, config: ImagingConfig) -> DataFrame:
     """Sum residuals into image cells."""
     n = config.cells

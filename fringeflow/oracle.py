@@ -255,7 +255,12 @@ def _selects(c: ImagingConfig) -> dict[str, str]:
             cast(v.re * t.s + v.im * t.c as bigint) as im from vis v
             left join tw t on v.frequency % {n} = t.k and v.facet % {n} = t.x""",
         "sum_visibilities": "select * from visch",
-        "correct_subtract": "select * from cor",
+        "correct": """select v.event_id, v.frequency, v.time, v.facet, v.polarisation, v.re,
+            s.gain * p.model as corrected from vis v join pha p on v.frequency = p.frequency
+            join sol s on v.time = s.time""",
+        "subtract_visibility": "select * from cor",
+        "flag": """select frequency, count(*) as n_in, count(*) filter (where flag) as n_flagged
+            from flagged group by frequency""",
         "grid": "select * from grid",
         "grid_convolved": f"""select v.facet, v.polarisation, {_mod('v.u + k.du', n)} as u,
             {_mod('v.w + k.dw', n)} as w, cast(sum(v.residual * k.wt) as bigint) as cell,
@@ -310,6 +315,8 @@ def _selects(c: ImagingConfig) -> dict[str, str]:
                 ("solve", "sol"),
             )
         ),
+        "imaging_cycle": """select 'subimacom' as stage, count(distinct facet) as n_rows from sub
+            union all select 'update_lsm', count(*) from upd""",
         "lineage_digest": f"""select frequency, count(*) as n_in, bit_xor({_digest(
             "concat_ws('|', cast(event_id as varchar), cast(re as varchar))")}) as digest
             from vis group by frequency""",

@@ -18,13 +18,21 @@ class ImagingCycle:
 
     The prediction and the solutions are barriers: every later stage needs
     all of them. They are small and are settled once per cycle, so no later
-    stage predicts or solves again.
+    stage predicts or solves again. With ``store_cells`` the image cells are
+    settled too, for runs that take more than one result from them.
     """
 
-    def __init__(self, spark: SparkSession, data_dir: str, config: ImagingConfig | None = None) -> None:
+    def __init__(
+        self,
+        spark: SparkSession,
+        data_dir: str,
+        config: ImagingConfig | None = None,
+        store_cells: bool = False,
+    ) -> None:
         self.spark = spark
         self.data_dir = data_dir
         self.config = config or ImagingConfig()
+        self.store_cells = store_cells
 
     @cached_property
     def vis(self) -> DataFrame:
@@ -70,11 +78,13 @@ class ImagingCycle:
     def settled_solutions(self) -> DataFrame:
         return settle(self.solutions, "solve")
 
+    @cached_property
+    def corrected(self) -> DataFrame:
+        return stages.correct(self.vis, self.settled_predicted, self.settled_solutions, self.config)
+
     @cached_property
     def residuals(self) -> DataFrame:
-        return stages.cor_subvis_flag(
-            self.vis, self.settled_predicted, self.settled_solutions, self.config
-        )
+        return stages.subtract_visibility(self.corrected)
 
     @cached_property
     def flagged(self) -> DataFrame:
@@ -82,12 +92,8 @@ class ImagingCycle:
 
     @cached_property
     def cells(self) -> DataFrame:
-        return stages.grid(self.residuals, self.config)
-
-    @cached_property
-    def settled_cells(self) -> DataFrame:
-        """Image cells stored once, for consumers that read them more than once."""
-        return settle(self.cells, "grid")
+        cells = stages.grid(self.residuals, self.config)
+        return settle(cells, "grid") if self.store_cells else cells
 
     @cached_property
     def images(self) -> DataFrame:
@@ -103,10 +109,7 @@ class ImagingCycle:
 
     @cached_property
     def remaining(self) -> DataFrame:
-        cells = self.settled_cells
-        return stages.subimacom(
-            stages.sum_facets(cells), stages.identify_component(cells), self.config
-        )
+        return stages.subimacom(self.images, self.components, self.config)
 
     @cached_property
     def updated_lsm(self) -> DataFrame:

@@ -21,8 +21,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 COARSE_DIMS = ("beam", "major_loop", "frequency", "time", "facet", "polarisation")
 
 
-def _on_cycle(build: Callable[[ImagingCycle], DataFrame], config: ImagingConfig = NARROW_SNAPSHOT) -> Query:
-    return lambda spark, data_dir: build(ImagingCycle(spark, data_dir, config))
+def _on_cycle(
+    build: Callable[[ImagingCycle], DataFrame],
+    config: ImagingConfig = NARROW_SNAPSHOT,
+    store_cells: bool = False,
+) -> Query:
+    return lambda spark, data_dir: build(ImagingCycle(spark, data_dir, config, store_cells))
 
 
 # Key domains, with the rows that fall on each key
@@ -201,6 +205,12 @@ def stage_count(cycle: ImagingCycle) -> DataFrame:
     )
 
 
+def imaging_cycle(cycle: ImagingCycle) -> DataFrame:
+    """Row counts of the two results of a cycle."""
+    facets = stages.subimacom_facets(cycle.remaining)
+    return dataflow.stage_count({"subimacom": facets, "update_lsm": cycle.updated_lsm})
+
+
 def lineage_digest(cycle: ImagingCycle) -> DataFrame:
     return dataflow.lineage_digest(cycle.vis, ["frequency"], ["event_id", "re"])
 
@@ -297,8 +307,8 @@ QUERIES: dict[str, Query] = {
     "identify_component": _on_cycle(lambda c: c.components),
     "find_sources": _on_cycle(lambda c: c.sources),
     "source_find": _on_cycle(lambda c: stages.source_catalog(c.sources)),
-    "subimacom": _on_cycle(lambda c: c.remaining),
-    "subimacom_facets": _on_cycle(lambda c: stages.subimacom_facets(c.remaining)),
+    "subimacom": _on_cycle(lambda c: c.remaining, store_cells=True),
+    "subimacom_facets": _on_cycle(lambda c: stages.subimacom_facets(c.remaining), store_cells=True),
     "update_lsm": _on_cycle(lambda c: c.updated_lsm),
     # Operations inside the composite stages
     "reprojection": _on_cycle(lambda c: kernels.reprojection(c.cells, c.config)),
@@ -309,7 +319,9 @@ QUERIES: dict[str, Query] = {
     "degrid": _on_cycle(lambda c: kernels.degrid(c.vis, c.cells, c.config)),
     "phase_rotation": _on_cycle(lambda c: kernels.phase_rotation(c.vis, c.config)),
     "sum_visibilities": _on_cycle(lambda c: c.channels),
-    "correct_subtract": _on_cycle(lambda c: c.residuals),
+    "correct": _on_cycle(lambda c: c.corrected),
+    "subtract_visibility": _on_cycle(lambda c: c.residuals),
+    "flag": _on_cycle(lambda c: stages.flag_counts(c.flagged)),
     "grid": _on_cycle(lambda c: c.cells),
     "grid_convolved": _on_cycle(lambda c: kernels.convolve_grid(c.cells, c.config)),
     # Dataflow operators
@@ -332,6 +344,7 @@ QUERIES: dict[str, Query] = {
     "collapse_global": _on_cycle(collapse_global),
     "stage_cache": _on_cycle(stage_cache),
     "stage_count": _on_cycle(stage_count),
+    "imaging_cycle": _on_cycle(imaging_cycle, store_cells=True),
     "lineage_digest": _on_cycle(lineage_digest),
     "stage_lineage": _on_cycle(stage_lineage),
     "input_volume": input_volume,
@@ -348,7 +361,7 @@ QUERIES: dict[str, Query] = {
     "solve_12": _on_cycle(lambda c: c.solutions, WIDE_FACETS_TWELVE_SLOTS),
     "sum_facets_81": _on_cycle(lambda c: c.images, WIDE_FACETS),
     "identify_component_81": _on_cycle(lambda c: c.components, WIDE_FACETS),
-    "subimacom_81": _on_cycle(lambda c: c.remaining, WIDE_FACETS),
+    "subimacom_81": _on_cycle(lambda c: c.remaining, WIDE_FACETS, store_cells=True),
     "update_lsm_81": _on_cycle(lambda c: c.updated_lsm, WIDE_FACETS),
     "stage_lineage_81": _on_cycle(stage_lineage, WIDE_FACETS),
 }

@@ -54,7 +54,10 @@ NAMES = [
     "timeslots",
     "solve",
     "solve_120",
-    "correct_subtract",
+    "correct",
+    "subtract_visibility",
+    "flag",
+    "imaging_cycle",
     "cor_subvis_flag",
     "grid",
     "grid_convolved",

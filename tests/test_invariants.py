@@ -12,7 +12,7 @@ from fringeflow.queries import QUERIES
 
 @pytest.fixture(scope="module")
 def cycle(spark, data_dir):
-    return ImagingCycle(spark, data_dir)
+    return ImagingCycle(spark, data_dir, store_cells=True)
 
 
 def total(frame, expression):
@@ -46,13 +46,13 @@ def test_wide_domain_cardinalities(spark, data_dir):
 
 
 def test_every_measurement_is_in_the_grid_once(cycle):
-    cells = cycle.settled_cells
+    cells = cycle.cells
     assert total(cells, "sum(cell)") == total(cycle.residuals, "sum(residual)")
     assert total(cells, "sum(n_in)") == cycle.vis.count()
 
 
 def test_inverse_transform_restores_the_grid(cycle):
-    cells = cycle.settled_cells.select("facet", "polarisation", "u", "w", "cell")
+    cells = cycle.cells.select("facet", "polarisation", "u", "w", "cell")
     restored = kernels.idft(kernels.dft(cells, cycle.config), cycle.config).where("cell != 0")
     assert spark_rows(restored) == spark_rows(cells.where("cell != 0"))
 

@@ -38,6 +38,11 @@ def cycle(spark, data_dir):
     return ImagingCycle(spark, data_dir)
 
 
+@pytest.fixture(scope="module")
+def stored(spark, data_dir):
+    return ImagingCycle(spark, data_dir, store_cells=True)
+
+
 @pytest.mark.parametrize("stage", ["slots", "residuals", "flagged"])
 def test_row_level_stages_do_not_shuffle_rows(cycle, stage):
     text = rows_plan(getattr(cycle, stage))
@@ -45,8 +50,8 @@ def test_row_level_stages_do_not_shuffle_rows(cycle, stage):
     assert "BroadcastHashJoin" in text
 
 
-def test_degrid_looks_each_row_up_once(cycle):
-    text = rows_plan(kernels.degrid(cycle.vis, cycle.settled_cells, cycle.config))
+def test_degrid_looks_each_row_up_once(cycle, stored):
+    text = rows_plan(kernels.degrid(cycle.vis, stored.cells, stored.config))
     assert "Exchange" not in text and text.count("BroadcastHashJoin") == 1
 
 
@@ -66,9 +71,9 @@ def test_first_per_key_hashes(cycle):
     assert "partial_min_by" in text and "SortAggregate" not in text and "Sort [" not in text
 
 
-def test_transform_shuffles_cells_once(cycle):
-    config = cycle.config
-    text = plan(kernels.idft(kernels.dft(cycle.settled_cells, config), config))
+def test_transform_shuffles_cells_once(stored):
+    config = stored.config
+    text = plan(kernels.idft(kernels.dft(stored.cells, config), config))
     assert text.count("Exchange") == 1
 
 
@@ -102,10 +107,10 @@ def test_lookup_beyond_the_limit_is_not_broadcast(spark, monkeypatch):
 def test_settled_table_beyond_the_threshold_is_shuffled(spark, cycle):
     solved = cycle.settled_solutions
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    wanted = spark_rows(stages.cor_subvis_flag(cycle.vis, cycle.settled_predicted, solved, cycle.config))
+    wanted = spark_rows(stages.correct(cycle.vis, cycle.settled_predicted, solved, cycle.config))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10")
     try:
-        shuffled = stages.cor_subvis_flag(cycle.vis, cycle.settled_predicted, solved, cycle.config)
+        shuffled = stages.correct(cycle.vis, cycle.settled_predicted, solved, cycle.config)
         assert "SortMergeJoin" in plan(shuffled)
         assert spark_rows(shuffled) == wanted
     finally:
