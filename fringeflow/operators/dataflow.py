@@ -176,7 +176,8 @@ def partition_by_dim(
     located = lookup(rows.selectExpr("*", f"{dim} as place"), ranges, ["place"], domain, how="left")
     # Rows without a key go to a partition of their own.
     target = f"cast(coalesce(first + pmod({salt}, splits), {domain + partitions}) as int)"
-    return located.repartitionById(domain + partitions + 1, F.expr(target)).select(*rows.columns)
+    addressed = located.selectExpr(*rows.columns, f"{target} as target")
+    return addressed.repartitionById(domain + partitions + 1, "target").drop("target")
 
 
 def partition_by_facet(rows: DataFrame, facets: int, salt: str) -> DataFrame:
