@@ -113,10 +113,16 @@ def degrid(vis: DataFrame, cells: DataFrame, config: ImagingConfig) -> DataFrame
     """
     n = config.cells
     model = group(kernel_spread(cells, ["cell"], config), CELL, "sum(cell * weight) as model")
-    placed = vis.selectExpr(
-        "event_id", *IMAGE, f"{key_mod('event_id', n)} as u", f"{key_mod(idiv('event_id', n), n)} as w"
-    )
-    return lookup(placed, model, CELL, config.max_cells).select("event_id", "model")
+    table = model.selectExpr(f"{_cell_number('u', 'w', config)} as number", "model")
+    u, w = key_mod("event_id", n), key_mod(idiv("event_id", n), n)
+    placed = vis.selectExpr("event_id", f"{_cell_number(u, w, config)} as number")
+    return lookup(placed, table, ["number"], config.max_cells).select("event_id", "model")
+
+
+def _cell_number(u: str, w: str, config: ImagingConfig) -> str:
+    """The four cell dimensions as one number, for a lookup by a single integer key."""
+    image = f"facet * {config.polarisations} + polarisation"
+    return f"cast((({image}) * {config.cells} + {u}) * {config.cells} + {w} as bigint)"
 
 
 def _factors(k: str, x: str, n: int) -> tuple[str, str]:

@@ -267,7 +267,7 @@ def _selects(c: ImagingConfig) -> dict[str, str]:
             count(*) as n_in from placed v cross join kern k group by 1, 2, 3, 4""",
         "index_grid": _index_grid(c),
         "dep_edges": _dep_edges(c),
-        "fan_out": f"select v.*, t.t as time from visch v cross join {_range(c.slots, 't')}",
+        "fan_out": f"select v.frequency, v.re, v.n_in, t.t as time from visch v cross join {_range(c.slots, 't')}",
         "refine": f"""select cast(r.frequency * {c.refinement} + i.i as int) as frequency, r.facet,
             r.polarisation, r.model, i.i as part from rep r cross join {_range(c.refinement, 'i')}""",
         "fan_in_group": """select facet, count(*) as n_in, cast(sum(re) as bigint) as re from vis
@@ -277,8 +277,9 @@ def _selects(c: ImagingConfig) -> dict[str, str]:
             union all select frequency, 'vis', re from visch union all
             select f.f, 'solve', cast(round(s.gain * 1000000) as bigint) from sol s
             cross join {_range(c.channels, 'f')}) z group by frequency""",
-        "fan_in_zip2": "select v.*, p.model from visch v join pha p on v.frequency = p.frequency",
-        "fan_in_zip3": f"""select v.*, p.model, s.gain_micro from visch v
+        "fan_in_zip2": """select v.frequency, v.re, v.n_in, p.model from visch v
+            join pha p on v.frequency = p.frequency""",
+        "fan_in_zip3": f"""select v.frequency, v.re, v.n_in, p.model, s.gain_micro from visch v
             join pha p on v.frequency = p.frequency cross join (select {gains} as gain_micro from sol) s""",
         "cogroup_merge": """select coalesce(l.facet, v.facet) as facet, l.n_components, l.flux,
             v.n_measured, v.re from (select facet, count(*) as n_components, cast(sum(flux) as bigint)

@@ -59,9 +59,14 @@ def dep_edges(cycle: ImagingCycle) -> DataFrame:
 # Fan-out and fan-in
 
 
+def _blocks(cycle: ImagingCycle) -> DataFrame:
+    """Channel blocks without the imaginary part, whose payload column is the widest to scan."""
+    return cycle.channels.select("frequency", "re", "n_in")
+
+
 def fan_out(cycle: ImagingCycle) -> DataFrame:
     """Each channel's visibility block copied to all timeslots that read it."""
-    return dataflow.fan_out(cycle.channels, {"time": cycle.config.slots})
+    return dataflow.fan_out(_blocks(cycle), {"time": cycle.config.slots})
 
 
 def refine(cycle: ImagingCycle) -> DataFrame:
@@ -92,13 +97,13 @@ def fan_in_union(cycle: ImagingCycle) -> DataFrame:
 
 def fan_in_zip2(cycle: ImagingCycle) -> DataFrame:
     model = cycle.predicted.select("frequency", "model")
-    return dataflow.fan_in_zip(["frequency"], cycle.channels, model)
+    return dataflow.fan_in_zip(["frequency"], _blocks(cycle), model)
 
 
 def fan_in_zip3(cycle: ImagingCycle) -> DataFrame:
     model = cycle.settled_predicted.select("frequency", "model")
     solved = _solution_total(cycle).selectExpr("frequency", "val as gain_micro")
-    return dataflow.fan_in_zip(["frequency"], cycle.channels, model, solved)
+    return dataflow.fan_in_zip(["frequency"], _blocks(cycle), model, solved)
 
 
 def cogroup_merge(cycle: ImagingCycle) -> DataFrame:
@@ -140,25 +145,23 @@ def one_partition_per_key(cycle: ImagingCycle) -> DataFrame:
 # Mapping, reuse and accounting
 
 
-def _channel_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sums = (
-            pa.Table.from_batches([batch])
-            .group_by("frequency")
-            .aggregate([("re", "sum"), ("re", "max"), ([], "count_all")])
-            .select(["frequency", "re_sum", "re_max", "count_all"])
-            .rename_columns(["frequency", "re", "peak", "n_in"])
-        )
-        yield from sums.to_batches()
-
-
 def per_partition_map(cycle: ImagingCycle) -> DataFrame:
     """Partial channel sums by a function over Arrow batches, then combined."""
-    partial = dataflow.per_partition_map(
-        cycle.vis.select("frequency", "re"),
-        _channel_sums,
-        "frequency int, re bigint, peak bigint, n_in bigint",
-    )
+
+    # Nested, so that it travels with the job and executors need not have this package.
+    def channel_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = (
+                pa.Table.from_batches([batch])
+                .group_by("frequency")
+                .aggregate([("re", "sum"), ("re", "max"), ([], "count_all")])
+                .select(["frequency", "re_sum", "re_max", "count_all"])
+                .rename_columns(["frequency", "re", "peak", "n_in"])
+            )
+            yield from sums.to_batches()
+
+    schema = "frequency int, re bigint, peak bigint, n_in bigint"
+    partial = dataflow.per_partition_map(cycle.vis.select("frequency", "re"), channel_sums, schema)
     return dataflow.group(partial, ["frequency"], "sum(re) as re", "max(peak) as peak", "sum(n_in) as n_in")
 
 
@@ -186,7 +189,7 @@ def collapse_global(cycle: ImagingCycle) -> DataFrame:
 
 def stage_cache(cycle: ImagingCycle) -> DataFrame:
     """Channel sums kept once and read twice: as blocks and as their total."""
-    blocks = dataflow.stage_cache(cycle.channels.select("frequency", "re", "n_in"))
+    blocks = dataflow.stage_cache(_blocks(cycle))
     total = dataflow.collapse_global(blocks, re="sum(re)", n_in="sum(n_in)")
     return blocks.unionByName(total.selectExpr("-1 as frequency", "re", "n_in"))
 

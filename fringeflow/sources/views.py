@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from fringeflow.config import ImagingConfig
 from fringeflow.functions.numeric import idiv, key_mod, round_half_away
+from fringeflow.functions.payload import json_int
 from fringeflow.functions.timeslot import timeslot
 
 
@@ -24,7 +25,7 @@ def visibilities(events: DataFrame, config: ImagingConfig) -> DataFrame:
         f"{key_mod('user_id', config.facets)} as facet",
         f"{key_mod(idiv('event_id', config.channels), config.polarisations)} as polarisation",
         f"{round_half_away('(value * 100)')} as re",
-        "try_cast(get_json_object(props, '$.k') as bigint) as im",
+        f"{json_int('props', 'k')} as im",
     )
 
 

@@ -26,6 +26,10 @@ from range(20) t(i)
 union all select 30000 + i, timestamp '2024-01-02', 3, 'view', null, '{"k": 4}' from range(45) t(i)
 union all select 40000 + i, timestamp '2024-01-02', 48, 'view', 1.0, null from range(5) t(i)
 union all select 50000 + i, timestamp '2024-01-02', 48, 'view', 1.0, '{"k": "x"}' from range(5) t(i)
+-- payloads in other forms
+union all select 55000 + i, timestamp '2024-01-02', 47, 'view', 1.0, ['{"a": 1, "k": 7}', '{ "k" : 8 }',
+    '{"k": -9}', '{"k": null}', '{"k": "12"}', '{"k":10}', '{"j": 5}', '[1]', '{"k": {"k": 3}}'][i + 1]
+from range(9) t(i)
 -- identical rows in pairs, and equal peaks of opposite sign in one facet
 union all select 60000 + i // 2, timestamp '2024-01-03', 12, 'view', 5.0, '{"k": 5}' from range(40) t(i)
 union all select 70000 + i, timestamp '2024-01-04', 20, 'view', 90000.0, '{"k": 6}' from range(8) t(i)
