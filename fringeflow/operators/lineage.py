@@ -9,7 +9,7 @@ dimension a stage lacks is 0. Beam and major loop are 0 throughout.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -26,9 +26,24 @@ def source_inputs(stage: str, rows: DataFrame, columns: list[str], **key: str) -
     return _combine(inputs, "stage")
 
 
-def derived_blocks(stage: str, *inputs: DataFrame) -> DataFrame:
-    """Blocks of a stage from its inputs, each keyed by the block that reads it."""
-    return _labelled(stage, _combine(union_all(inputs)))
+def derived_blocks(
+    stage: str,
+    *inputs: DataFrame,
+    shared: Sequence[DataFrame] = (),
+    readers: Mapping[str, int] | None = None,
+) -> DataFrame:
+    """Blocks of a stage from its inputs.
+
+    ``inputs`` are keyed by the block that reads them. Every block over the
+    dimensions ``readers`` reads all ``shared`` blocks, so these are combined
+    once and the result is copied.
+    """
+    parts = list(inputs)
+    if shared:
+        combined = _combine(union_all([read_by(blocks) for blocks in shared]))
+        parts.append(fan_out(combined.drop(*readers), readers).select(*combined.columns))
+    gathered = parts[0] if shared and not inputs else _combine(union_all(parts))
+    return _labelled(stage, gathered)
 
 
 def read_by(blocks: DataFrame, **key: str) -> DataFrame:
@@ -36,15 +51,6 @@ def read_by(blocks: DataFrame, **key: str) -> DataFrame:
     return blocks.selectExpr(*_key(**key), f"{row_digest('digest')} as digest", "1 as n")
 
 
-def read_by_all(blocks: DataFrame, **dims: int) -> DataFrame:
-    """Let every key of ``dims`` read all these blocks.
-
-    All readers have the same inputs, so these are combined before the copy.
-    """
-    inputs = _combine(read_by(blocks))
-    return fan_out(inputs.drop(*dims), dims).select(*inputs.columns)
-
-
 def stage_blocks(
     vis: DataFrame,
     lsm: DataFrame,
@@ -76,28 +82,27 @@ def stage_blocks(
     local = source("local_sky_model")
     management = source("telescope_management")
     visibility = source("visibility_buffer")
-    rep = derived_blocks("reppre_ifft", read_by_all(extract, frequency=config.coarse_channels, **images))
+    rep = derived_blocks(
+        "reppre_ifft", shared=[extract], readers={"frequency": config.coarse_channels, **images}
+    )
     data = derived_blocks("telescope_data", read_by(management))
     fine = refine(read_by(rep, **channel, **image), "frequency", config.refinement)
-    deg = derived_blocks("degkerupd_deg", read_by_all(data, **channels, **images), fine.drop("part"))
+    deg = derived_blocks("degkerupd_deg", fine.drop("part"), shared=[data], readers={**channels, **images})
     predicted = settle(
-        derived_blocks("pharotpre_dft_sumvis", read_by(deg, **channel), read_by_all(extract, **channels)),
+        derived_blocks("pharotpre_dft_sumvis", read_by(deg, **channel), shared=[extract], readers=channels),
         "lineage_predicted",
     )
-    slot = derived_blocks("timeslots", read_by_all(visibility, **slots), read_by_all(predicted, **slots))
+    slot = derived_blocks("timeslots", shared=[visibility, predicted], readers=slots)
     solved = derived_blocks("solve", read_by(slot, time="time"))
     corrected = derived_blocks(
         "cor_subvis_flag",
-        read_by_all(solved, **channels),
         read_by(visibility, **channel),
         read_by(predicted, **channel),
+        shared=[solved],
+        readers=channels,
     )
-    gridded = derived_blocks(
-        "grikerupd_pharot_grid_fft_rep", read_by_all(data, **images), read_by_all(corrected, **images)
-    )
-    summed = settle(
-        derived_blocks("sum_facets", read_by(gridded, **image)), "lineage_images"
-    )
+    gridded = derived_blocks("grikerupd_pharot_grid_fft_rep", shared=[data, corrected], readers=images)
+    summed = settle(derived_blocks("sum_facets", read_by(gridded, **image)), "lineage_images")
     component = derived_blocks("identify_component", read_by(summed, facet="facet"))
     found = derived_blocks("source_find", read_by(component))
     return {
