@@ -121,24 +121,27 @@ def broadcast_lookup(cycle: ImagingCycle) -> DataFrame:
 
 # Placement
 
+# Spreads a key's rows evenly, and alike when a task is run again.
+SALT = "xxhash64(event_id)"
+
 
 def partition_by_dim(cycle: ImagingCycle) -> DataFrame:
     channels = cycle.config.channels
     rows = cycle.vis.select("event_id", "frequency", "re")
-    placed = dataflow.partition_by_dim(rows, "frequency", channels, idiv("event_id", channels))
+    placed = dataflow.partition_by_dim(rows, "frequency", channels, SALT)
     return dataflow.partition_census(placed, ["frequency"], "re")
 
 
 def partition_by_facet(cycle: ImagingCycle) -> DataFrame:
     rows = cycle.vis.select("event_id", "facet", "re")
-    placed = dataflow.partition_by_facet(rows, cycle.config.facets, "event_id")
+    placed = dataflow.partition_by_facet(rows, cycle.config.facets, SALT)
     return dataflow.partition_census(placed, ["facet"], "re")
 
 
 def one_partition_per_key(cycle: ImagingCycle) -> DataFrame:
     dims = {"facet": cycle.config.facets, "polarisation": cycle.config.polarisations}
     rows = cycle.vis.select("event_id", *dims, "re")
-    placed = dataflow.one_partition_per_key(rows, dims, "event_id")
+    placed = dataflow.one_partition_per_key(rows, dims, SALT)
     return dataflow.partition_census(placed, list(dims), "re")
 
 
