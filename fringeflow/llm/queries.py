@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fringeflow.llm import decontaminate, sharding, tool_calls, url_filter
+from fringeflow.llm import decontaminate, language, packing, sharding, token_count, tool_calls, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 SHARDS = 8
+SEQUENCE_TOKENS = 2048
+TOKEN_LIMIT = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +30,25 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs, sharding.topology(SHARDS), sharding.topology(SHARDS + 1))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer, SEQUENCE_TOKENS)
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = tool_calls.exchange_events(table(spark, sf_dir, "conversations"))
     return tool_calls.link_calls(calls, results, tool_calls.EXCHANGE_SCHEMAS)
 
 
+def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer, TOKEN_LIMIT)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,7 +56,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_sharding": op2_sharding,
+    "op3_packing": op3_packing,
+    "op4_language": op4_language,
     "op6_tool_calls": op6_tool_calls,
+    "op7_token_count": op7_token_count,
     "op10_decontamination": op10_decontamination,
 }
 
