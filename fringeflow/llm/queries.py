@@ -7,7 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fringeflow.llm import decontaminate, language, packing, sharding, token_count, tool_calls, url_filter
+from fringeflow.llm import (
+    decontaminate,
+    jaccard_join,
+    language,
+    nearest,
+    packing,
+    sharding,
+    token_count,
+    tool_calls,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +25,9 @@ URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "bl
 SHARDS = 8
 SEQUENCE_TOKENS = 2048
 TOKEN_LIMIT = 1024
+SHINGLE_WORDS = 3
+SIMILAR_PERCENT = 90
+NEIGHBOURS = 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +52,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), SHINGLE_WORDS, SIMILAR_PERCENT)
+
+
 def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = tool_calls.exchange_events(table(spark, sf_dir, "conversations"))
     return tool_calls.link_calls(calls, results, tool_calls.EXCHANGE_SCHEMAS)
@@ -49,6 +66,10 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer, TOKEN_LIMIT)
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_neighbours(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", NEIGHBOURS)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,8 +79,10 @@ QUERIES: dict[str, Query] = {
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
     "op4_language": op4_language,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_tool_calls": op6_tool_calls,
     "op7_token_count": op7_token_count,
+    "op9_nearest": op9_nearest,
     "op10_decontamination": op10_decontamination,
 }
 
