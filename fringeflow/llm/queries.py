@@ -13,6 +13,7 @@ from fringeflow.llm import (
     language,
     nearest,
     packing,
+    repeats,
     sharding,
     token_count,
     tool_calls,
@@ -28,6 +29,7 @@ TOKEN_LIMIT = 1024
 SHINGLE_WORDS = 3
 SIMILAR_PERCENT = 90
 NEIGHBOURS = 20
+REPEATED_BYTES = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +68,11 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer, TOKEN_LIMIT)
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), REPEATED_BYTES)
+    return cut.selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256) as kept_sha256")
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest_neighbours(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", NEIGHBOURS)
 
@@ -82,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_tool_calls": op6_tool_calls,
     "op7_token_count": op7_token_count,
+    "op8_repeats": op8_repeats,
     "op9_nearest": op9_nearest,
     "op10_decontamination": op10_decontamination,
 }
