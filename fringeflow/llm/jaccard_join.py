@@ -54,16 +54,17 @@ def set_batches(width: int, percent: int | None, frequent: np.ndarray) -> Callab
                 kept.append(tokens if percent is None else tokens[: prefix_size(len(tokens), percent)])
                 if not sizes[-1]:
                     kept[-1] = kept[-1][:0]
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), long_lists(kept)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "tokens"])
+            columns = [batch.column("doc_id"), batch.column("code"), pa.array(sizes, pa.int64())]
+            columns += [pa.array(digests, pa.binary()), long_lists(kept)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "code", "n", "digest", "tokens"])
 
     return run
 
 
 def shingle_sets(docs: DataFrame, width: int, percent: int | None, frequent: np.ndarray) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n long, digest binary, tokens array<long>"
-    return docs.select("doc_id", "text").mapInArrow(set_batches(width, percent, frequent), schema)
+    schema = f"doc_id {kind}, code long, n long, digest binary, tokens array<long>"
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("code")).mapInArrow(set_batches(width, percent, frequent), schema)
 
 
 def frequent_shingles(sets: DataFrame) -> np.ndarray:
@@ -132,6 +133,29 @@ def similar_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width:
     return settle(both.where(f"{100 + percent} * common >= {percent} * total").select("a", "b"), "links")
 
 
+def linked_sets(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Sets of all rows, ``doc_id, code, n, digest``, and the component of each distinct non-empty one, ``digest, doc_id, component``.
+
+    The ``doc_id`` of a distinct set is the least of its rows.
+    """
+    none = np.zeros(0, np.uint64)
+    frequent = frequent_shingles(shingle_sets(docs, width, percent, none))
+    sets = settle(shingle_sets(docs, width, percent, frequent), "sets")
+    classes = sets.where("n > 0").groupBy("digest")
+    classes = classes.agg(F.any_value("n").alias("n"), F.min("doc_id").alias("doc_id"), F.any_value("tokens").alias("tokens"))
+    classes = settle(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+
+    lists = inverted_lists(classes, percent)
+    links = similar_pairs(pivot_pairs(lists), classes, docs, width, percent)
+    places = connected_components(links.selectExpr("a as src", "b as dst"))
+    crossing = crossing_pairs(lists, places, percent)
+    links = links.unionByName(similar_pairs(crossing, classes, docs, width, percent))
+    places = connected_components(links.selectExpr("a as src", "b as dst"))
+
+    named = classes.select("digest", "class", "doc_id").join(places.selectExpr("node as class", "component"), "class", "left")
+    return sets, named.select("digest", "doc_id", F.coalesce("component", "class").alias("component"))
+
+
 def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
 
@@ -150,25 +174,26 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     left out; it is null if there is none. Repeated rows belong together.
     Other columns are ignored; no rows give no rows.
     """
-    docs = docs.select("doc_id", "text")
-    none = np.zeros(0, np.uint64)
-    frequent = frequent_shingles(shingle_sets(docs, width, percent, none))
-    sets = settle(shingle_sets(docs, width, percent, frequent), "sets")
-    classes = sets.where("n > 0").groupBy("digest")
-    classes = classes.agg(F.any_value("n").alias("n"), F.min("doc_id").alias("doc_id"), F.any_value("tokens").alias("tokens"))
-    classes = settle(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-
-    lists = inverted_lists(classes, percent)
-    links = similar_pairs(pivot_pairs(lists), classes, docs, width, percent)
-    places = connected_components(links.selectExpr("a as src", "b as dst"))
-    crossing = crossing_pairs(lists, places, percent)
-    links = links.unionByName(similar_pairs(crossing, classes, docs, width, percent))
-    places = connected_components(links.selectExpr("a as src", "b as dst"))
-
-    named = classes.select("digest", "class", "doc_id").join(places.selectExpr("node as class", "component"), "class", "left")
-    named = named.withColumn("component", F.coalesce("component", "class"))
+    sets, named = linked_sets(docs.select("doc_id", "text"), width, percent)
+    named = settle(named, "named")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "component").select("digest", "component_id")
     rows = sets.select("doc_id", "n", "digest").join(named, "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``docs`` with one row of each component: of its least doc_id, nulls last, the least text.
+
+    Of rows equal in both, any one. Rows without words all stay.
+    """
+    sets, named = linked_sets(docs.select("doc_id", "text"), width, percent)
+    first = "min(struct(doc_id is null as last, doc_id, code)) as first"
+    members = sets.select("doc_id", "code", "digest").join(named.select("digest", "component"), "digest")
+    kept = members.groupBy("component").agg(F.expr(first)).selectExpr("first.doc_id as _doc_id", "first.code as _code")
+    kept = settle(kept, "kept")
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_code"))
+    once = docs.where(worded).join(kept, same).dropDuplicates(["_doc_id", "_code"])
+    return once.select(*docs.columns).unionByName(docs.where(~worded))

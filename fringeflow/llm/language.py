@@ -22,6 +22,10 @@ KEPT_VECTORS = 1 << 15
 
 UNKNOWN = "und"
 
+# A text of so many characters is in none of the languages below this cosine.
+SURE_CHARS = 200
+FOREIGN = 0.15
+
 
 def letter_codes(text: str) -> np.ndarray:
     """Symbols of a text: one for each letter, 0 for each run of other characters, and one 0 at either end."""
@@ -188,3 +192,16 @@ def identify(docs: DataFrame) -> DataFrame:
     profiles = language_profiles(docs.where(~is_held_out(F.col("doc_id"))))
     rows = docs.select("doc_id", "text", is_held_out(F.col("doc_id")).alias("held_out"))
     return predict_languages(rows, profiles).drop("text")
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """``docs`` without rows in no known language; learns from rows not held out.
+
+    Rows of language ``und`` go, and texts of at least 200 characters whose
+    cosine with every profile is under 0.15. Short texts are never judged by
+    their cosine.
+    """
+    profiles = language_profiles(docs.where(~is_held_out(F.col("doc_id"))))
+    judged = predict_languages(docs, profiles)
+    foreign = (F.length("text") >= SURE_CHARS) & (F.col("score") < FOREIGN)
+    return judged.where((F.col("lang_pred") != UNKNOWN) & ~foreign).select(*docs.columns)

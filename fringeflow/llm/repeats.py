@@ -288,14 +288,15 @@ def cut_runs(data: bytes, runs: list[dict[str, int]], length: int) -> tuple[list
     return kept, spans
 
 
-def remove_repeats(docs: DataFrame, length: int, variants: int = VARIANTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int, variants: int = VARIANTS, as_text: bool = False) -> DataFrame:
     """All columns of ``docs`` with ``kept, n_bytes, n_removed, n_spans`` for every row.
 
     Texts are UTF-8 bytes. Each byte goes that lies in a string of ``length``
     bytes which also starts anywhere else in the table, in the same text or
     another; strings are judged on the input and never cross texts. ``kept``
     holds the remaining bytes in a row, as binary, since a cut may fall inside
-    a character. ``n_spans`` counts maximal removed runs.
+    a character; with ``as_text`` it is a string without characters cut in
+    two. ``n_spans`` counts maximal removed runs.
 
     A null text is empty; texts under ``length`` bytes stay whole. Repeated
     rows repeat each other and go. Columns of ``docs`` named like the results
@@ -318,16 +319,16 @@ def remove_repeats(docs: DataFrame, length: int, variants: int = VARIANTS) -> Da
                 left.append(b"".join(parts))
                 removed.append(len(data) - len(left[-1]))
                 spans.append(count)
-            columns = batch.columns[:-1] + [pa.array(left, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())]
+            kept = pa.array([x.decode("utf-8", "ignore") for x in left]) if as_text else pa.array(left, pa.binary())
+            columns = [*batch.columns[:-1], kept, pa.array(removed, pa.int64()), pa.array(spans, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "kept", "n_removed", "n_spans"])
 
-    schema = StructType([*docs.schema.fields]).add("n_bytes", "long").add("kept", "binary")
+    schema = StructType([*docs.schema.fields]).add("n_bytes", "long").add("kept", "string" if as_text else "binary")
     return joined.mapInArrow(cut, schema.add("n_removed", "long").add("n_spans", "long"))
 
 
 def drop_repeats(docs: DataFrame, length: int) -> DataFrame:
-    """``docs`` with the repeated bytes taken out of ``text``; characters cut in two go whole, null texts stay null."""
-    cleaned = remove_repeats(docs, length)
-    text = F.when(F.col("text").isNull(), None).otherwise(F.col("kept"))
-    cleaned = cleaned.withColumn("text", text)
-    return cleaned.select(*docs.columns)
+    """``docs`` with the repeated bytes taken out of ``text``; null texts stay null."""
+    cleaned = remove_repeats(docs, length, as_text=True)
+    text = F.when(F.col("text").isNotNull(), F.col("kept"))
+    return cleaned.withColumn("text", text).select(*docs.columns)
