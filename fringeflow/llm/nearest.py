@@ -42,16 +42,16 @@ class HashForest:
         weights = np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)
         return np.stack([((points @ p) > 0) @ weights for p in self.planes])
 
-    def candidates(self, queries: np.ndarray) -> np.ndarray:
+    def candidates(self, queries: np.ndarray, least: int) -> np.ndarray:
         """A row for each query that marks its candidates.
 
         Each query descends every tree to its longest matching prefix. From
         there all trees ascend together, one bit at a time, until the strings
-        that share the prefix are enough distinct vectors. Whole prefixes
+        that share the prefix are enough distinct vectors, at least ``least``. Whole prefixes
         are taken, so equal strings come together.
         """
         strings = self.strings(np.c_[queries, np.zeros(len(queries))])
-        enough = max(1, int(np.ceil(ENOUGH * self.size)))
+        enough = min(self.size, max(least, int(np.ceil(ENOUGH * self.size))))
         marked = np.zeros((len(queries), self.size), dtype=bool)
         active = np.arange(len(queries))
         for depth in range(BITS, -1, -1):
@@ -60,7 +60,7 @@ class HashForest:
             low = np.stack([np.searchsorted(s, w & ~rest, "left") for s, w in zip(self.sorted, wanted)])
             high = np.stack([np.searchsorted(s, w | rest, "right") for s, w in zip(self.sorted, wanted)])
             # Ranges of all trees together must hold enough before any is looked at.
-            for i in np.flatnonzero((high - low).sum(axis=0) >= min(enough, self.size)):
+            for i in np.flatnonzero((high - low).sum(axis=0) >= enough):
                 row = marked[active[i]]
                 for tree in np.flatnonzero(high[:, i] > low[:, i]):
                     row[self.order[tree, low[tree, i] : high[tree, i]]] = True
@@ -94,7 +94,7 @@ def search_shard(rows: pd.DataFrame, queries: pd.DataFrame, longest: float, k: i
         points = np.stack(queries["embedding"].to_numpy()).astype(np.float64)
         for start in range(0, len(points), 256):
             block = points[start : start + 256]
-            marked = forest.candidates(block)
+            marked = forest.candidates(block, k + 1)
             near = np.where(marked, block @ distinct.T, -np.inf)
             # One more than k, as a query may find itself.
             kth = np.partition(near, -min(k + 1, len(distinct)), axis=1)[:, -min(k + 1, len(distinct))]
