@@ -1,22 +1,21 @@
-"""Dataflow operators: key domains, fan-out, fan-in, placement and accounting.
+"""Dataflow operators: key domains, fan-out, fan-in, mapping and accounting.
 
 Keys, values and aggregates are SQL expressions, as in ``selectExpr``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from math import prod
 
-import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fringeflow.functions.digest import row_digest
 from fringeflow.functions.numeric import idiv
 from fringeflow.plans.joins import lookup
+from fringeflow.sources.stage_store import settle
 
 
 def group(rows: DataFrame, keys: Sequence[str], *aggregates: str) -> DataFrame:
@@ -103,9 +102,9 @@ def cogroup_merge(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Dat
     return left.join(right, list(keys), "full_outer")
 
 
-def broadcast_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame:
-    """Ship a table of bounded size to all tasks and look rows up in it."""
-    return lookup(rows, table, keys, max_rows)
+def broadcast_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Ship a table of a configured key domain to all tasks and look rows up in it."""
+    return lookup(rows, table, keys, bounded=True)
 
 
 def first_per_key(
@@ -137,75 +136,21 @@ def per_row_map(rows: DataFrame, *keep: str, **columns: str) -> DataFrame:
     return rows.selectExpr(*keep, *[f"{c} as {name}" for name, c in columns.items()])
 
 
-def per_partition_map(
-    rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    """Run a function once per partition over a stream of Arrow batches.
-
-    For functions no column expression can state; memory stays at one batch
-    as long as the function streams.
-    """
-    return rows.mapInArrow(function, schema)
-
-
-# Placement
-
-
-def placement(rows: DataFrame, key: str, partitions: int) -> DataFrame:
-    """Partition range of each key, as (place, first, splits).
-
-    ``partitions`` are dealt out by row count on top of one for each key, so
-    a key holding a third of all rows owns a third of them.
-    """
-    counts = group(rows.selectExpr(f"{key} as place"), ["place"], "count(*) as n")
-    sized = counts.selectExpr("place", f"1 + {idiv(f'{partitions} * n', 'sum(n) over ()')} as splits")
-    return sized.selectExpr("place", "splits", "sum(splits) over (order by place) - splits as first")
-
-
-def partition_by_dim(
-    rows: DataFrame, dim: str, domain: int, salt: str, partitions: int | None = None
-) -> DataFrame:
-    """Place rows so that no partition mixes two values of ``dim``.
-
-    ``dim`` has at most ``domain`` values. Each owns a range of partitions in
-    proportion to its rows, and ``salt`` spreads its rows over the range.
-    """
-    if partitions is None:
-        partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = placement(rows, dim, partitions).where("place is not null")
-    located = lookup(rows.selectExpr("*", f"{dim} as place"), ranges, ["place"], domain, how="left")
-    # Rows without a key go to a partition of their own.
-    target = f"cast(coalesce(first + pmod({salt}, splits), {domain + partitions}) as int)"
-    addressed = located.selectExpr(*rows.columns, f"{target} as target")
-    return addressed.repartitionById(domain + partitions + 1, "target").drop("target")
-
-
-def partition_by_facet(rows: DataFrame, facets: int, salt: str) -> DataFrame:
-    return partition_by_dim(rows, "facet", facets, salt)
-
-
-def one_partition_per_key(rows: DataFrame, dims: Mapping[str, int], salt: str) -> DataFrame:
-    """Place rows by a dense number of their whole key."""
-    number = reduce(lambda head, dim: f"({head}) * {dim[1]} + {dim[0]}", dims.items(), "0")
-    return partition_by_dim(rows, number, prod(dims.values()), salt)
-
+# Reuse and accounting
 
-def partition_census(placed: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Rows and sums per key, and how many partitions mix it with another key."""
-    located = placed.selectExpr(*keys, value, "spark_partition_id() as partition")
-    sums = group(located, ["partition", *keys], "count(*) as n_in", f"sum({value}) as {value}")
-    marked = sums.selectExpr("*", "if(count(*) over (partition by partition) > 1, 1, 0) as mixed")
-    return group(
-        marked, keys, "sum(n_in) as n_in", f"sum({value}) as {value}", "sum(mixed) as n_mixed"
-    )
 
+def stage_cache(stage: DataFrame, name: str) -> DataFrame:
+    """Keep a stage that several consumers read, in the shared folder."""
+    return settle(stage, name)
 
-# Reuse and accounting
 
-
-def stage_cache(stage: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
-    """Keep a stage that several consumers read; ``unpersist`` when done."""
-    return stage.persist(level)
+def stage_digest(stages: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """Rows of each stage and an order-free digest of the named columns."""
+    parts = [
+        lineage_digest(stage, [], columns).selectExpr(f"'{name}' as stage", "n_in as n_rows", "digest")
+        for name, (stage, columns) in stages.items()
+    ]
+    return union_all(parts)
 
 
 def stage_count(stages: Mapping[str, DataFrame]) -> DataFrame:

@@ -10,14 +10,13 @@ from pyspark.sql import DataFrame
 
 from fringeflow.config import ImagingConfig
 from fringeflow.functions.numeric import idiv, key_mod, round_div, wide_dot
-from fringeflow.functions.twiddle import cos_factor, sin_factor
 from fringeflow.operators.dataflow import fan_out, group
-from fringeflow.operators.stages import CELL, IMAGE
+from fringeflow.operators.stages import CELL, IMAGE, factors
 from fringeflow.plans.joins import lookup
 
 
 def reprojection(
-    cells: DataFrame, config: ImagingConfig, axes: tuple[str, str] = ("u", "w"), values: tuple[str, ...] = ("cell",)
+    cells: DataFrame, config: ImagingConfig, axes: tuple[str, str] = ("u", "w"), values: tuple[str, ...] = ("re", "im")
 ) -> DataFrame:
     """Shift each facet's image by its facet number along the first axis."""
     first, second = axes
@@ -29,7 +28,7 @@ def reprojection(
 
 def facet_images(cells: DataFrame, config: ImagingConfig) -> DataFrame:
     """Transform the gridded cells of every image, then reproject the result."""
-    return reprojection(dft(cells, config), config, ("k", "l"), ("re", "im"))
+    return reprojection(dft(cells, config), config, ("k", "l"))
 
 
 def _by_image(cells: DataFrame, config: ImagingConfig) -> DataFrame:
@@ -44,14 +43,14 @@ def _by_image(cells: DataFrame, config: ImagingConfig) -> DataFrame:
 
 def dft_rows(cells: DataFrame, config: ImagingConfig) -> DataFrame:
     """First DFT pass, over ``u``; result scaled by 1e3."""
-    cos, sin = _factors("k", "u", config.cells)
+    cos, sin = factors("k", "u", config.cells)
     copies = fan_out(_by_image(cells, config), {"k": config.cells})
-    return _pass(copies, ["k", "w"], 1_000, re=[("cell", cos)], im=[("cell", f"-{sin}")])
+    return _pass(copies, ["k", "w"], 1_000, re=[("re", cos), ("im", sin)], im=[("im", cos), ("re", f"-{sin}")])
 
 
 def dft(cells: DataFrame, config: ImagingConfig) -> DataFrame:
     """Forward two-dimensional DFT of every image, in cell units."""
-    cos, sin = _factors("l", "w", config.cells)
+    cos, sin = factors("l", "w", config.cells)
     copies = fan_out(dft_rows(cells, config), {"l": config.cells})
     return _pass(
         copies, ["k", "l"], 1_000_000_000, re=[("re", cos), ("im", sin)], im=[("im", cos), ("re", f"-{sin}")]
@@ -60,7 +59,7 @@ def dft(cells: DataFrame, config: ImagingConfig) -> DataFrame:
 
 def idft_columns(spectrum: DataFrame, config: ImagingConfig) -> DataFrame:
     """First inverse pass, over ``l``; result scaled by 10."""
-    cos, sin = _factors("l", "w", config.cells)
+    cos, sin = factors("l", "w", config.cells)
     copies = fan_out(spectrum, {"w": config.cells})
     return _pass(
         copies, ["k", "w"], 100_000, re=[("re", cos), ("im", f"-{sin}")], im=[("re", sin), ("im", cos)]
@@ -69,16 +68,20 @@ def idft_columns(spectrum: DataFrame, config: ImagingConfig) -> DataFrame:
 
 def idft(spectrum: DataFrame, config: ImagingConfig) -> DataFrame:
     """Inverse two-dimensional DFT back to cells; every cell of an image is present."""
-    cos, sin = _factors("k", "u", config.cells)
+    cos, sin = factors("k", "u", config.cells)
     copies = fan_out(idft_columns(spectrum, config), {"u": config.cells})
     return _pass(
-        copies, ["u", "w"], 10_000_000 * config.cells**2, cell=[("re", cos), ("im", f"-{sin}")]
+        copies,
+        ["u", "w"],
+        10_000_000 * config.cells**2,
+        re=[("re", cos), ("im", f"-{sin}")],
+        im=[("re", sin), ("im", cos)],
     )
 
 
 def phase_rotation(vis: DataFrame, config: ImagingConfig) -> DataFrame:
-    """Rotate each visibility by the phase of its channel and facet."""
-    cos, sin = _factors("frequency", "facet", config.cells)
+    """Rotate each visibility by the phase of its channel and facet; null where a part is missing."""
+    cos, sin = factors("frequency", "facet", config.cells)
     return vis.selectExpr("event_id", f"re * {cos} - im * {sin} as re", f"re * {sin} + im * {cos} as im")
 
 
@@ -100,8 +103,8 @@ def convolve_grid(cells: DataFrame, config: ImagingConfig) -> DataFrame:
     The spread is linear, so it is applied to summed cells and not to every
     measurement.
     """
-    spread = kernel_spread(cells, ["cell", "n_in"], config)
-    return group(spread, CELL, "sum(cell * weight) as cell", "sum(n_in) as n_in")
+    spread = kernel_spread(cells, ["re", "im", "n_in"], config)
+    return group(spread, CELL, "sum(re * weight) as re", "sum(im * weight) as im", "sum(n_in) as n_in")
 
 
 def degrid(vis: DataFrame, cells: DataFrame, config: ImagingConfig) -> DataFrame:
@@ -112,11 +115,12 @@ def degrid(vis: DataFrame, cells: DataFrame, config: ImagingConfig) -> DataFrame
     measurement needs a single lookup.
     """
     n = config.cells
-    model = group(kernel_spread(cells, ["cell"], config), CELL, "sum(cell * weight) as model")
-    table = model.selectExpr(f"{_cell_number('u', 'w', config)} as number", "model")
+    parts = [f"sum({c} * weight) as model_{c}" for c in ("re", "im")]
+    model = group(kernel_spread(cells, ["re", "im"], config), CELL, *parts)
+    table = model.selectExpr(f"{_cell_number('u', 'w', config)} as number", "model_re", "model_im")
     u, w = key_mod("event_id", n), key_mod(idiv("event_id", n), n)
     placed = vis.selectExpr("event_id", f"{_cell_number(u, w, config)} as number")
-    return lookup(placed, table, ["number"], config.max_cells).select("event_id", "model")
+    return lookup(placed, table, ["number"], bounded=True).select("event_id", "model_re", "model_im")
 
 
 def _cell_number(u: str, w: str, config: ImagingConfig) -> str:
@@ -125,10 +129,6 @@ def _cell_number(u: str, w: str, config: ImagingConfig) -> str:
     return f"cast((({image}) * {config.cells} + {u}) * {config.cells} + {w} as bigint)"
 
 
-def _factors(k: str, x: str, n: int) -> tuple[str, str]:
-    return cos_factor(k, x, n), sin_factor(k, x, n)
-
-
 def _pass(copies: DataFrame, keys: list[str], divisor: int, **sums: list[tuple[str, str]]) -> DataFrame:
     """One separable pass: sum the weighted copies per key, then rescale."""
     totals = group(copies, [*IMAGE, *keys], *[f"{wide_dot(*terms)} as {name}" for name, terms in sums.items()])

@@ -6,13 +6,8 @@ dependency edge) and share none of the rewrites the Spark operators use.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from fringeflow.config import NARROW_SNAPSHOT, WIDE_FACETS, WIDE_FACETS_TWELVE_SLOTS, ImagingConfig
 
-PLACED = "cast(0 as bigint) as n_mixed"
-
-
 def _mod(value: str, n: int) -> str:
     return f"cast((({value}) % {n} + {n}) % {n} as int)"
 
@@ -33,147 +28,135 @@ def _round_div(value: str, divisor: int) -> str:
     )
 
 
-def _ctes(c: ImagingConfig) -> list[str]:
+def _trunc_div(value: str, divisor: str | int) -> str:
+    return f"(case when ({value}) < 0 then -((-({value})) // ({divisor})) else ({value}) // ({divisor}) end)"
+
+
+def _rotate(re: str, im: str, table: str = "t") -> tuple[str, str]:
+    wide = "cast({} as hugeint)".format
+    return (
+        f"sum({wide(re)} * {table}.c - {wide(im)} * {table}.s)",
+        f"sum({wide(re)} * {table}.s + {wide(im)} * {table}.c)",
+    )
+
+
+EVENTS_WITHOUT_KEYS = """(select case when event_id % 10 = 0 then null else event_id end as event_id,
+    case when event_id % 7 = 0 then null else ts end as ts, user_id, event_type, value, props from events)"""
+
+CATALOGUE = """(select p_partkey as comp_id, cast(round(p_retailprice * 100) as bigint) as flux from part)"""
+
+
+def _ctes(c: ImagingConfig, events: str = "events", lsm: str | None = None) -> list[str]:
     n = c.cells
     step = c.refinement
     width = c.slot_seconds * 1_000_000
+    catalogue = f"""select comp_id, 0 as beam, {_mod('comp_id', c.facets)} as facet, flux,
+        {_mod('comp_id', n)} as u, {_mod(f'comp_id // {n}', n)} as w from {CATALOGUE}"""
+    cell_re, cell_im = _rotate("r.re", "r.im")
+    model_re, model_im = _rotate("d.model_re", "d.model_im")
+    response = f"""(1000000 + coalesce((select {_trunc_div('gain', 'n_in')} from tel), 0))"""
+    deg = {
+        part: _trunc_div(f"r.model_{part} * ({step} - i.i) + r.next_{part} * i.i", step) for part in ("re", "im")
+    }
+    seen = lambda v: f"cast({_trunc_div(f'cast({v} as hugeint) * {response}', 1000000)} as bigint)"
+    mean = lambda v: f"cast({_trunc_div(v, 'cast(count(*) as hugeint) * 10000000000')} as bigint)"
+    amplitude = "(abs(residual_re) + coalesce(abs(residual_im), 0))"
     return [
         f"""vis as (select event_id, 0 as beam, {_mod('event_id', c.channels)} as frequency,
             cast(floor((epoch_us(ts) - epoch_us(timestamp '{c.start}')) / {width}) as int) as time,
             user_id as baseline, {_mod('user_id', c.facets)} as facet,
             {_mod(f'event_id // {c.channels}', c.polarisations)} as polarisation,
             cast(round(value * 100) as bigint) as re,
-            try_cast(json_extract_string(props, '$.k') as bigint) as im from events)""",
-        f"""lsm as (select p_partkey as comp_id, 0 as beam, {_mod('p_partkey', c.facets)} as facet,
-            cast(round(p_retailprice * 100) as bigint) as flux from part)""",
+            try_cast(json_extract_string(props, '$.k') as bigint) as im from {events} e)""",
+        f"""lsm as ({lsm or catalogue})""",
+        """ext as (select * from lsm where flux is not null)""",
+        """extb as (select beam, 0 as major_loop, count(*) as n_in, cast(sum(flux) as bigint) as flux
+            from ext group by beam)""",
         """telescope as (select s_suppkey as antenna_id, 0 as beam,
             cast(round(s_acctbal * 100) as bigint) as gain from supplier)""",
-        f"""rep as (select c.c as frequency, l.facet, p.p as polarisation,
-            cast(sum(l.flux * (100 - 5 * c.c)) as bigint) as model, count(*) as n_in
-            from lsm l cross join {_range(c.coarse_channels, 'c')} cross join {_range(c.polarisations, 'p')}
-            group by 1, 2, 3)""",
-        f"""deg as (select cast(r.frequency * {step} + i.i as int) as frequency, r.facet, r.polarisation,
-            cast((r.model * ({step} - i.i) + r.nxt * i.i) // {step} as bigint) as model
-            from (select rep.*, coalesce(lead(model) over (partition by facet, polarisation
-            order by frequency), model) as nxt from rep) r cross join {_range(step, 'i')})""",
-        """pha as (select frequency, cast(sum(model) // (count(*) * 10000) as bigint) as model,
-            count(*) as n_in from deg group by frequency)""",
-        """slots as (select v.time, v.frequency, v.re, p.model from vis v
-            join pha p on v.frequency = p.frequency)""",
-        """sol as (select time, cast(cast(sum(re * model) as bigint) as double)
-            / nullif(cast(cast(sum(model * model) as bigint) as double), 0) as gain,
-            count(*) as n_in from slots group by time)""",
-        """cor as (select v.event_id, v.frequency, v.time, v.facet, v.polarisation,
-            cast(round(v.re - s.gain * p.model) as bigint) as residual from vis v
-            join pha p on v.frequency = p.frequency join sol s on v.time = s.time)""",
-        """flagged as (select *, abs(residual) * count(*) over (partition by frequency)
-            > 2 * sum(abs(residual)) over (partition by frequency) as flag from cor)""",
-        f"""placed as (select *, {_mod('event_id', n)} as u, {_mod(f'event_id // {n}', n)} as w from cor)""",
-        """grid as (select facet, polarisation, u, w, cast(sum(residual) as bigint) as cell,
-            count(*) as n_in from placed group by 1, 2, 3, 4)""",
-        """sumf as (select facet, polarisation, cast(sum(cell) as bigint) as flux, count(*) as n_cells
-            from grid group by 1, 2)""",
-        """comp as (select facet, polarisation, u, w, cell from (select g.*, row_number() over
-            (partition by facet order by abs(cell) desc, polarisation, u, w) as rn from grid g) z
-            where rn = 1)""",
-        f"""src as (select facet, u, w, cell as flux from comp where abs(cell) > {c.peak_threshold})""",
-        """sub as (select s.facet, s.polarisation, s.flux - coalesce(c.cell, 0) as residual from sumf s
-            left join comp c on s.facet = c.facet and s.polarisation = c.polarisation)""",
-        """upd as (select coalesce(l.facet, s.facet) as facet, coalesce(l.flux, 0) + coalesce(s.flux, 0)
-            as flux from (select facet, cast(sum(flux) as bigint) as flux from lsm group by facet) l
-            full outer join src s on l.facet = s.facet)""",
-        """visch as (select frequency, cast(sum(re) as bigint) as re, cast(sum(im) as bigint) as im,
-            count(*) as n_in from vis group by frequency)""",
+        """tel as (select beam, 0 as frequency, 0 as time, 0 as baseline, count(*) as n_in,
+            cast(sum(gain) as bigint) as gain from telescope group by beam)""",
         f"""tw as (select k.k, x.x, cast(round(cos(2 * pi() * k.k * x.x / {n}) * 1000000) as bigint) as c,
             cast(round(sin(2 * pi() * k.k * x.x / {n}) * 1000000) as bigint) as s
             from {_range(n, 'k')} cross join {_range(n, 'x')})""",
-        """kern as (select a.a - 1 as du, b.b - 1 as dw, (case when a.a = 1 then 2 else 1 end)
-            * (case when b.b = 1 then 2 else 1 end) as wt
-            from (select unnest(range(3)) as a) a cross join (select unnest(range(3)) as b) b)""",
-        f"""reproj as (select facet, polarisation, {_mod('u + facet', n)} as u, w,
-            cast(sum(cell) as bigint) as cell from grid group by 1, 2, 3, 4)""",
+        f"""rep as (select frequency, facet, p.p as polarisation, {_round_div('re', 10**6)} * (100 - 5 * frequency)
+            as model_re, {_round_div('im', 10**6)} * (100 - 5 * frequency) as model_im, n_in from (
+            select c.c as frequency, l.facet, sum(cast(l.flux as hugeint) * t.c) as re,
+            sum(cast(l.flux as hugeint) * t.s) as im, count(*) as n_in
+            from ext l cross join {_range(c.coarse_channels, 'c')}
+            join tw t on t.k = c.c and t.x = (l.u + l.facet) % {n} group by 1, 2) z
+            cross join {_range(c.polarisations, 'p')})""",
+        f"""deg as (select cast(r.frequency * {step} + i.i as int) as frequency, r.facet, r.polarisation,
+            {seen(deg['re'])} as model_re, {seen(deg['im'])} as model_im
+            from (select rep.*, coalesce(lead(model_re) over q, model_re) as next_re,
+            coalesce(lead(model_im) over q, model_im) as next_im from rep
+            window q as (partition by facet, polarisation order by frequency)) r cross join {_range(step, 'i')})""",
+        f"""pha as (select d.frequency, {mean(model_re)}
+            + coalesce((select {_trunc_div('flux', 'n_in')} from extb), 0) as model_re,
+            {mean(model_im)} as model_im, count(*) + (select count(*) from extb) as n_in
+            from deg d join tw t on t.k = d.frequency % {n} and t.x = d.facet % {n} group by d.frequency)""",
+        """slots as (select v.time, v.frequency, v.re, v.im, p.model_re, p.model_im from vis v
+            left join pha p on v.frequency = p.frequency)""",
+        """sol as (select time, cast(coalesce(sum(cast(re as hugeint) * model_re), 0)
+            + coalesce(sum(cast(im as hugeint) * model_im), 0) as double)
+            / nullif(cast(sum(cast(model_re as hugeint) * model_re + cast(model_im as hugeint) * model_im)
+            as double), 0) as gain, count(*) as n_in from slots group by time)""",
+        """cor as (select v.event_id, v.frequency, v.time, v.facet, v.polarisation, v.re, v.im,
+            s.gain * p.model_re as corrected_re, s.gain * p.model_im as corrected_im from vis v
+            left join pha p on v.frequency = p.frequency left join sol s on v.time = s.time)""",
+        """res as (select event_id, frequency, time, facet, polarisation,
+            cast(round(re - corrected_re) as bigint) as residual_re,
+            cast(round(im - corrected_im) as bigint) as residual_im from cor)""",
+        f"""flagged as (select *, {amplitude} * count(*) over (partition by frequency)
+            > 2 * sum({amplitude}) over (partition by frequency) as flag from res)""",
+        f"""placed as (select *, {_mod('event_id', n)} as u, {_mod(f'event_id // {n}', n)} as w from flagged)""",
+        f"""grid as (select facet, polarisation, u, w, {seen(_round_div('re', 10**6))} as re,
+            {seen(_round_div('im', 10**6))} as im, n_in, n_flagged from (
+            select r.facet, r.polarisation, r.u, r.w, {cell_re} as re, {cell_im} as im, count(*) as n_in,
+            count(*) filter (where r.flag) as n_flagged from (
+            select *, case when flag then 0 else coalesce(residual_re, 0) end as re,
+            case when flag then 0 else coalesce(residual_im, 0) end as im from placed
+            where facet is not null and polarisation is not null and u is not null and w is not null) r
+            left join tw t on t.k = r.frequency % {n} and t.x = r.facet % {n} group by 1, 2, 3, 4) z)""",
         f"""fft1 as (select facet, polarisation, k, w, {_round_div('re', 1000)} as re,
             {_round_div('im', 1000)} as im from (select g.facet, g.polarisation, t.k, g.w,
-            sum(g.cell * t.c) as re, -sum(g.cell * t.s) as im from grid g join tw t on g.u = t.x
-            group by 1, 2, 3, 4) z)""",
+            sum(cast(g.re as hugeint) * t.c + cast(g.im as hugeint) * t.s) as re,
+            sum(cast(g.im as hugeint) * t.c - cast(g.re as hugeint) * t.s) as im
+            from grid g join tw t on g.u = t.x group by 1, 2, 3, 4) z)""",
         f"""fft2 as (select facet, polarisation, k, l, {_round_div('re', 10**9)} as re,
             {_round_div('im', 10**9)} as im from (select f.facet, f.polarisation, f.k, t.k as l,
-            sum(f.re * t.c + f.im * t.s) as re, sum(f.im * t.c - f.re * t.s) as im
+            sum(cast(f.re as hugeint) * t.c + cast(f.im as hugeint) * t.s) as re,
+            sum(cast(f.im as hugeint) * t.c - cast(f.re as hugeint) * t.s) as im
             from fft1 f join tw t on f.w = t.x group by 1, 2, 3, 4) z)""",
         f"""ifft1 as (select facet, polarisation, k, w, {_round_div('re', 10**5)} as re,
             {_round_div('im', 10**5)} as im from (select f.facet, f.polarisation, f.k, t.x as w,
-            sum(f.re * t.c - f.im * t.s) as re, sum(f.re * t.s + f.im * t.c) as im
+            sum(cast(f.re as hugeint) * t.c - cast(f.im as hugeint) * t.s) as re,
+            sum(cast(f.re as hugeint) * t.s + cast(f.im as hugeint) * t.c) as im
             from fft2 f join tw t on f.l = t.k group by 1, 2, 3, 4) z)""",
-        f"""ifft2 as (select facet, polarisation, u, w, {_round_div('cell', 10**7 * n * n)} as cell
-            from (select f.facet, f.polarisation, t.x as u, f.w, sum(f.re * t.c - f.im * t.s) as cell
+        f"""ifft2 as (select facet, polarisation, u, w, {_round_div('re', 10**7 * n * n)} as re,
+            {_round_div('im', 10**7 * n * n)} as im from (select f.facet, f.polarisation, t.x as u, f.w,
+            sum(cast(f.re as hugeint) * t.c - cast(f.im as hugeint) * t.s) as re,
+            sum(cast(f.re as hugeint) * t.s + cast(f.im as hugeint) * t.c) as im
             from ifft1 f join tw t on f.k = t.k group by 1, 2, 3, 4) z)""",
-    ]
-
-
-# One row per dependency edge; a block XORs the digests of what it reads.
-
-
-def _block(stage: str, *inputs: str) -> str:
-    label = _digest(f"concat_ws('|', '{stage}', cast(f as varchar), cast(t as varchar),"
-                    " cast(x as varchar), cast(p as varchar))")
-    union = " union all ".join(inputs)
-    return (
-        f"b_{stage} as (select f, t, x, p, xor({label}, bit_xor(d)) as digest, count(*) as n_in"
-        f" from ({union}) i group by f, t, x, p)"
-    )
-
-
-def _rows(table: str, columns: Iterable[str], f: str = "0") -> str:
-    text = "concat_ws('|', " + ", ".join(f"cast({c} as varchar)" for c in columns) + ")"
-    return f"select {f} as f, 0 as t, 0 as x, 0 as p, {_digest(text)} as d from {table}"
-
-
-def _edge(stage: str, f: str = "0", t: str = "0", x: str = "0", p: str = "0", per: Iterable[str] = ()) -> str:
-    copies = "".join(f" cross join {r}" for r in per)
-    return (
-        f"select {f} as f, {t} as t, {x} as x, {p} as p,"
-        f" {_digest('cast(b.digest as varchar)')} as d from b_{stage} b{copies}"
-    )
-
-
-def _lineage_ctes(c: ImagingConfig) -> list[str]:
-    fine, coarse = _range(c.channels, "rf"), _range(c.coarse_channels, "rf")
-    slot, part = _range(c.slots, "rt"), _range(c.refinement, "ri")
-    image = [_range(c.facets, "rx"), _range(c.polarisations, "rp")]
-    on_fine = {"f": "rf.rf", "per": [fine]}
-    on_slot = {"t": "rt.rt", "per": [slot]}
-    on_image = {"x": "rx.rx", "p": "rp.rp"}
-    return [
-        _block("extract_lsm", _rows("lsm", ["comp_id", "flux"])),
-        _block("local_sky_model", _rows("lsm", ["comp_id", "flux"])),
-        _block("telescope_management", _rows("telescope", ["antenna_id", "gain"])),
-        _block("visibility_buffer", _rows("vis", ["event_id", "re"], "frequency")),
-        _block("reppre_ifft", _edge("extract_lsm", f="rf.rf", **on_image, per=[coarse, *image])),
-        _block("telescope_data", _edge("telescope_management")),
-        _block(
-            "degkerupd_deg",
-            _edge("telescope_data", f="rf.rf", **on_image, per=[fine, *image]),
-            _edge("reppre_ifft", f=f"b.f * {c.refinement} + ri.ri", x="b.x", p="b.p", per=[part]),
-        ),
-        _block("pharotpre_dft_sumvis", _edge("degkerupd_deg", f="b.f"), _edge("extract_lsm", **on_fine)),
-        _block("timeslots", _edge("visibility_buffer", **on_slot), _edge("pharotpre_dft_sumvis", **on_slot)),
-        _block("solve", _edge("timeslots", t="b.t")),
-        _block(
-            "cor_subvis_flag",
-            _edge("solve", **on_fine),
-            _edge("visibility_buffer", f="b.f"),
-            _edge("pharotpre_dft_sumvis", f="b.f"),
-        ),
-        _block(
-            "grikerupd_pharot_grid_fft_rep",
-            _edge("telescope_data", **on_image, per=image),
-            _edge("cor_subvis_flag", **on_image, per=image),
-        ),
-        _block("sum_facets", _edge("grikerupd_pharot_grid_fft_rep", x="b.x", p="b.p")),
-        _block("identify_component", _edge("sum_facets", x="b.x")),
-        _block("source_find", _edge("identify_component")),
-        _block("subimacom", _edge("identify_component", x="b.x"), _edge("sum_facets", x="b.x")),
-        _block("update_lsm", _edge("local_sky_model"), _edge("source_find")),
+        f"""img as (select facet, polarisation, {_mod('k + facet', n)} as k, l,
+            cast(sum(re) as bigint) as re, cast(sum(im) as bigint) as im from fft2 group by 1, 2, 3, 4)""",
+        """sumf as (select facet, polarisation, cast(sum(abs(re) + abs(im)) as bigint) as flux,
+            count(*) as n_cells from img group by 1, 2)""",
+        """comp as (select facet, polarisation, k as u, l as w, cell from (select g.*, abs(re) + abs(im) as cell,
+            row_number() over (partition by facet order by abs(re) + abs(im) desc, polarisation, k, l) as rn
+            from img g) z where rn = 1)""",
+        f"""src as (select facet, u, w, cell as flux from comp where cell > {c.peak_threshold})""",
+        """sub as (select s.facet, s.polarisation, s.flux - coalesce(c.cell, 0) as residual from sumf s
+            left join comp c on s.facet = c.facet and s.polarisation = c.polarisation)""",
+        """upd as (select * from lsm union all select coalesce((select least(min(comp_id), 0) from lsm), 0)
+            - 1 - facet, 0, facet, flux, u, w from src)""",
+        """visch as (select frequency, cast(sum(re) as bigint) as re, cast(sum(im) as bigint) as im,
+            count(*) as n_in from vis group by frequency)""",
+        """kern as (select a.a - 1 as du, b.b - 1 as dw, (case when a.a = 1 then 2 else 1 end)
+            * (case when b.b = 1 then 2 else 1 end) as wt
+            from (select unnest(range(3)) as a) a cross join (select unnest(range(3)) as b) b)""",
+        f"""reproj as (select facet, polarisation, {_mod('u + facet', n)} as u, w, cast(sum(re) as bigint) as re,
+            cast(sum(im) as bigint) as im from grid group by 1, 2, 3, 4)""",
     ]
 
 
@@ -181,14 +164,33 @@ def _with(ctes: list[str], select: str) -> str:
     return "with " + ",\n".join(ctes) + "\n" + select
 
 
-def _lineage(c: ImagingConfig) -> str:
-    blocks = _lineage_ctes(c)
-    report = " union all ".join(
-        f"select '{b.split(' as ', 1)[0][2:]}' as stage, count(*) as n_blocks,"
-        f" cast(sum(n_in) as bigint) as n_in, bit_xor(digest) as digest from {b.split(' as ', 1)[0]}"
-        for b in blocks
-    )
-    return _with(_ctes(c)[:3] + blocks, report)
+# Stage, its rows and the columns that its digest covers.
+DIGESTS = [
+    ("extract_lsm", "ext", "comp_id flux"),
+    ("local_sky_model", "lsm", "comp_id flux"),
+    ("telescope_management", "telescope", "antenna_id gain"),
+    ("visibility_buffer", "vis", "event_id re im"),
+    ("reppre_ifft", "rep", "frequency facet polarisation model_re model_im"),
+    ("telescope_data", "tel", "n_in gain"),
+    ("degkerupd_deg", "deg", "frequency facet polarisation model_re model_im"),
+    ("pharotpre_dft_sumvis", "pha", "frequency model_re model_im"),
+    ("solve", "sol", "time n_in"),
+    ("cor_subvis_flag", "flagged", "event_id residual_re residual_im"),
+    ("grikerupd_pharot_grid_fft_rep", "grid", "facet polarisation u w re im"),
+    ("sum_facets", "sumf", "facet polarisation flux"),
+    ("identify_component", "comp", "facet u w cell"),
+    ("source_find", "src", "facet flux"),
+    ("subimacom", "sub", "facet polarisation residual"),
+    ("update_lsm", "upd", "comp_id flux"),
+]
+
+
+def _stage_digests() -> str:
+    rows = []
+    for stage, table, columns in DIGESTS:
+        text = "concat_ws('|', " + ", ".join(f"cast({c} as varchar)" for c in columns.split()) + ")"
+        rows.append(f"select '{stage}' as stage, count(*) as n_rows, bit_xor({_digest(text)}) as digest from {table}")
+    return " union all ".join(rows)
 
 
 def _index_grid(c: ImagingConfig) -> str:
@@ -216,21 +218,18 @@ def _selects(c: ImagingConfig) -> dict[str, str]:
     ) + ")"
     gains = "cast(sum(cast(round(gain * 1000000) as bigint)) as bigint)"
     return {
-        "extract_lsm": """select beam, 0 as major_loop, count(*) as n_in, cast(sum(flux) as bigint) as flux
-            from lsm group by beam""",
+        "extract_lsm": "select * from extb",
         "local_sky_model": "select * from lsm",
         "telescope_management": "select * from telescope",
         "visibility_buffer": "select * from vis",
         "reppre_ifft": "select * from rep",
-        "telescope_data": """select beam, 0 as frequency, 0 as time, 0 as baseline, count(*) as n_in,
-            cast(sum(gain) as bigint) as gain from telescope group by beam""",
+        "telescope_data": "select * from tel",
         "degkerupd_deg": "select * from deg",
         "pharotpre_dft_sumvis": "select * from pha",
         "timeslots": "select * from slots",
         "solve": "select * from sol",
         "cor_subvis_flag": "select * from flagged",
-        "grikerupd_pharot_grid_fft_rep": f"""select facet, polarisation, {_mod('k + facet', n)} as k, l,
-            cast(sum(re) as bigint) as re, cast(sum(im) as bigint) as im from fft2 group by 1, 2, 3, 4""",
+        "grikerupd_pharot_grid_fft_rep": "select * from img",
         "sum_facets": "select * from sumf",
         "identify_component": "select * from comp",
         "find_sources": "select * from src",
@@ -245,9 +244,9 @@ def _selects(c: ImagingConfig) -> dict[str, str]:
         "dft": "select * from fft2",
         "idft_columns": "select * from ifft1",
         "idft": "select * from ifft2",
-        "degrid": f"""select v.event_id, m.model from placed v join (
-            select c.facet, c.polarisation, c.u, c.w, cast(sum(g.cell * k.wt) as bigint) as model
-            from grid c cross join kern k join grid g on g.facet = c.facet
+        "degrid": f"""select v.event_id, m.model_re, m.model_im from placed v left join (
+            select c.facet, c.polarisation, c.u, c.w, cast(sum(g.re * k.wt) as bigint) as model_re,
+            cast(sum(g.im * k.wt) as bigint) as model_im from grid c cross join kern k join grid g on g.facet = c.facet
             and g.polarisation = c.polarisation and g.u = (c.u + k.du + {n}) % {n}
             and g.w = (c.w + k.dw + {n}) % {n} group by 1, 2, 3, 4) m
             on m.facet = v.facet and m.polarisation = v.polarisation and m.u = v.u and m.w = v.w""",
@@ -255,44 +254,43 @@ def _selects(c: ImagingConfig) -> dict[str, str]:
             cast(v.re * t.s + v.im * t.c as bigint) as im from vis v
             left join tw t on v.frequency % {n} = t.k and v.facet % {n} = t.x""",
         "sum_visibilities": "select * from visch",
-        "correct": """select v.event_id, v.frequency, v.time, v.facet, v.polarisation, v.re,
-            s.gain * p.model as corrected from vis v join pha p on v.frequency = p.frequency
-            join sol s on v.time = s.time""",
-        "subtract_visibility": "select * from cor",
+        "correct": "select * from cor",
+        "subtract_visibility": "select * from res",
         "flag": """select frequency, count(*) as n_in, count(*) filter (where flag) as n_flagged
             from flagged group by frequency""",
         "grid": "select * from grid",
         "grid_convolved": f"""select v.facet, v.polarisation, {_mod('v.u + k.du', n)} as u,
-            {_mod('v.w + k.dw', n)} as w, cast(sum(v.residual * k.wt) as bigint) as cell,
-            count(*) as n_in from placed v cross join kern k group by 1, 2, 3, 4""",
+            {_mod('v.w + k.dw', n)} as w, cast(sum(v.re * k.wt) as bigint) as re,
+            cast(sum(v.im * k.wt) as bigint) as im, cast(sum(v.n_in) as bigint) as n_in
+            from grid v cross join kern k group by 1, 2, 3, 4""",
         "index_grid": _index_grid(c),
         "dep_edges": _dep_edges(c),
-        "fan_out": f"select v.frequency, v.re, v.n_in, t.t as time from visch v cross join {_range(c.slots, 't')}",
+        "fan_out": f"select v.*, t.t as time from visch v cross join {_range(c.slots, 't')}",
         "refine": f"""select cast(r.frequency * {c.refinement} + i.i as int) as frequency, r.facet,
-            r.polarisation, r.model, i.i as part from rep r cross join {_range(c.refinement, 'i')}""",
+            r.polarisation, r.model_re, r.model_im, r.n_in, i.i as part from rep r cross join {_range(c.refinement, 'i')}""",
         "fan_in_group": """select facet, count(*) as n_in, cast(sum(re) as bigint) as re from vis
             group by facet""",
         "fan_in_union": f"""select frequency, count(*) as n_in, count(distinct src) as n_sources,
-            cast(sum(val) as bigint) as val from (select frequency, 'model' as src, model as val from pha
+            cast(sum(val) as bigint) as val from (select frequency, 'model' as src, model_re as val from pha
             union all select frequency, 'vis', re from visch union all
             select f.f, 'solve', cast(round(s.gain * 1000000) as bigint) from sol s
             cross join {_range(c.channels, 'f')}) z group by frequency""",
-        "fan_in_zip2": """select v.frequency, v.re, v.n_in, p.model from visch v
+        "fan_in_zip2": """select v.*, p.model_re, p.model_im from visch v
             join pha p on v.frequency = p.frequency""",
-        "fan_in_zip3": f"""select v.frequency, v.re, v.n_in, p.model, s.gain_micro from visch v
+        "fan_in_zip3": f"""select v.*, p.model_re, p.model_im, s.gain_micro from visch v
             join pha p on v.frequency = p.frequency cross join (select {gains} as gain_micro from sol) s""",
         "cogroup_merge": """select coalesce(l.facet, v.facet) as facet, l.n_components, l.flux,
             v.n_measured, v.re from (select facet, count(*) as n_components, cast(sum(flux) as bigint)
             as flux from lsm group by facet) l full outer join (select facet, count(*) as n_measured,
             cast(sum(re) as bigint) as re from vis group by facet) v on l.facet = v.facet""",
-        "broadcast_lookup": """select v.event_id, v.frequency, v.re, p.model from vis v
-            join pha p on v.frequency = p.frequency""",
-        "partition_by_dim": f"""select frequency, count(*) as n_in, cast(sum(re) as bigint) as re, {PLACED}
-            from vis group by frequency""",
-        "partition_by_facet": f"""select facet, count(*) as n_in, cast(sum(re) as bigint) as re, {PLACED}
-            from vis group by facet""",
-        "one_partition_per_key": f"""select facet, polarisation, count(*) as n_in,
-            cast(sum(re) as bigint) as re, {PLACED} from vis group by 1, 2""",
+        "broadcast_lookup": """select v.event_id, v.frequency, v.re, v.im, p.model_re, p.model_im from vis v
+            left join pha p on v.frequency = p.frequency""",
+        "partition_by_dim": """select frequency, count(*) as n_in, cast(sum(re) as bigint) as re,
+            cast(sum(im) as bigint) as im from vis group by frequency""",
+        "partition_by_facet": """select facet, count(*) as n_in, cast(sum(re) as bigint) as re,
+            cast(sum(im) as bigint) as im from vis group by facet""",
+        "one_partition_per_key": """select facet, polarisation, count(*) as n_in, cast(sum(re) as bigint) as re,
+            cast(sum(im) as bigint) as im from vis group by 1, 2""",
         "per_partition_map": """select frequency, cast(sum(re) as bigint) as re, max(re) as peak,
             count(*) as n_in from vis group by frequency""",
         "first_per_key": """select frequency, event_id, re from (select *, row_number() over
@@ -302,8 +300,9 @@ def _selects(c: ImagingConfig) -> dict[str, str]:
             cast(frequency % {c.refinement} as int) as part, greatest(re, 4) as amount from vis""",
         "collapse_global": """select count(*) as n_in, cast(sum(re) as bigint) as re,
             min(event_id) as first_id, max(event_id) as last_id from vis""",
-        "stage_cache": """select frequency, re, n_in from visch union all
-            select -1, cast(sum(re) as bigint), cast(sum(n_in) as bigint) from visch""",
+        "stage_cache": """select * from visch union all select -1, cast(sum(re) as bigint),
+            cast(sum(im) as bigint), cast(sum(n_in) as bigint) from visch""",
+        "stage_lineage": _stage_digests(),
         "stage_count": " union all ".join(
             f"select '{stage}' as stage, count(*) as n_rows from {cte}"
             for stage, cte in (
@@ -316,8 +315,12 @@ def _selects(c: ImagingConfig) -> dict[str, str]:
                 ("solve", "sol"),
             )
         ),
-        "imaging_cycle": """select 'subimacom' as stage, count(distinct facet) as n_rows from sub
-            union all select 'update_lsm', count(*) from upd""",
+        "imaging_cycle": """select 'cor_subvis_flag' as stage, count(*) as n_rows,
+            count(*) filter (where flag) as n_flagged, cast(sum(residual_re) as bigint) as total from flagged
+            union all select 'grikerupd_pharot_grid_fft_rep', count(*), cast(sum(n_flagged) as bigint),
+            cast(sum(re) as bigint) from grid
+            union all select 'subimacom', count(distinct facet), 0, cast(sum(residual) as bigint) from sub
+            union all select 'update_lsm', count(*), 0, cast(sum(flux) as bigint) from upd""",
         "lineage_digest": f"""select frequency, count(*) as n_in, bit_xor({_digest(
             "concat_ws('|', cast(event_id as varchar), cast(re as varchar))")}) as digest
             from vis group by frequency""",
@@ -332,11 +335,15 @@ def _selects(c: ImagingConfig) -> dict[str, str]:
             xor(code, event_id) as mixed, strlen(label) as n_bytes, substr(label, 1, 4) as head,
             cast(split_part(label, '_', 2) as int) as frequency, greatest(4, re) // 1000 as kilo
             from (select event_id, re, {label} as label, {_digest(label)} as code from vis) z""",
-        "stored_by_channel": """select time, frequency, cast(sum(re) as bigint) as re, count(*) as n_in
-            from vis group by 1, 2""",
+        "stored_by_channel": """select time, frequency, cast(sum(re) as bigint) as re,
+            cast(sum(im) as bigint) as im, count(*) as n_in from vis group by 1, 2""",
+        "stored_solve_by_time": "select * from sol",
+        "stored_prediction_by_channel": "select * from pha where frequency = 7",
+        "stored_model_by_key": "select * from rep where facet = 3",
         "stored_one_channel": "select * from visch where frequency = 3",
         "stored_replaced": f"""select frequency, facet, polarisation,
-            case when frequency = {c.coarse_channels - 1} then -model else model end as model, n_in
+            case when frequency = {c.coarse_channels - 1} then -model_re else model_re end as model_re,
+            case when frequency = {c.coarse_channels - 1} then -model_im else model_im end as model_im, n_in
             from rep""",
     }
 
@@ -346,18 +353,40 @@ def _oracle(c: ImagingConfig) -> dict[str, str]:
     return {name: _with(ctes, select) for name, select in _selects(c).items()}
 
 
+MISSING_KEYS = """select f.time, count(*) as n_in, count(f.residual_re) as n_residuals, count(f.flag) as n_flags,
+    cast(sum(f.residual_re) as bigint) as residual, any_value(s.n_in) as n_solved
+    from flagged f left join sol s on f.time is not distinct from s.time group by f.time"""
+
+
+def _next_cycle(c: ImagingConfig) -> str:
+    """The second cycle's tables read the first one's catalogue."""
+    first = _with(_ctes(c), "select * from upd")
+    return _with(_ctes(c, lsm=first), "select * from pha")
+
+
 _NARROW, _WIDE, _TWELVE = (_oracle(c) for c in (NARROW_SNAPSHOT, WIDE_FACETS, WIDE_FACETS_TWELVE_SLOTS))
 
+_OF_WIDE = (
+    "index_grid",
+    "dep_edges",
+    "sum_facets",
+    "identify_component",
+    "subimacom",
+    "update_lsm",
+    "stage_lineage",
+    "reppre_ifft",
+    "degkerupd_deg",
+    "pharotpre_dft_sumvis",
+    "cor_subvis_flag",
+    "grikerupd_pharot_grid_fft_rep",
+    "source_find",
+)
+
 ORACLE_SQL: dict[str, str] = {
     **_NARROW,
-    "stage_lineage": _lineage(NARROW_SNAPSHOT),
-    "index_grid_81": _WIDE["index_grid"],
-    "dep_edges_81": _WIDE["dep_edges"],
-    "solve_120": _WIDE["solve"],
-    "solve_12": _TWELVE["solve"],
-    "sum_facets_81": _WIDE["sum_facets"],
-    "identify_component_81": _WIDE["identify_component"],
-    "subimacom_81": _WIDE["subimacom"],
-    "update_lsm_81": _WIDE["update_lsm"],
-    "stage_lineage_81": _lineage(WIDE_FACETS),
+    "missing_keys": _with(_ctes(NARROW_SNAPSHOT, EVENTS_WITHOUT_KEYS), MISSING_KEYS),
+    "next_cycle": _next_cycle(NARROW_SNAPSHOT),
+    **{f"{name}_81": _WIDE[name] for name in _OF_WIDE},
+    **{f"{name}_120": _WIDE[name] for name in ("solve", "timeslots", "fan_out")},
+    **{f"{name}_12": _TWELVE[name] for name in ("solve", "timeslots")},
 }

@@ -7,19 +7,24 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from fringeflow.config import ImagingConfig
-from fringeflow.operators import stages
-from fringeflow.sources.stage_store import settle
+from fringeflow.operators import kernels, stages
+from fringeflow.sources import stage_store
 from fringeflow.sources.tables import read_table
 from fringeflow.sources.views import sky_model, telescope_config, visibilities
 
 
 class ImagingCycle:
-    """Stages by name, each built when first used.
+    """Stages by name, each built when first used, from the stages it reads.
 
     The prediction and the solutions are barriers: every later stage needs
     all of them. They are small and are settled once per cycle, so no later
-    stage predicts or solves again. With ``store_cells`` the image cells are
-    settled too, for runs that take more than one result from them.
+    stage predicts or solves again; using a later stage runs them. With
+    ``store_cells`` the gridded cells and the image cells are settled too, for
+    runs that take more than one result from them. ``close`` removes what a
+    cycle has settled.
+
+    ``events`` and ``catalogue`` stand in for the tables of the folder; a
+    catalogue is what ``updated_lsm`` of an earlier cycle gave.
     """
 
     def __init__(
@@ -28,18 +33,39 @@ class ImagingCycle:
         data_dir: str,
         config: ImagingConfig | None = None,
         store_cells: bool = False,
+        events: DataFrame | None = None,
+        catalogue: DataFrame | None = None,
     ) -> None:
         self.spark = spark
         self.data_dir = data_dir
         self.config = config or ImagingConfig()
         self.store_cells = store_cells
+        self._events = events
+        self._catalogue = catalogue
+        self._settled: list[str] = []
+
+    def settle(self, stage: DataFrame, name: str) -> DataFrame:
+        path = stage_store.new_stage_path(self.spark, name)
+        self._settled.append(path)
+        stage_store.write_stage(stage, path)
+        return stage_store.read_stage(self.spark, path, stage.schema)
+
+    def close(self) -> None:
+        """Remove settled stages; results that read them can no longer run."""
+        while self._settled:
+            stage_store.remove_stage(self.spark, self._settled.pop())
 
     @cached_property
     def vis(self) -> DataFrame:
-        return visibilities(read_table(self.spark, self.data_dir, "events"), self.config)
+        events = self._events
+        if events is None:
+            events = read_table(self.spark, self.data_dir, "events")
+        return visibilities(events, self.config)
 
     @cached_property
     def lsm(self) -> DataFrame:
+        if self._catalogue is not None:
+            return self._catalogue
         return sky_model(read_table(self.spark, self.data_dir, "part"), self.config)
 
     @cached_property
@@ -50,37 +76,49 @@ class ImagingCycle:
     def channels(self) -> DataFrame:
         return stages.visibility_channels(self.vis)
 
+    @cached_property
+    def extracted(self) -> DataFrame:
+        return stages.extract_lsm(self.lsm)
+
+    @cached_property
+    def extracted_block(self) -> DataFrame:
+        return stages.extracted_block(self.extracted)
+
+    @cached_property
+    def telescope_block(self) -> DataFrame:
+        return stages.telescope_data(self.telescope)
+
     @cached_property
     def rep(self) -> DataFrame:
-        return stages.reppre_ifft(self.lsm, self.config)
+        return stages.reppre_ifft(self.extracted, self.config)
 
     @cached_property
     def deg(self) -> DataFrame:
-        return stages.degkerupd_deg(self.rep, self.config)
+        return stages.degkerupd_deg(self.rep, self.telescope_block, self.config)
 
     @cached_property
     def predicted(self) -> DataFrame:
-        return stages.pharotpre_dft_sumvis(self.deg)
+        return stages.pharotpre_dft_sumvis(self.deg, self.extracted_block, self.config)
 
     @cached_property
     def settled_predicted(self) -> DataFrame:
-        return settle(self.predicted, "pharotpre_dft_sumvis")
+        return self.settle(self.predicted, "pharotpre_dft_sumvis")
 
     @cached_property
     def slots(self) -> DataFrame:
-        return stages.timeslots(self.vis, self.settled_predicted, self.config)
+        return stages.timeslots(self.vis, self.settled_predicted)
 
     @cached_property
     def solutions(self) -> DataFrame:
-        return stages.solve(self.vis, self.settled_predicted, self.config)
+        return stages.solve(self.vis, self.settled_predicted)
 
     @cached_property
     def settled_solutions(self) -> DataFrame:
-        return settle(self.solutions, "solve")
+        return self.settle(self.solutions, "solve")
 
     @cached_property
     def corrected(self) -> DataFrame:
-        return stages.correct(self.vis, self.settled_predicted, self.settled_solutions, self.config)
+        return stages.correct(self.vis, self.settled_predicted, self.settled_solutions)
 
     @cached_property
     def residuals(self) -> DataFrame:
@@ -88,20 +126,29 @@ class ImagingCycle:
 
     @cached_property
     def flagged(self) -> DataFrame:
-        return stages.flag(self.residuals, self.config)
+        return stages.flag(self.residuals)
 
     @cached_property
     def cells(self) -> DataFrame:
-        cells = stages.grid(self.residuals, self.config)
-        return settle(cells, "grid") if self.store_cells else cells
+        cells = stages.grid(self.flagged, self.telescope_block, self.config)
+        return self.settle(cells, "grid") if self.store_cells else cells
+
+    @cached_property
+    def transformed(self) -> DataFrame:
+        return kernels.facet_images(self.cells, self.config)
+
+    @cached_property
+    def image_cells(self) -> DataFrame:
+        cells = stages.image_cells(self.transformed)
+        return self.settle(cells, "sum_facets") if self.store_cells else cells
 
     @cached_property
     def images(self) -> DataFrame:
-        return stages.sum_facets(self.cells)
+        return stages.sum_facets(self.image_cells)
 
     @cached_property
     def components(self) -> DataFrame:
-        return stages.identify_component(self.cells)
+        return stages.identify_component(self.image_cells)
 
     @cached_property
     def sources(self) -> DataFrame:
@@ -109,7 +156,7 @@ class ImagingCycle:
 
     @cached_property
     def remaining(self) -> DataFrame:
-        return stages.subimacom(self.images, self.components, self.config)
+        return stages.subimacom(self.images, self.components)
 
     @cached_property
     def updated_lsm(self) -> DataFrame:

@@ -7,24 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Tables of a few fixed-width columns: about 100 MB of hash table at most.
-BROADCAST_ROWS = 1_000_000
-
 
 def lookup(
-    rows: DataFrame,
-    table: DataFrame,
-    on: Sequence[str],
-    max_rows: int | None = None,
-    how: str = "inner",
+    rows: DataFrame, table: DataFrame, on: Sequence[str], bounded: bool = False, how: str = "left"
 ) -> DataFrame:
-    """Join ``rows`` to ``table`` on equal keys.
+    """Join ``rows`` to ``table`` on equal keys, keeping rows without a match.
 
-    ``max_rows`` is a bound on the table that follows from its key domain.
-    Within ``BROADCAST_ROWS`` the table is broadcast and ``rows`` are not
-    shuffled. Without a bound, or beyond the limit, the join is left to the
-    planner and its size statistics, with adaptive skew splitting.
+    ``bounded`` says that the keys come out of the configured domain by
+    construction, so the table has at most as many rows as that; it is
+    broadcast and ``rows`` are not shuffled. Without it the join is left to
+    the planner and its size statistics, with adaptive skew splitting.
     """
-    if max_rows is not None and max_rows <= BROADCAST_ROWS:
-        table = F.broadcast(table)
-    return rows.join(table, list(on), how)
+    return rows.join(F.broadcast(table) if bounded else table, list(on), how)

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from fringeflow.config import NARROW_SNAPSHOT, WIDE_FACETS, WIDE_FACETS_TWELVE_SLOTS, ImagingConfig
 from fringeflow.functions.digest import digest
 from fringeflow.functions.numeric import idiv, key_mod, round_half_away
-from fringeflow.operators import dataflow, kernels, lineage, stages
+from fringeflow.operators import dataflow, kernels, stages
 from fringeflow.plans.imaging import ImagingCycle
 from fringeflow.plans.joins import lookup
 from fringeflow.sources import stage_store
@@ -38,7 +37,7 @@ def index_grid(cycle: ImagingCycle) -> DataFrame:
     sizes = (1, 1, c.coarse_channels, 1, c.facets, c.polarisations)
     domain = dataflow.index_grid(cycle.spark, dict(zip(COARSE_DIMS, sizes)))
     inputs = dataflow.group(cycle.lsm, ["facet"], "count(*) as n_in")
-    joined = lookup(domain, inputs, ["facet"], c.facets, how="left")
+    joined = lookup(domain, inputs, ["facet"], bounded=True)
     return joined.selectExpr(*COARSE_DIMS, "coalesce(n_in, 0L) as n_in")
 
 
@@ -52,26 +51,21 @@ def dep_edges(cycle: ImagingCycle) -> DataFrame:
         tel_frequency=idiv("frequency", c.channels),
     )
     inputs = dataflow.group(cycle.vis, list(dims), "count(*) as n_in")
-    joined = lookup(edges, inputs, list(dims), c.channels * c.max_images, how="left")
+    joined = lookup(edges, inputs, list(dims), bounded=True)
     return joined.selectExpr(*edges.columns, "coalesce(n_in, 0L) as n_in")
 
 
 # Fan-out and fan-in
 
 
-def _blocks(cycle: ImagingCycle) -> DataFrame:
-    """Channel blocks without the imaginary part, whose payload column is the widest to scan."""
-    return cycle.channels.select("frequency", "re", "n_in")
-
-
 def fan_out(cycle: ImagingCycle) -> DataFrame:
     """Each channel's visibility block copied to all timeslots that read it."""
-    return dataflow.fan_out(_blocks(cycle), {"time": cycle.config.slots})
+    return dataflow.fan_out(cycle.channels, {"time": cycle.config.slots})
 
 
 def refine(cycle: ImagingCycle) -> DataFrame:
     """Coarse model blocks copied to their fine channels."""
-    return dataflow.refine(cycle.rep.drop("n_in"), "frequency", cycle.config.refinement)
+    return dataflow.refine(cycle.rep, "frequency", cycle.config.refinement)
 
 
 def fan_in_group(cycle: ImagingCycle) -> DataFrame:
@@ -88,7 +82,7 @@ def _solution_total(cycle: ImagingCycle) -> DataFrame:
 def fan_in_union(cycle: ImagingCycle) -> DataFrame:
     """Model, visibility and solutions of each channel gathered by union."""
     sources = {
-        "model": cycle.settled_predicted.selectExpr("frequency", "model as val"),
+        "model": cycle.settled_predicted.selectExpr("frequency", "model_re as val"),
         "vis": cycle.channels.selectExpr("frequency", "re as val"),
         "solve": _solution_total(cycle),
     }
@@ -96,14 +90,14 @@ def fan_in_union(cycle: ImagingCycle) -> DataFrame:
 
 
 def fan_in_zip2(cycle: ImagingCycle) -> DataFrame:
-    model = cycle.predicted.select("frequency", "model")
-    return dataflow.fan_in_zip(["frequency"], _blocks(cycle), model)
+    model = cycle.predicted.select("frequency", "model_re", "model_im")
+    return dataflow.fan_in_zip(["frequency"], cycle.channels, model)
 
 
 def fan_in_zip3(cycle: ImagingCycle) -> DataFrame:
-    model = cycle.settled_predicted.select("frequency", "model")
+    model = cycle.settled_predicted.select("frequency", "model_re", "model_im")
     solved = _solution_total(cycle).selectExpr("frequency", "val as gain_micro")
-    return dataflow.fan_in_zip(["frequency"], _blocks(cycle), model, solved)
+    return dataflow.fan_in_zip(["frequency"], cycle.channels, model, solved)
 
 
 def cogroup_merge(cycle: ImagingCycle) -> DataFrame:
@@ -114,58 +108,30 @@ def cogroup_merge(cycle: ImagingCycle) -> DataFrame:
 
 
 def broadcast_lookup(cycle: ImagingCycle) -> DataFrame:
-    rows = cycle.vis.select("event_id", "frequency", "re")
-    model = cycle.predicted.select("frequency", "model")
-    return dataflow.broadcast_lookup(rows, model, ["frequency"], cycle.config.channels)
-
-
-# Placement
-
-# Spreads a key's rows evenly, and alike when a task is run again.
-SALT = "xxhash64(event_id)"
-
+    rows = cycle.vis.select("event_id", "frequency", "re", "im")
+    model = cycle.predicted.select("frequency", "model_re", "model_im")
+    return dataflow.broadcast_lookup(rows, model, ["frequency"])
 
-def partition_by_dim(cycle: ImagingCycle) -> DataFrame:
-    channels = cycle.config.channels
-    rows = cycle.vis.select("event_id", "frequency", "re")
-    placed = dataflow.partition_by_dim(rows, "frequency", channels, SALT)
-    return dataflow.partition_census(placed, ["frequency"], "re")
 
+# Placement: whole measurements stored by key, so that a reader of one key opens its folder only
 
-def partition_by_facet(cycle: ImagingCycle) -> DataFrame:
-    rows = cycle.vis.select("event_id", "facet", "re")
-    placed = dataflow.partition_by_facet(rows, cycle.config.facets, SALT)
-    return dataflow.partition_census(placed, ["facet"], "re")
 
+def _placed_by(*dims: str) -> Callable[[ImagingCycle], DataFrame]:
+    def placed(cycle: ImagingCycle) -> DataFrame:
+        path = stage_store.new_stage_path(cycle.spark, f"by_{'_'.join(dims)}")
+        stage_store.write_stage(cycle.vis, path, dims, compact=True)
+        stored = stage_store.read_stage(cycle.spark, path, cycle.vis.schema)
+        return dataflow.group(stored, list(dims), "count(*) as n_in", "sum(re) as re", "sum(im) as im")
 
-def one_partition_per_key(cycle: ImagingCycle) -> DataFrame:
-    dims = {"facet": cycle.config.facets, "polarisation": cycle.config.polarisations}
-    rows = cycle.vis.select("event_id", *dims, "re")
-    placed = dataflow.one_partition_per_key(rows, dims, SALT)
-    return dataflow.partition_census(placed, list(dims), "re")
+    return placed
 
 
 # Mapping, reuse and accounting
 
 
 def per_partition_map(cycle: ImagingCycle) -> DataFrame:
-    """Partial channel sums by a function over Arrow batches, then combined."""
-
-    # Nested, so that it travels with the job and executors need not have this package.
-    def channel_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = (
-                pa.Table.from_batches([batch])
-                .group_by("frequency")
-                .aggregate([("re", "sum"), ("re", "max"), ([], "count_all")])
-                .select(["frequency", "re_sum", "re_max", "count_all"])
-                .rename_columns(["frequency", "re", "peak", "n_in"])
-            )
-            yield from sums.to_batches()
-
-    schema = "frequency int, re bigint, peak bigint, n_in bigint"
-    partial = dataflow.per_partition_map(cycle.vis.select("frequency", "re"), channel_sums, schema)
-    return dataflow.group(partial, ["frequency"], "sum(re) as re", "max(peak) as peak", "sum(n_in) as n_in")
+    """Sums, peak and count per channel, with a partial result for each partition."""
+    return dataflow.fan_in_group(cycle.vis, ["frequency"], re="sum(re)", peak="max(re)", n_in="count(*)")
 
 
 def first_per_key(cycle: ImagingCycle) -> DataFrame:
@@ -192,9 +158,9 @@ def collapse_global(cycle: ImagingCycle) -> DataFrame:
 
 def stage_cache(cycle: ImagingCycle) -> DataFrame:
     """Channel sums kept once and read twice: as blocks and as their total."""
-    blocks = dataflow.stage_cache(_blocks(cycle))
-    total = dataflow.collapse_global(blocks, re="sum(re)", n_in="sum(n_in)")
-    return blocks.unionByName(total.selectExpr("-1 as frequency", "re", "n_in"))
+    blocks = dataflow.stage_cache(cycle.channels, "visibility_channels")
+    total = dataflow.collapse_global(blocks, re="sum(re)", im="sum(im)", n_in="sum(n_in)")
+    return blocks.unionByName(total.selectExpr("-1 as frequency", "re", "im", "n_in"))
 
 
 def stage_count(cycle: ImagingCycle) -> DataFrame:
@@ -212,9 +178,40 @@ def stage_count(cycle: ImagingCycle) -> DataFrame:
 
 
 def imaging_cycle(cycle: ImagingCycle) -> DataFrame:
-    """Row counts of the two results of a cycle."""
-    facets = stages.subimacom_facets(cycle.remaining)
-    return dataflow.stage_count({"subimacom": facets, "update_lsm": cycle.updated_lsm})
+    """Rows, flagged rows and total of each result of a cycle."""
+    results = {
+        "cor_subvis_flag": (cycle.flagged, "count_if(flag)", "sum(residual_re)"),
+        "grikerupd_pharot_grid_fft_rep": (cycle.cells, "sum(n_flagged)", "sum(re)"),
+        "subimacom": (stages.subimacom_facets(cycle.remaining), "0L", "sum(residual)"),
+        "update_lsm": (cycle.updated_lsm, "0L", "sum(flux)"),
+    }
+    rows = [
+        dataflow.collapse_global(frame, n_rows="count(*)", n_flagged=flagged, total=total).selectExpr(
+            f"'{name}' as stage", "n_rows", "n_flagged", "total"
+        )
+        for name, (frame, flagged, total) in results.items()
+    ]
+    return dataflow.union_all(rows)
+
+
+def missing_keys(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Measurements of which some have no id or no time: none is lost on the way to the flags."""
+    keyless = read_table(spark, data_dir, "events").selectExpr(
+        "if(event_id % 10 = 0, null, event_id) as event_id",
+        "if(event_id % 7 = 0, null, ts) as ts",
+        *("user_id", "event_type", "value", "props"),
+    )
+    cycle = ImagingCycle(spark, data_dir, events=keyless)
+    flagged = dataflow.fan_in_group(
+        cycle.flagged,
+        ["time"],
+        n_in="count(*)",
+        n_residuals="count(residual_re)",
+        n_flags="count(flag)",
+        residual="sum(residual_re)",
+    )
+    solved = cycle.solutions.selectExpr("time as solved_time", "n_in as n_solved")
+    return flagged.join(solved, flagged["time"].eqNullSafe(solved["solved_time"]), "left").drop("solved_time")
 
 
 def lineage_digest(cycle: ImagingCycle) -> DataFrame:
@@ -222,9 +219,28 @@ def lineage_digest(cycle: ImagingCycle) -> DataFrame:
 
 
 def stage_lineage(cycle: ImagingCycle) -> DataFrame:
-    """Blocks, inputs and lineage digest of all seventeen stages."""
-    blocks = lineage.stage_blocks(cycle.vis, cycle.lsm, cycle.telescope, cycle.config, stage_store.settle)
-    return lineage.lineage_report(blocks)
+    """Rows and digest of the stages' results, to tell whether two runs agree."""
+    image = ["facet", "polarisation"]
+    return dataflow.stage_digest(
+        {
+            "extract_lsm": (cycle.extracted, ["comp_id", "flux"]),
+            "local_sky_model": (cycle.lsm, ["comp_id", "flux"]),
+            "telescope_management": (cycle.telescope, ["antenna_id", "gain"]),
+            "visibility_buffer": (cycle.vis, ["event_id", "re", "im"]),
+            "reppre_ifft": (cycle.rep, ["frequency", *image, "model_re", "model_im"]),
+            "telescope_data": (cycle.telescope_block, ["n_in", "gain"]),
+            "degkerupd_deg": (cycle.deg, ["frequency", *image, "model_re", "model_im"]),
+            "pharotpre_dft_sumvis": (cycle.settled_predicted, ["frequency", "model_re", "model_im"]),
+            "solve": (cycle.settled_solutions, ["time", "n_in"]),
+            "cor_subvis_flag": (cycle.flagged, ["event_id", "residual_re", "residual_im"]),
+            "grikerupd_pharot_grid_fft_rep": (cycle.cells, [*image, "u", "w", "re", "im"]),
+            "sum_facets": (cycle.images, [*image, "flux"]),
+            "identify_component": (cycle.components, ["facet", "u", "w", "cell"]),
+            "source_find": (cycle.sources, ["facet", "flux"]),
+            "subimacom": (cycle.remaining, [*image, "residual"]),
+            "update_lsm": (cycle.updated_lsm, ["comp_id", "flux"]),
+        }
+    )
 
 
 def input_volume(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -266,11 +282,10 @@ def key_labels(cycle: ImagingCycle) -> DataFrame:
 
 def stored_by_channel(cycle: ImagingCycle) -> DataFrame:
     """All measurements stored per channel, read back and summed per timeslot and channel."""
-    rows = cycle.vis.select("event_id", "frequency", "time", "re")
     path = stage_store.new_stage_path(cycle.spark, "visibility_buffer")
-    stage_store.write_stage(rows, path, ["frequency"], compact=True)
-    stored = stage_store.read_stage(cycle.spark, path, rows.schema)
-    return dataflow.group(stored, ["time", "frequency"], "sum(re) as re", "count(*) as n_in")
+    stage_store.write_stage(cycle.vis, path, ["frequency"], compact=True)
+    stored = stage_store.read_stage(cycle.spark, path, cycle.vis.schema)
+    return dataflow.group(stored, ["time", "frequency"], "sum(re) as re", "sum(im) as im", "count(*) as n_in")
 
 
 def stored_one_channel(cycle: ImagingCycle) -> DataFrame:
@@ -285,30 +300,61 @@ def stored_replaced(cycle: ImagingCycle) -> DataFrame:
     dims = ["frequency"]
     path = stage_store.new_stage_path(cycle.spark, "reppre_ifft")
     last = cycle.config.coarse_channels - 1
-    changed = cycle.rep.where(f"frequency = {last}").selectExpr("frequency", *stages.IMAGE, "-model as model", "n_in")
+    negated = ["-model_re as model_re", "-model_im as model_im"]
+    changed = cycle.rep.where(f"frequency = {last}").selectExpr("frequency", *stages.IMAGE, *negated, "n_in")
     stage_store.write_stage(cycle.rep, path, dims)
-    stage_store.write_stage(changed, path, dims)
+    stage_store.write_stage(changed, path, dims, replace=True)
     return stage_store.read_stage(cycle.spark, path, cycle.rep.schema)
 
 
+def stored_solve_by_time(cycle: ImagingCycle) -> DataFrame:
+    """Solutions stored per timeslot and read back whole."""
+    path = stage_store.new_stage_path(cycle.spark, "solve")
+    stage_store.write_stage(cycle.solutions, path, ["time"], compact=True)
+    return stage_store.read_stage(cycle.spark, path, cycle.solutions.schema)
+
+
+def stored_prediction_by_channel(cycle: ImagingCycle) -> DataFrame:
+    """Predictions stored per channel; one channel read back."""
+    path = stage_store.new_stage_path(cycle.spark, "pharotpre_dft_sumvis")
+    stage_store.write_stage(cycle.predicted, path, ["frequency"])
+    return stage_store.read_stage(cycle.spark, path, cycle.predicted.schema, frequency=7)
+
+
+def stored_model_by_key(cycle: ImagingCycle) -> DataFrame:
+    """Model blocks stored by all their dimensions; one facet read back."""
+    dims = ["frequency", "facet", "polarisation"]
+    path = stage_store.new_stage_path(cycle.spark, "reppre_ifft")
+    stage_store.write_stage(cycle.rep, path, dims, compact=True)
+    return stage_store.read_stage(cycle.spark, path, cycle.rep.schema, facet=3)
+
+
+def next_cycle(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Prediction of a second cycle that starts from the first one's stored catalogue."""
+    first = ImagingCycle(spark, data_dir)
+    path = stage_store.write_stage(first.updated_lsm, stage_store.new_stage_path(spark, "update_lsm"))
+    catalogue = stage_store.read_stage(spark, path, first.lsm.schema)
+    return ImagingCycle(spark, data_dir, catalogue=catalogue).predicted
+
+
 def spectrum(cycle: ImagingCycle) -> DataFrame:
     return kernels.dft(cycle.cells, cycle.config)
 
 
 QUERIES: dict[str, Query] = {
     # Stages
-    "extract_lsm": _on_cycle(lambda c: stages.extract_lsm(c.lsm)),
+    "extract_lsm": _on_cycle(lambda c: c.extracted_block),
     "local_sky_model": _on_cycle(lambda c: c.lsm),
     "telescope_management": _on_cycle(lambda c: c.telescope),
     "visibility_buffer": _on_cycle(lambda c: c.vis),
     "reppre_ifft": _on_cycle(lambda c: c.rep),
-    "telescope_data": _on_cycle(lambda c: stages.telescope_data(c.telescope)),
+    "telescope_data": _on_cycle(lambda c: c.telescope_block),
     "degkerupd_deg": _on_cycle(lambda c: c.deg),
     "pharotpre_dft_sumvis": _on_cycle(lambda c: c.predicted),
     "timeslots": _on_cycle(lambda c: c.slots),
     "solve": _on_cycle(lambda c: c.solutions),
     "cor_subvis_flag": _on_cycle(lambda c: c.flagged),
-    "grikerupd_pharot_grid_fft_rep": _on_cycle(lambda c: kernels.facet_images(c.cells, c.config)),
+    "grikerupd_pharot_grid_fft_rep": _on_cycle(lambda c: c.transformed),
     "sum_facets": _on_cycle(lambda c: c.images),
     "identify_component": _on_cycle(lambda c: c.components),
     "find_sources": _on_cycle(lambda c: c.sources),
@@ -341,18 +387,19 @@ QUERIES: dict[str, Query] = {
     "fan_in_zip3": _on_cycle(fan_in_zip3),
     "cogroup_merge": _on_cycle(cogroup_merge),
     "broadcast_lookup": _on_cycle(broadcast_lookup),
-    "partition_by_dim": _on_cycle(partition_by_dim),
-    "partition_by_facet": _on_cycle(partition_by_facet),
-    "one_partition_per_key": _on_cycle(one_partition_per_key),
+    "partition_by_dim": _on_cycle(_placed_by("frequency")),
+    "partition_by_facet": _on_cycle(_placed_by("facet")),
+    "one_partition_per_key": _on_cycle(_placed_by("facet", "polarisation")),
     "per_partition_map": _on_cycle(per_partition_map),
     "first_per_key": _on_cycle(first_per_key),
     "per_row_map": _on_cycle(per_row_map),
     "collapse_global": _on_cycle(collapse_global),
     "stage_cache": _on_cycle(stage_cache),
     "stage_count": _on_cycle(stage_count),
+    "missing_keys": missing_keys,
     "imaging_cycle": _on_cycle(imaging_cycle, store_cells=True),
     "lineage_digest": _on_cycle(lineage_digest),
-    "stage_lineage": _on_cycle(stage_lineage),
+    "stage_lineage": _on_cycle(stage_lineage, store_cells=True),
     "input_volume": input_volume,
     "stage_report": _on_cycle(stage_report),
     "key_labels": _on_cycle(key_labels),
@@ -360,6 +407,10 @@ QUERIES: dict[str, Query] = {
     "stored_by_channel": _on_cycle(stored_by_channel),
     "stored_one_channel": _on_cycle(stored_one_channel),
     "stored_replaced": _on_cycle(stored_replaced),
+    "stored_solve_by_time": _on_cycle(stored_solve_by_time),
+    "stored_prediction_by_channel": _on_cycle(stored_prediction_by_channel),
+    "stored_model_by_key": _on_cycle(stored_model_by_key),
+    "next_cycle": next_cycle,
     # The wider key domains
     "index_grid_81": _on_cycle(index_grid, WIDE_FACETS),
     "dep_edges_81": _on_cycle(dep_edges, WIDE_FACETS),
@@ -369,5 +420,14 @@ QUERIES: dict[str, Query] = {
     "identify_component_81": _on_cycle(lambda c: c.components, WIDE_FACETS),
     "subimacom_81": _on_cycle(lambda c: c.remaining, WIDE_FACETS, store_cells=True),
     "update_lsm_81": _on_cycle(lambda c: c.updated_lsm, WIDE_FACETS),
-    "stage_lineage_81": _on_cycle(stage_lineage, WIDE_FACETS),
+    "stage_lineage_81": _on_cycle(stage_lineage, WIDE_FACETS, store_cells=True),
+    "reppre_ifft_81": _on_cycle(lambda c: c.rep, WIDE_FACETS),
+    "degkerupd_deg_81": _on_cycle(lambda c: c.deg, WIDE_FACETS),
+    "pharotpre_dft_sumvis_81": _on_cycle(lambda c: c.predicted, WIDE_FACETS),
+    "timeslots_120": _on_cycle(lambda c: c.slots, WIDE_FACETS),
+    "timeslots_12": _on_cycle(lambda c: c.slots, WIDE_FACETS_TWELVE_SLOTS),
+    "cor_subvis_flag_81": _on_cycle(lambda c: c.flagged, WIDE_FACETS),
+    "grikerupd_pharot_grid_fft_rep_81": _on_cycle(lambda c: c.transformed, WIDE_FACETS),
+    "source_find_81": _on_cycle(lambda c: stages.source_catalog(c.sources), WIDE_FACETS),
+    "fan_out_120": _on_cycle(fan_out, WIDE_FACETS),
 }

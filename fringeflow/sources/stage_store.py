@@ -15,16 +15,20 @@ def new_stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/fringeflow/{uuid.uuid4().hex}/{name}"
 
 
-def write_stage(stage: DataFrame, path: str, dims: Sequence[str] = (), compact: bool = False) -> str:
-    """Write a stage, replacing exactly the dimension values it contains.
+def write_stage(
+    stage: DataFrame, path: str, dims: Sequence[str] = (), compact: bool = False, replace: bool = False
+) -> str:
+    """Write a whole stage in place of what was there.
 
-    ``compact`` gathers each dimension value into few files first. It is a
-    rebalance, not a repartition: a value that holds a large share of the
-    rows is split over many tasks by size.
+    With ``replace`` only the dimension values that ``stage`` contains are
+    replaced and the others stay. ``compact`` gathers each dimension value
+    into few files first. It is a rebalance, not a repartition: a value that
+    holds a large share of the rows is split over many tasks by size.
     """
     if compact and dims:
         stage = stage.hint("rebalance", *dims)
-    writer = stage.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    mode = "dynamic" if replace else "static"
+    writer = stage.write.mode("overwrite").option("partitionOverwriteMode", mode)
     if dims:
         writer = writer.partitionBy(*dims)
     writer.parquet(path)
@@ -42,13 +46,19 @@ def read_stage(spark: SparkSession, path: str, schema: StructType, **key: int) -
     return stage
 
 
+def remove_stage(spark: SparkSession, path: str) -> None:
+    """Delete a stored stage; frames that read it can no longer run."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def settle(stage: DataFrame, name: str) -> DataFrame:
-    """Run a stage once and go on from its stored result.
+    """Run a stage once, at once, and go on from its stored result.
 
-    Cuts the lineage in storage that outlives executors, and gives the
-    planner the stored size: a later join broadcasts the table only if that
-    size is below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles
-    otherwise.
+    Building a query that settles stages therefore runs jobs. It cuts the
+    lineage in storage that outlives executors, and gives the planner the
+    stored size: a later join broadcasts the table only if that size is below
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
     """
     spark = stage.sparkSession
     path = write_stage(stage, new_stage_path(spark, name))

@@ -30,12 +30,14 @@ def visibilities(events: DataFrame, config: ImagingConfig) -> DataFrame:
 
 
 def sky_model(part: DataFrame, config: ImagingConfig) -> DataFrame:
-    """One catalogue component per part; flux in cents."""
+    """One catalogue component per part; flux in cents, place as an image cell."""
     return part.selectExpr(
         "p_partkey as comp_id",
         "0 as beam",
         f"{key_mod('p_partkey', config.facets)} as facet",
         f"{round_half_away('(p_retailprice * 100)')} as flux",
+        f"{key_mod('p_partkey', config.cells)} as u",
+        f"{key_mod(idiv('p_partkey', config.cells), config.cells)} as w",
     )
 
 

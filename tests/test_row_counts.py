@@ -37,18 +37,21 @@ ROWS = {
     "grid": (990, 9096, 42_209),
     "reprojection": (990, 9096, 42_209),
     "grid_convolved": (6792, 40_987, 50_176),
+    "grikerupd_pharot_grid_fft_rep": (15_360, 50_176, 50_176),
+    "missing_keys": (9, 9, 9),
+    "next_cycle": (20, 20, 20),
     "sum_facets": (60, 196, 196),
     "subimacom": (60, 196, 196),
     "identify_component": (15, 49, 49),
     "find_sources": (15, 49, 49),
-    "update_lsm": (49, 49, 49),
+    "update_lsm": (215, 2049, 20_049),
     "dft_rows": (9568, 48_000, 50_176),
     "dft": (15_360, 50_176, 50_176),
     "idft_columns": (15_360, 50_176, 50_176),
     "idft": (15_360, 50_176, 50_176),
     "stage_report": (5, 5, 5),
 }
-FLAGGED = (81, 850, 8541)
+FLAGGED = (80, 876, 14_372)
 
 
 @pytest.fixture(scope="module")
