@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fringeflow.llm.matching import rows_with_keys
 from fringeflow.sources.stage_store import settle
 
 WINDOW = 8
@@ -109,8 +110,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     # Of the few documents found, the words at the places found.
     places = found.groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
-    texts = docs.join(places, docs["doc_id"].eqNullSafe(places["doc_id"]))
-    texts = texts.select(docs["doc_id"], "ats", words.alias("words"))
+    texts = rows_with_keys(docs, places, ["doc_id"]).select("doc_id", words.alias("words"))
+    texts = texts.join(places, texts["doc_id"].eqNullSafe(places["doc_id"])).select(texts["doc_id"], "ats", "words")
     cut = F.transform("ats", lambda at: F.struct(at.alias("at"), F.slice("words", at + 1, F.lit(WINDOW)).alias("theirs")))
     texts = texts.select("doc_id", F.inline(cut)).withColumn("hash", F.get(window_hashes(F.col("theirs")), 0))
     pairs = settle(texts.join(bench, "hash").selectExpr("*", "at - place as shift").distinct(), "pairs")
@@ -143,5 +144,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without a leaked item; all rows of a doc_id that has one go."""
-    leaked = find_leaks(docs, benchmark).where("leaked").select("doc_id").distinct()
+    leaked = settle(find_leaks(docs, benchmark).where("leaked").select("doc_id").distinct(), "leaked")
     return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["doc_id"]), "left_anti")
