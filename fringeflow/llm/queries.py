@@ -12,6 +12,7 @@ from fringeflow.llm import (
     jaccard_join,
     language,
     nearest,
+    oracle,
     packing,
     repeats,
     sharding,
@@ -94,4 +95,9 @@ QUERIES: dict[str, Query] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# The others are beyond SQL; tests hold them against brute force or the library they follow.
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": oracle.url_filter(URL_RULES),
+    "op2_sharding": oracle.sharding(SHARDS),
+    "op6_tool_calls": oracle.tool_calls(),
+}
