@@ -52,6 +52,16 @@ def remove_stage(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+# Paths that ``settle`` has written in this process and nothing has removed yet.
+SETTLED: list[str] = []
+
+
+def remove_settled(spark: SparkSession, since: int = 0) -> None:
+    """Delete all that was settled after the first ``since`` paths of ``SETTLED``."""
+    while len(SETTLED) > since:
+        remove_stage(spark, SETTLED.pop())
+
+
 def settle(stage: DataFrame, name: str) -> DataFrame:
     """Run a stage once, at once, and go on from its stored result.
 
@@ -62,4 +72,5 @@ def settle(stage: DataFrame, name: str) -> DataFrame:
     """
     spark = stage.sparkSession
     path = write_stage(stage, new_stage_path(spark, name))
+    SETTLED.append(path)
     return read_stage(spark, path, stage.schema)
