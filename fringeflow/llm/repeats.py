@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from fringeflow.llm.matching import rows_with_keys
 from fringeflow.llm.shingles import mixed
 from fringeflow.sources.stage_store import settle
 
@@ -258,7 +259,7 @@ def repeated_runs(docs: DataFrame, length: int, variants: int = VARIANTS) -> Dat
     unsure = contexts.join(kinds, "anchor").selectExpr("anchor", "n > 1 as many", "one.*", "kinds")
     unsure = settle(unsure, "unsure")
     wanted = unsure.groupBy("ref", "size").agg(F.collect_list(F.struct("anchor", "many", "span")).alias("wanted"))
-    single = texts.where(f"size >= {length}").groupBy("ref", "size").agg(F.any_value("text").alias("text"))
+    single = rows_with_keys(texts, unsure, ["ref", "size"]).groupBy("ref", "size").agg(F.any_value("text").alias("text"))
     spec = "anchor long, many boolean, ref long, size long, span long, bytes binary"
     cut = single.join(wanted, ["ref", "size"]).select("ref", "size", "text", "wanted").mapInArrow(context_batches(length), spec)
     large = kinds.where(f"kinds > {variants}").select("anchor")
