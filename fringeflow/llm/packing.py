@@ -15,69 +15,125 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from fringeflow.llm.shingles import WordHasher
 from fringeflow.sources.stage_store import settle
 
 # Ends a document.
 END_ID = 0
 # Words whose ids a task remembers; beyond that it starts anew.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
+# Characters worked on at once, unless one text is longer.
+BLOCK_CHARS = 1 << 20
 # Second lengths tried with each first one in patterns of three.
-SECOND_LENGTHS = 24
-FIT_STEPS = 400
+SECOND_LENGTHS = 12
+FIT_STEPS = 200
 
 # Texts of these characters are the same under NFC, lower-cased letter by
-# letter and split alike by all regular expression engines.
-PLAIN = re.compile(r"[\t\n\r -~¡-ÿ]*")
+# letter and split alike by all regular expression engines. Apostrophes are
+# left out, as contractions are split by rules of their own.
+PLAIN = re.compile(r"[\t\n\r -&(-~¡-ÿ]*")
 # Fixed value: the splitting pattern of this tokenizer kind.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMAL_FORMS = ["NFC", "Replace", "Lowercase"]
+WORD_END = "</w>"
 
 
 class WordIds:
-    """Ids of texts; words met before are looked up, all else goes through the library."""
+    """Ids of texts. Words of plain texts are looked up by hash; all else goes through the library."""
 
     def __init__(self, definition: str) -> None:
         self.library = Tokenizer.from_str(definition)
         spec = json.loads(definition)
         steps = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
         forms = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
-        self.by_word = steps[0].get("pattern") == {"Regex": WORDS} and forms == NORMAL_FORMS
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.by_word = steps[0].get("pattern") == {"Regex": WORDS} and forms == NORMAL_FORMS and suffix == WORD_END
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.split = regex.compile(WORDS).findall
-        self.known: dict[str, bytes] = {}
-
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        batch = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in batch]
-
-    def of(self, text: str) -> bytes:
-        if not self.by_word or not PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return self.encoded([text])[0]
-        words = self.split(text.lower())
+        self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)
+        self.ends[[i for word, i in spec["model"]["vocab"].items() if word.endswith(WORD_END)]] = True
+        letters = [chr(i) for i in range(256)]
+        self.lower = bytes(ord(c.lower()) if len(c.lower()) == 1 and ord(c.lower()) < 256 else ord(c) for c in letters)
+        kinds = [r"\s", r"\p{L}", r"\p{N}"]
+        # 0 space, 1 letter, 2 number, 3 other.
+        self.kind = np.array([next((k for k, p in enumerate(kinds) if regex.match(p, c)), 3) for c in letters], dtype=np.int8)
+        self.hasher = WordHasher()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = np.zeros(0, dtype=np.uint64)
+        self.start = self.count = np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(0, dtype="<u4")
+
+    def encoded(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Encode new words, all in one text: a word's last id is the only one that ends a word."""
+        ids = self.encoded(" ".join(words))
+        last = np.flatnonzero(self.ends[ids]) + 1
+        if len(last) != len(words):
+            raise ValueError("words and their ids do not match")
+        start = np.r_[0, last[:-1]]
+        order = np.argsort(known := np.r_[self.known, hashes])
+        self.start = np.r_[self.start, start + len(self.ids)][order]
+        self.count = np.r_[self.count, last - start][order]
+        self.known, self.ids = known[order], np.r_[self.ids, ids]
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        raw = "\n".join(texts).encode("latin-1").translate(self.lower)
+        data = np.frombuffer(raw, dtype=np.uint8)
+        kind = self.kind[data]
+        edges = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | (kind[1:] == 2)] if len(kind) else [])
+        ends = np.r_[edges[1:], len(data)]
+        inside = kind[edges] != 0
+        starts, ends = edges[inside], ends[inside]
+        found, first, word = np.unique(self.hasher.spans(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set(words).difference(self.known))
-        if new:
-            self.known.update(zip(new, self.encoded(new)))
-        return b"".join(map(self.known.__getitem__, words))
+            self._forget()
+        at = np.searchsorted(self.known, found)
+        new = np.ones(len(found), dtype=bool)
+        inner = at < len(self.known)
+        new[inner] = self.known[at[inner]] != found[inner]
+        if new.any():
+            fresh = first[new]
+            self._learn(found[new], [raw[s:e].decode("latin-1") for s, e in zip(starts[fresh], ends[fresh])])
+        at = np.searchsorted(self.known, found)[word]
+        counts = self.count[at]
+        stops = np.cumsum(counts)
+        ids = self.ids[np.arange(stops[-1] if len(stops) else 0) + np.repeat(self.start[at] - stops + counts, counts)]
+        # Ids up to the end of each text, a newline after which the next one starts.
+        texts_end = np.cumsum([len(t) + 1 for t in texts])
+        return np.split(ids, np.r_[0, stops][np.searchsorted(starts, texts_end)][:-1])
+
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [self.by_word and bool(PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
+        quick = iter(self._plain([t for t, p in zip(texts, plain) if p]) if any(plain) else [])
+        return [next(quick) if p else self.encoded(t) for t, p in zip(texts, plain)]
 
 
 def cut_batches(definition: str, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds(definition)
-        end = END_ID.to_bytes(4, "little")
+        end = np.array([END_ID], dtype="<u4")
         for batch in batches:
             rows, places, starts, lengths, sums = [], [], [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                tokens = ids.of(text or "") + end
-                for piece, start in enumerate(range(0, len(tokens), 4 * size)):
-                    part = tokens[start : start + 4 * size]
-                    rows.append(row)
-                    places.append(piece)
-                    starts.append(start // 4)
-                    lengths.append(len(part) // 4)
-                    sums.append(zlib.crc32(part))
+            held, size_held = [], 0
+            texts = batch.column("text")
+            for row in range(len(texts)):
+                held.append(texts[row].as_py() or "")
+                size_held += len(held[-1])
+                if size_held < BLOCK_CHARS and row + 1 < len(texts):
+                    continue
+                for at, tokens in enumerate(ids.of(held), row + 1 - len(held)):
+                    tokens = np.r_[tokens, end]
+                    for piece, start in enumerate(range(0, len(tokens), size)):
+                        part = tokens[start : start + size]
+                        rows.append(at)
+                        places.append(piece)
+                        starts.append(start)
+                        lengths.append(len(part))
+                        sums.append(zlib.crc32(part.tobytes()))
+                held, size_held = [], 0
             columns = [
                 batch.column("doc_id").take(pa.array(rows, pa.int64())),
                 batch.column("split").take(pa.array(rows, pa.int64())),
@@ -150,29 +206,34 @@ def few_document_patterns(histogram: np.ndarray) -> np.ndarray:
 def fit_counts(patterns: np.ndarray, histogram: np.ndarray) -> np.ndarray:
     """Non-negative least squares: how often to use each pattern so that lengths are used up as they occur.
 
-    Accelerated projected gradient; misses count in proportion to their
-    length, as short leftovers are easy to place.
+    There is an equation for each length, weighted by it, as short leftovers
+    are easy to place, and one that asks for no unused space. Solved by
+    accelerated projected gradient.
     """
     size = len(histogram) - 1
     weight = np.arange(size + 1) / size
+    unused = 1 - weight[patterns].sum(axis=1)
     target = histogram * weight
-    # Each length's weight over the root of its share of patterns evens out the step.
+    # Columns are scaled by the lengths they share with others, which evens out the step.
     uses = np.bincount(patterns.ravel(), minlength=size + 1)
-    scale = 1 / np.sqrt(np.maximum((weight[patterns] ** 2 * uses[patterns]).sum(axis=1), 1e-12))
+    scale = 1 / np.sqrt((weight[patterns] ** 2 * uses[patterns]).sum(axis=1))
 
-    def apply(x: np.ndarray) -> np.ndarray:
-        return np.bincount(patterns.ravel(), np.repeat(x * scale, patterns.shape[1]), size + 1) * weight
+    def forward(x: np.ndarray) -> np.ndarray:
+        used = np.bincount(patterns.ravel(), np.repeat(x * scale, patterns.shape[1]), size + 1) * weight
+        used[0] = unused @ (x * scale)
+        return used
 
-    bound, probe = 1.0, np.ones(len(patterns))
+    def backward(misses: np.ndarray) -> np.ndarray:
+        return ((weight * misses)[patterns].sum(axis=1) + unused * misses[0]) * scale
+
+    probe, bound = np.ones(len(patterns)), 1.0
     for _ in range(20):
-        probe = (weight * apply(probe))[patterns].sum(axis=1) * scale
+        probe = backward(forward(probe / bound))
         bound = np.linalg.norm(probe)
-        probe /= max(bound, 1e-12)
     x = z = np.zeros(len(patterns))
     t = 1.0
     for _ in range(FIT_STEPS):
-        slope = (weight * (apply(z) - target))[patterns].sum(axis=1) * scale
-        new = np.maximum(z - slope / (1.05 * max(bound, 1e-12)), 0)
+        new = np.maximum(z - backward(forward(z) - target) / (1.05 * bound), 0)
         if np.dot(z - new, new - x) > 0:
             t = 1.0
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2

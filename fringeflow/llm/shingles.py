@@ -32,11 +32,8 @@ class WordHasher:
                 steps[0] = 1
                 setattr(self, name, np.multiply.accumulate(steps))
 
-    def words(self, text: str) -> np.ndarray:
-        data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
-        inside = np.r_[False, ~_SPACES[data], False]
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
-        starts, ends = edges[::2], edges[1::2]
+    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of each of the successive stretches ``starts`` to ``ends`` of some bytes."""
         out = np.zeros(len(starts), dtype=np.uint64)
         cuts = np.searchsorted(starts, np.arange(0, len(data) + SEGMENT, SEGMENT))
         for first, last in zip(cuts[:-1], cuts[1:]):
@@ -50,6 +47,12 @@ class WordHasher:
             out[first:last] = (sums[ends[first:last] - low] - sums[start]) * self.inverses[start]
         return mixed(out)
 
+    def words(self, text: str) -> np.ndarray:
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
+        inside = np.r_[False, ~_SPACES[data], False]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        return self.spans(data, edges[::2], edges[1::2])
+
     def shingles(self, text: str, width: int) -> np.ndarray:
         """Sorted distinct hashes of runs of ``width`` words; fewer words count as one run, none as no run."""
         words = self.words(text)
