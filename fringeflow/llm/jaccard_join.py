@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fringeflow.llm.components import connected_components
+from fringeflow.llm.matching import rows_with_keys, small_or_shuffled
 from fringeflow.llm.shingles import WordHasher
 from fringeflow.sources.stage_store import settle
 
@@ -19,6 +20,10 @@ FREQUENT = 1 << 16
 # Shingles in fewer sets than this are never called frequent.
 RARE = 64
 
+# Sets of a family that meet others in one task, and elements multiplied at once.
+CHUNK = 256
+ELEMENTS = 4096
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -83,54 +88,151 @@ def frequent_shingles(sets: DataFrame) -> np.ndarray:
 
 
 def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
-    """``token, at, n, block, class`` of all prefix elements that two classes share; a block holds similar sizes."""
+    """``token, at, n, block, class, shared`` of all prefix elements that two classes have.
+
+    A block holds similar sizes; ``shared`` counts a class's rows here.
+    """
     entries = classes.select(F.posexplode("tokens").alias("at", "token"), "n", "class")
     entries = entries.withColumn("block", F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent))).cast("int"))
     counted = entries.selectExpr("*", "count(*) over (partition by token) as df")
-    return settle(counted.where("df > 1").drop("df"), "lists")
+    common = counted.where("df > 1").drop("df")
+    return settle(common.selectExpr("*", "count(*) over (partition by class) as shared"), "lists")
 
 
-def pivot_pairs(lists: DataFrame) -> DataFrame:
-    """For each class the two pivots it shares most list blocks with; pivots are the ends of a list block."""
-    ends = lists.groupBy("token", "block").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    near = lists.join(ends, ["token", "block"])
-    near = near.select("class", F.explode(F.array("low", "high")).alias("pivot")).where("class <> pivot")
-    shared = near.groupBy("class", "pivot").count()
-    ranked = shared.groupBy("class").agg(F.max(F.struct("count", "pivot")).alias("best"), F.min("pivot").alias("first"))
+def pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """For each class up to two pivots that share a quarter of its prefix; pivots are the ends of a list block.
+
+    They only gather classes into families; similar classes of different
+    families are found by ``crossing_pairs``.
+    """
+    end = "{}(class) over (partition by token, block) as {}"
+    near = lists.selectExpr("class", "n", end.format("min", "low"), end.format("max", "high")).where("low < high")
+    near = near.select("class", "n", F.explode(F.array("low", "high")).alias("pivot")).where("class <> pivot")
+    common = near.groupBy("class", "pivot").agg(F.count("*").alias("common"), F.any_value("n").alias("n"))
+    common = common.where(f"4 * common >= n - ({percent} * n + 99) div 100 + 1")
+    ranked = common.groupBy("class").agg(F.max(F.struct("common", "pivot")).alias("best"), F.min("pivot").alias("first"))
     pairs = ranked.select("class", F.explode(F.array("best.pivot", "first")).alias("pivot"))
-    return pairs.selectExpr("least(class, pivot) as a", "greatest(class, pivot) as b").distinct()
+    return pairs.selectExpr("least(class, pivot) as src", "greatest(class, pivot) as dst").distinct()
+
+
+def joined_members(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the first one it is connected with through similar sets.
+
+    Overlaps of all pairs come from products of the sets' membership
+    matrix, a stretch of elements at a time.
+    """
+    sizes = np.array([len(s) for s in sets])
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    for start in range(0, int(element[-1]) + 1, ELEMENTS):
+        low, high = np.searchsorted(element, [start, start + ELEMENTS])
+        member = np.zeros((len(sets), ELEMENTS), dtype=np.float32)
+        member[owner[low:high], element[low:high] - start] = 1
+        common += member @ member.T
+    similar = (100 + percent) * common.astype(np.int64) >= percent * (sizes[:, None] + sizes)
+    place = np.arange(len(sets))
+    while True:
+        least = np.where(similar, place, len(sets)).min(axis=1)
+        least = least[least]
+        if (least == place).all():
+            return place
+        place = least
+
+
+def family_batches(percent: int) -> Callable[[Batches], Batches]:
+    """Edges that connect similar sets of a family; rows come sorted by family and meeting."""
+
+    def judged(table: pa.Table) -> pa.RecordBatch:
+        classes = table.column("class").to_numpy()
+        sets = [np.array(x, dtype=np.int64) for x in table.column("tokens").to_pylist()]
+        place = joined_members(sets, percent)
+        moved = np.flatnonzero(place != np.arange(len(place)))
+        return pa.RecordBatch.from_arrays([pa.array(classes[moved]), pa.array(classes[place[moved]])], ["src", "dst"])
+
+    def run(batches: Batches) -> Batches:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, table]) if held else table
+            keys = np.stack([held.column(c).to_numpy() for c in ("family", "low", "high")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for first, last in zip(np.r_[0, cuts[:-1]], cuts):
+                if last - first > 1:
+                    yield judged(held.slice(first, last - first))
+            held = held.slice(cuts[-1]) if len(cuts) else held
+        if held is not None and len(held) > 1:
+            yield judged(held)
+
+    return run
+
 
+def family_links(families: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges ``src, dst`` that connect the similar classes of each family.
 
-def crossing_pairs(lists: DataFrame, places: DataFrame, percent: int) -> DataFrame:
-    """Pairs from lists that may be similar enough and are not connected yet.
+    A family is dealt to chunks of about ``CHUNK`` sets, and each pair of
+    chunks meets in a task, so every pair of sets is compared. Sets are made
+    anew from the texts.
+    """
+    members = families.selectExpr("node as class", "component as family")
+    sizes = members.groupBy("family").agg(F.expr(f"cast(ceil(count(*) / {CHUNK}) as int)").alias("chunks"))
+    sets = class_sets(members, classes, docs, width)
+    dealt = sets.join(small_or_shuffled(members.join(sizes, "family")), "class")
+    dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(class), chunks) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+    dealt = dealt.selectExpr("family", "least(own, other) as low", "greatest(own, other) as high", "class", "tokens")
+    key = ["family", "low", "high"]
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(family_batches(percent), "src long, dst long")
+
+
+def crossing_pairs(lists: DataFrame, families: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different families from lists that may be similar enough.
 
     A block of a list only meets itself and the next one, as sizes must
-    agree; a pair must leave enough elements behind its places in both sets;
-    and a pair within a component, whose answers are known from each other,
-    is skipped.
+    agree. Similar sets have at least ``needed`` prefix elements in common:
+    the one whose prefix ends first can miss only as many elements as the
+    overlap leaves. So classes with fewer shared ones skip each other, and
+    pairs go that have fewer common ones or whose places in the lists leave
+    too few elements behind the first. Pairs within a family are skipped.
     """
-    lists = lists.join(places.selectExpr("node as class", "component"), "class", "left")
-    lists = lists.selectExpr("token", "at", "n", "block", "class", "coalesce(component, class) as component")
-    left = lists.selectExpr("token", "at as at_a", "n as n_a", "explode(array(block, block + 1)) as block", "class as a", "component as of_a")
-    right = lists.selectExpr("token", "at as at_b", "n as n_b", "block", "class as b", "component as of_b")
+    lists = lists.join(small_or_shuffled(families.selectExpr("node as class", "component")), "class", "left")
+    lists = lists.selectExpr("token", "at", "n", "block", "class", "shared", "coalesce(component, class) as of")
+    left = lists.selectExpr(
+        "token", "at as at_a", "n as n_a", "explode(array(block, block + 1)) as block", "class as a", "shared as shared_a",
+        "of as of_a",
+    )
+    right = lists.selectExpr("token", "at as at_b", "n as n_b", "block", "class as b", "shared as shared_b", "of as of_b")
+    overlap = f"(({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent})"
+    needed = f"({overlap} + 1 - ({percent} * n_b + 99) div 100)"
+    # The first common element of a pair leaves an overlap behind it in both sets; later ones are counted.
     enough = f"""of_a <> of_b and (n_a < n_b or n_a = n_b and a < b) and 100 * n_a >= {percent} * n_b
-        and {100 + percent} * least(n_a - at_a, n_b - at_b) >= {percent} * (n_a + n_b)"""
-    return left.join(right, ["token", "block"]).where(enough).selectExpr("a", "b").distinct()
+        and least(shared_a, shared_b) >= {needed}"""
+    met = left.join(right, ["token", "block"]).where(enough)
+    found = met.groupBy("a", "b").agg(
+        F.count("*").alias("common"),
+        F.expr(f"any_value({needed})").alias("needed"),
+        F.expr(f"max(least(n_a - at_a, n_b - at_b) - {overlap})").alias("behind"),
+    )
+    return found.where("common >= needed and behind >= 0").select("a", "b")
+
+
+def class_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``class, tokens`` of the wanted classes, made anew from one text of each."""
+    members = settle(wanted.select("class").distinct().join(classes.select("class", "digest", "doc_id"), "class"), "members")
+    sets = shingle_sets(rows_with_keys(docs, members, ["doc_id"]), width, None, np.zeros(0, np.uint64))
+    sets = sets.join(small_or_shuffled(members.select("class", "digest")), "digest").groupBy("class").agg(F.any_value("tokens").alias("tokens"))
+    return settle(sets, "sets")
 
 
 def similar_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs whose sets, made anew from the texts, are similar enough."""
+    """Pairs ``a, b`` whose sets are similar enough, as edges ``src, dst``."""
     pairs = settle(pairs, "pairs")
-    members = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    members = settle(members.join(classes.select("class", "digest", "doc_id"), "class"), "members")
-    wanted = members.select(F.col("doc_id").alias("wanted")).distinct()
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi")
-    sets = shingle_sets(texts, width, None, np.zeros(0, np.uint64))
-    sets = sets.join(members.select("class", "digest"), "digest").groupBy("class").agg(F.any_value("tokens").alias("tokens"))
-    sets = settle(sets, "sets")
+    sets = class_sets(pairs.select(F.explode(F.array("a", "b")).alias("class")), classes, docs, width)
     both = pairs.join(sets.selectExpr("class as a", "tokens as x"), "a").join(sets.selectExpr("class as b", "tokens as y"), "b")
-    both = both.selectExpr("a", "b", "size(x) + size(y) as total", "size(array_intersect(x, y)) as common")
-    return settle(both.where(f"{100 + percent} * common >= {percent} * total").select("a", "b"), "links")
+    both = both.selectExpr("a as src", "b as dst", "size(x) + size(y) as total", "size(array_intersect(x, y)) as common")
+    return both.where(f"{100 + percent} * common >= {percent} * total").select("src", "dst")
 
 
 def linked_sets(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -146,11 +248,10 @@ def linked_sets(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     classes = settle(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
 
     lists = inverted_lists(classes, percent)
-    links = similar_pairs(pivot_pairs(lists), classes, docs, width, percent)
-    places = connected_components(links.selectExpr("a as src", "b as dst"))
-    crossing = crossing_pairs(lists, places, percent)
-    links = links.unionByName(similar_pairs(crossing, classes, docs, width, percent))
-    places = connected_components(links.selectExpr("a as src", "b as dst"))
+    families = connected_components(pivot_pairs(lists, percent))
+    crossing = similar_pairs(crossing_pairs(lists, families, percent), classes, docs, width, percent)
+    links = family_links(families, classes, docs, width, percent).unionByName(crossing)
+    places = connected_components(links)
 
     named = classes.select("digest", "class", "doc_id").join(places.selectExpr("node as class", "component"), "class", "left")
     return sets, named.select("digest", "doc_id", F.coalesce("component", "class").alias("component"))
@@ -164,10 +265,10 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     exact up to collisions of 64-bit hashes.
 
     Equal sets become one class. Classes meet in inverted lists of their
-    prefixes. First each is compared with pivots of its lists; sets connected
-    through a pivot share their answers, so only pairs across components are
-    looked at after that, and a large group of near copies costs a few
-    comparisons for each member.
+    prefixes. Those that share much with a pivot of their lists make up a
+    family, whose sets are compared with each other block by block, each
+    from what the others have in common with it. Lists then only yield pairs
+    across families, so a large group of near copies yields none.
 
     A text without words, empty or null, has an empty set and is its own
     component. ``component_id`` is the least doc_id of the component, nulls

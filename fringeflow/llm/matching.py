@@ -14,14 +14,18 @@ from fringeflow.sources.stage_store import settle
 BROADCAST_KEYS = 1_000_000
 
 
+def small_or_shuffled(table: DataFrame) -> DataFrame:
+    """The table settled, with a hint to broadcast it if it has at most ``BROADCAST_KEYS`` rows."""
+    table = settle(table, "lookup")
+    return F.broadcast(table) if table.count() <= BROADCAST_KEYS else table
+
+
 def rows_with_keys(rows: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """``rows`` whose columns ``on`` equal a row of ``keys``, nulls included.
 
     The keys are counted first. Up to a million distinct ones are broadcast,
     so that ``rows`` stay where they are; more are left to a shuffled join.
     """
-    wanted = settle(keys.select(*[F.col(c).alias(f"_wanted_{c}") for c in on]).distinct(), "wanted")
-    if wanted.count() <= BROADCAST_KEYS:
-        wanted = F.broadcast(wanted)
+    wanted = small_or_shuffled(keys.select(*[F.col(c).alias(f"_wanted_{c}") for c in on]).distinct())
     same = [F.col(c).eqNullSafe(F.col(f"_wanted_{c}")) for c in on]
     return rows.join(wanted, reduce(lambda a, b: a & b, same), "left_semi")
