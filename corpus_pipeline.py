@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fringeflow.llm import decontaminate, jaccard_join, language, packing, repeats
 from fringeflow.llm.queries import SEQUENCE_TOKENS, table
-from fringeflow.sources.stage_store import settle
+from fringeflow.sources import stage_store
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -23,6 +23,31 @@ SIMILAR_PERCENT = 80
 REPEATED_BYTES = 200
 
 
+# What stages have settled on the way to their last result.
+_OWN: list[str] = []
+
+
+def _stored_stage(stage: Stage) -> Stage:
+    """A stage that first removes what the stages before it settled on their way.
+
+    Their results are stored by then, as the input of this one; if the
+    input still reads what they settled, that stays.
+    """
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = " ".join(docs.inputFiles())
+        if not any(path.split("/")[-2] in read for path in _OWN):
+            while _OWN:
+                stage_store.remove_stage(spark, _OWN.pop())
+        before = len(stage_store.SETTLED)
+        result = stage(spark, docs, sf_dir)
+        _OWN.extend(stage_store.SETTLED[before:])
+        del stage_store.SETTLED[before:]
+        return result
+
+    return run_stage
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language."""
     return language.keep_identified(docs)
@@ -52,11 +77,11 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("language_id", identify_language),
-    ("near_copies", drop_near_copies),
-    ("repeats", cut_repeats),
-    ("decontamination", drop_benchmark_leaks),
-    ("packing", pack),
+    ("language_id", _stored_stage(identify_language)),
+    ("near_copies", _stored_stage(drop_near_copies)),
+    ("repeats", _stored_stage(cut_repeats)),
+    ("decontamination", _stored_stage(drop_benchmark_leaks)),
+    ("packing", _stored_stage(pack)),
 ]
 
 # Token ids and repeated strings are beyond SQL; tests compare with brute force.
@@ -66,5 +91,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        result = stage(spark, docs, sf_dir)
+        path = stage_store.write_stage(result, stage_store.new_stage_path(spark, name))
+        docs = stage_store.read_stage(spark, path, result.schema)
     return docs
