@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fringeflow.llm.components import connected_components
 from fringeflow.llm.matching import rows_with_keys, small_or_shuffled
+from fringeflow.llm.memory import returning_memory
 from fringeflow.llm.shingles import WordHasher
 from fringeflow.sources.stage_store import settle
 
@@ -69,7 +70,9 @@ def set_batches(width: int, percent: int | None, frequent: np.ndarray) -> Callab
 def shingle_sets(docs: DataFrame, width: int, percent: int | None, frequent: np.ndarray) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, code long, n long, digest binary, tokens array<long>"
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("code")).mapInArrow(set_batches(width, percent, frequent), schema)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("code")).mapInArrow(
+        returning_memory(set_batches(width, percent, frequent)), schema
+    )
 
 
 def frequent_shingles(sets: DataFrame) -> np.ndarray:
@@ -184,7 +187,8 @@ def family_links(families: DataFrame, classes: DataFrame, docs: DataFrame, width
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
     dealt = dealt.selectExpr("family", "least(own, other) as low", "greatest(own, other) as high", "class", "tokens")
     key = ["family", "low", "high"]
-    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(family_batches(percent), "src long, dst long")
+    dealt = dealt.repartition(*key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(returning_memory(family_batches(percent)), "src long, dst long")
 
 
 def crossing_pairs(lists: DataFrame, families: DataFrame, percent: int) -> DataFrame:

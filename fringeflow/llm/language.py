@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from fringeflow.llm.memory import returning_memory
 from fringeflow.sources.stage_store import settle
 
 DIMENSIONS = 1024
@@ -78,12 +79,11 @@ class TrigramVectors:
         last = letter_vectors()
         self.places = np.roll(last, 2, axis=1), np.roll(last, 1, axis=1), last
         self.known = np.zeros(0, dtype=np.int64)
-        self.vectors = np.zeros((0, DIMENSIONS), dtype=np.float32)
+        self.vectors = np.zeros((0, DIMENSIONS), dtype=np.int8)
 
     def bind(self, grams: np.ndarray) -> np.ndarray:
         first, second, third = self.places
-        bound = first[grams // SYMBOLS**2] * second[grams // SYMBOLS % SYMBOLS] * third[grams % SYMBOLS]
-        return bound.astype(np.float32)
+        return first[grams // SYMBOLS**2] * second[grams // SYMBOLS % SYMBOLS] * third[grams % SYMBOLS]
 
     def of(self, grams: np.ndarray) -> np.ndarray:
         """Vectors of sorted distinct trigrams."""
@@ -93,7 +93,7 @@ class TrigramVectors:
         if len(new):
             order = np.argsort(both := np.r_[self.known, new])
             self.known, self.vectors = both[order], np.concatenate([self.vectors, self.bind(new)])[order]
-        return self.vectors[np.searchsorted(self.known, grams)]
+        return self.vectors[np.searchsorted(self.known, grams)].astype(np.float32)
 
 
 def bundle(texts: list[str | None], vectors: TrigramVectors) -> np.ndarray:
@@ -144,7 +144,9 @@ def language_profiles(labelled: DataFrame) -> dict[str, np.ndarray]:
                 ["lang", "at", "value"],
             )
 
-    rows = labelled.where("lang is not null").select("text", "lang").mapInArrow(count, "lang string, at int, value long")
+    rows = labelled.where("lang is not null").select("text", "lang").mapInArrow(
+        returning_memory(count), "lang string, at int, value long"
+    )
     sums = rows.groupBy("lang", "at").agg(F.sum("value").alias("value"))
     profiles: dict[str, np.ndarray] = {}
     for row in settle(sums, "profiles").toLocalIterator():
@@ -184,7 +186,7 @@ def predict_languages(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataF
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
 
     schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
-    return docs.mapInArrow(predict, schema)
+    return docs.mapInArrow(returning_memory(predict), schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

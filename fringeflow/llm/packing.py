@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from fringeflow.llm.memory import returning_memory
 from fringeflow.llm.shingles import WordHasher
 from fringeflow.sources.stage_store import settle
 
@@ -156,7 +157,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, split int, piece int, start long, length long, ids_crc32 long"
     rows = docs.select("doc_id", "text", F.spark_partition_id().alias("split"))
-    return rows.mapInArrow(cut_batches(definition, size), schema)
+    return rows.mapInArrow(returning_memory(cut_batches(definition, size)), schema)
 
 
 @dataclass(frozen=True)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fringeflow.llm.matching import rows_with_keys
+from fringeflow.llm.memory import returning_memory
 from fringeflow.llm.shingles import mixed
 from fringeflow.sources.stage_store import settle
 
@@ -244,7 +245,7 @@ def repeated_runs(docs: DataFrame, length: int, variants: int = VARIANTS) -> Dat
     """
     texts = keyed_texts(docs).select("ref", "size", "text")
     spec = "anchor long, context long, ref long, size long, span long"
-    samples = texts.where(f"size >= {length}").mapInArrow(sample_batches(length), spec)
+    samples = texts.where(f"size >= {length}").mapInArrow(returning_memory(sample_batches(length)), spec)
     twice = samples.groupBy("anchor").count().where("count > 1").select("anchor")
     candidates = settle(samples.join(twice, "anchor"), "candidates")
     contexts = candidates.groupBy("anchor", "context").agg(
@@ -261,12 +262,14 @@ def repeated_runs(docs: DataFrame, length: int, variants: int = VARIANTS) -> Dat
     wanted = unsure.groupBy("ref", "size").agg(F.collect_list(F.struct("anchor", "many", "span")).alias("wanted"))
     single = rows_with_keys(texts, unsure, ["ref", "size"]).groupBy("ref", "size").agg(F.any_value("text").alias("text"))
     spec = "anchor long, many boolean, ref long, size long, span long, bytes binary"
-    cut = single.join(wanted, ["ref", "size"]).select("ref", "size", "text", "wanted").mapInArrow(context_batches(length), spec)
+    cut = single.join(wanted, ["ref", "size"]).select("ref", "size", "text", "wanted")
+    cut = cut.mapInArrow(returning_memory(context_batches(length)), spec)
     large = kinds.where(f"kinds > {variants}").select("anchor")
     cut = settle(cut, "cut")
     spec = "ref long, size long, first long, last long"
     few = cut.join(large, "anchor", "left_anti").select(cut.columns)
-    judged = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(judge_batches(length), spec)
+    few = few.repartition("anchor").sortWithinPartitions("anchor")
+    judged = few.mapInArrow(returning_memory(judge_batches(length)), spec)
 
     spec = "many boolean, ref long, size long, first long, code long"
     windows = cut.join(large, "anchor", "left_semi").select(cut.columns).mapInArrow(window_batches(length), spec)
@@ -325,7 +328,7 @@ def remove_repeats(docs: DataFrame, length: int, variants: int = VARIANTS, as_te
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "kept", "n_removed", "n_spans"])
 
     schema = StructType([*docs.schema.fields]).add("n_bytes", "long").add("kept", "string" if as_text else "binary")
-    return joined.mapInArrow(cut, schema.add("n_removed", "long").add("n_spans", "long"))
+    return joined.mapInArrow(returning_memory(cut), schema.add("n_removed", "long").add("n_spans", "long"))
 
 
 def drop_repeats(docs: DataFrame, length: int) -> DataFrame:

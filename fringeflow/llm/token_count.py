@@ -10,6 +10,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from fringeflow.llm.memory import returning_memory
+
 # Pre-tokens whose counts a task remembers; beyond that it starts anew.
 REMEMBERED = 1 << 20
 # Characters of text whose pre-tokens are held at once, unless one text is longer.
@@ -152,4 +154,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int) -> DataFrame:
         definition = file.read()
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean"
-    return docs.select("doc_id", "text").mapInArrow(count_batches(definition, limit), schema)
+    return docs.select("doc_id", "text").mapInArrow(returning_memory(count_batches(definition, limit)), schema)
