@@ -32,13 +32,13 @@ UNITS = (
 def marked_words(text: Column) -> Column:
     """Lower-case words of a text; names, numbers and units carry the mark of their type before their value.
 
-    A name is a capitalised word inside a sentence, a number a run of
-    digits with inner points or commas, a unit a word of ``UNITS`` after a
-    number.
+    A name is a capitalised word inside a sentence, whatever white space is
+    before it, a number a run of digits with inner points or commas, a unit a
+    word of ``UNITS`` after a number. Apostrophes are left out.
     """
-    text = F.translate(text, NAME + NUMBER + UNIT + POINT, "    ")
+    text = F.translate(text, NAME + NUMBER + UNIT + POINT + "'\u2019", "    ")
     text = F.regexp_replace(text, r"(?<=\d)[.,](?=\d)", POINT)
-    text = F.regexp_replace(text, r"(?<=[\p{L}\d,;] )(?=\p{Lu}\p{Ll})", NAME)
+    text = F.regexp_replace(text, r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\d,;][\s\p{Z}]{1,64})", NAME)
     text = F.regexp_replace(text, rf"(?<![\p{{L}}\d{POINT}])\d[\d{POINT}]*", f" {NUMBER}$0 ")
     text = F.regexp_replace(text, rf"(?<=\d )\s*(?=(?:{'|'.join(UNITS)})(?![\p{{L}}\d]))", f" {UNIT}")
     return F.regexp_extract_all(F.lower(text), F.lit(rf"[\p{{L}}\p{{N}}{NAME}-{POINT}]+"), F.lit(0))
@@ -48,43 +48,62 @@ def is_slot(word: Column) -> Column:
     return word < "\x05"
 
 
+def plain_word(word: Column) -> Column:
+    """The word without marks, and a number without points and commas."""
+    return F.when(is_slot(word) | F.contains(word, F.lit(POINT)), F.translate(word, NAME + NUMBER + UNIT + POINT, "")).otherwise(word)
+
+
 def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` worked out once, however often ``use`` mentions it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def window_hashes(words: Column) -> Column:
-    """Hash of the template of each run of 8 words, by its place; of fewer words, of all together.
+def _full_windows(codes: Column, step: int = 1) -> Column:
+    """Hash of each run of 8 codes by its place, null without a full run. Built by doubling: pairs, pairs of pairs, and so on."""
+    if step == WINDOW:
+        return codes
+    later = F.slice(codes, F.lit(step + 1), F.greatest(F.size(codes), F.lit(1)))
+    both = F.zip_with(codes, later, lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
+    return _bind(both, lambda pairs: _full_windows(pairs, 2 * step))
+
+
+def _codes(words: Column, exact: bool) -> Column:
+    """Hash of each word; slots count as their type only, unless ``exact``."""
+    if exact:
+        return F.transform(words, lambda w: F.xxhash64(plain_word(w)))
+    return F.transform(words, lambda w: F.xxhash64(F.when(is_slot(w), F.substring(w, 1, 1)).otherwise(w)))
+
+
+def window_hashes(words: Column, exact: bool = False) -> Column:
+    """Hash of the template, or the ``exact`` words, of each run of 8 words, by its place; of fewer words, of all together.
 
-    Built by doubling: pairs, pairs of pairs, and so on. Places without a
-    full run are null.
+    Places without a full run are null.
     """
 
-    def doubled(hashes: Column, step: int) -> Column:
-        if step == WINDOW:
-            return hashes
-        later = F.slice(hashes, F.lit(step + 1), F.greatest(F.size(hashes), F.lit(1)))
-        both = F.zip_with(hashes, later, lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-        return _bind(both, lambda pairs: doubled(pairs, 2 * step))
-
-    codes = F.transform(words, lambda w: F.xxhash64(F.when(is_slot(w), F.substring(w, 1, 1)).otherwise(w)))
-    short = F.size(words) < WINDOW
-    return F.when(short, F.array(F.xxhash64(codes))).otherwise(_bind(codes, lambda c: doubled(c, 1)))
-
-
-def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """``hash, item_id, place, slots`` of every window that has enough plain words; slots by their place in the window."""
-    items = benchmark.select("item_id", marked_words(F.col("text")).alias("words"))
-    items = settle(items.withColumn("hashes", window_hashes(F.col("words"))), "items")
-    windows = items.select("item_id", "words", F.posexplode("hashes").alias("place", "hash"))
-    windows = windows.where("hash is not null and size(words) > 0")
-    windows = windows.withColumn("window", F.slice("words", F.col("place") + 1, F.lit(WINDOW)))
+    def hashed(codes: Column) -> Column:
+        return F.when(F.size(codes) < WINDOW, F.array(F.xxhash64(codes))).otherwise(_full_windows(codes))
+
+    return _bind(_codes(words, exact), hashed)
+
+
+def benchmark_windows(benchmark: DataFrame, copies: bool) -> DataFrame:
+    """``hash, item_id, exact, place, window`` of every template that has enough plain words; with ``copies`` also of all exact windows."""
+    items = settle(benchmark.select("item_id", marked_words(F.col("text")).alias("words")).where("size(words) > 0"), "items")
+    windows = _windows_of(items, exact=False)
     plain = F.size(F.filter("window", lambda w: ~is_slot(w)))
-    enough = plain >= F.least(F.lit(MIN_LITERALS), F.size("words"))
-    return windows.where(enough).select("hash", "item_id", "place", "window")
+    windows = windows.where(plain >= F.least(F.lit(MIN_LITERALS), F.size("words")))
+    if copies:
+        windows = windows.unionByName(_windows_of(items.withColumn("words", F.transform("words", plain_word)), exact=True))
+    return windows.select("hash", "item_id", "exact", "place", "window")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _windows_of(items: DataFrame, exact: bool) -> DataFrame:
+    windows = items.select("item_id", "words", F.posexplode(window_hashes(F.col("words"), exact)).alias("place", "hash"))
+    window = F.slice("words", F.col("place") + 1, F.lit(WINDOW))
+    return windows.where("hash is not null").select("*", F.lit(exact).alias("exact"), window.alias("window"))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, copies: bool = False) -> DataFrame:
     """``doc_id, item_id, n_windows, n_slots, n_changed, consistent, leaked`` for documents that share windows with items.
 
     Numbers, names and units become typed placeholders; windows of 8 words
@@ -94,29 +113,37 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     several alignments the best one is kept. ``leaked``: consistent, and at
     least 5 windows, or all windows of a shorter item.
 
+    Templates depend on capitals and sentence ends, and those with fewer than
+    4 plain words are left out. With ``copies`` the windows also meet by
+    their exact words, whatever they are, without case, white space and
+    punctuation, counted by themselves; so copies are found in any layout.
+
     Texts under 8 words are one window, so they only meet texts of the same
     template. Null and empty texts have no window. Rows of one doc_id, null
     included, or one item_id are judged together; repeated rows change nothing.
     Other columns are ignored; empty tables give no rows.
     """
-    bench = settle(benchmark_windows(benchmark).distinct(), "bench_windows")
+    bench = settle(benchmark_windows(benchmark, copies).distinct(), "bench_windows")
     hashes = bench.select("hash").distinct()
     if bench.count() <= BROADCAST_WINDOWS:
         hashes = F.broadcast(hashes)
     docs = docs.select("doc_id", "text")
     words = marked_words(F.col("text"))
-    found = docs.withColumn("words", words).select("doc_id", F.posexplode(window_hashes(F.col("words"))).alias("at", "hash"))
-    found = settle(found.join(hashes, "hash").distinct(), "found")
+    both = [window_hashes(F.col("words"), exact) for exact in ([False, True] if copies else [False])]
+    found = docs.withColumn("words", words).withColumn("hashes", F.concat(*both))
+    found = found.select("doc_id", (F.size("hashes") / len(both)).cast("int").alias("n"), F.posexplode("hashes").alias("at", "hash"))
+    found = found.join(hashes, "hash").selectExpr("doc_id", "at % n as at", "hash")
+    found = settle(found.distinct(), "found")
 
     # Of the few documents found, the words at the places found.
-    places = found.groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
+    places = found.groupBy("doc_id").agg(F.collect_set(F.struct("at", "hash")).alias("ats"))
     texts = rows_with_keys(docs, places, ["doc_id"]).select("doc_id", words.alias("words"))
     texts = texts.join(places, texts["doc_id"].eqNullSafe(places["doc_id"])).select(texts["doc_id"], "ats", "words")
-    cut = F.transform("ats", lambda at: F.struct(at.alias("at"), F.slice("words", at + 1, F.lit(WINDOW)).alias("theirs")))
-    texts = texts.select("doc_id", F.inline(cut)).withColumn("hash", F.get(window_hashes(F.col("theirs")), 0))
+    theirs = F.slice("words", F.col("a.at") + 1, F.lit(WINDOW)).alias("theirs")
+    texts = texts.select("doc_id", "words", F.explode("ats").alias("a")).select("doc_id", "a.at", "a.hash", theirs)
     pairs = settle(texts.join(bench, "hash").selectExpr("*", "at - place as shift").distinct(), "pairs")
 
-    key = ["doc_id", "item_id", "shift"]
+    key = ["doc_id", "item_id", "exact", "shift"]
     slots = pairs.select(*key, F.explode(F.arrays_zip("window", "theirs")).alias("slot"))
     slots = slots.where(is_slot(F.col("slot.window"))).distinct()
     judged = slots.groupBy(*key).agg(
@@ -128,8 +155,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     runs = pairs.groupBy(*key).agg(F.countDistinct("place").alias("n_windows"))
     same = [runs[c].eqNullSafe(judged[c]) for c in key]
     runs = runs.join(judged, same, "left").select(*[runs[c] for c in key], "n_windows", "n_slots", "n_ours", "n_theirs", "n_changed")
-    sizes = bench.groupBy("item_id").agg(F.countDistinct("place").alias("n_item"))
-    runs = runs.join(sizes, runs["item_id"].eqNullSafe(sizes["item_id"])).select(runs["*"], "n_item")
+    sizes = bench.groupBy("item_id", "exact").agg(F.countDistinct("place").alias("n_item"))
+    of_item = runs["item_id"].eqNullSafe(sizes["item_id"]) & (runs["exact"] == sizes["exact"])
+    runs = runs.join(sizes, of_item).select(runs["*"], "n_item")
     runs = runs.selectExpr(
         "doc_id", "item_id", "n_windows", "coalesce(n_slots, 0L) as n_slots", "coalesce(n_changed, 0L) as n_changed",
         "coalesce(n_slots = n_ours and n_slots = n_theirs, true) as consistent", f"least({MIN_WINDOWS}, n_item) as enough",
@@ -144,5 +172,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without a leaked item; all rows of a doc_id that has one go."""
-    leaked = settle(find_leaks(docs, benchmark).where("leaked").select("doc_id").distinct(), "leaked")
+    leaked = settle(find_leaks(docs, benchmark, copies=True).where("leaked").select("doc_id").distinct(), "leaked")
     return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["doc_id"]), "left_anti")
