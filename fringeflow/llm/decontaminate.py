@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,12 +86,27 @@ def window_hashes(words: Column, exact: bool = False) -> Column:
     return _bind(_codes(words, exact), hashed)
 
 
+def own_length_hashes(words: Column, lengths: Sequence[int], exact: bool) -> Column:
+    """For 8 and each shorter length one array after the other, each as long as ``words``: ``window_hashes`` of that many words."""
+
+    def short(codes: Column, k: int) -> Column:
+        return F.transform(codes, lambda _, i: F.when(i + k <= F.size(codes), F.xxhash64(F.slice(codes, i + 1, F.lit(k)))))
+
+    def hashed(codes: Column) -> Column:
+        return F.concat(_full_windows(codes), *[short(codes, k) for k in lengths])
+
+    return _bind(_codes(words, exact), hashed)
+
+
 def benchmark_windows(benchmark: DataFrame, copies: bool) -> DataFrame:
     """``hash, item_id, exact, place, window`` of every template that has enough plain words; with ``copies`` also of all exact windows."""
     items = settle(benchmark.select("item_id", marked_words(F.col("text")).alias("words")).where("size(words) > 0"), "items")
     windows = _windows_of(items, exact=False)
     plain = F.size(F.filter("window", lambda w: ~is_slot(w)))
-    windows = windows.where(plain >= F.least(F.lit(MIN_LITERALS), F.size("words")))
+    if copies:
+        windows = windows.where(plain * WINDOW >= F.size("window") * MIN_LITERALS)
+    else:
+        windows = windows.where(plain >= F.least(F.lit(MIN_LITERALS), F.size("words")))
     if copies:
         windows = windows.unionByName(_windows_of(items.withColumn("words", F.transform("words", plain_word)), exact=True))
     return windows.select("hash", "item_id", "exact", "place", "window")
@@ -119,7 +134,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, copies: bool = False) -> D
     punctuation, counted by themselves; so copies are found in any layout.
 
     Texts under 8 words are one window, so they only meet texts of the same
-    template. Null and empty texts have no window. Rows of one doc_id, null
+    template. With ``copies`` an item under 8 words is looked for at every
+    place of every document, by its exact words, and by its template if half
+    its words are plain; one of a single word is found wherever that word is.
+    Null and empty texts have no window. Rows of one doc_id, null
     included, or one item_id are judged together; repeated rows change nothing.
     Other columns are ignored; empty tables give no rows.
     """
@@ -129,10 +147,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, copies: bool = False) -> D
         hashes = F.broadcast(hashes)
     docs = docs.select("doc_id", "text")
     words = marked_words(F.col("text"))
-    both = [window_hashes(F.col("words"), exact) for exact in ([False, True] if copies else [False])]
-    found = docs.withColumn("words", words).withColumn("hashes", F.concat(*both))
-    found = found.select("doc_id", (F.size("hashes") / len(both)).cast("int").alias("n"), F.posexplode("hashes").alias("at", "hash"))
-    found = found.join(hashes, "hash").selectExpr("doc_id", "at % n as at", "hash")
+    n, every = F.lit(1), window_hashes(F.col("words"))
+    if copies:
+        short = bench.select(F.size("window").alias("k")).where(f"k < {WINDOW}").distinct().collect()
+        n, lengths = F.size("words"), sorted(r["k"] for r in short)
+        every = F.concat(*[own_length_hashes(F.col("words"), lengths, exact) for exact in (False, True)])
+    found = docs.withColumn("words", words).select("doc_id", n.alias("n"), F.posexplode(every).alias("at", "hash"))
+    found = found.join(hashes, "hash").selectExpr("doc_id", "at % n as at" if copies else "at", "hash")
     found = settle(found.distinct(), "found")
 
     # Of the few documents found, the words at the places found.

@@ -19,3 +19,14 @@ def test_copies_in_any_layout(spark, make_docs, prose):
         (7, ITEM.replace("Berlin", "Madrid").replace("120 ", "98 ").replace(" ", "\n")),
     ]
     assert leaked(spark, make_docs, docs, [(1, ITEM)]) == {(i, 1) for i in (1, 2, 3, 4, 5, 7)}
+
+
+def test_short_items_and_items_of_few_plain_words(spark, make_docs, prose):
+    count, names = "1 2 3 4 5 6 7 8 9 10", "then Anna, Bert, Carl, Dora, Emil, Fritz, Gina, Hans, Ida"
+    items = [(1, count), (2, names), (3, "What is 2 plus 3"), (4, "7 km"), (5, "")]
+    docs = [
+        (1, f"{prose(20)} {count} {prose(9)}"), (2, f"{prose(20)}. {names.lower()}"), (3, f"{prose(30)} what is 2 plus 3? {prose(8)}"),
+        (4, "what is 5 plus 9"), (5, f"so: what is 5 plus 9 {prose(9)}"), (6, "it was 7 km away"), (7, "it was 8 km away"),
+        (8, "1 2 3 4 5 6 7 8 9 11"), (9, "what is 2"), (10, ""), (11, None),
+    ]
+    assert leaked(spark, make_docs, docs, items) == {(1, 1), (2, 2), (3, 3), (4, 3), (5, 3), (6, 4)}
