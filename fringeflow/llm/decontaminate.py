@@ -18,6 +18,9 @@ MIN_WINDOWS = 5
 # Hashes of benchmark windows to broadcast at most; a hundred bytes each.
 BROADCAST_WINDOWS = 1_000_000
 
+# What tells rows of documents apart.
+ROW = ["doc_id", "text_hash"]
+
 # Marks of placeholders, by type.
 NAME, NUMBER, UNIT, POINT = "\x01", "\x02", "\x03", "\x04"
 
@@ -118,53 +121,32 @@ def _windows_of(items: DataFrame, exact: bool) -> DataFrame:
     return windows.where("hash is not null").select("*", F.lit(exact).alias("exact"), window.alias("window"))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, copies: bool = False) -> DataFrame:
-    """``doc_id, item_id, n_windows, n_slots, n_changed, consistent, leaked`` for documents that share windows with items.
-
-    Numbers, names and units become typed placeholders; windows of 8 words
-    meet in a hash join. Along one alignment of item and document, each slot
-    value of the item must stand for one value of the document and the other
-    way round (``consistent``); ``n_changed`` counts values that differ. Of
-    several alignments the best one is kept. ``leaked``: consistent, and at
-    least 5 windows, or all windows of a shorter item.
-
-    Templates depend on capitals and sentence ends, and those with fewer than
-    4 plain words are left out. With ``copies`` the windows also meet by
-    their exact words, whatever they are, without case, white space and
-    punctuation, counted by themselves; so copies are found in any layout.
-
-    Texts under 8 words are one window, so they only meet texts of the same
-    template. With ``copies`` an item under 8 words is looked for at every
-    place of every document, by its exact words, and by its template if half
-    its words are plain; one of a single word is found wherever that word is.
-    Null and empty texts have no window. Rows of one doc_id, null
-    included, or one item_id are judged together; repeated rows change nothing.
-    Other columns are ignored; empty tables give no rows.
-    """
+def _alignments(docs: DataFrame, benchmark: DataFrame, copies: bool) -> DataFrame:
+    """Windows and slots of each row of ``docs``, item and shift, and whether they are a leak."""
     bench = settle(benchmark_windows(benchmark, copies).distinct(), "bench_windows")
     hashes = bench.select("hash").distinct()
     if bench.count() <= BROADCAST_WINDOWS:
         hashes = F.broadcast(hashes)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     words = marked_words(F.col("text"))
     n, every = F.lit(1), window_hashes(F.col("words"))
     if copies:
         short = bench.select(F.size("window").alias("k")).where(f"k < {WINDOW}").distinct().collect()
         n, lengths = F.size("words"), sorted(r["k"] for r in short)
         every = F.concat(*[own_length_hashes(F.col("words"), lengths, exact) for exact in (False, True)])
-    found = docs.withColumn("words", words).select("doc_id", n.alias("n"), F.posexplode(every).alias("at", "hash"))
-    found = found.join(hashes, "hash").selectExpr("doc_id", "at % n as at" if copies else "at", "hash")
+    found = docs.withColumn("words", words).select(*ROW, n.alias("n"), F.posexplode(every).alias("at", "hash"))
+    found = found.join(hashes, "hash").selectExpr(*ROW, "at % n as at" if copies else "at", "hash")
     found = settle(found.distinct(), "found")
 
     # Of the few documents found, the words at the places found.
-    places = found.groupBy("doc_id").agg(F.collect_set(F.struct("at", "hash")).alias("ats"))
-    texts = rows_with_keys(docs, places, ["doc_id"]).select("doc_id", words.alias("words"))
-    texts = texts.join(places, texts["doc_id"].eqNullSafe(places["doc_id"])).select(texts["doc_id"], "ats", "words")
+    places = found.groupBy(*ROW).agg(F.collect_set(F.struct("at", "hash")).alias("ats"))
+    texts = rows_with_keys(docs, places, ROW).select(*ROW, words.alias("words"))
+    texts = texts.join(places, [texts[c].eqNullSafe(places[c]) for c in ROW]).select(*[texts[c] for c in ROW], "ats", "words")
     theirs = F.slice("words", F.col("a.at") + 1, F.lit(WINDOW)).alias("theirs")
-    texts = texts.select("doc_id", "words", F.explode("ats").alias("a")).select("doc_id", "a.at", "a.hash", theirs)
+    texts = texts.select(*ROW, "words", F.explode("ats").alias("a")).select(*ROW, "a.at", "a.hash", theirs)
     pairs = settle(texts.join(bench, "hash").selectExpr("*", "at - place as shift").distinct(), "pairs")
 
-    key = ["doc_id", "item_id", "exact", "shift"]
+    key = [*ROW, "item_id", "exact", "shift"]
     slots = pairs.select(*key, F.explode(F.arrays_zip("window", "theirs")).alias("slot"))
     slots = slots.where(is_slot(F.col("slot.window"))).distinct()
     judged = slots.groupBy(*key).agg(
@@ -180,18 +162,46 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, copies: bool = False) -> D
     of_item = runs["item_id"].eqNullSafe(sizes["item_id"]) & (runs["exact"] == sizes["exact"])
     runs = runs.join(sizes, of_item).select(runs["*"], "n_item")
     runs = runs.selectExpr(
-        "doc_id", "item_id", "n_windows", "coalesce(n_slots, 0L) as n_slots", "coalesce(n_changed, 0L) as n_changed",
+        *ROW, "item_id", "n_windows", "coalesce(n_slots, 0L) as n_slots", "coalesce(n_changed, 0L) as n_changed",
         "coalesce(n_slots = n_ours and n_slots = n_theirs, true) as consistent", f"least({MIN_WINDOWS}, n_item) as enough",
     )
-    runs = runs.selectExpr("*", "consistent and n_windows >= enough as leaked")
+    return runs.selectExpr("*", "consistent and n_windows >= enough as leaked")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, copies: bool = False) -> DataFrame:
+    """``doc_id, item_id, n_windows, n_slots, n_changed, consistent, leaked`` for documents that share windows with items.
+
+    Numbers, names and units become typed placeholders; windows of 8 words
+    meet in a hash join. Along one alignment of item and document, each slot
+    value of the item must stand for one value of the document and the other
+    way round (``consistent``); ``n_changed`` counts values that differ. Of
+    several alignments the best one is kept. ``leaked``: consistent, and at
+    least 5 windows, or all windows of a shorter item.
+
+    Templates depend on capitals and sentence ends, and those with fewer than
+    4 plain words are left out. With ``copies`` the windows also meet by
+    their exact words, whatever they are, without case, white space and
+    punctuation, counted by themselves; so copies are found in any layout.
+
+    Texts under 8 words are one window, so they only meet texts of the same
+    template. With ``copies`` an item under 8 words is looked for at every
+    place of every document, by its exact words, and by its template if half
+    its words are plain; one of a single word is found wherever that word is.
+    Null and empty texts have no window. Different texts of one doc_id, null
+    included, are judged one by one, and the best result is returned; rows of
+    one item_id are judged together. Repeated rows change nothing.
+    Other columns are ignored; empty tables give no rows.
+    """
     best = "max(struct(leaked, consistent, n_windows, -n_changed as unchanged, n_slots))"
-    best = runs.groupBy("doc_id", "item_id").agg(F.expr(best).alias("b"))
+    best = _alignments(docs, benchmark, copies).groupBy("doc_id", "item_id").agg(F.expr(best).alias("b"))
     return best.selectExpr(
         "doc_id", "item_id", "b.n_windows", "b.n_slots", "-b.unchanged as n_changed", "b.consistent", "b.leaked"
     )
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without a leaked item; all rows of a doc_id that has one go."""
-    leaked = settle(find_leaks(docs, benchmark, copies=True).where("leaked").select("doc_id").distinct(), "leaked")
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["doc_id"]), "left_anti")
+    """Rows whose own text has no leaked item, nor a copy of one; other rows of the same doc_id stay."""
+    leaked = _alignments(docs, benchmark, copies=True).where("leaked").select(*ROW).distinct()
+    leaked = settle(leaked, "leaked")
+    same = docs["doc_id"].eqNullSafe(leaked["doc_id"]) & (F.xxhash64(docs["text"]) == leaked["text_hash"])
+    return docs.join(leaked, same, "left_anti")

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from collections import Counter
+
 from fringeflow.llm import decontaminate
 
 ITEM = "A train leaves for Berlin with 120 people at 3.5 km per hour. Then Anna counts 1,200 more; it's 7 o'clock in Paris and Rome."
@@ -30,3 +32,14 @@ def test_short_items_and_items_of_few_plain_words(spark, make_docs, prose):
         (8, "1 2 3 4 5 6 7 8 9 11"), (9, "what is 2"), (10, ""), (11, None),
     ]
     assert leaked(spark, make_docs, docs, items) == {(1, 1), (2, 2), (3, 3), (4, 3), (5, 3), (6, 4)}
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark, make_docs, prose):
+    words = ITEM.split()
+    docs = [(None, ITEM), (None, prose(50)), (None, None), (1, ITEM.lower()), (1, prose(40)), (1, prose(40)), (2, prose(30))]
+    pieces = [(3, " ".join(words[:10]) + " " + prose(20)), (3, " ".join(words[:3]) + " x " + " ".join(words[4:14]))]
+    clean = [r for r in docs if (r[1] or "").lower() != ITEM.lower()] + pieces
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    kept = decontaminate.drop_leaks(make_docs(docs + pieces), bench)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(clean)
+    assert leaked(spark, make_docs, docs + pieces, [(1, ITEM)]) == {(None, 1), (1, 1)}
