@@ -12,8 +12,11 @@ from fringeflow.sources.stage_store import settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-LINK_TAG = r"(?i)<(?:link|meta)\b[^>]*(?:canonical|refresh)[^>]*>"
-LINK_TARGET = r"(?i)(?:href|url)\s*=\s*[\"']?\s*([^\"'>\s]+)"
+LINK_TAG = r"""(?i)<(?:link|meta)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+ATTRIBUTE = r"""(?<=[\s"'/])[^\s"'<>/=]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+REFRESH = r"""(?i)^\s*[\d.]+\s*(?:[;,]\s*|\s)(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.+))"""
+# Character references in attributes that matter in urls; the ampersand last.
+REFERENCES = {"&quot;": '"', "&#39;": "'", "&apos;": "'", "&#47;": "/", "&#x2f;": "/", "&lt;": "<", "&gt;": ">", "&#38;": "&", "&#x26;": "&", "&amp;": "&"}
 
 
 def ascii_lower(text: Column) -> Column:
@@ -70,16 +73,60 @@ def alias_key(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(host, path, F.lit("?"), query))
 
 
-def page_links(url: Column, html: Column) -> Column:
-    """Absolute targets of canonical links and refresh redirects in a page."""
-    tags = F.regexp_extract_all(html, F.lit(LINK_TAG), F.lit(0))
-    targets = F.transform(tags, lambda tag: F.regexp_extract(tag, LINK_TARGET, 1))
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of the first attribute of that name, without quotes and character references; null without one."""
+    of_name = F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0)), lambda a: a.rlike(rf"(?i)^{name}\s*="))
+    value = F.regexp_replace(F.get(of_name, F.lit(0)), r"^[^=]*=\s*", "")
+    value = F.regexp_replace(value, r"""^(["'])([\s\S]*)\1$""", "$2")
+    for written, character in REFERENCES.items():
+        value = F.regexp_replace(value, f"(?i){written}", character)
+    return value
+
+
+def _link_target(tag: Column) -> Column:
+    """Where a link with ``rel`` canonical or a meta with ``http-equiv`` refresh leads, as written; null for other tags."""
+    content = _attribute(tag, "content")
+    refresh = F.concat(*[F.regexp_extract(content, REFRESH, group) for group in (1, 2, 3)])
+    canonical = tag.rlike("(?i)^<link") & _attribute(tag, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)")
+    refreshes = tag.rlike("(?i)^<meta") & _attribute(tag, "http-equiv").rlike(r"(?i)^\s*refresh\s*$")
+    return F.regexp_replace(F.when(canonical, _attribute(tag, "href")).when(refreshes, refresh), r"^\s+|\s+$", "")
+
+
+def _without_dots(path: Column) -> Column:
+    """A path from the root with ``.`` and ``..`` worked out."""
+    parts = F.split(F.regexp_replace(path, r"/\.\.?$", "$0/"), "/")
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == ".", done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
+
+    nothing = F.array().cast("array<string>")
+    done = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1))), nothing, step)
+    return F.concat(F.lit("/"), F.array_join(done, "/"))
+
+
+def absolute_url(url: Column, target: Column) -> Column:
+    """``target`` as seen from the page at ``url``; as it is if it has a scheme."""
     scheme = F.regexp_extract(url, "^[^:/?#]*:", 0)
     root = F.concat(scheme, F.lit("//"), F.regexp_extract(_rest(url), "^[^/?#]*", 0))
-    absolute = F.transform(
-        targets,
-        lambda t: F.when(t.startswith("//"), F.concat(scheme, t)).when(t.startswith("/"), F.concat(root, t)).otherwise(t),
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(url), "^/(.*/)?", 1))
+    found = (
+        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), target)
+        .when(target.startswith("//"), F.concat(scheme, target))
+        .when(target.startswith("/"), F.concat(root, target))
+        .when(target.startswith("?"), F.concat(root, path_of(url), target))
+        .when(target.startswith("#"), F.concat(F.regexp_extract(url, "^[^#]*", 0), target))
+        .when(target != "", F.concat(root, folder, target))
     )
+    host, path, more = [F.regexp_extract(found, r"^([^:/?#]*://[^/?#]*)(/[^?#]*)([\s\S]*)$", group) for group in (1, 2, 3)]
+    return F.when(path.contains("/."), F.concat(host, _without_dots(path), more)).otherwise(found)
+
+
+def page_links(url: Column, html: Column) -> Column:
+    """Absolute targets of canonical links and refresh redirects in a page."""
+    tags = F.regexp_extract_all(html, F.lit(LINK_TAG), F.lit(0))
+    tags = F.filter(tags, lambda tag: tag.rlike("(?i)canonical|refresh"))
+    absolute = F.transform(F.transform(tags, _link_target), lambda target: absolute_url(url, target))
     return F.filter(absolute, lambda t: F.instr(t, "://") > 0)
 
 

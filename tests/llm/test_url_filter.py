@@ -52,3 +52,18 @@ def test_known_redirects_and_empty_tables(spark):
     redirects = spark.createDataFrame([("http://q.com/1", "http://w.net/2"), (None, "http://w.net/2")], "src string, dst string")
     assert judge(spark, [(1, "http://q.com/1", None)], redirects)[1].verdict == "block"
     assert judge(spark, []) == {}
+
+
+def test_only_canonical_links_and_refreshes_count_and_all_targets_resolve(spark):
+    refresh = "<meta http-equiv=\"Refresh\" content=\"{}\">".format
+    rows = [
+        (1, "http://a.com/x", '<link rel="stylesheet" href="http://bad.net/refresh.css">'),
+        (2, "http://a.com/y", '<meta name="canonical" content="url=http://bad.net/"><link rel=icon title="rel=canonical" href=http://bad.net/>'),
+        (3, "http://b.com/p/q/r?s", refresh("0; url=next")), (4, "http://b.com/p/q/next", refresh("5;URL='../up?a=1&amp;b=2'")),
+        (5, "http://b.com/p/up?a=1&b=2", '<link title="a > b" href="?page=2" rel="nofollow canonical">'),
+        (6, "http://b.com/p/up?page=2", refresh("0, //c.com/./d/../e/")), (7, "http://c.com/e", "<link href=/../f rel=canonical />"),
+        (8, "http://c.com/f", refresh("1; http://bad.net/")), (9, "http://d.com", refresh("0; url=g")), (10, "http://d.com/g", None),
+        (11, "http://d.com/h?u=http://d.com/g", refresh("0; url=mailto:x@bad.net")), (12, "http://d.com/g/..", refresh("0; url=?u=http://bad.net/")),
+    ]
+    verdicts = {i: r.verdict for i, r in judge(spark, rows).items()}
+    assert verdicts == {i: "block" if 3 <= i <= 8 else "allow" for i in range(1, 13)}
