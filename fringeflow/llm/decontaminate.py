@@ -41,7 +41,7 @@ def marked_words(text: Column) -> Column:
     """
     text = F.translate(text, NAME + NUMBER + UNIT + POINT + "'\u2019", "    ")
     text = F.regexp_replace(text, r"(?<=\d)[.,](?=\d)", POINT)
-    text = F.regexp_replace(text, r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\d,;][\s\p{Z}]{1,64})", NAME)
+    text = F.regexp_replace(text, r"(?<=[\p{L}\d,;])[\s\p{Z}]+(?=\p{Lu}\p{Ll})", f" {NAME}")
     text = F.regexp_replace(text, rf"(?<![\p{{L}}\d{POINT}])\d[\d{POINT}]*", f" {NUMBER}$0 ")
     text = F.regexp_replace(text, rf"(?<=\d )\s*(?=(?:{'|'.join(UNITS)})(?![\p{{L}}\d]))", f" {UNIT}")
     return F.regexp_extract_all(F.lower(text), F.lit(rf"[\p{{L}}\p{{N}}{NAME}-{POINT}]+"), F.lit(0))
@@ -51,9 +51,13 @@ def is_slot(word: Column) -> Column:
     return word < "\x05"
 
 
+def _has_marks(word: Column) -> Column:
+    return is_slot(word) | F.contains(word, F.lit(POINT))
+
+
 def plain_word(word: Column) -> Column:
     """The word without marks, and a number without points and commas."""
-    return F.when(is_slot(word) | F.contains(word, F.lit(POINT)), F.translate(word, NAME + NUMBER + UNIT + POINT, "")).otherwise(word)
+    return F.when(_has_marks(word), F.translate(word, NAME + NUMBER + UNIT + POINT, "")).otherwise(word)
 
 
 def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -133,7 +137,10 @@ def _alignments(docs: DataFrame, benchmark: DataFrame, copies: bool) -> DataFram
     if copies:
         short = bench.select(F.size("window").alias("k")).where(f"k < {WINDOW}").distinct().collect()
         n, lengths = F.size("words"), sorted(r["k"] for r in short)
-        every = F.concat(*[own_length_hashes(F.col("words"), lengths, exact) for exact in (False, True)])
+        # Without a mark in any word the exact hashes are those of the templates.
+        marks = F.exists("words", _has_marks)
+        exact = F.when(marks, own_length_hashes(F.col("words"), lengths, True)).otherwise(F.array().cast("array<bigint>"))
+        every = F.concat(own_length_hashes(F.col("words"), lengths, False), exact)
     found = docs.withColumn("words", words).select(*ROW, n.alias("n"), F.posexplode(every).alias("at", "hash"))
     found = found.join(hashes, "hash").selectExpr(*ROW, "at % n as at" if copies else "at", "hash")
     found = settle(found.distinct(), "found")
