@@ -16,6 +16,7 @@ from fringeflow.llm import (
     packing,
     repeats,
     sharding,
+    spelling,
     token_count,
     tool_calls,
     url_filter,
@@ -31,6 +32,10 @@ SHINGLE_WORDS = 3
 SIMILAR_PERCENT = 90
 NEIGHBOURS = 20
 REPEATED_BYTES = 200
+VARIANT_CHARS = 7
+VARIANT_COUNT = 2
+VARIANT_RATIO = 10
+DELETE_ONE_IN = 31
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +87,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), copies=True)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return spelling.variant_groups(docs, VARIANT_CHARS, VARIANT_COUNT, VARIANT_RATIO, DELETE_ONE_IN)
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_sharding": op2_sharding,
@@ -93,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op8_repeats": op8_repeats,
     "op9_nearest": op9_nearest,
     "op10_decontamination": op10_decontamination,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 # The others are beyond SQL; tests hold them against brute force or the library they follow.
