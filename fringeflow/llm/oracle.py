@@ -138,3 +138,41 @@ def tool_calls() -> str:
         union all select conv_id, turn, call_id, null, 0, 'orphan', 'unknown call', n_results,
             '{{"id":' || to_json(call_id) || case when content is null then '' else ',"result":' || to_json(content) end
             || '}}' from merged where call_id not in (select call_id from calls)"""
+
+
+def collocations(max_words: int, min_count: int, percent: int, first: int) -> str:
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    grams = " union all ".join(
+        f"""select lang, {k} as size, unnest([array_to_string(ws[i:i + {k - 1}], ' ') for i in
+            range(1, len(ws) - {k - 2})]) as phrase from split where len(ws) >= {k}"""
+        for k in range(1, max_words + 1)
+    )
+    cuts = " union all ".join(
+        f"""select *, {k} as k, array_to_string(string_split(phrase, ' ')[:{k}], ' ') as head,
+            array_to_string(string_split(phrase, ' ')[{k + 1}:], ' ') as tail from often where size > {k}"""
+        for k in range(1, max_words)
+    )
+    inner = " union all ".join(
+        f"""select lang, a, unnest([array_to_string(string_split(phrase, ' ')[i:i + {k - 1}], ' ') for i in
+            range(1, size - {k - 2})]) as phrase from often where size > {k}"""
+        for k in range(2, max_words)
+    )
+    return rf"""with pieces as (select coalesce(lang, 'und') as lang,
+            unnest(regexp_split_to_array({lowered}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
+        split as materialized (select lang, [w for w in regexp_split_to_array(piece, '[ \t]+') if w <> ''] as ws from pieces),
+        counted as materialized (select lang, size, phrase, count(*) as a from ({grams}) g group by 1, 2, 3),
+        langs as (select lang, cast(sum(a) as bigint) as n from counted where size = 1 group by lang),
+        often as materialized (select * from counted where a >= {min_count}),
+        cuts as ({cuts}),
+        judged as (select c.lang, c.phrase, c.size, c.a, c.k, l.a as l, r.a as r,
+            cast(1000000::hugeint * c.a * c.a // (l.a::hugeint * r.a) as bigint) as score
+            from cuts c join often l on l.lang = c.lang and l.phrase = c.head
+            join often r on r.lang = c.lang and r.phrase = c.tail),
+        weakest as (select * from (select *, row_number() over (partition by lang, phrase order by score, k) as rn
+            from judged) z where rn = 1),
+        covers as (select lang, phrase, max(a) as longer from ({inner or "select lang, a, phrase from often where false"}) i group by 1, 2),
+        kept as (select w.* from weakest w left join covers c on c.lang = w.lang and c.phrase = w.phrase
+            where c.longer is null or 100 * c.longer < {percent} * w.a),
+        ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+        select k.lang, k.rank, k.phrase, k.a, k.l, k.r, g.n, k.score from ranked k join langs g on g.lang = k.lang
+        where k.rank <= {first}"""

@@ -14,6 +14,7 @@ from fringeflow.llm import (
     nearest,
     oracle,
     packing,
+    phrases,
     repeats,
     sharding,
     spelling,
@@ -32,6 +33,10 @@ SHINGLE_WORDS = 3
 SIMILAR_PERCENT = 90
 NEIGHBOURS = 20
 REPEATED_BYTES = 200
+PHRASE_WORDS = 3
+PHRASE_COUNT = 10
+COVER_PERCENT = 50
+FIRST_PHRASES = 2000
 VARIANT_CHARS = 7
 VARIANT_COUNT = 2
 VARIANT_RATIO = 10
@@ -92,6 +97,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(docs, VARIANT_CHARS, VARIANT_COUNT, VARIANT_RATIO, DELETE_ONE_IN)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return phrases.collocations(docs, PHRASE_WORDS, PHRASE_COUNT, COVER_PERCENT, FIRST_PHRASES)
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_sharding": op2_sharding,
@@ -104,6 +114,7 @@ QUERIES: dict[str, Query] = {
     "op9_nearest": op9_nearest,
     "op10_decontamination": op10_decontamination,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_collocations": op12_collocations,
 }
 
 # The others are beyond SQL; tests hold them against brute force or the library they follow.
@@ -111,4 +122,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": oracle.url_filter(URL_RULES),
     "op2_sharding": oracle.sharding(SHARDS),
     "op6_tool_calls": oracle.tool_calls(),
+    "op12_collocations": oracle.collocations(PHRASE_WORDS, PHRASE_COUNT, COVER_PERCENT, FIRST_PHRASES),
 }
