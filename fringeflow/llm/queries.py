@@ -11,6 +11,7 @@ from fringeflow.llm import (
     decontaminate,
     jaccard_join,
     language,
+    line_labels,
     nearest,
     oracle,
     packing,
@@ -102,6 +103,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(docs, PHRASE_WORDS, PHRASE_COUNT, COVER_PERCENT, FIRST_PHRASES)
 
 
+def op13_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_labels.judge_lines(docs, line_labels.learn_lines(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_sharding": op2_sharding,
@@ -115,6 +121,7 @@ QUERIES: dict[str, Query] = {
     "op10_decontamination": op10_decontamination,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_collocations": op12_collocations,
+    "op13_line_labels": op13_line_labels,
 }
 
 # The others are beyond SQL; tests hold them against brute force or the library they follow.
