@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from fringeflow.config import ImagingConfig
-from fringeflow.functions.numeric import idiv, key_mod, round_div, wide_dot
+from fringeflow.functions.numeric import idiv, key_mod
 from fringeflow.operators.dataflow import fan_out, group
+from fringeflow.operators.fourier import Pass, transform
 from fringeflow.operators.stages import CELL, IMAGE, factors
 from fringeflow.plans.joins import lookup
 
@@ -31,52 +32,32 @@ def facet_images(cells: DataFrame, config: ImagingConfig) -> DataFrame:
     return reprojection(dft(cells, config), config, ("k", "l"))
 
 
-def _by_image(cells: DataFrame, config: ImagingConfig) -> DataFrame:
-    """Place whole images, so that all passes run without another shuffle.
-
-    The partition count is fixed because the passes are compute-heavy on few
-    bytes; an image holds at most cells**2 rows, whatever the input size.
-    """
-    parallelism = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.repartition(min(parallelism, config.max_images), *IMAGE)
+# The passes of a transform. The divisors leave thousandths after the first
+# forward pass and tenths after the first inverse one.
+_ROWS = Pass("u", "w", "k", 1_000)
+_COLUMNS = Pass("w", "k", "l", 1_000_000_000)
+_BACK_COLUMNS = Pass("l", "k", "w", 100_000, inverse=True)
 
 
 def dft_rows(cells: DataFrame, config: ImagingConfig) -> DataFrame:
     """First DFT pass, over ``u``; result scaled by 1e3."""
-    cos, sin = factors("k", "u", config.cells)
-    copies = fan_out(_by_image(cells, config), {"k": config.cells})
-    return _pass(copies, ["k", "w"], 1_000, re=[("re", cos), ("im", sin)], im=[("im", cos), ("re", f"-{sin}")])
+    return transform(cells, [_ROWS], config.cells)
 
 
 def dft(cells: DataFrame, config: ImagingConfig) -> DataFrame:
     """Forward two-dimensional DFT of every image, in cell units."""
-    cos, sin = factors("l", "w", config.cells)
-    copies = fan_out(dft_rows(cells, config), {"l": config.cells})
-    return _pass(
-        copies, ["k", "l"], 1_000_000_000, re=[("re", cos), ("im", sin)], im=[("im", cos), ("re", f"-{sin}")]
-    )
+    return transform(cells, [_ROWS, _COLUMNS], config.cells)
 
 
 def idft_columns(spectrum: DataFrame, config: ImagingConfig) -> DataFrame:
     """First inverse pass, over ``l``; result scaled by 10."""
-    cos, sin = factors("l", "w", config.cells)
-    copies = fan_out(spectrum, {"w": config.cells})
-    return _pass(
-        copies, ["k", "w"], 100_000, re=[("re", cos), ("im", f"-{sin}")], im=[("re", sin), ("im", cos)]
-    )
+    return transform(spectrum, [_BACK_COLUMNS], config.cells)
 
 
 def idft(spectrum: DataFrame, config: ImagingConfig) -> DataFrame:
     """Inverse two-dimensional DFT back to cells; every cell of an image is present."""
-    cos, sin = factors("k", "u", config.cells)
-    copies = fan_out(idft_columns(spectrum, config), {"u": config.cells})
-    return _pass(
-        copies,
-        ["u", "w"],
-        10_000_000 * config.cells**2,
-        re=[("re", cos), ("im", f"-{sin}")],
-        im=[("re", sin), ("im", cos)],
-    )
+    back_rows = Pass("k", "w", "u", 10_000_000 * config.cells**2, inverse=True)
+    return transform(spectrum, [_BACK_COLUMNS, back_rows], config.cells)
 
 
 def phase_rotation(vis: DataFrame, config: ImagingConfig) -> DataFrame:
@@ -127,9 +108,3 @@ def _cell_number(u: str, w: str, config: ImagingConfig) -> str:
     """The four cell dimensions as one number, for a lookup by a single integer key."""
     image = f"facet * {config.polarisations} + polarisation"
     return f"cast((({image}) * {config.cells} + {u}) * {config.cells} + {w} as bigint)"
-
-
-def _pass(copies: DataFrame, keys: list[str], divisor: int, **sums: list[tuple[str, str]]) -> DataFrame:
-    """One separable pass: sum the weighted copies per key, then rescale."""
-    totals = group(copies, [*IMAGE, *keys], *[f"{wide_dot(*terms)} as {name}" for name, terms in sums.items()])
-    return totals.selectExpr(*IMAGE, *keys, *[f"{round_div(name, divisor)} as {name}" for name in sums])
