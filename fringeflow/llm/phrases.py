@@ -201,6 +201,18 @@ def _count_candidates(shards: int, candidates: dict[int, Broadcast]) -> Callable
 COUNTED = "shard int, lang string, phrase string, a long"
 
 
+def _locally_frequent(mined: DataFrame, supports: dict[int, int], min_count: int) -> DataFrame:
+    """Hashes that reach some shard's support, less those that all shards together do not bring to ``min_count``.
+
+    The counts of all shards come together in one row, so the sum costs no
+    further shuffle. Phrases that share a hash only make it larger.
+    """
+    found = [F.sum(F.when(F.col("shard") == s, F.col("n"))).alias(f"n{s}") for s in supports]
+    counts = mined.groupBy("hash").agg(*found, F.sum("n").alias("n"))
+    local = " or ".join(f"n{s} >= {least}" for s, least in supports.items()) or "false"
+    return counts.where(f"({local}) and n >= {min_count}").select("hash")
+
+
 def frequent_phrases(docs: DataFrame, max_words: int, min_count: int, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     """Words and phrases of ``docs(text, lang)`` found at least ``min_count`` times, and the words of each language.
 
@@ -209,8 +221,8 @@ def frequent_phrases(docs: DataFrame, max_words: int, min_count: int, shards: in
     is mined at that share of ``min_count``, rounded up: a phrase rarer than
     that in every shard is rarer than ``min_count`` in all. Each shard is
     mined level by level, as a phrase is no more frequent than its parts.
-    What is frequent in any shard is then counted in all texts by its words.
-    Hashes only ever add candidates.
+    What is frequent in any shard, and by its hash in all, is then counted in
+    all texts by its words. Hashes only ever add candidates.
     """
     texts = docs.selectExpr("text", "coalesce(lang, 'und') as lang")
     parts = settle(texts.mapInArrow(returning_memory(_count_words(shards)), COUNTED), "word_counts")
@@ -219,15 +231,12 @@ def frequent_phrases(docs: DataFrame, max_words: int, min_count: int, shards: in
     frequent = settle(words.where(f"a >= {min_count}"), "words")
     sizes = {r.shard: r.n for r in parts.groupBy("shard").agg(F.sum("a").alias("n")).collect()}
     total = sum(sizes.values())
-    support = "case shard {} else 1 end".format(
-        " ".join(f"when {shard} then {-(-min_count * n // total)}" for shard, n in sorted(sizes.items()) if n) or "when -1 then 1"
-    )
+    supports = {shard: -(-min_count * n // total) for shard, n in sizes.items() if n}
     shorter = hash_filter(frequent.select("lang", "phrase").mapInArrow(returning_memory(_hash_words), "hash long"))
     candidates = {}
     for size in range(2, max_words + 1):
         mined = texts.mapInArrow(returning_memory(_mine_shard(size, shards, shorter)), "shard int, hash long, n long")
-        local = mined.groupBy("shard", "hash").agg(F.sum("n").alias("n")).where(f"n >= {support}")
-        shorter = candidates[size] = hash_filter(local.select("hash"))
+        shorter = candidates[size] = hash_filter(_locally_frequent(mined, supports, min_count))
     counted = texts.mapInArrow(returning_memory(_count_candidates(shards, candidates)), COUNTED)
     phrases = counted.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(f"a >= {min_count}")
     both = frequent.unionByName(phrases).selectExpr("lang", "phrase", "size(split(phrase, ' ')) as size", "a")
