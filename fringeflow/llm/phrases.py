@@ -20,8 +20,8 @@ SHARDS = 4
 FILTER_BITS = 27
 # Characters of text looked at together, unless one text is longer; counts a task holds before it passes them on.
 HELD_CHARS = 1 << 20
-HELD_HASHES = 1 << 21
-HELD_PHRASES = 1 << 19
+HELD_HASHES = 1 << 20
+HELD_PHRASES = 1 << 18
 # Parts of a language that are ranked by themselves first.
 RANK_PARTS = 64
 
