@@ -21,7 +21,16 @@ class ImagingConfig:
     polarisations: int = 4
     slots: int = 8
     cells: int = 16
+    antennas: int = 16
     peak_threshold: int = 1000
+    # Minor cycles: share of a peak taken at once, share of the first peak at which to stop, both in percent.
+    minor_gain_percent: int = 10
+    minor_stop_percent: int = 50
+    minor_iterations: int = 100
+    # A source's cells are above this share of the mean of their facet.
+    island_percent: int = 150
+    # Cells between a source and the catalogue component that it is merged with.
+    match_radius: int = 1
     start: str = "2024-01-01 00:00:00"
     window_seconds: int = 30 * 86_400
 
@@ -30,6 +39,8 @@ class ImagingConfig:
             raise ValueError("channels must be a multiple of coarse_channels")
         if self.window_seconds % self.slots:
             raise ValueError("window_seconds must be a multiple of slots")
+        if 2 * self.match_radius + 1 > self.cells:
+            raise ValueError("match_radius must be under half of cells")
 
     @property
     def refinement(self) -> int:
@@ -40,6 +51,10 @@ class ImagingConfig:
     def slot_seconds(self) -> int:
         return self.window_seconds // self.slots
 
+    @property
+    def antenna_pairs(self) -> int:
+        return self.antennas * (self.antennas - 1) // 2
+
     @property
     def max_images(self) -> int:
         return self.facets * self.polarisations

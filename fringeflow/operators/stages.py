@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from fringeflow.config import ImagingConfig
 from fringeflow.functions.numeric import idiv, key_mod, round_div, round_half_away, wide, wide_dot
 from fringeflow.functions.twiddle import SCALE, cos_factor, sin_factor
-from fringeflow.operators.dataflow import fan_out, first_per_key, group, refine, union_all
+from fringeflow.operators.dataflow import fan_out, first_per_key, group, refine
 from fringeflow.plans.joins import lookup
 
 IMAGE = ["facet", "polarisation"]
@@ -229,7 +229,7 @@ def identify_component(cells: DataFrame) -> DataFrame:
 
 
 def source_find(components: DataFrame, config: ImagingConfig) -> DataFrame:
-    """Components strong enough to enter the catalogue."""
+    """Peaks of facets that are strong enough to be sources."""
     found = components.where(f"abs(cell) > {config.peak_threshold}")
     return found.selectExpr("facet", "u", "w", "cast(cell as bigint) as flux")
 
@@ -251,16 +251,5 @@ def subimacom_facets(remaining: DataFrame) -> DataFrame:
     return group(remaining, ["facet"], "sum(residual) as residual", "count(*) as n_images")
 
 
-def update_lsm(lsm: DataFrame, sources: DataFrame) -> DataFrame:
-    """The catalogue with the sources found, as a catalogue the next cycle can read.
-
-    Found sources get ids below all others, one for each facet.
-    """
-    least = lsm.selectExpr("least(min(comp_id), 0)").scalar()
-    keyed = sources.withColumn("base", F.coalesce(least, F.lit(0)))
-    found = keyed.selectExpr("base - 1 - facet as comp_id", "0 as beam", "facet", "flux", "u", "w")
-    return union_all([lsm, found])
-
-
 def factors(k: str, x: str, n: int) -> tuple[str, str]:
     return cos_factor(k, x, n), sin_factor(k, x, n)

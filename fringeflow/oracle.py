@@ -6,6 +6,8 @@ dependency edge) and share none of the rewrites the Spark operators use.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from fringeflow.config import NARROW_SNAPSHOT, WIDE_FACETS, WIDE_FACETS_TWELVE_SLOTS, ImagingConfig
 
 def _mod(value: str, n: int) -> str:
@@ -60,6 +62,7 @@ def _ctes(c: ImagingConfig, events: str = "events", lsm: str | None = None) -> l
     }
     seen = lambda v: f"cast({_trunc_div(f'cast({v} as hugeint) * {response}', 1000000)} as bigint)"
     mean = lambda v: f"cast({_trunc_div(v, 'cast(count(*) as hugeint) * 10000000000')} as bigint)"
+    m, r, side = n * n, c.match_radius, isqrt(c.facets - 1) + 1
     amplitude = "(abs(residual_re) + coalesce(abs(residual_im), 0))"
     return [
         f"""vis as (select event_id, 0 as beam, {_mod('event_id', c.channels)} as frequency,
@@ -148,8 +151,75 @@ def _ctes(c: ImagingConfig, events: str = "events", lsm: str | None = None) -> l
         f"""src as (select facet, u, w, cell as flux from comp where cell > {c.peak_threshold})""",
         """sub as (select s.facet, s.polarisation, s.flux - coalesce(c.cell, 0) as residual from sumf s
             left join comp c on s.facet = c.facet and s.polarisation = c.polarisation)""",
-        """upd as (select * from lsm union all select coalesce((select least(min(comp_id), 0) from lsm), 0)
-            - 1 - facet, 0, facet, flux, u, w from src)""",
+        f"""bright as (select facet, k as u, l as w, cell, facet // {side} * {n} + k as x, facet % {side} * {n} + l as y,
+            (facet // {side} * {n} + k) * {side * n}::bigint + facet % {side} * {n} + l as number
+            from (select facet, k, l, cell, sum(cell) over (partition by facet) as total, count(*) over (partition by facet)
+            as n from (select facet, k, l, cast(sum(abs(re) + abs(im)) as bigint) as cell from img group by 1, 2, 3) s) z
+            where cell > {c.peak_threshold} and cell * n * 100 > {c.island_percent} * total)""",
+        f"""touch as (select o.number as a, t.number as b from (select number, x + p.p - 1 as x, y + q.q - 1 as y
+            from bright cross join {_range(3, 'p')} cross join {_range(3, 'q')}) o
+            join bright t on o.x = t.x and o.y = t.y)""",
+        """reach(a, b) as (select number, number from bright union select r.a, t.b from reach r join touch t on t.a = r.b)""",
+        """labelled as (select t.*, r.island from bright t join (select a, min(b) as island from reach group by a) r
+            on r.a = t.number)""",
+        """isl as (select island, max(facet) filter (where rn = 1) as facet, max(u) filter (where rn = 1) as u,
+            max(w) filter (where rn = 1) as w, max(cell) as peak, cast(sum(cell) as bigint) as flux, count(*) as n_cells,
+            cast(sum(cell::hugeint * x * 1000) // sum(cell) as bigint) as x_milli,
+            cast(sum(cell::hugeint * y * 1000) // sum(cell) as bigint) as y_milli,
+            min(x) as x_first, max(x) as x_last, min(y) as y_first, max(y) as y_last
+            from (select *, row_number() over (partition by island order by cell desc, x, y) as rn from labelled) z
+            group by island)""",
+        f"""close as (select i.island as source, l.comp_id, cast(l.du * l.du + l.dw * l.dw as int) as d2 from isl i
+            join (select lsm.*, d.* from lsm cross join (select a.a - {r} as du, b.b - {r} as dw
+            from {_range(2 * r + 1, 'a')} cross join {_range(2 * r + 1, 'b')}) d) l on i.facet = l.facet
+            and l.u = (i.u + l.du + {n}) % {n} and l.w = (i.w + l.dw + {n}) % {n}
+            where l.comp_id is not null and l.du * l.du + l.dw * l.dw <= {r * r})""",
+        """matched as (select source, comp_id from (select *, row_number() over (partition by source order by d2, comp_id) as s,
+            row_number() over (partition by comp_id order by d2, source) as c from close) z where s = 1 and c = 1)""",
+        """upd as (select l.comp_id, l.beam, l.facet, case when i.flux is null then l.flux else coalesce(l.flux, 0) + i.flux end
+            as flux, coalesce(i.u, l.u) as u, coalesce(i.w, l.w) as w from lsm l
+            left join matched m on m.comp_id = l.comp_id left join isl i on i.island = m.source
+            union all select coalesce((select least(min(comp_id), 0) from lsm), 0) - 1 - island, 0, facet, flux, u, w
+            from isl where island not in (select source from matched))""",
+        f"""psf1 as (select facet, polarisation, k, w, {_round_div('re', 1000)} as re, {_round_div('im', 1000)} as im from (
+            select g.facet, g.polarisation, t.k, g.w, sum(cast(g.n_in - g.n_flagged as hugeint) * t.c) as re,
+            -sum(cast(g.n_in - g.n_flagged as hugeint) * t.s) as im from grid g join tw t on g.u = t.x group by 1, 2, 3, 4) z)""",
+        f"""psf as (select facet, polarisation, k, l, {_round_div('re', 10**9)} as re, {_round_div('im', 10**9)} as im from (
+            select f.facet, f.polarisation, f.k, t.k as l, sum(cast(f.re as hugeint) * t.c + cast(f.im as hugeint) * t.s) as re,
+            sum(cast(f.im as hugeint) * t.c - cast(f.re as hugeint) * t.s) as im
+            from psf1 f join tw t on f.w = t.x group by 1, 2, 3, 4) z)""",
+        f"""cubes as (select facet, list(re order by polarisation, k, l) as cube, list(polarisation order by polarisation, k, l)
+            as pol from img group by facet)""",
+        """shapes as (select facet, list(case when centre = 0 then 0 else case when re < 0 then -1 else 1 end
+            * cast((2000000 * abs(re)::hugeint + abs(centre)) // (2 * abs(centre)::hugeint) as bigint) end
+            order by polarisation, k, l) as shape from (select *, first_value(re) over (partition by facet, polarisation
+            order by k, l) as centre from psf) z group by facet)""",
+        f"""clean(facet, step, place, flux, lim, cube) as (
+            select facet, 0, 0::bigint, 0::bigint, greatest({c.peak_threshold}, list_max([abs(v) for v in cube])
+            * {c.minor_stop_percent} // 100), cube from cubes
+            union all select p.facet, p.step, p.place, p.flux, p.lim, list_transform(p.cube, lambda v, i:
+                v - case when (i - 1) // {m} <> p.image then 0 else {_round_div(f"""(p.flux::hugeint * s.shape[p.image * {m}
+                + ((i - 1) % {m} // {n} - p.u + {n}) % {n} * {n} + ((i - 1) % {n} - p.w + {n}) % {n} + 1])""", 10**6)} end)
+            from (select *, (place - 1) // {m} as image, (place - 1) % {m} // {n} as u, (place - 1) % {n} as w from (
+                select facet, step + 1 as step, peak as place, lim, cube, case when cube[peak] < 0 then -1 else 1 end
+                * (abs(cube[peak]) * {c.minor_gain_percent} // 100) as flux
+                from (select facet, step, lim, cube, cast(list_position([abs(v) for v in cube],
+                list_max([abs(v) for v in cube])) as bigint) as peak from clean) z
+                where abs(cube[peak]) > lim and step < {c.minor_iterations}) y) p
+            join shapes s on s.facet = p.facet where p.flux <> 0 and s.shape[p.image * {m} + 1] <> 0)""",
+        f"""minor as (select e.facet, b.pol[e.place] as polarisation, cast((e.place - 1) % {m} // {n} as int) as u,
+            cast((e.place - 1) % {n} as int) as w, e.step, e.flux from clean e join cubes b on b.facet = e.facet where e.step > 0)""",
+        f"""left_over as (select facet, unnest(pol) as polarisation, cast(unnest(range(len(cube))) % {m} // {n} as int) as u,
+            cast(unnest(range(len(cube))) % {n} as int) as w, unnest(cube) as residual from (select e.facet, b.pol, e.cube
+            from clean e join cubes b on b.facet = e.facet join (select facet, max(step) as step from clean group by facet) t
+            on t.facet = e.facet and t.step = e.step) z)""",
+        f"""pair_sums as (select time, pair, cast(coalesce(sum(re::hugeint * model_re + im::hugeint * model_im), 0) as double) as cross_re,
+            cast(coalesce(sum(im::hugeint * model_re - re::hugeint * model_im), 0) as double) as cross_im,
+            cast(sum(case when re is null or im is null then 0 else 1 end * (model_re::hugeint * model_re
+            + model_im::hugeint * model_im)) as double) as power, count(re + im) as n_in from (select v.time,
+            {_mod('v.baseline', c.antenna_pairs)} as pair, p.model_re, p.model_im, case when v.re is null or v.im is null
+            then null else v.re end as re, case when v.re is null or v.im is null then null else v.im end as im from vis v join pha p on p.frequency = v.frequency
+            where v.time is not null and v.baseline is not null) z group by 1, 2)""",
         """visch as (select frequency, cast(sum(re) as bigint) as re, cast(sum(im) as bigint) as im,
             count(*) as n_in from vis group by frequency)""",
         """kern as (select a.a - 1 as du, b.b - 1 as dw, (case when a.a = 1 then 2 else 1 end)
@@ -161,7 +231,7 @@ def _ctes(c: ImagingConfig, events: str = "events", lsm: str | None = None) -> l
 
 
 def _with(ctes: list[str], select: str) -> str:
-    return "with " + ",\n".join(ctes) + "\n" + select
+    return "with recursive " + ",\n".join(ctes) + "\n" + select
 
 
 # Stage, its rows and the columns that its digest covers.
@@ -179,7 +249,7 @@ DIGESTS = [
     ("grikerupd_pharot_grid_fft_rep", "grid", "facet polarisation u w re im"),
     ("sum_facets", "sumf", "facet polarisation flux"),
     ("identify_component", "comp", "facet u w cell"),
-    ("source_find", "src", "facet flux"),
+    ("source_find", "isl", "facet flux"),
     ("subimacom", "sub", "facet polarisation residual"),
     ("update_lsm", "upd", "comp_id flux"),
 ]
@@ -234,7 +304,15 @@ def _selects(c: ImagingConfig) -> dict[str, str]:
         "identify_component": "select * from comp",
         "find_sources": "select * from src",
         "source_find": """select 0 as beam, 0 as major_loop, count(*) as n_in,
-            cast(sum(flux) as bigint) as flux from src group by 1, 2""",
+            cast(sum(flux) as bigint) as flux from isl group by 1, 2""",
+        "source_islands": "select * from isl",
+        "near_components": "select * from close",
+        "point_spread": "select * from psf",
+        "minor_cycle_components": "select * from minor",
+        "minor_cycle_residuals": "select * from left_over",
+        "minor_cycle_model": """select facet, polarisation, u, w, cast(sum(flux) as bigint) as flux, count(*) as n_components
+            from minor group by 1, 2, 3, 4""",
+        "antenna_pair_sums": "select * from pair_sums",
         "subimacom": "select * from sub",
         "subimacom_facets": """select facet, cast(sum(residual) as bigint) as residual,
             count(*) as n_images from sub group by facet""",

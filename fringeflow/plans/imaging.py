@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from fringeflow.config import ImagingConfig
-from fringeflow.operators import kernels, stages
+from fringeflow.operators import antennas, crossmatch, deconvolve, islands, kernels, stages
 from fringeflow.sources import stage_store
 from fringeflow.sources.tables import read_table
 from fringeflow.sources.views import sky_model, telescope_config, visibilities
@@ -151,13 +151,49 @@ class ImagingCycle:
         return stages.identify_component(self.image_cells)
 
     @cached_property
-    def sources(self) -> DataFrame:
+    def peaks(self) -> DataFrame:
         return stages.source_find(self.components, self.config)
 
+    @cached_property
+    def sources(self) -> DataFrame:
+        """Islands of the mosaic, settled: labelling them takes several rounds."""
+        return self.settle(islands.source_islands(self.image_cells, self.config), "source_find")
+
     @cached_property
     def remaining(self) -> DataFrame:
         return stages.subimacom(self.images, self.components)
 
     @cached_property
     def updated_lsm(self) -> DataFrame:
-        return stages.update_lsm(self.lsm, self.sources)
+        return crossmatch.merge_catalogue(self.lsm, self.sources, self.config)
+
+    @cached_property
+    def spread(self) -> DataFrame:
+        return deconvolve.point_spread(self.cells, self.config)
+
+    @cached_property
+    def minor_steps(self) -> DataFrame:
+        """Residual images and components of the minor cycles, settled: both are read."""
+        steps = deconvolve.minor_cycle(self.transformed, self.spread, self.config)
+        return self.settle(steps, "minor_cycle")
+
+    @cached_property
+    def residual_images(self) -> DataFrame:
+        return deconvolve.residual_image(self.minor_steps)
+
+    @cached_property
+    def clean_components(self) -> DataFrame:
+        return deconvolve.clean_components(self.minor_steps)
+
+    @cached_property
+    def model_images(self) -> DataFrame:
+        return deconvolve.model_image(self.minor_steps)
+
+    @cached_property
+    def antenna_gains(self) -> DataFrame:
+        gains = antennas.solve_antennas(self.vis, self.settled_predicted, self.config)
+        return self.settle(gains, "solve_antennas")
+
+    @cached_property
+    def antenna_residuals(self) -> DataFrame:
+        return antennas.correct_antennas(self.vis, self.settled_predicted, self.antenna_gains, self.config)

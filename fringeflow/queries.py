@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fringeflow.config import NARROW_SNAPSHOT, WIDE_FACETS, WIDE_FACETS_TWELVE_SLOTS, ImagingConfig
 from fringeflow.functions.digest import digest
 from fringeflow.functions.numeric import idiv, key_mod, round_half_away
-from fringeflow.operators import dataflow, kernels, stages
+from fringeflow.operators import antennas, crossmatch, dataflow, kernels, stages
 from fringeflow.plans.imaging import ImagingCycle
 from fringeflow.plans.joins import lookup
 from fringeflow.sources import stage_store
@@ -322,10 +322,14 @@ def stored_prediction_by_channel(cycle: ImagingCycle) -> DataFrame:
 
 
 def stored_model_by_key(cycle: ImagingCycle) -> DataFrame:
-    """Model blocks stored by all their dimensions; one facet read back."""
-    dims = ["frequency", "facet", "polarisation"]
+    """Model blocks stored by facet, sorted by the other dimensions; one facet read back.
+
+    A folder for each key would hold one row. In a facet's file, row groups
+    are skipped by the minima and maxima of the sorted dimensions.
+    """
     path = stage_store.new_stage_path(cycle.spark, "reppre_ifft")
-    stage_store.write_stage(cycle.rep, path, dims, compact=True)
+    placed = cycle.rep.repartition("facet").sortWithinPartitions("facet", "frequency", "polarisation")
+    stage_store.write_stage(placed, path, ["facet"])
     return stage_store.read_stage(cycle.spark, path, cycle.rep.schema, facet=3)
 
 
@@ -357,11 +361,20 @@ QUERIES: dict[str, Query] = {
     "grikerupd_pharot_grid_fft_rep": _on_cycle(lambda c: c.transformed),
     "sum_facets": _on_cycle(lambda c: c.images),
     "identify_component": _on_cycle(lambda c: c.components),
-    "find_sources": _on_cycle(lambda c: c.sources),
+    "find_sources": _on_cycle(lambda c: c.peaks),
+    "source_islands": _on_cycle(lambda c: c.sources),
     "source_find": _on_cycle(lambda c: stages.source_catalog(c.sources)),
     "subimacom": _on_cycle(lambda c: c.remaining, store_cells=True),
     "subimacom_facets": _on_cycle(lambda c: stages.subimacom_facets(c.remaining), store_cells=True),
     "update_lsm": _on_cycle(lambda c: c.updated_lsm),
+    "near_components": _on_cycle(lambda c: crossmatch.near_components(c.lsm, c.sources, c.config)),
+    "point_spread": _on_cycle(lambda c: c.spread),
+    "minor_cycle_components": _on_cycle(lambda c: c.clean_components),
+    "minor_cycle_residuals": _on_cycle(lambda c: c.residual_images),
+    "minor_cycle_model": _on_cycle(lambda c: c.model_images),
+    "solve_antennas": _on_cycle(lambda c: c.antenna_gains),
+    "antenna_pair_sums": _on_cycle(lambda c: antennas.pair_sums(c.vis, c.settled_predicted, c.config)),
+    "correct_antennas": _on_cycle(lambda c: c.antenna_residuals),
     # Operations inside the composite stages
     "reprojection": _on_cycle(lambda c: kernels.reprojection(c.cells, c.config)),
     "dft_rows": _on_cycle(lambda c: kernels.dft_rows(c.cells, c.config)),

@@ -71,6 +71,12 @@ NAMES = [
     "source_find",
     "subimacom",
     "update_lsm",
+    "source_islands",
+    "near_components",
+    "point_spread",
+    "minor_cycle_residuals",
+    "minor_cycle_components",
+    "antenna_pair_sums",
     "idft",
     "phase_rotation",
     "index_grid",

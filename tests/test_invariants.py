@@ -6,7 +6,7 @@ import pytest
 from compare import spark_rows
 
 from fringeflow import NARROW_SNAPSHOT, WIDE_FACETS, ImagingConfig, ImagingCycle
-from fringeflow.operators import dataflow, kernels, stages
+from fringeflow.operators import crossmatch, dataflow, kernels, stages
 from fringeflow.queries import QUERIES
 
 
@@ -28,7 +28,7 @@ def test_stage_cardinalities(spark, data_dir):
     assert rows["solve"] == 8
     assert rows["cor_subvis_flag"] == rows["visibility_buffer"]
     assert rows["telescope_data"] == 1
-    assert rows["update_lsm"] == rows["local_sky_model"] + rows["source_find"]
+    assert rows["local_sky_model"] <= rows["update_lsm"] <= rows["local_sky_model"] + rows["source_find"]
 
 
 def test_prediction_reads_all_images_and_the_extracted_catalogue(cycle):
@@ -102,9 +102,12 @@ def test_transform_is_exact_for_large_cells(spark):
 def test_updated_catalogue_starts_another_cycle(spark, data_dir, cycle):
     updated = cycle.updated_lsm
     assert updated.columns == cycle.lsm.columns
-    assert updated.count() == cycle.lsm.count() + cycle.sources.count()
-    assert updated.select("comp_id").distinct().count() == updated.count()
-    second = ImagingCycle(spark, data_dir, catalogue=updated)
+    size = updated.count()
+    assert cycle.lsm.count() < size < cycle.lsm.count() + cycle.sources.count()
+    assert updated.select("comp_id").distinct().count() == size
+    again = crossmatch.merge_catalogue(updated, cycle.sources, cycle.config)
+    assert again.count() == size
+    second = ImagingCycle(spark, data_dir, catalogue=cycle.settle(updated, "catalogue"))
     assert second.predicted.count() == 20
     assert second.updated_lsm.select("comp_id").distinct().count() == second.updated_lsm.count()
 

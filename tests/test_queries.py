@@ -14,10 +14,14 @@ def con(data_dir):
     return duck(data_dir)
 
 
-def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE_SQL)
+# Iterations to convergence in floating point; test_antennas.py compares them with made-up gains.
+BEYOND_SQL = {"solve_antennas", "correct_antennas"}
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+def test_every_other_query_has_sql():
+    assert set(QUERIES) - BEYOND_SQL == set(ORACLE_SQL)
+
+
+@pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_query_matches_sql(spark, con, data_dir, name):
     assert_same(QUERIES[name](spark, data_dir), con, ORACLE_SQL[name])

@@ -44,7 +44,13 @@ ROWS = {
     "subimacom": (60, 196, 196),
     "identify_component": (15, 49, 49),
     "find_sources": (15, 49, 49),
-    "update_lsm": (215, 2049, 20_049),
+    "source_islands": (121, 406, 94),
+    "minor_cycle_components": (857, 2565, 3160),
+    "minor_cycle_residuals": (15_360, 50_176, 50_176),
+    "point_spread": (15_360, 50_176, 50_176),
+    "solve_antennas": (128, 128, 128),
+    "correct_antennas": (1000, 10_000, 100_000),
+    "update_lsm": (308, 2190, 20_000),
     "dft_rows": (9568, 48_000, 50_176),
     "dft": (15_360, 50_176, 50_176),
     "idft_columns": (15_360, 50_176, 50_176),
