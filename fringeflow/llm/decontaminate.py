@@ -110,10 +110,7 @@ def benchmark_windows(benchmark: DataFrame, copies: bool) -> DataFrame:
     items = settle(benchmark.select("item_id", marked_words(F.col("text")).alias("words")).where("size(words) > 0"), "items")
     windows = _windows_of(items, exact=False)
     plain = F.size(F.filter("window", lambda w: ~is_slot(w)))
-    if copies:
-        windows = windows.where(plain * WINDOW >= F.size("window") * MIN_LITERALS)
-    else:
-        windows = windows.where(plain >= F.least(F.lit(MIN_LITERALS), F.size("words")))
+    windows = windows.where(plain * WINDOW >= F.size("window") * MIN_LITERALS)
     if copies:
         windows = windows.unionByName(_windows_of(items.withColumn("words", F.transform("words", plain_word)), exact=True))
     return windows.select("hash", "item_id", "exact", "place", "window")
@@ -185,8 +182,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, copies: bool = False) -> D
     several alignments the best one is kept. ``leaked``: consistent, and at
     least 5 windows, or all windows of a shorter item.
 
-    Templates depend on capitals and sentence ends, and those with fewer than
-    4 plain words are left out. With ``copies`` the windows also meet by
+    Templates depend on capitals and sentence ends, and those with under
+    half plain words are left out. With ``copies`` the windows also meet by
     their exact words, whatever they are, without case, white space and
     punctuation, counted by themselves; so copies are found in any layout.
 

@@ -35,7 +35,7 @@ def leaked_pairs(docs, items):
         theirs = windows(marked(text))
         for item_id, item in items:
             words = marked(item)
-            ours = [(p, w) for p, w in windows(words) if sum(x >= "\x05" for x in w) >= min(4, len(words))]
+            ours = [(p, w) for p, w in windows(words) if 2 * sum(x >= "\x05" for x in w) >= len(w)]
             meetings = {}
             for p, w in ours:
                 for q, v in theirs:
