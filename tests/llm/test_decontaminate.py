@@ -30,17 +30,18 @@ def template(window):
 
 
 def leaked_pairs(docs, items):
-    found = set()
+    found, marks = set(), {item: marked(item) for _, item in items}
     for doc_id, text in docs:
-        theirs = windows(marked(text))
+        theirs = {}
+        for q, v in windows(marked(text)):
+            theirs.setdefault(template(v), []).append((q, v))
         for item_id, item in items:
-            words = marked(item)
+            words = marks[item]
             ours = [(p, w) for p, w in windows(words) if 2 * sum(x >= "\x05" for x in w) >= len(w)]
             meetings = {}
             for p, w in ours:
-                for q, v in theirs:
-                    if template(w) == template(v):
-                        meetings.setdefault(q - p, []).append((w, v))
+                for q, v in theirs.get(template(w), ()):
+                    meetings.setdefault(q - p, []).append((w, v))
             for pairs in meetings.values():
                 slots = {(a, b) for w, v in pairs for a, b in zip(w, v) if a < "\x05"}
                 steady = len(slots) == len({a for a, _ in slots}) == len({b for _, b in slots})
