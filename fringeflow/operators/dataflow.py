@@ -175,5 +175,11 @@ def input_volume(rows: DataFrame, keys: Sequence[str], payload: str) -> DataFram
 def stage_report(stages: Mapping[str, DataFrame]) -> DataFrame:
     """Blocks and inputs per stage, and in total in the row without a stage."""
     blocks = [stage.selectExpr(f"'{name}' as stage", "n_in") for name, stage in stages.items()]
-    totals = group(union_all(blocks), ["stage"], "count(*) as n_tasks", "sum(n_in) as n_in")
+    totals = group(union_all(blocks), ["stage"], "count(*) as n_rows", "sum(n_in) as n_in")
+    return report_total(totals)
+
+
+def report_total(stages: DataFrame) -> DataFrame:
+    """``stage, n_tasks, n_in`` of ``stages(stage, n_rows, n_in)``, and their total in the row without a stage."""
+    totals = stages.selectExpr("stage", "n_rows as n_tasks", "n_in")
     return totals.rollup("stage").agg(F.expr("sum(n_tasks) as n_tasks"), F.expr("sum(n_in) as n_in"))

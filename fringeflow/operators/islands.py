@@ -14,6 +14,7 @@ from fringeflow.functions.numeric import idiv, wide
 from fringeflow.operators.components import connected_components
 from fringeflow.operators.dataflow import fan_out, group
 from fringeflow.plans.joins import lookup
+from fringeflow.sources.stage_store import settle
 
 LABELLED = "facet int, u int, w int, cell bigint, x int, y int, label bigint"
 
@@ -91,7 +92,9 @@ def join_facets(labelled: DataFrame, config: ImagingConfig) -> DataFrame:
 
 def source_islands(cells: DataFrame, config: ImagingConfig) -> DataFrame:
     """One row per island: brightest cell, flux, size, centre in thousandths of a cell, and extent in the mosaic."""
-    labelled = join_facets(label_facets(bright_cells(cells, config), config), config)
+    # Read three times below: as borders on both sides, and whole.
+    inside = settle(label_facets(bright_cells(cells, config), config), "labelled")
+    labelled = join_facets(inside, config)
     first = "min(named_struct('order', -cell, 'x', x, 'y', y, 'facet', facet, 'u', u, 'w', w)) as first"
     centre = "cast(sum({0} * {1} * 1000) div cast(sum(cell) as decimal(20,0)) as bigint) as {1}_milli".format
     extent = [f"{least}({axis}) as {axis}_{name}" for axis in "xy" for least, name in (("min", "first"), ("max", "last"))]

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from fringeflow.config import ImagingConfig
-from fringeflow.functions.numeric import idiv, key_mod
+from fringeflow.functions.numeric import idiv, key_mod, round_div, round_half_away, wide
+from fringeflow.functions.twiddle import SCALE
 from fringeflow.operators.dataflow import fan_out, group
 from fringeflow.operators.fourier import Pass, transform
 from fringeflow.operators.stages import CELL, IMAGE, factors
@@ -95,16 +96,72 @@ def degrid(vis: DataFrame, cells: DataFrame, config: ImagingConfig) -> DataFrame
     it when every cell is spread. That table has one row per cell, so each
     measurement needs a single lookup.
     """
-    n = config.cells
+    placed = vis.selectExpr("event_id", f"{_measured_cell('event_id', config)} as number")
+    table = spread_table(cells, config)
+    return lookup(placed, table, ["number"], bounded=True).select("event_id", "model_re", "model_im")
+
+
+def spread_table(cells: DataFrame, config: ImagingConfig) -> DataFrame:
+    """Weighted sum of the 3x3 cells around each cell, by cell number."""
     parts = [f"sum({c} * weight) as model_{c}" for c in ("re", "im")]
     model = group(kernel_spread(cells, ["re", "im"], config), CELL, *parts)
-    table = model.selectExpr(f"{_cell_number('u', 'w', config)} as number", "model_re", "model_im")
-    u, w = key_mod("event_id", n), key_mod(idiv("event_id", n), n)
-    placed = vis.selectExpr("event_id", f"{_cell_number(u, w, config)} as number")
-    return lookup(placed, table, ["number"], bounded=True).select("event_id", "model_re", "model_im")
+    return model.selectExpr(f"{_cell_number('u', 'w', config)} as number", "model_re", "model_im")
+
+
+def _measured_cell(event_id: str, config: ImagingConfig) -> str:
+    n = config.cells
+    return _cell_number(key_mod(event_id, n), key_mod(idiv(event_id, n), n), config)
 
 
 def _cell_number(u: str, w: str, config: ImagingConfig) -> str:
     """The four cell dimensions as one number, for a lookup by a single integer key."""
     image = f"facet * {config.polarisations} + polarisation"
     return f"cast((({image}) * {config.cells} + {u}) * {config.cells} + {w} as bigint)"
+
+
+# Sum of the weights of the 3x3 kernel.
+KERNEL_WEIGHT = 16
+
+
+def model_cells(lsm: DataFrame, config: ImagingConfig) -> DataFrame:
+    """Visibility cells of the catalogue: fluxes summed into images, shifted back to each facet's own axis and transformed.
+
+    Components without a flux or a place take no part. All polarisations see
+    the same sky.
+    """
+    n = config.cells
+    placed = lsm.where("flux is not null and facet is not null and u is not null and w is not null")
+    shifted = placed.selectExpr("facet", f"{key_mod(f'u - facet % {n} + {n}', n)} as k", "w as l", "flux")
+    images = group(shifted, ["facet", "k", "l"], "sum(flux) as re").selectExpr("*", "0L as im")
+    return idft(fan_out(images, {"polarisation": config.polarisations}), config)
+
+
+def predict_degridded(vis: DataFrame, cells: DataFrame, config: ImagingConfig) -> DataFrame:
+    """Prediction of each measurement: the model cells around its own, weighted by the kernel, at its channel's phase.
+
+    Gridding turns measurements by the phase of channel and facet; this turns
+    the model back. Rows without a cell in the model have none.
+    """
+    rows = vis.selectExpr("event_id", "frequency", "time", "facet", "polarisation", "re", "im")
+    number = _measured_cell("event_id", config)
+    seen = lookup(rows.selectExpr("*", f"{number} as number"), spread_table(cells, config), ["number"], bounded=True)
+    cos, sin = factors("frequency", "facet", config.cells)
+    turned = {"re": f"{wide('model_re')} * {cos} + {wide('model_im')} * {sin}", "im": f"{wide('model_im')} * {cos} - {wide('model_re')} * {sin}"}
+    parts = [f"cast({round_div(f'({v})', SCALE * KERNEL_WEIGHT)} as bigint) as model_{c}" for c, v in turned.items()]
+    return seen.selectExpr(*rows.columns, *parts)
+
+
+def solve_degridded(predicted: DataFrame) -> DataFrame:
+    """Real gain per timeslot between measurements and their own predictions, by least squares."""
+    product = "coalesce(sum({} * {}), 0)".format
+    cross = " + ".join(product(wide(c), wide(f"model_{c}")) for c in ("re", "im"))
+    square = " + ".join(product(wide(f"model_{c}"), wide(f"model_{c}")) for c in ("re", "im"))
+    gain = f"try_divide(cast({cross} as double), cast({square} as double)) as gain"
+    return group(predicted, ["time"], gain, "count(*) as n_in")
+
+
+def subtract_degridded(predicted: DataFrame, solved: DataFrame) -> DataFrame:
+    """Residuals of measurements against their own predictions with the timeslot's gain, in whole cents."""
+    seen = lookup(predicted, solved.select("time", "gain"), ["time"])
+    parts = [f"{round_half_away(f'({c} - gain * model_{c})')} as residual_{c}" for c in ("re", "im")]
+    return seen.selectExpr("event_id", "frequency", "time", *IMAGE, *parts)

@@ -220,11 +220,33 @@ def _ctes(c: ImagingConfig, events: str = "events", lsm: str | None = None) -> l
             {_mod('v.baseline', c.antenna_pairs)} as pair, p.model_re, p.model_im, case when v.re is null or v.im is null
             then null else v.re end as re, case when v.re is null or v.im is null then null else v.im end as im from vis v join pha p on p.frequency = v.frequency
             where v.time is not null and v.baseline is not null) z group by 1, 2)""",
-        """visch as (select frequency, cast(sum(re) as bigint) as re, cast(sum(im) as bigint) as im,
-            count(*) as n_in from vis group by frequency)""",
+        f"""sky as (select l.facet, p.p as polarisation, {_mod(f'l.u - l.facet % {n}', n)} as k, l.w as l, cast(sum(l.flux) as bigint) as re
+            from lsm l cross join {_range(c.polarisations, 'p')} where flux is not null and u is not null and w is not null
+            and facet is not null group by 1, 2, 3, 4)""",
+        f"""sky1 as (select facet, polarisation, k, w, {_round_div('re', 10**5)} as re, {_round_div('im', 10**5)} as im from (
+            select f.facet, f.polarisation, f.k, t.x as w, sum(cast(f.re as hugeint) * t.c) as re,
+            sum(cast(f.re as hugeint) * t.s) as im from sky f join tw t on f.l = t.k group by 1, 2, 3, 4) z)""",
+        f"""sky2 as (select facet, polarisation, u, w, {_round_div('re', 10**7 * n * n)} as re,
+            {_round_div('im', 10**7 * n * n)} as im from (select f.facet, f.polarisation, t.x as u, f.w,
+            sum(cast(f.re as hugeint) * t.c - cast(f.im as hugeint) * t.s) as re,
+            sum(cast(f.re as hugeint) * t.s + cast(f.im as hugeint) * t.c) as im
+            from sky1 f join tw t on f.k = t.k group by 1, 2, 3, 4) z)""",
         """kern as (select a.a - 1 as du, b.b - 1 as dw, (case when a.a = 1 then 2 else 1 end)
             * (case when b.b = 1 then 2 else 1 end) as wt
             from (select unnest(range(3)) as a) a cross join (select unnest(range(3)) as b) b)""",
+        f"""around as (select g.facet, g.polarisation, {_mod('g.u + k.du', n)} as u, {_mod('g.w + k.dw', n)} as w,
+            sum(cast(g.re as hugeint) * k.wt) as re, sum(cast(g.im as hugeint) * k.wt) as im
+            from sky2 g cross join kern k group by 1, 2, 3, 4)""",
+        f"""degridded as (select v.event_id, v.frequency, v.time, v.facet, v.polarisation, v.re, v.im,
+            {_round_div('(a.re * t.c + a.im * t.s)', 16 * 10**6)} as model_re, {_round_div('(a.im * t.c - a.re * t.s)', 16 * 10**6)} as model_im
+            from (select *, {_mod('event_id', n)} as u, {_mod(f'event_id // {n}', n)} as w from vis) v
+            left join around a on a.facet = v.facet and a.polarisation = v.polarisation and a.u = v.u and a.w = v.w
+            left join tw t on t.k = v.frequency % {n} and t.x = v.facet % {n})""",
+        """degridded_sol as (select time, cast(coalesce(sum(cast(re as hugeint) * model_re), 0)
+            + coalesce(sum(cast(im as hugeint) * model_im), 0) as double) / nullif(cast(coalesce(sum(cast(model_re as hugeint) * model_re), 0)
+            + coalesce(sum(cast(model_im as hugeint) * model_im), 0) as double), 0) as gain, count(*) as n_in from degridded group by time)""",
+        """visch as (select frequency, cast(sum(re) as bigint) as re, cast(sum(im) as bigint) as im,
+            count(*) as n_in from vis group by frequency)""",
         f"""reproj as (select facet, polarisation, {_mod('u + facet', n)} as u, w, cast(sum(re) as bigint) as re,
             cast(sum(im) as bigint) as im from grid group by 1, 2, 3, 4)""",
     ]
@@ -328,6 +350,13 @@ def _selects(c: ImagingConfig) -> dict[str, str]:
             and g.polarisation = c.polarisation and g.u = (c.u + k.du + {n}) % {n}
             and g.w = (c.w + k.dw + {n}) % {n} group by 1, 2, 3, 4) m
             on m.facet = v.facet and m.polarisation = v.polarisation and m.u = v.u and m.w = v.w""",
+        "model_cells": "select * from sky2",
+        "predict_degridded": "select * from degridded",
+        "solve_degridded": "select * from degridded_sol",
+        "subtract_degridded": """select v.event_id, v.frequency, v.time, v.facet, v.polarisation,
+            cast(round(v.re - s.gain * v.model_re) as bigint) as residual_re,
+            cast(round(v.im - s.gain * v.model_im) as bigint) as residual_im
+            from degridded v left join degridded_sol s on s.time = v.time""",
         "phase_rotation": f"""select v.event_id, cast(v.re * t.c - v.im * t.s as bigint) as re,
             cast(v.re * t.s + v.im * t.c as bigint) as im from vis v
             left join tw t on v.frequency % {n} = t.k and v.facet % {n} = t.x""",
@@ -442,6 +471,19 @@ def _next_cycle(c: ImagingConfig) -> str:
     return _with(_ctes(c, lsm=first), "select * from pha")
 
 
+LOOP = """select {loop} as major_loop, (select count(*) from lsm) as n_before, (select count(*) from upd) as n_after,
+    (select count(*) from isl) as n_sources, (select cast(coalesce(sum(flux), 0) as bigint) from isl) as source_flux,
+    (select cast(coalesce(sum(case when flag then 0 else abs(residual_re) + coalesce(abs(residual_im), 0) end), 0) as bigint)
+    from flagged) as residual"""
+
+
+def _major_loops(c: ImagingConfig) -> str:
+    first = _ctes(c)
+    second = _ctes(c, lsm=_with(first, "select * from upd"))
+    loops = [_with(ctes, LOOP.format(loop=i)) for i, ctes in enumerate((first, second))]
+    return " union all ".join(f"select * from ({loop})" for loop in loops)
+
+
 _NARROW, _WIDE, _TWELVE = (_oracle(c) for c in (NARROW_SNAPSHOT, WIDE_FACETS, WIDE_FACETS_TWELVE_SLOTS))
 
 _OF_WIDE = (
@@ -464,6 +506,7 @@ ORACLE_SQL: dict[str, str] = {
     **_NARROW,
     "missing_keys": _with(_ctes(NARROW_SNAPSHOT, EVENTS_WITHOUT_KEYS), MISSING_KEYS),
     "next_cycle": _next_cycle(NARROW_SNAPSHOT),
+    "major_loops": _major_loops(NARROW_SNAPSHOT),
     **{f"{name}_81": _WIDE[name] for name in _OF_WIDE},
     **{f"{name}_120": _WIDE[name] for name in ("solve", "timeslots", "fan_out")},
     **{f"{name}_12": _TWELVE[name] for name in ("solve", "timeslots")},

@@ -13,6 +13,16 @@ from fringeflow.sources.tables import read_table
 from fringeflow.sources.views import sky_model, telescope_config, visibilities
 
 
+# Stages that ``store`` measures, by their name in reports.
+REPORTED = {
+    "rep": "reppre_ifft",
+    "deg": "degkerupd_deg",
+    "predicted": "pharotpre_dft_sumvis",
+    "solutions": "solve",
+    "cells": "grid",
+}
+
+
 class ImagingCycle:
     """Stages by name, each built when first used, from the stages it reads.
 
@@ -43,6 +53,7 @@ class ImagingCycle:
         self._events = events
         self._catalogue = catalogue
         self._settled: list[str] = []
+        self._stored: set[str] = set()
 
     def settle(self, stage: DataFrame, name: str) -> DataFrame:
         path = stage_store.new_stage_path(self.spark, name)
@@ -50,6 +61,24 @@ class ImagingCycle:
         stage_store.write_stage(stage, path)
         return stage_store.read_stage(self.spark, path, stage.schema)
 
+    def store(self, *names: str) -> DataFrame:
+        """Settle the named stages in order, and report ``stage, n_rows, n_in`` of each, measured as it is written.
+
+        Later stages then read what is stored. Rows without ``n_in`` count as
+        one input each.
+        """
+        rows = []
+        for name in names:
+            stage = getattr(self, name)
+            path = stage_store.new_stage_path(self.spark, REPORTED[name])
+            self._settled.append(path)
+            n_in = "sum(n_in)" if "n_in" in stage.columns else "count(*)"
+            measured = stage_store.write_measured(stage, path, n_rows="count(*)", n_in=f"coalesce({n_in}, 0L)")
+            setattr(self, name, stage_store.read_stage(self.spark, path, stage.schema))
+            self._stored.add(name)
+            rows.append((REPORTED[name], measured["n_rows"], measured["n_in"]))
+        return self.spark.createDataFrame(rows, "stage string, n_rows bigint, n_in bigint")
+
     def close(self) -> None:
         """Remove settled stages; results that read them can no longer run."""
         while self._settled:
@@ -102,7 +131,7 @@ class ImagingCycle:
 
     @cached_property
     def settled_predicted(self) -> DataFrame:
-        return self.settle(self.predicted, "pharotpre_dft_sumvis")
+        return self.predicted if "predicted" in self._stored else self.settle(self.predicted, "pharotpre_dft_sumvis")
 
     @cached_property
     def slots(self) -> DataFrame:
@@ -114,7 +143,7 @@ class ImagingCycle:
 
     @cached_property
     def settled_solutions(self) -> DataFrame:
-        return self.settle(self.solutions, "solve")
+        return self.solutions if "solutions" in self._stored else self.settle(self.solutions, "solve")
 
     @cached_property
     def corrected(self) -> DataFrame:
@@ -197,3 +226,20 @@ class ImagingCycle:
     @cached_property
     def antenna_residuals(self) -> DataFrame:
         return antennas.correct_antennas(self.vis, self.settled_predicted, self.antenna_gains, self.config)
+
+    @cached_property
+    def model_cells(self) -> DataFrame:
+        """Visibility cells of the catalogue, settled: predictions are looked up in them."""
+        return self.settle(kernels.model_cells(self.lsm, self.config), "model_cells")
+
+    @cached_property
+    def degridded(self) -> DataFrame:
+        return kernels.predict_degridded(self.vis, self.model_cells, self.config)
+
+    @cached_property
+    def degridded_solutions(self) -> DataFrame:
+        return self.settle(kernels.solve_degridded(self.degridded), "solve_degridded")
+
+    @cached_property
+    def degridded_residuals(self) -> DataFrame:
+        return kernels.subtract_degridded(self.degridded, self.degridded_solutions)

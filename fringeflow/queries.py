@@ -12,6 +12,7 @@ from fringeflow.functions.numeric import idiv, key_mod, round_half_away
 from fringeflow.operators import antennas, crossmatch, dataflow, kernels, stages
 from fringeflow.plans.imaging import ImagingCycle
 from fringeflow.plans.joins import lookup
+from fringeflow.plans.major import run_major_loops
 from fringeflow.sources import stage_store
 from fringeflow.sources.tables import read_table
 
@@ -164,17 +165,10 @@ def stage_cache(cycle: ImagingCycle) -> DataFrame:
 
 
 def stage_count(cycle: ImagingCycle) -> DataFrame:
-    return dataflow.stage_count(
-        {
-            "visibility_buffer": cycle.vis,
-            "local_sky_model": cycle.lsm,
-            "telescope_management": cycle.telescope,
-            "reppre_ifft": cycle.rep,
-            "degkerupd_deg": cycle.deg,
-            "pharotpre_dft_sumvis": cycle.settled_predicted,
-            "solve": cycle.solutions,
-        }
-    )
+    """Rows of each stage; those of stored stages are counted while they are written."""
+    inputs = {"visibility_buffer": cycle.vis, "local_sky_model": cycle.lsm, "telescope_management": cycle.telescope}
+    counted = dataflow.stage_count(inputs)
+    return counted.unionByName(cycle.store("rep", "deg", "predicted", "solutions").selectExpr("stage", "n_rows"))
 
 
 def imaging_cycle(cycle: ImagingCycle) -> DataFrame:
@@ -250,14 +244,8 @@ def input_volume(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def stage_report(cycle: ImagingCycle) -> DataFrame:
-    return dataflow.stage_report(
-        {
-            "reppre_ifft": cycle.rep,
-            "pharotpre_dft_sumvis": cycle.settled_predicted,
-            "solve": cycle.solutions,
-            "grid": cycle.cells,
-        }
-    )
+    """Blocks and inputs per stage and in total, measured while the stages are written."""
+    return dataflow.report_total(cycle.store("rep", "predicted", "solutions", "cells"))
 
 
 def key_labels(cycle: ImagingCycle) -> DataFrame:
@@ -341,6 +329,11 @@ def next_cycle(spark: SparkSession, data_dir: str) -> DataFrame:
     return ImagingCycle(spark, data_dir, catalogue=catalogue).predicted
 
 
+def major_loops(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Two major loops; the second reads the first one's catalogue."""
+    return run_major_loops(spark, data_dir, most=2).report
+
+
 def spectrum(cycle: ImagingCycle) -> DataFrame:
     return kernels.dft(cycle.cells, cycle.config)
 
@@ -382,6 +375,10 @@ QUERIES: dict[str, Query] = {
     "idft_columns": _on_cycle(lambda c: kernels.idft_columns(spectrum(c), c.config)),
     "idft": _on_cycle(lambda c: kernels.idft(spectrum(c), c.config)),
     "degrid": _on_cycle(lambda c: kernels.degrid(c.vis, c.cells, c.config)),
+    "model_cells": _on_cycle(lambda c: c.model_cells),
+    "predict_degridded": _on_cycle(lambda c: c.degridded),
+    "solve_degridded": _on_cycle(lambda c: c.degridded_solutions),
+    "subtract_degridded": _on_cycle(lambda c: c.degridded_residuals),
     "phase_rotation": _on_cycle(lambda c: kernels.phase_rotation(c.vis, c.config)),
     "sum_visibilities": _on_cycle(lambda c: c.channels),
     "correct": _on_cycle(lambda c: c.corrected),
@@ -424,6 +421,7 @@ QUERIES: dict[str, Query] = {
     "stored_prediction_by_channel": _on_cycle(stored_prediction_by_channel),
     "stored_model_by_key": _on_cycle(stored_model_by_key),
     "next_cycle": next_cycle,
+    "major_loops": major_loops,
     # The wider key domains
     "index_grid_81": _on_cycle(index_grid, WIDE_FACETS),
     "dep_edges_81": _on_cycle(dep_edges, WIDE_FACETS),

@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fringeflow.session import shared_dir
@@ -35,6 +36,18 @@ def write_stage(
     return path
 
 
+def write_measured(stage: DataFrame, path: str, **aggregates: str) -> dict[str, int]:
+    """Write a whole stage and return aggregates of its rows, taken on their way: no second scan.
+
+    They are taken in the tasks that write, each of which counts once,
+    however often it is tried.
+    """
+    observation = Observation()
+    measures = [F.expr(a).alias(name) for name, a in aggregates.items()]
+    write_stage(stage.observe(observation, *measures), path)
+    return observation.get
+
+
 def read_stage(spark: SparkSession, path: str, schema: StructType, **key: int) -> DataFrame:
     """Read a stored stage; ``key`` dimensions prune whole directories.
 
