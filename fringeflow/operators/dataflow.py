@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from fringeflow.functions.digest import row_digest
 from fringeflow.functions.numeric import idiv
 from fringeflow.plans.joins import lookup
-from fringeflow.sources.stage_store import settle
+from fringeflow.sources.stage_store import settle, write_bucketed
 
 
 def group(rows: DataFrame, keys: Sequence[str], *aggregates: str) -> DataFrame:
@@ -97,6 +97,16 @@ def fan_in_zip(keys: Sequence[str], *blocks: DataFrame) -> DataFrame:
     return reduce(lambda left, right: left.join(right, list(keys)), blocks)
 
 
+def fan_in_stored(keys: Sequence[str], blocks: Mapping[str, DataFrame], buckets: int) -> DataFrame:
+    """``fan_in_zip`` of stages stored in buckets by key: each is dealt out once, when written, and never again.
+
+    Whoever joins the stored stages on the key reads bucket beside bucket.
+    Rows without a key meet nothing and are not stored.
+    """
+    stored = [write_bucketed(block, name, keys, buckets) for name, block in blocks.items()]
+    return reduce(lambda left, right: left.hint("merge").join(right.hint("merge"), list(keys)), stored)
+
+
 def cogroup_merge(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Both sides of every key; a key missing on one side keeps nulls there."""
     return left.join(right, list(keys), "full_outer")

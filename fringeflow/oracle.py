@@ -386,6 +386,11 @@ def _selects(c: ImagingConfig) -> dict[str, str]:
             join pha p on v.frequency = p.frequency""",
         "fan_in_zip3": f"""select v.*, p.model_re, p.model_im, s.gain_micro from visch v
             join pha p on v.frequency = p.frequency cross join (select {gains} as gain_micro from sol) s""",
+        "fan_in_stored": """select v.event_id, v.re, v.im, d.model_re, d.model_im,
+            cast(round(r.re - s.gain * r.model_re) as bigint) as residual_re,
+            cast(round(r.im - s.gain * r.model_im) as bigint) as residual_im from vis v
+            join degridded d on d.event_id = v.event_id join degridded r on r.event_id = v.event_id
+            left join degridded_sol s on s.time = r.time""",
         "cogroup_merge": """select coalesce(l.facet, v.facet) as facet, l.n_components, l.flux,
             v.n_measured, v.re from (select facet, count(*) as n_components, cast(sum(flux) as bigint)
             as flux from lsm group by facet) l full outer join (select facet, count(*) as n_measured,

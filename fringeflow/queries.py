@@ -101,6 +101,17 @@ def fan_in_zip3(cycle: ImagingCycle) -> DataFrame:
     return dataflow.fan_in_zip(["frequency"], cycle.channels, model, solved)
 
 
+def fan_in_stored(cycle: ImagingCycle) -> DataFrame:
+    """Measurements, their own predictions and their residuals, stored in buckets by id and zipped in place."""
+    stages_by_name = {
+        "vis": cycle.vis.select("event_id", "re", "im"),
+        "model": cycle.degridded.select("event_id", "model_re", "model_im"),
+        "residual": cycle.degridded_residuals.select("event_id", "residual_re", "residual_im"),
+    }
+    buckets = int(cycle.spark.conf.get("spark.sql.shuffle.partitions"))
+    return dataflow.fan_in_stored(["event_id"], stages_by_name, buckets)
+
+
 def cogroup_merge(cycle: ImagingCycle) -> DataFrame:
     """Catalogue and measurements of each facet side by side."""
     catalogue = dataflow.group(cycle.lsm, ["facet"], "count(*) as n_components", "sum(flux) as flux")
@@ -395,6 +406,7 @@ QUERIES: dict[str, Query] = {
     "fan_in_union": _on_cycle(fan_in_union),
     "fan_in_zip2": _on_cycle(fan_in_zip2),
     "fan_in_zip3": _on_cycle(fan_in_zip3),
+    "fan_in_stored": _on_cycle(fan_in_stored),
     "cogroup_merge": _on_cycle(cogroup_merge),
     "broadcast_lookup": _on_cycle(broadcast_lookup),
     "partition_by_dim": _on_cycle(_placed_by("frequency")),

@@ -59,6 +59,34 @@ def read_stage(spark: SparkSession, path: str, schema: StructType, **key: int) -
     return stage
 
 
+def write_bucketed(stage: DataFrame, name: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Store a stage's rows with a key in ``buckets`` files by hash of the key, sorted by it, and go on from there.
+
+    Stages stored alike join on the key where they lie: the planner knows
+    from the catalogue that equal keys are in buckets of equal number. The
+    table is external, in the shared folder; ``drop_bucketed`` removes both.
+    """
+    spark = stage.sparkSession
+    path = new_stage_path(spark, name)
+    table = f"{name}_{uuid.uuid4().hex}"
+    keyed = stage.where(" and ".join(f"{k} is not null" for k in keys)).repartition(buckets, *keys)
+    keyed.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(table)
+    BUCKETED[table] = path
+    return spark.table(table)
+
+
+# Tables that ``write_bucketed`` has made in this process, and their folders.
+BUCKETED: dict[str, str] = {}
+
+
+def drop_bucketed(spark: SparkSession) -> None:
+    """Forget all bucketed tables and remove their folders."""
+    while BUCKETED:
+        table, path = BUCKETED.popitem()
+        spark.sql(f"drop table if exists {table}")
+        remove_stage(spark, path)
+
+
 def remove_stage(spark: SparkSession, path: str) -> None:
     """Delete a stored stage; frames that read it can no longer run."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
