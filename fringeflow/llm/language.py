@@ -204,6 +204,8 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     their cosine.
     """
     profiles = language_profiles(docs.where(~is_held_out(F.col("doc_id"))))
-    judged = predict_languages(docs, profiles)
+    aside = {c: f"_own_{c}" for c in docs.columns if c in ("lang_pred", "score")}
+    judged = predict_languages(docs.withColumnsRenamed(aside), profiles)
     foreign = (F.length("text") >= SURE_CHARS) & (F.col("score") < FOREIGN)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & ~foreign).select(*docs.columns)
+    kept = judged.where((F.col("lang_pred") != UNKNOWN) & ~foreign)
+    return kept.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])

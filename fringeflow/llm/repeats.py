@@ -332,7 +332,12 @@ def remove_repeats(docs: DataFrame, length: int, variants: int = VARIANTS, as_te
 
 
 def drop_repeats(docs: DataFrame, length: int) -> DataFrame:
-    """``docs`` with the repeated bytes taken out of ``text``; null texts stay null."""
-    cleaned = remove_repeats(docs, length, as_text=True)
-    text = F.when(F.col("text").isNotNull(), F.col("kept"))
-    return cleaned.withColumn("text", text).select(*docs.columns)
+    """``docs`` with the repeated bytes taken out of ``text``; null texts and all other columns stay as they are."""
+    aside = {c: f"_own_{c}" for c in docs.columns if c in _INNER}
+    cleaned = remove_repeats(docs.withColumnsRenamed(aside), length, as_text=True)
+    text = F.when(F.col("text").isNotNull(), F.col("kept")).alias("text")
+    return cleaned.select(*[text if c == "text" else F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+
+# Columns that ``remove_repeats`` makes.
+_INNER = {"kept", "n_bytes", "n_removed", "n_spans", "_key", "_ref", "_size", "_runs"}

@@ -44,6 +44,9 @@ def test_awkward_rows(make_docs, awkward):
         assert (r.score > 0) <= letters
     assert language.predict_languages(docs.limit(0), profiles).collect() == []
     assert {r.lang_pred for r in language.predict_languages(docs, {}).collect()} == {"und"}
+    named = docs.selectExpr("*", "cast(null as int) as lang_pred")
+    kept = language.keep_identified(named)
+    assert kept.schema == named.schema and {(r.score, r.lang_pred, r.kept) for r in kept.collect()} == {("x", None, 7)}
     kept = language.keep_identified(docs)
     assert kept.columns == docs.columns and kept.count() == sum(any(c.isalpha() for c in t or "") for _, t in awkward)
 

@@ -52,6 +52,9 @@ def test_text_form_keeps_whole_characters(make_docs, prose):
     docs = make_docs(rows)
     got = repeats.drop_repeats(docs, 35)
     assert got.columns == docs.columns
+    named = docs.selectExpr("*", "doc_id * 2 as n_bytes", "'y' as _key")
+    rows_got = repeats.drop_repeats(named, 35).collect()
+    assert all((r.kept, r.n_bytes, r._key, r.ref) == (7, r.doc_id * 2, "y", "x") for r in rows_got) and len(rows_got) == 4
     want = {i: kept.decode(errors="ignore") for i, *_, kept in brute_force(rows, 35)} | {3: None}
     assert {r.doc_id: r.text for r in got.collect()} == want
 
