@@ -29,6 +29,9 @@ class ImagingConfig:
     minor_iterations: int = 100
     # A source's cells are above this share of the mean of their facet.
     island_percent: int = 150
+    # Flags by runs: limit in median deviations, and how often the medians are taken anew.
+    flag_factor: int = 6
+    flag_rounds: int = 2
     # Cells between a source and the catalogue component that it is merged with.
     match_radius: int = 1
     start: str = "2024-01-01 00:00:00"

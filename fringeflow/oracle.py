@@ -245,6 +245,7 @@ def _ctes(c: ImagingConfig, events: str = "events", lsm: str | None = None) -> l
         """degridded_sol as (select time, cast(coalesce(sum(cast(re as hugeint) * model_re), 0)
             + coalesce(sum(cast(im as hugeint) * model_im), 0) as double) / nullif(cast(coalesce(sum(cast(model_re as hugeint) * model_re), 0)
             + coalesce(sum(cast(model_im as hugeint) * model_im), 0) as double), 0) as gain, count(*) as n_in from degridded group by time)""",
+        *_flag_runs(c),
         """visch as (select frequency, cast(sum(re) as bigint) as re, cast(sum(im) as bigint) as im,
             count(*) as n_in from vis group by frequency)""",
         f"""reproj as (select facet, polarisation, {_mod('u + facet', n)} as u, w, cast(sum(re) as bigint) as re,
@@ -252,6 +253,35 @@ def _ctes(c: ImagingConfig, events: str = "events", lsm: str | None = None) -> l
     ]
 
 
+def _flag_runs(c: ImagingConfig) -> list[str]:
+    """Cells of timeslot and channel after each round, scale and direction in turn."""
+    amplitude = "(abs(residual_re) + coalesce(abs(residual_im), 0))"
+    tables = [
+        f"""cells0 as materialized (select time, frequency, count(*) as n_in, cast(sum({amplitude}) // count(*) as bigint) as amplitude,
+            false as flag from res where time is not null and frequency is not null and residual_re is not null group by 1, 2)"""
+    ]
+    for turn in range(c.flag_rounds):
+        tables.append(
+            f"""cells{len(tables)} as materialized (select time, frequency, n_in, amplitude, flag, (select cast(floor(median(amplitude))
+            as bigint) from cells{len(tables) - 1} where not flag) as middle, (select cast(floor(median(abs(amplitude
+            - (select cast(floor(median(amplitude)) as bigint) from cells{len(tables) - 1} where not flag))) * {c.flag_factor}) as bigint)
+            from cells{len(tables) - 1} where not flag) as lim from cells{len(tables) - 1})"""
+        )
+        for power, m in enumerate((1, 2, 4, 8)):
+            for along, across in (("time", "frequency"), ("frequency", "time")):
+                here = f"cells{len(tables) - 1}"
+                # A cell is in a run that starts at s where s <= it < s + m.
+                tables.append(
+                    f"""cells{len(tables)} as materialized (select e.time, e.frequency, e.n_in, e.amplitude, e.flag or exists (
+                    select 1 from (select a.{across}, a.{along} as s from {here} a join {here} b on a.{across} = b.{across}
+                    and b.{along} between a.{along} and a.{along} + {m - 1} group by 1, 2 having count(*) = {m}
+                    and sum(case when b.flag then 0 else b.amplitude - b.middle end) * {3**power} > any_value(a.lim) * {2**power}
+                    * count(*) filter (where not b.flag)) r where r.{across} = e.{across} and e.{along} between r.s and r.s + {m - 1})
+                    as flag, e.middle, e.lim from {here} e)"""
+                )
+    return [*tables, f"run_flags as (select time, frequency, n_in, amplitude, flag from cells{len(tables) - 1})"]
+
+
 def _with(ctes: list[str], select: str) -> str:
     return "with recursive " + ",\n".join(ctes) + "\n" + select
 
@@ -365,6 +395,9 @@ def _selects(c: ImagingConfig) -> dict[str, str]:
         "subtract_visibility": "select * from res",
         "flag": """select frequency, count(*) as n_in, count(*) filter (where flag) as n_flagged
             from flagged group by frequency""",
+        "flag_runs": "select * from run_flags",
+        "flag_by_runs": """select r.*, f.flag from res r left join run_flags f on f.time = r.time
+            and f.frequency = r.frequency""",
         "grid": "select * from grid",
         "grid_convolved": f"""select v.facet, v.polarisation, {_mod('v.u + k.du', n)} as u,
             {_mod('v.w + k.dw', n)} as w, cast(sum(v.re * k.wt) as bigint) as re,

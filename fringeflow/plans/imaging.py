@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from fringeflow.config import ImagingConfig
-from fringeflow.operators import antennas, crossmatch, deconvolve, islands, kernels, stages
+from fringeflow.operators import antennas, crossmatch, deconvolve, flagging, islands, kernels, stages
 from fringeflow.sources import stage_store
 from fringeflow.sources.tables import read_table
 from fringeflow.sources.views import sky_model, telescope_config, visibilities
@@ -243,3 +243,11 @@ class ImagingCycle:
     @cached_property
     def degridded_residuals(self) -> DataFrame:
         return kernels.subtract_degridded(self.degridded, self.degridded_solutions)
+
+    @cached_property
+    def flagged_cells(self) -> DataFrame:
+        return flagging.flag_runs(flagging.cell_amplitudes(self.residuals), self.config)
+
+    @cached_property
+    def flagged_by_runs(self) -> DataFrame:
+        return flagging.flag_by_runs(self.residuals, self.flagged_cells)

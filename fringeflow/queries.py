@@ -395,6 +395,8 @@ QUERIES: dict[str, Query] = {
     "correct": _on_cycle(lambda c: c.corrected),
     "subtract_visibility": _on_cycle(lambda c: c.residuals),
     "flag": _on_cycle(lambda c: stages.flag_counts(c.flagged)),
+    "flag_runs": _on_cycle(lambda c: c.flagged_cells),
+    "flag_by_runs": _on_cycle(lambda c: c.flagged_by_runs),
     "grid": _on_cycle(lambda c: c.cells),
     "grid_convolved": _on_cycle(lambda c: kernels.convolve_grid(c.cells, c.config)),
     # Dataflow operators

@@ -77,6 +77,11 @@ NAMES = [
     "minor_cycle_residuals",
     "minor_cycle_components",
     "antenna_pair_sums",
+    "flag_runs",
+    "flag_by_runs",
+    "model_cells",
+    "subtract_degridded",
+    "fan_in_stored",
     "idft",
     "phase_rotation",
     "index_grid",
