@@ -482,6 +482,8 @@ def _selects(c: ImagingConfig) -> dict[str, str]:
             from (select event_id, re, {label} as label, {_digest(label)} as code from vis) z""",
         "stored_by_channel": """select time, frequency, cast(sum(re) as bigint) as re,
             cast(sum(im) as bigint) as im, count(*) as n_in from vis group by 1, 2""",
+        "stored_refreshed": """select frequency, re, im, n_in, case when frequency = 3 then 'changed' end as state
+            from visch""",
         "stored_solve_by_time": "select * from sol",
         "stored_prediction_by_channel": "select * from pha where frequency = 7",
         "stored_model_by_key": "select * from rep where facet = 3",

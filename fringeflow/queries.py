@@ -10,6 +10,7 @@ from fringeflow.config import NARROW_SNAPSHOT, WIDE_FACETS, WIDE_FACETS_TWELVE_S
 from fringeflow.functions.digest import digest
 from fringeflow.functions.numeric import idiv, key_mod, round_half_away
 from fringeflow.operators import antennas, crossmatch, dataflow, kernels, stages
+from fringeflow.operators.refresh import refresh_stage
 from fringeflow.plans.imaging import ImagingCycle
 from fringeflow.plans.joins import lookup
 from fringeflow.plans.major import run_major_loops
@@ -306,6 +307,19 @@ def stored_replaced(cycle: ImagingCycle) -> DataFrame:
     return stage_store.read_stage(cycle.spark, path, cycle.rep.schema)
 
 
+def stored_refreshed(cycle: ImagingCycle) -> DataFrame:
+    """Channel sums stored from measurements of which one channel's differ, then refreshed: that channel alone is built anew."""
+    path = stage_store.new_stage_path(cycle.spark, "visibility_channels")
+    columns = ["event_id", "re", "im"]
+    older = cycle.vis.selectExpr("event_id", "frequency", "re + if(frequency = 3, 1, 0) as re", "im")
+    refresh_stage(older, path, ["frequency"], columns, stages.visibility_channels)
+    changes = refresh_stage(cycle.vis, path, ["frequency"], columns, stages.visibility_channels)
+    stored = stage_store.read_stage(cycle.spark, path, cycle.channels.schema)
+    refreshed = changes.selectExpr("frequency as changed", "state")
+    marked = stored.join(refreshed, stored["frequency"].eqNullSafe(refreshed["changed"]), "left").drop("changed")
+    return marked.selectExpr("frequency", "re", "im", "n_in", "state")
+
+
 def stored_solve_by_time(cycle: ImagingCycle) -> DataFrame:
     """Solutions stored per timeslot and read back whole."""
     path = stage_store.new_stage_path(cycle.spark, "solve")
@@ -431,6 +445,7 @@ QUERIES: dict[str, Query] = {
     "stored_by_channel": _on_cycle(stored_by_channel),
     "stored_one_channel": _on_cycle(stored_one_channel),
     "stored_replaced": _on_cycle(stored_replaced),
+    "stored_refreshed": _on_cycle(stored_refreshed),
     "stored_solve_by_time": _on_cycle(stored_solve_by_time),
     "stored_prediction_by_channel": _on_cycle(stored_prediction_by_channel),
     "stored_model_by_key": _on_cycle(stored_model_by_key),

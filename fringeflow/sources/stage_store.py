@@ -93,6 +93,11 @@ def remove_stage(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 # Paths that ``settle`` has written in this process and nothing has removed yet.
 SETTLED: list[str] = []
 
