@@ -22,6 +22,9 @@ class ImagingConfig:
     slots: int = 8
     cells: int = 16
     antennas: int = 16
+    # Gridding kernels: planes that they widen with, and places inside a cell along each axis.
+    w_planes: int = 4
+    sub_cells: int = 2
     peak_threshold: int = 1000
     # Minor cycles: share of a peak taken at once, share of the first peak at which to stop, both in percent.
     minor_gain_percent: int = 10

@@ -6,12 +6,12 @@ lookup against such a table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from fringeflow.config import ImagingConfig
-from fringeflow.functions.numeric import idiv, key_mod, round_div, round_half_away, wide
+from fringeflow.functions.numeric import idiv, key_mod, round_div, round_half_away, wide, wide_dot
 from fringeflow.functions.twiddle import SCALE
-from fringeflow.operators.dataflow import fan_out, group
+from fringeflow.operators.dataflow import fan_out, group, index_grid
 from fringeflow.operators.fourier import Pass, transform
 from fringeflow.operators.stages import CELL, IMAGE, factors
 from fringeflow.plans.joins import lookup
@@ -165,3 +165,54 @@ def subtract_degridded(predicted: DataFrame, solved: DataFrame) -> DataFrame:
     seen = lookup(predicted, solved.select("time", "gain"), ["time"])
     parts = [f"{round_half_away(f'({c} - gain * model_{c})')} as residual_{c}" for c in ("re", "im")]
     return seen.selectExpr("event_id", "frequency", "time", *IMAGE, *parts)
+
+
+def kernel_table(spark: SparkSession, config: ImagingConfig) -> DataFrame:
+    """Gridding kernels: ``weight`` of the 3x3 cells around a measurement, by plane and place inside its cell.
+
+    Along each axis a weight falls in line with the distance between the
+    middle of a cell and the measurement's place, and reaches farther in
+    higher planes. Distances count in halves of a place.
+    """
+    over = config.sub_cells
+    dims = {"plane": config.w_planes, "su": over, "sw": over, "du": 3, "dw": 3}
+
+    def along(d: str, s: str) -> str:
+        return f"greatest(0, {2 * over} + plane - abs({2 * over} * ({d} - 1) - (2 * {s} + 1 - {over})))"
+
+    return index_grid(spark, dims).selectExpr("plane", "su", "sw", "du", "dw", f"{along('du', 'su')} * {along('dw', 'sw')} as weight")
+
+
+def grid_planes(flagged: DataFrame, config: ImagingConfig) -> DataFrame:
+    """Gridding with the kernel of each measurement's plane and place inside its cell.
+
+    The plane follows from the timeslot (the first one without a time).
+    Unflagged residuals are summed per cell, plane, place and channel and
+    turned by the phase of channel and facet; only these sums, which the
+    configuration bounds, meet the kernels and are copied to the cells around.
+    """
+    n, over = config.cells, config.sub_cells
+    place = {"u": "event_id", "w": idiv("event_id", n)}
+    inside = {"su": idiv("event_id", n * n), "sw": idiv("event_id", n * n * over)}
+    placed = flagged.where("facet is not null and polarisation is not null and event_id is not null").selectExpr(
+        *IMAGE,
+        *[f"{key_mod(v, n)} as {c}" for c, v in place.items()],
+        *[f"{key_mod(v, over)} as {c}" for c, v in inside.items()],
+        f"coalesce({key_mod('time', config.w_planes)}, 0) as plane",
+        "frequency",
+        *[f"if(flag, 0, coalesce(residual_{c}, 0)) as {c}" for c in ("re", "im")],
+    )
+    keys = [*CELL, "su", "sw", "plane"]
+    sums = group(placed, [*keys, "frequency"], "sum(re) as re", "sum(im) as im", "count(*) as n_in")
+    cos, sin = factors("frequency", "facet", n)
+    turned = group(
+        sums, keys, f"{wide_dot(('re', cos), ('im', f'-{sin}'))} as re", f"{wide_dot(('re', sin), ('im', cos))} as im", "sum(n_in) as n_in"
+    )
+    spread = lookup(turned, kernel_table(flagged.sparkSession, config), ["plane", "su", "sw"], bounded=True, how="inner")
+    spread = spread.where("weight > 0").selectExpr(
+        *IMAGE,
+        *[f"{key_mod(f'{c} + d{c} - 1 + {n}', n)} as {c}" for c in ("u", "w")],
+        *("re", "im", "n_in", "weight"),
+    )
+    totals = group(spread, CELL, "sum(re * weight) as re", "sum(im * weight) as im", "sum(n_in) as n_in")
+    return totals.selectExpr(*CELL, *[f"cast({round_div(c, SCALE)} as bigint) as {c}" for c in ("re", "im")], "n_in")

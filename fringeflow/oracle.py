@@ -333,6 +333,22 @@ def _dep_edges(c: ImagingConfig) -> str:
         on v.frequency = f.f and v.facet = x.x and v.polarisation = p.p"""
 
 
+def _grid_planes(c: ImagingConfig) -> str:
+    """One row per measurement and cell that it reaches."""
+    n, over = c.cells, c.sub_cells
+    along = "greatest(0, {o2} + r.plane - abs({o2} * {d} - (2 * r.{s} + 1 - {o})))".format
+    weights = " * ".join(along(o2=2 * over, o=over, d=f"k.d{x}", s=f"s{x}") for x in "uw")
+    return f"""select facet, polarisation, u, w, {_round_div('re', 10**6)} as re, {_round_div('im', 10**6)} as im, n_in from (
+        select facet, polarisation, u, w, sum((re * c - im * s) * weight) as re, sum((re * s + im * c) * weight) as im,
+        count(*) as n_in from (select r.facet, r.polarisation, {_mod('r.u + k.du', n)} as u, {_mod('r.w + k.dw', n)} as w,
+        cast(r.re as hugeint) as re, cast(r.im as hugeint) as im, t.c, t.s, {weights} as weight from (
+        select *, case when flag then 0 else coalesce(residual_re, 0) end as re,
+        case when flag then 0 else coalesce(residual_im, 0) end as im, {_mod(f'event_id // {n * n}', over)} as su,
+        {_mod(f'event_id // {n * n * over}', over)} as sw, coalesce({_mod('time', c.w_planes)}, 0) as plane
+        from placed where facet is not null and polarisation is not null and event_id is not null) r cross join kern k
+        left join tw t on t.k = r.frequency % {n} and t.x = r.facet % {n}) z where weight > 0 group by 1, 2, 3, 4) y"""
+
+
 def _selects(c: ImagingConfig) -> dict[str, str]:
     n = c.cells
     label = "concat_ws('_', " + ", ".join(
@@ -403,6 +419,7 @@ def _selects(c: ImagingConfig) -> dict[str, str]:
             {_mod('v.w + k.dw', n)} as w, cast(sum(v.re * k.wt) as bigint) as re,
             cast(sum(v.im * k.wt) as bigint) as im, cast(sum(v.n_in) as bigint) as n_in
             from grid v cross join kern k group by 1, 2, 3, 4""",
+        "grid_planes": _grid_planes(c),
         "index_grid": _index_grid(c),
         "dep_edges": _dep_edges(c),
         "fan_out": f"select v.*, t.t as time from visch v cross join {_range(c.slots, 't')}",

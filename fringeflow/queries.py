@@ -412,6 +412,7 @@ QUERIES: dict[str, Query] = {
     "flag_runs": _on_cycle(lambda c: c.flagged_cells),
     "flag_by_runs": _on_cycle(lambda c: c.flagged_by_runs),
     "grid": _on_cycle(lambda c: c.cells),
+    "grid_planes": _on_cycle(lambda c: kernels.grid_planes(c.flagged, c.config)),
     "grid_convolved": _on_cycle(lambda c: kernels.convolve_grid(c.cells, c.config)),
     # Dataflow operators
     "index_grid": _on_cycle(index_grid),

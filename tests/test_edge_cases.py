@@ -65,6 +65,8 @@ NAMES = [
     "cor_subvis_flag",
     "grid",
     "grid_convolved",
+    "grid_planes",
+    "stored_refreshed",
     "degrid",
     "sum_facets",
     "identify_component",

@@ -142,6 +142,21 @@ def test_kernel_wraps_at_the_edge(spark):
     }
 
 
+def test_kernels_follow_plane_and_place(spark):
+    """A kernel leans to the side of the cell its measurement lies on, and widens with its plane."""
+    config = ImagingConfig(cells=8)
+    table = {(r.plane, r.su, r.sw, r.du, r.dw): r.weight for r in kernels.kernel_table(spark, config).collect()}
+    assert len(table) == 4 * 4 * 9
+    # Places lie a quarter cell off the middle; distances to the cells around are 3, 1 and 5 quarters.
+    assert [table[0, 0, 0, d, 1] for d in range(3)] == [(4 - 3) * 3, 3 * 3, 0]
+    assert [table[0, 1, 0, d, 1] for d in range(3)] == [0, 3 * 3, (4 - 3) * 3]
+    assert [table[2, 0, 0, d, 1] for d in range(3)] == [(6 - 3) * 5, 5 * 5, (6 - 5) * 5]
+    schema = "event_id bigint, frequency int, time int, facet int, polarisation int, residual_re bigint, residual_im bigint, flag boolean"
+    rows = [(0, 0, 2, 0, 0, 10, 4, False), (64, 0, 0, 0, 0, 1, 0, False), (0, 0, 2, 0, 0, 999, 9, True), (None, 0, 0, 0, 0, 5, 5, False)]
+    got = {(r.u, r.w): (r.re, r.im, r.n_in) for r in kernels.grid_planes(spark.createDataFrame(rows, schema), config).collect()}
+    assert got[0, 0] == (10 * 25 + 9, 4 * 25, 3) and got[1, 0] == (10 * 5 + 3, 4 * 5, 3) and got[7, 7] == (10 * 9, 4 * 9, 2)
+
+
 def test_tied_peaks_take_the_first_cell(spark):
     cells = spark.sql(
         "select 0 as facet, p as polarisation, u, 2 as w, c as cell from values"
