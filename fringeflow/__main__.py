@@ -27,6 +27,9 @@ def main(arguments: Sequence[str] | None = None) -> None:
     write_stage(cycle.flagged, f"{out}/cor_subvis_flag", ["frequency"], compact=True)
     write_stage(cycle.components, f"{out}/identify_component")
     write_stage(cycle.remaining, f"{out}/subimacom")
+    write_stage(cycle.sources, f"{out}/source_find")
+    write_stage(cycle.clean_components, f"{out}/minor_cycle_components")
+    write_stage(cycle.residual_images, f"{out}/minor_cycle_residuals", ["facet"], compact=True)
     write_stage(cycle.updated_lsm, f"{out}/update_lsm")
 
     report = dataflow.stage_report(
