@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +22,13 @@ FREQUENT = 1 << 16
 # Shingles in fewer sets than this are never called frequent.
 RARE = 64
 
+# Classes of a list that are paired; longer lists make up families.
+SHORT = 8
+# Members whose elements give a group's centre, about.
+SAMPLE = 48
+# Times that families are divided before what is left is compared in full.
+LEVELS = 3
+
 # Sets of a family that meet others in one task, and elements multiplied at once.
 CHUNK = 256
 ELEMENTS = 4096
@@ -91,31 +99,135 @@ def frequent_shingles(sets: DataFrame) -> np.ndarray:
 
 
 def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
-    """``token, at, n, block, class, shared`` of all prefix elements that two classes have.
-
-    A block holds similar sizes; ``shared`` counts a class's rows here.
+    """``token, window, at, n, block, class, least, length, root``: lists of the prefix elements that classes share.
+
+    A block holds similar sizes, and a window a block and the next one, so
+    similar sets meet in the window of the lower block. ``least`` is the
+    least overlap a similar partner in the window can have; entries at
+    positions that leave fewer elements are skipped there. ``length`` counts
+    a list, ``root`` is its least class. Lists of one class, and those that
+    have no set of the window's own block, are left out.
     """
+    ratio = math.log(100 / percent) + 1e-9
     entries = classes.select(F.posexplode("tokens").alias("at", "token"), "n", "class")
-    entries = entries.withColumn("block", F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent))).cast("int"))
-    counted = entries.selectExpr("*", "count(*) over (partition by token) as df")
-    common = counted.where("df > 1").drop("df")
-    return settle(common.selectExpr("*", "count(*) over (partition by class) as shared"), "lists")
+    counts = entries.groupBy("token").count().where("count > 1").select("token")
+    entries = settle(entries.join(counts, "token"), "common")
+    entries = entries.withColumn("block", F.expr(f"cast(floor(ln(n) / {ratio}) as int)"))
+    entries = entries.withColumn("window", F.explode(F.expr("array(block - 1, block)")))
+    smallest = f"greatest(cast(floor(exp(window * {ratio} - 1e-9)) as long), ({percent} * n + 99) div 100)"
+    least = f"({percent} * (n + {smallest}) + {99 + percent}) div {100 + percent}"
+    entries = entries.withColumn("least", F.expr(least)).where("n - at >= least")
+    heads = entries.groupBy("token", "window").agg(
+        F.count("*").alias("length"), F.min("class").alias("root"), F.bool_or(F.expr("block = window")).alias("own")
+    )
+    return settle(entries.join(heads.where("length > 1 and own").drop("own"), ["token", "window"]), "lists")
+
+
+def short_list_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` from lists of at most ``SHORT`` classes that may be similar enough.
+
+    Similar sets that meet in no longer list have at least ``needed`` of
+    these in common: the one whose prefix ends first can miss only as many
+    elements as ``least`` leaves. The first common element leaves an
+    overlap behind it in both sets.
+    """
+    short = lists.where(f"length <= {SHORT}")
+    sides = [
+        short.selectExpr("token", "window", *[f"{c} as {c}_{s}" for c in ("at", "n", "block", "least", "class")])
+        for s in "ab"
+    ]
+    overlap = f"(({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent})"
+    met = sides[0].where("block_a = window").join(sides[1], ["token", "window"])
+    met = met.where(
+        f"""(block_b > window or class_a < class_b) and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)
+        and least(least_a, least_b) <= {overlap}"""
+    )
+    found = met.groupBy("class_a", "class_b").agg(
+        F.count("*").alias("common"),
+        F.expr(f"any_value({overlap} + 1 - greatest(least_a, least_b))").alias("needed"),
+        F.expr(f"max(least(n_a - at_a, n_b - at_b) - {overlap})").alias("behind"),
+    )
+    return found.where("common >= needed and behind >= 0").selectExpr("class_a as a", "class_b as b")
+
+
+def list_families(lists: DataFrame) -> DataFrame:
+    """``class, family``: classes that meet in longer lists, directly or through others."""
+    long = lists.where(f"length > {SHORT}").selectExpr("class as src", "root as dst")
+    return connected_components(long).selectExpr("node as class", "component as family")
 
 
-def pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """For each class up to two pivots that share a quarter of its prefix; pivots are the ends of a list block.
+def centred(members: DataFrame, level: int) -> DataFrame:
+    """Members ``group, class, n, tokens`` with their differences ``diff`` from their group's centre.
 
-    They only gather classes into families; similar classes of different
-    families are found by ``crossing_pairs``.
+    A centre holds the elements that over half of about ``SAMPLE`` members
+    have, and any centre leaves the join exact. Elements that fewer, but more
+    than one, of these have come last in ``diff``.
     """
-    end = "{}(class) over (partition by token, block) as {}"
-    near = lists.selectExpr("class", "n", end.format("min", "low"), end.format("max", "high")).where("low < high")
-    near = near.select("class", "n", F.explode(F.array("low", "high")).alias("pivot")).where("class <> pivot")
-    common = near.groupBy("class", "pivot").agg(F.count("*").alias("common"), F.any_value("n").alias("n"))
-    common = common.where(f"4 * common >= n - ({percent} * n + 99) div 100 + 1")
-    ranked = common.groupBy("class").agg(F.max(F.struct("common", "pivot")).alias("best"), F.min("pivot").alias("first"))
-    pairs = ranked.select("class", F.explode(F.array("best.pivot", "first")).alias("pivot"))
-    return pairs.selectExpr("least(class, pivot) as src", "greatest(class, pivot) as dst").distinct()
+    sizes = members.groupBy("group").agg(F.count("*").alias("members"))
+    drawn = members.join(sizes, "group").where(f"pmod(xxhash64(class, {level}), members) < {SAMPLE}")
+    drawn = settle(drawn.select("group", "tokens"), "drawn")
+    counts = drawn.select("group", F.explode("tokens").alias("token")).groupBy("group", "token").count().where("count > 1")
+    counts = counts.join(drawn.groupBy("group").agg(F.count("*").alias("drawn")), "group")
+    centres = counts.groupBy("group").agg(
+        F.expr("collect_list(token) filter (where 2 * count > drawn)").alias("centre"),
+        F.expr("collect_list(token) filter (where 2 * count <= drawn)").alias("late"),
+    )
+    none = "cast(array() as array<long>)"
+    joined = members.join(settle(centres, "centres"), "group", "left")
+    joined = joined.selectExpr("group", "class", "n", "tokens", f"coalesce(centre, {none}) centre", f"coalesce(late, {none}) late")
+    diff = "concat(array_except(tokens, centre), array_except(centre, tokens))"
+    diff = joined.selectExpr("group", "class", "n", f"{diff} as diff", "late")
+    return diff.selectExpr("group", "class", "n", "concat(array_except(diff, late), array_intersect(diff, late)) as diff")
+
+
+def derived_links(members: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """Edges ``src, dst`` of similar sets of each group, and the smaller groups ``class, family`` still to be joined.
+
+    Answers follow from the differences to the centre. With
+    ``cost = (100 + percent) * size(diff) - (100 - percent) * n``, two sets
+    are similar exactly if the sum of their costs is at most ``2 * (100 +
+    percent)`` times the size of what their differences have in common. So
+    all that cost little enough beside the group's cheapest set are similar
+    to it, without a comparison, and need no links among each other. The
+    others must share differences: these go into lists, by the prefix that
+    the least overlap leaves. Short lists are paired, longer ones make up the
+    groups of the next level, which have a nearer centre.
+    """
+    twice = 2 * (100 + percent)
+    diffs = centred(members, level).withColumn(
+        "cost", F.expr(f"{100 + percent} * cast(size(diff) as long) - {100 - percent} * n")
+    )
+    diffs = settle(diffs, "diffs")
+    best = diffs.groupBy("group").agg(F.expr("min(struct(cost, class))").alias("best"), F.max("cost").alias("dearest"))
+    best = settle(best.selectExpr("group", "best.cost as lowest", "best.class as nearest", "dearest"), "best")
+    placed = diffs.join(best, "group").withColumn("outer", F.expr("cost + lowest > 0"))
+    links = placed.where("not outer and class <> nearest").selectExpr("class as src", "nearest as dst")
+
+    # A set meets at best the cheapest one; one that is linked to that already only meets others that are not.
+    open_ = placed.where("dearest + lowest > 0")
+    least = f"cast(ceil((cost + if(outer, lowest, 1 - lowest)) / {twice}.0D) as int)"
+    prefix = open_.selectExpr("group", "class", "outer", f"slice(diff, 1, greatest(0, size(diff) - {least} + 1)) as tokens")
+    entries = prefix.select("group", "class", "outer", F.explode("tokens").alias("token"))
+    heads = entries.groupBy("group", "token").agg(
+        F.count("*").alias("length"), F.min("class").alias("root"), F.bool_or("outer").alias("wanted")
+    )
+    lists = settle(entries.join(heads.where("length > 1 and wanted").drop("wanted"), ["group", "token"]), "lists")
+    short = lists.where(f"length <= {SHORT}")
+    left, right = (short.selectExpr("group", "token", f"class as {s}", f"outer as outer_{s}") for s in "ab")
+    met = left.join(right, ["group", "token"]).where("a < b and (outer_a or outer_b)")
+    pairs = settle(met.select("group", "a", "b").distinct(), "pairs")
+    x, y = (diffs.selectExpr("group", f"class as {s}", f"diff as diff_{s}", f"cost as cost_{s}") for s in "ab")
+    judged = pairs.join(x, ["group", "a"]).join(y, ["group", "b"])
+    judged = judged.where(f"cost_a + cost_b <= {twice} * cast(size(array_intersect(diff_a, diff_b)) as long)")
+    links = links.unionByName(judged.selectExpr("a as src", "b as dst"))
+
+    # A class may be in several groups, so its places in them are the nodes here.
+    place = "xxhash64(group, {0})"
+    long = lists.where(f"length > {SHORT}")
+    edges = long.selectExpr(f"{place.format('class')} as src", f"{place.format('root')} as dst")
+    ends = long.selectExpr("class", f"{place.format('class')} as node").distinct()
+    families = connected_components(edges).join(ends, "node").selectExpr("class", "component as family")
+    return settle(links, "links"), settle(families, "families")
 
 
 def joined_members(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -172,18 +284,40 @@ def family_batches(percent: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def family_links(families: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges ``src, dst`` that connect the similar classes of each family.
+def family_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges ``src, dst`` that connect the similar classes of each family, level by level.
+
+    Sets of a family and of a window of sizes make up a group. What
+    ``LEVELS`` levels leave is compared in full.
+    """
+    ratio = math.log(100 / percent) + 1e-9
+    found = None
+    for level in range(LEVELS + 1):
+        if families.isEmpty():
+            break
+        members = families.join(sets, "class").withColumn("n", F.size("tokens").cast("long"))
+        if level == LEVELS:
+            links = compared_links(members, percent)
+        else:
+            block = f"cast(floor(ln(n) / {ratio}) as int)"
+            members = members.withColumn("window", F.explode(F.expr(f"array({block} - 1, {block})")))
+            members = members.selectExpr("xxhash64(family, window) as group", "class", "n", "tokens", f"window = {block} as own")
+            # A window without sets of its own block has nothing that the next one has not.
+            owned = members.groupBy("group").agg(F.bool_or("own").alias("owned"), F.count("*").alias("size"))
+            members = members.join(owned.where("owned and size > 1").select("group"), "group", "left_semi").drop("own")
+            links, families = derived_links(members, percent, level)
+        found = links if found is None else found.unionByName(links)
+    return sets.selectExpr("class as src", "class as dst").limit(0) if found is None else found
+
+
+def compared_links(members: DataFrame, percent: int) -> DataFrame:
+    """Edges ``src, dst`` that connect the similar classes of each family, by comparing all of them.
 
     A family is dealt to chunks of about ``CHUNK`` sets, and each pair of
-    chunks meets in a task, so every pair of sets is compared. Sets are made
-    anew from the texts.
+    chunks meets in a task.
     """
-    members = families.selectExpr("node as class", "component as family")
     sizes = members.groupBy("family").agg(F.expr(f"cast(ceil(count(*) / {CHUNK}) as int)").alias("chunks"))
-    sets = class_sets(members, classes, docs, width)
-    dealt = sets.join(small_or_shuffled(members.join(sizes, "family")), "class")
-    dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(class), chunks) as int)"))
+    dealt = members.join(sizes, "family").withColumn("own", F.expr("cast(pmod(xxhash64(class), chunks) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
     dealt = dealt.selectExpr("family", "least(own, other) as low", "greatest(own, other) as high", "class", "tokens")
     key = ["family", "low", "high"]
@@ -191,37 +325,6 @@ def family_links(families: DataFrame, classes: DataFrame, docs: DataFrame, width
     return dealt.mapInArrow(returning_memory(family_batches(percent)), "src long, dst long")
 
 
-def crossing_pairs(lists: DataFrame, families: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different families from lists that may be similar enough.
-
-    A block of a list only meets itself and the next one, as sizes must
-    agree. Similar sets have at least ``needed`` prefix elements in common:
-    the one whose prefix ends first can miss only as many elements as the
-    overlap leaves. So classes with fewer shared ones skip each other, and
-    pairs go that have fewer common ones or whose places in the lists leave
-    too few elements behind the first. Pairs within a family are skipped.
-    """
-    lists = lists.join(small_or_shuffled(families.selectExpr("node as class", "component")), "class", "left")
-    lists = lists.selectExpr("token", "at", "n", "block", "class", "shared", "coalesce(component, class) as of")
-    left = lists.selectExpr(
-        "token", "at as at_a", "n as n_a", "explode(array(block, block + 1)) as block", "class as a", "shared as shared_a",
-        "of as of_a",
-    )
-    right = lists.selectExpr("token", "at as at_b", "n as n_b", "block", "class as b", "shared as shared_b", "of as of_b")
-    overlap = f"(({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent})"
-    needed = f"({overlap} + 1 - ({percent} * n_b + 99) div 100)"
-    # The first common element of a pair leaves an overlap behind it in both sets; later ones are counted.
-    enough = f"""of_a <> of_b and (n_a < n_b or n_a = n_b and a < b) and 100 * n_a >= {percent} * n_b
-        and least(shared_a, shared_b) >= {needed}"""
-    met = left.join(right, ["token", "block"]).where(enough)
-    found = met.groupBy("a", "b").agg(
-        F.count("*").alias("common"),
-        F.expr(f"any_value({needed})").alias("needed"),
-        F.expr(f"max(least(n_a - at_a, n_b - at_b) - {overlap})").alias("behind"),
-    )
-    return found.where("common >= needed and behind >= 0").select("a", "b")
-
-
 def class_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """``class, tokens`` of the wanted classes, made anew from one text of each."""
     members = settle(wanted.select("class").distinct().join(classes.select("class", "digest", "doc_id"), "class"), "members")
@@ -230,10 +333,8 @@ def class_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: in
     return settle(sets, "sets")
 
 
-def similar_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` whose sets are similar enough, as edges ``src, dst``."""
-    pairs = settle(pairs, "pairs")
-    sets = class_sets(pairs.select(F.explode(F.array("a", "b")).alias("class")), classes, docs, width)
     both = pairs.join(sets.selectExpr("class as a", "tokens as x"), "a").join(sets.selectExpr("class as b", "tokens as y"), "b")
     both = both.selectExpr("a as src", "b as dst", "size(x) + size(y) as total", "size(array_intersect(x, y)) as common")
     return both.where(f"{100 + percent} * common >= {percent} * total").select("src", "dst")
@@ -252,9 +353,11 @@ def linked_sets(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     classes = settle(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
 
     lists = inverted_lists(classes, percent)
-    families = connected_components(pivot_pairs(lists, percent))
-    crossing = similar_pairs(crossing_pairs(lists, families, percent), classes, docs, width, percent)
-    links = family_links(families, classes, docs, width, percent).unionByName(crossing)
+    families = settle(list_families(lists), "families")
+    pairs = settle(short_list_pairs(lists, percent), "pairs")
+    wanted = families.select("class").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("class")))
+    full = class_sets(wanted, classes, docs, width)
+    links = family_links(families, full, percent).unionByName(similar_pairs(pairs, full, percent))
     places = connected_components(links)
 
     named = classes.select("digest", "class", "doc_id").join(places.selectExpr("node as class", "component"), "class", "left")
@@ -269,10 +372,11 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     exact up to collisions of 64-bit hashes.
 
     Equal sets become one class. Classes meet in inverted lists of their
-    prefixes. Those that share much with a pivot of their lists make up a
-    family, whose sets are compared with each other block by block, each
-    from what the others have in common with it. Lists then only yield pairs
-    across families, so a large group of near copies yields none.
+    prefixes, in blocks of similar sizes, where positions that leave too
+    small an overlap are skipped. Only short lists are paired. Classes of
+    longer lists make up families, whose answers are derived from those of a
+    centre and the differences to it (``derived_links``), so a large group of
+    near copies yields no pairs of its members.
 
     A text without words, empty or null, has an empty set and is its own
     component. ``component_id`` is the least doc_id of the component, nulls
