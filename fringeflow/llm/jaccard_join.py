@@ -22,10 +22,12 @@ FREQUENT = 1 << 16
 # Shingles in fewer sets than this are never called frequent.
 RARE = 64
 
-# Classes of a list that are paired; longer lists make up families.
-SHORT = 8
+# Classes of a list that are paired; those of a longer one belong to one family without pairs.
+SHORT = 64
+# The same for lists of differences.
+SHORT_DIFFERENCES = 16
 # Members whose elements give a group's centre, about.
-SAMPLE = 48
+SAMPLE = 24
 # Times that families are divided before what is left is compared in full.
 LEVELS = 3
 
@@ -41,6 +43,11 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def block_width(percent: int) -> float:
+    """Logarithms of the sizes of similar sets differ by less."""
+    return math.log(100 / percent) + 1e-9
+
+
 def long_lists(rows: list[np.ndarray]) -> pa.Array:
     offsets = np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32)
     values = np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64)
@@ -108,7 +115,7 @@ def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
     a list, ``root`` is its least class. Lists of one class, and those that
     have no set of the window's own block, are left out.
     """
-    ratio = math.log(100 / percent) + 1e-9
+    ratio = block_width(percent)
     entries = classes.select(F.posexplode("tokens").alias("at", "token"), "n", "class")
     counts = entries.groupBy("token").count().where("count > 1").select("token")
     entries = settle(entries.join(counts, "token"), "common")
@@ -150,84 +157,109 @@ def short_list_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return found.where("common >= needed and behind >= 0").selectExpr("class_a as a", "class_b as b")
 
 
-def list_families(lists: DataFrame) -> DataFrame:
-    """``class, family``: classes that meet in longer lists, directly or through others."""
+def list_families(lists: DataFrame, percent: int) -> DataFrame:
+    """``class, family``: classes that may be similar, directly or through others.
+
+    These are the pairs of short lists, and all that meet in a longer one.
+    """
     long = lists.where(f"length > {SHORT}").selectExpr("class as src", "root as dst")
-    return connected_components(long).selectExpr("node as class", "component as family")
+    edges = long.unionByName(short_list_pairs(lists, percent).selectExpr("a as src", "b as dst"))
+    return connected_components(edges).selectExpr("node as class", "component as family")
 
 
-def centred(members: DataFrame, level: int) -> DataFrame:
-    """Members ``group, class, n, tokens`` with their differences ``diff`` from their group's centre.
+def centred(families: DataFrame, sets: DataFrame, level: int) -> DataFrame:
+    """``family, class, n, diff``: the classes' differences from their family's centre.
 
     A centre holds the elements that over half of about ``SAMPLE`` members
     have, and any centre leaves the join exact. Elements that fewer, but more
     than one, of these have come last in ``diff``.
     """
-    sizes = members.groupBy("group").agg(F.count("*").alias("members"))
-    drawn = members.join(sizes, "group").where(f"pmod(xxhash64(class, {level}), members) < {SAMPLE}")
-    drawn = settle(drawn.select("group", "tokens"), "drawn")
-    counts = drawn.select("group", F.explode("tokens").alias("token")).groupBy("group", "token").count().where("count > 1")
-    counts = counts.join(drawn.groupBy("group").agg(F.count("*").alias("drawn")), "group")
-    centres = counts.groupBy("group").agg(
+    sizes = families.groupBy("family").agg(F.count("*").alias("members"))
+    drawn = families.join(sizes, "family").where(f"pmod(xxhash64(class, {level}), members) < {SAMPLE}")
+    drawn = small_or_shuffled(drawn.select("family", "class"))
+    # A family's drawn sets are few, so they are counted where they meet, without another shuffle.
+    counts = sets.join(drawn, "class").repartition("family").select("family", F.explode("tokens").alias("token"))
+    counts = counts.groupBy("family", "token").count().where("count > 1")
+    counts = counts.join(small_or_shuffled(drawn.groupBy("family").agg(F.count("*").alias("drawn"))), "family")
+    centres = counts.groupBy("family").agg(
         F.expr("collect_list(token) filter (where 2 * count > drawn)").alias("centre"),
         F.expr("collect_list(token) filter (where 2 * count <= drawn)").alias("late"),
     )
     none = "cast(array() as array<long>)"
-    joined = members.join(settle(centres, "centres"), "group", "left")
-    joined = joined.selectExpr("group", "class", "n", "tokens", f"coalesce(centre, {none}) centre", f"coalesce(late, {none}) late")
+    members = sets.join(small_or_shuffled(families), "class")
+    members = members.join(settle(centres, "centres"), "family", "left")
+    members = members.selectExpr("family", "class", "tokens", f"coalesce(centre, {none}) centre", f"coalesce(late, {none}) late")
     diff = "concat(array_except(tokens, centre), array_except(centre, tokens))"
-    diff = joined.selectExpr("group", "class", "n", f"{diff} as diff", "late")
-    return diff.selectExpr("group", "class", "n", "concat(array_except(diff, late), array_intersect(diff, late)) as diff")
+    diff = members.selectExpr("family", "class", "cast(size(tokens) as long) as n", f"{diff} as diff", "late")
+    return diff.selectExpr("family", "class", "n", "concat(array_except(diff, late), array_intersect(diff, late)) as diff")
 
 
-def derived_links(members: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame]:
-    """Edges ``src, dst`` of similar sets of each group, and the smaller groups ``class, family`` still to be joined.
+def derived_links(families: DataFrame, sets: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """Edges ``src, dst`` of similar sets of each family, and the smaller families ``class, family`` still to be joined.
 
     Answers follow from the differences to the centre. With
     ``cost = (100 + percent) * size(diff) - (100 - percent) * n``, two sets
     are similar exactly if the sum of their costs is at most ``2 * (100 +
     percent)`` times the size of what their differences have in common. So
-    all that cost little enough beside the group's cheapest set are similar
+    all that cost little enough beside the family's cheapest set are similar
     to it, without a comparison, and need no links among each other. The
     others must share differences: these go into lists, by the prefix that
-    the least overlap leaves. Short lists are paired, longer ones make up the
-    groups of the next level, which have a nearer centre.
+    the least overlap with a set of about its size leaves. Short lists are
+    paired, longer ones make up the families of the next level, which have a
+    nearer centre.
     """
     twice = 2 * (100 + percent)
-    diffs = centred(members, level).withColumn(
+    block = f"cast(floor(ln(n) / {block_width(percent)}) as int)"
+    diffs = centred(families, sets, level).withColumn(
         "cost", F.expr(f"{100 + percent} * cast(size(diff) as long) - {100 - percent} * n")
     )
-    diffs = settle(diffs, "diffs")
-    best = diffs.groupBy("group").agg(F.expr("min(struct(cost, class))").alias("best"), F.max("cost").alias("dearest"))
-    best = settle(best.selectExpr("group", "best.cost as lowest", "best.class as nearest", "dearest"), "best")
-    placed = diffs.join(best, "group").withColumn("outer", F.expr("cost + lowest > 0"))
+    diffs = settle(diffs.withColumn("block", F.expr(block)), "diffs")
+    best = diffs.groupBy("family").agg(F.expr("min(struct(cost, class))").alias("best"), F.max("cost").alias("dearest"))
+    best = small_or_shuffled(best.selectExpr("family", "best.cost as lowest", "best.class as nearest", "dearest"))
+    placed = diffs.join(best, "family").withColumn("outer", F.expr("cost + lowest > 0"))
     links = placed.where("not outer and class <> nearest").selectExpr("class as src", "nearest as dst")
 
-    # A set meets at best the cheapest one; one that is linked to that already only meets others that are not.
+    # A set that is linked to the cheapest one only has to meet others that are not.
     open_ = placed.where("dearest + lowest > 0")
-    least = f"cast(ceil((cost + if(outer, lowest, 1 - lowest)) / {twice}.0D) as int)"
-    prefix = open_.selectExpr("group", "class", "outer", f"slice(diff, 1, greatest(0, size(diff) - {least} + 1)) as tokens")
-    entries = prefix.select("group", "class", "outer", F.explode("tokens").alias("token"))
-    heads = entries.groupBy("group", "token").agg(
+    near = open_.select("family", F.explode(F.expr("array(block - 1, block, block + 1)")).alias("block"), "cost", "outer")
+    near = near.groupBy("family", "block").agg(
+        F.min("cost").alias("any_cost"), F.expr("min(cost) filter (where outer)").alias("outer_cost")
+    )
+    open_ = open_.join(small_or_shuffled(near), ["family", "block"])
+    open_ = open_.withColumn("partner", F.expr("if(outer, any_cost, outer_cost)")).where("partner is not null")
+    prefix = f"slice(diff, 1, greatest(0, size(diff) + 1 - cast(ceil((cost + partner) / {twice}.0D) as int)))"
+    entries = open_.select("family", "class", "outer", F.explode(F.expr(prefix)).alias("token"))
+    heads = entries.groupBy("family", "token").agg(
         F.count("*").alias("length"), F.min("class").alias("root"), F.bool_or("outer").alias("wanted")
     )
-    lists = settle(entries.join(heads.where("length > 1 and wanted").drop("wanted"), ["group", "token"]), "lists")
-    short = lists.where(f"length <= {SHORT}")
-    left, right = (short.selectExpr("group", "token", f"class as {s}", f"outer as outer_{s}") for s in "ab")
-    met = left.join(right, ["group", "token"]).where("a < b and (outer_a or outer_b)")
-    pairs = settle(met.select("group", "a", "b").distinct(), "pairs")
-    x, y = (diffs.selectExpr("group", f"class as {s}", f"diff as diff_{s}", f"cost as cost_{s}") for s in "ab")
-    judged = pairs.join(x, ["group", "a"]).join(y, ["group", "b"])
+    heads = small_or_shuffled(heads.where("length > 1 and wanted").drop("wanted"))
+    lists = settle(entries.join(heads, ["family", "token"]), "lists")
+    short = lists.where(f"length <= {SHORT_DIFFERENCES}")
+    left, right = (short.selectExpr("family", "token", f"class as {s}", f"outer as outer_{s}") for s in "ab")
+    met = left.join(right, ["family", "token"]).where("a < b and (outer_a or outer_b)")
+    pairs = settle(met.select("a", "b").distinct(), "pairs")
+    x, y = (diffs.selectExpr(f"class as {s}", f"diff as diff_{s}", f"cost as cost_{s}") for s in "ab")
+    judged = pairs.join(x, "a").join(y, "b")
     judged = judged.where(f"cost_a + cost_b <= {twice} * cast(size(array_intersect(diff_a, diff_b)) as long)")
     links = links.unionByName(judged.selectExpr("a as src", "b as dst"))
 
-    # A class may be in several groups, so its places in them are the nodes here.
-    place = "xxhash64(group, {0})"
-    long = lists.where(f"length > {SHORT}")
-    edges = long.selectExpr(f"{place.format('class')} as src", f"{place.format('root')} as dst")
-    ends = long.selectExpr("class", f"{place.format('class')} as node").distinct()
-    families = connected_components(edges).join(ends, "node").selectExpr("class", "component as family")
-    return settle(links, "links"), settle(families, "families")
+    long = lists.where(f"length > {SHORT_DIFFERENCES}").selectExpr("class as src", "root as dst")
+    rest = connected_components(long).selectExpr("node as class", "component as family")
+    return settle(links, "links"), settle(rest, "families")
+
+
+def family_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges ``src, dst`` that connect the similar classes of each family, level by level.
+
+    What ``LEVELS`` levels leave is compared in full.
+    """
+    found = sets.selectExpr("class as src", "class as dst").limit(0)
+    for level in range(LEVELS):
+        if families.isEmpty():
+            return found
+        links, families = derived_links(families, sets, percent, level)
+        found = found.unionByName(links)
+    return found if families.isEmpty() else found.unionByName(compared_links(families.join(sets, "class"), percent))
 
 
 def joined_members(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -284,32 +316,6 @@ def family_batches(percent: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def family_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges ``src, dst`` that connect the similar classes of each family, level by level.
-
-    Sets of a family and of a window of sizes make up a group. What
-    ``LEVELS`` levels leave is compared in full.
-    """
-    ratio = math.log(100 / percent) + 1e-9
-    found = None
-    for level in range(LEVELS + 1):
-        if families.isEmpty():
-            break
-        members = families.join(sets, "class").withColumn("n", F.size("tokens").cast("long"))
-        if level == LEVELS:
-            links = compared_links(members, percent)
-        else:
-            block = f"cast(floor(ln(n) / {ratio}) as int)"
-            members = members.withColumn("window", F.explode(F.expr(f"array({block} - 1, {block})")))
-            members = members.selectExpr("xxhash64(family, window) as group", "class", "n", "tokens", f"window = {block} as own")
-            # A window without sets of its own block has nothing that the next one has not.
-            owned = members.groupBy("group").agg(F.bool_or("own").alias("owned"), F.count("*").alias("size"))
-            members = members.join(owned.where("owned and size > 1").select("group"), "group", "left_semi").drop("own")
-            links, families = derived_links(members, percent, level)
-        found = links if found is None else found.unionByName(links)
-    return sets.selectExpr("class as src", "class as dst").limit(0) if found is None else found
-
-
 def compared_links(members: DataFrame, percent: int) -> DataFrame:
     """Edges ``src, dst`` that connect the similar classes of each family, by comparing all of them.
 
@@ -333,13 +339,6 @@ def class_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: in
     return settle(sets, "sets")
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose sets are similar enough, as edges ``src, dst``."""
-    both = pairs.join(sets.selectExpr("class as a", "tokens as x"), "a").join(sets.selectExpr("class as b", "tokens as y"), "b")
-    both = both.selectExpr("a as src", "b as dst", "size(x) + size(y) as total", "size(array_intersect(x, y)) as common")
-    return both.where(f"{100 + percent} * common >= {percent} * total").select("src", "dst")
-
-
 def linked_sets(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Sets of all rows, ``doc_id, code, n, digest``, and the component of each distinct non-empty one, ``digest, doc_id, component``.
 
@@ -353,11 +352,8 @@ def linked_sets(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     classes = settle(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
 
     lists = inverted_lists(classes, percent)
-    families = settle(list_families(lists), "families")
-    pairs = settle(short_list_pairs(lists, percent), "pairs")
-    wanted = families.select("class").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("class")))
-    full = class_sets(wanted, classes, docs, width)
-    links = family_links(families, full, percent).unionByName(similar_pairs(pairs, full, percent))
+    families = settle(list_families(lists, percent), "families")
+    links = family_links(families, class_sets(families, classes, docs, width), percent)
     places = connected_components(links)
 
     named = classes.select("digest", "class", "doc_id").join(places.selectExpr("node as class", "component"), "class", "left")
@@ -373,9 +369,10 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     Equal sets become one class. Classes meet in inverted lists of their
     prefixes, in blocks of similar sizes, where positions that leave too
-    small an overlap are skipped. Only short lists are paired. Classes of
-    longer lists make up families, whose answers are derived from those of a
-    centre and the differences to it (``derived_links``), so a large group of
+    small an overlap are skipped. Only short lists are paired; longer ones,
+    and the pairs that may be similar, only say which classes make up a
+    family. A family's answers are derived from those of its cheapest set
+    and the differences to a centre (``derived_links``), so a large group of
     near copies yields no pairs of its members.
 
     A text without words, empty or null, has an empty set and is its own

@@ -52,6 +52,21 @@ def test_components_match_all_pairs(make_docs, awkward, prose, width, percent):
     assert sorted([tuple(r) for r in got], key=order) == components(rows, width, percent)
 
 
+@pytest.mark.parametrize("levels", [0, 1, 3])
+def test_long_lists_lose_no_link(make_docs, prose, monkeypatch, levels):
+    """Families by lists alone, some of them chained through shared passages, some with changes in common."""
+    monkeypatch.setattr(jaccard_join, "SHORT", 1)
+    monkeypatch.setattr(jaccard_join, "SHORT_DIFFERENCES", 2)
+    monkeypatch.setattr(jaccard_join, "SAMPLE", 5)
+    monkeypatch.setattr(jaccard_join, "LEVELS", levels)
+    passage, rnd = prose(40), random.Random(levels)
+    rows = near_copies(prose, rnd)
+    rows += [(i, f"{passage} {prose(rnd.randrange(12))}") for i in range(40)]
+    rows += [(100 + i, f"{prose(8)} {t}") for i, (_, t) in enumerate(rows[:24])]
+    got = jaccard_join.jaccard_components(make_docs(rows), 3, 80).collect()
+    assert sorted(map(tuple, got)) == components(rows, 3, 80)
+
+
 @pytest.mark.parametrize("frequent", [0, 1])
 def test_frequent_shingles_change_no_answer(make_docs, prose, monkeypatch, frequent):
     """Shared passages make shingles frequent; moving them to the end of the order keeps the join exact."""
