@@ -2,13 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fringeflow.sources.stage_store import settle
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def joined_nodes(batches: Batches) -> Batches:
+    """``node, moved`` of all nodes of the edges: the smallest one each is connected with, by union-find."""
+    parent: dict = {}
+
+    def top(node):
+        while (above := parent.setdefault(node, node)) != node:
+            parent[node] = node = parent[above]
+        return node
+
+    kind = None
+    for batch in batches:
+        kind = batch.column("src").type
+        for ends in zip(batch.column("src").to_pylist(), batch.column("dst").to_pylist()):
+            low, high = sorted(map(top, ends))
+            parent[high] = low
+    if parent:
+        columns = [pa.array(list(parent), kind), pa.array([top(node) for node in list(parent)], kind)]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "moved"])
+
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, at_once: int = 0) -> DataFrame:
     """``(node, component)`` for every node of ``edges(src, dst)``; a component is named by its smallest node.
 
     Each round gives all nodes a fresh pseudo-random order, points every node
@@ -18,6 +43,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     size. A hub only meets a minimum that is combined before the shuffle and
     joins that adaptive execution can split. Every round is written to the
     shared folder, which cuts the lineage in storage that outlives executors.
+    Once no more than ``at_once`` edges are left, counted, one task joins
+    them in place of further rounds.
 
     Edges with a null end and loops are ignored; repeated edges count once. A
     graph without edges gives no rows.
@@ -26,6 +53,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = settle(edges, "edges")
     moves = []
     while not edges.isEmpty():
+        if at_once and edges.count() <= at_once:
+            kind = edges.schema["src"].dataType.simpleString()
+            moved = edges.coalesce(1).mapInArrow(joined_nodes, f"node {kind}, moved {kind}")
+            moves.append(settle(moved, "moved"))
+            break
         salt = len(moves)
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         order = f"struct(xxhash64({{0}}, {salt}) as h, {{0}} as node)"

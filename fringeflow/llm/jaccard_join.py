@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fringeflow.llm.components import connected_components
-from fringeflow.llm.matching import rows_with_keys, small_or_shuffled
+from fringeflow.llm.matching import BROADCAST_KEYS, small_or_shuffled
 from fringeflow.llm.memory import returning_memory
 from fringeflow.llm.shingles import WordHasher
 from fringeflow.sources.stage_store import settle
@@ -28,8 +28,10 @@ SHORT = 64
 SHORT_DIFFERENCES = 16
 # Members whose elements give a group's centre, about.
 SAMPLE = 24
-# Times that families are divided before what is left is compared in full.
+# Times that families of more than ``CHUNK`` classes are divided before what is left is compared in full.
 LEVELS = 3
+# Edges that one task joins to components: 256 KB.
+EDGES = 1 << 14
 
 # Sets of a family that meet others in one task, and elements multiplied at once.
 CHUNK = 256
@@ -48,6 +50,11 @@ def block_width(percent: int) -> float:
     return math.log(100 / percent) + 1e-9
 
 
+def hinted(table: DataFrame) -> DataFrame:
+    """A settled table, with a hint to broadcast it if it has at most ``BROADCAST_KEYS`` rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_KEYS else table
+
+
 def long_lists(rows: list[np.ndarray]) -> pa.Array:
     offsets = np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32)
     values = np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64)
@@ -164,7 +171,7 @@ def list_families(lists: DataFrame, percent: int) -> DataFrame:
     """
     long = lists.where(f"length > {SHORT}").selectExpr("class as src", "root as dst")
     edges = long.unionByName(short_list_pairs(lists, percent).selectExpr("a as src", "b as dst"))
-    return connected_components(edges).selectExpr("node as class", "component as family")
+    return connected_components(edges, EDGES).selectExpr("node as class", "component as family")
 
 
 def centred(families: DataFrame, sets: DataFrame, level: int) -> DataFrame:
@@ -176,17 +183,17 @@ def centred(families: DataFrame, sets: DataFrame, level: int) -> DataFrame:
     """
     sizes = families.groupBy("family").agg(F.count("*").alias("members"))
     drawn = families.join(sizes, "family").where(f"pmod(xxhash64(class, {level}), members) < {SAMPLE}")
-    drawn = small_or_shuffled(drawn.select("family", "class"))
+    drawn = small_or_shuffled(drawn.selectExpr("family", "class", f"least(members, {SAMPLE}) as drawn"))
     # A family's drawn sets are few, so they are counted where they meet, without another shuffle.
-    counts = sets.join(drawn, "class").repartition("family").select("family", F.explode("tokens").alias("token"))
-    counts = counts.groupBy("family", "token").count().where("count > 1")
-    counts = counts.join(small_or_shuffled(drawn.groupBy("family").agg(F.count("*").alias("drawn"))), "family")
+    counts = sets.join(drawn, "class").repartition("family").select("family", "drawn", F.explode("tokens").alias("token"))
+    counts = counts.groupBy("family", "token").agg(F.count("*").alias("count"), F.any_value("drawn").alias("drawn"))
+    counts = counts.where("count > 1")
     centres = counts.groupBy("family").agg(
         F.expr("collect_list(token) filter (where 2 * count > drawn)").alias("centre"),
         F.expr("collect_list(token) filter (where 2 * count <= drawn)").alias("late"),
     )
     none = "cast(array() as array<long>)"
-    members = sets.join(small_or_shuffled(families), "class")
+    members = sets.join(hinted(families), "class")
     members = members.join(settle(centres, "centres"), "family", "left")
     members = members.selectExpr("family", "class", "tokens", f"coalesce(centre, {none}) centre", f"coalesce(late, {none}) late")
     diff = "concat(array_except(tokens, centre), array_except(centre, tokens))"
@@ -195,7 +202,7 @@ def centred(families: DataFrame, sets: DataFrame, level: int) -> DataFrame:
 
 
 def derived_links(families: DataFrame, sets: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame]:
-    """Edges ``src, dst`` of similar sets of each family, and the smaller families ``class, family`` still to be joined.
+    """Edges ``src, dst`` of similar sets of each family, and the families ``class, family, members`` still to be joined.
 
     Answers follow from the differences to the centre. With
     ``cost = (100 + percent) * size(diff) - (100 - percent) * n``, two sets
@@ -244,22 +251,32 @@ def derived_links(families: DataFrame, sets: DataFrame, percent: int, level: int
     links = links.unionByName(judged.selectExpr("a as src", "b as dst"))
 
     long = lists.where(f"length > {SHORT_DIFFERENCES}").selectExpr("class as src", "root as dst")
-    rest = connected_components(long).selectExpr("node as class", "component as family")
+    rest = connected_components(long, EDGES).selectExpr("node as class", "component as family")
+    rest = rest.join(rest.groupBy("family").agg(F.count("*").alias("members")), "family")
     return settle(links, "links"), settle(rest, "families")
 
 
 def family_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges ``src, dst`` that connect the similar classes of each family, level by level.
 
-    What ``LEVELS`` levels leave is compared in full.
+    Of what a level leaves, families of at most ``CHUNK`` classes are
+    compared in full, each in one task; larger ones are divided again, and
+    after ``LEVELS`` levels compared in full too, chunk by chunk.
     """
     found = sets.selectExpr("class as src", "class as dst").limit(0)
+    if families.isEmpty():
+        return found
+    rest = families.join(families.groupBy("family").agg(F.count("*").alias("members")), "family")
     for level in range(LEVELS):
-        if families.isEmpty():
-            return found
-        links, families = derived_links(families, sets, percent, level)
+        divided = rest
+        if level:
+            if (rest.agg(F.max("members")).first()[0] or 0) <= CHUNK:
+                break
+            found = found.unionByName(compared_links(rest.where(f"members <= {CHUNK}"), sets, percent))
+            divided = rest.where(f"members > {CHUNK}")
+        links, rest = derived_links(divided.select("class", "family"), sets, percent, level)
         found = found.unionByName(links)
-    return found if families.isEmpty() else found.unionByName(compared_links(families.join(sets, "class"), percent))
+    return found.unionByName(compared_links(rest, sets, percent))
 
 
 def joined_members(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -316,15 +333,15 @@ def family_batches(percent: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def compared_links(members: DataFrame, percent: int) -> DataFrame:
+def compared_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges ``src, dst`` that connect the similar classes of each family, by comparing all of them.
 
     A family is dealt to chunks of about ``CHUNK`` sets, and each pair of
     chunks meets in a task.
     """
-    sizes = members.groupBy("family").agg(F.expr(f"cast(ceil(count(*) / {CHUNK}) as int)").alias("chunks"))
-    dealt = members.join(sizes, "family").withColumn("own", F.expr("cast(pmod(xxhash64(class), chunks) as int)"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+    chunks = f"cast(ceil(members / {CHUNK}) as int)"
+    dealt = sets.join(families, "class").withColumn("own", F.expr(f"cast(pmod(xxhash64(class), {chunks}) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr(f"sequence(0, {chunks} - 1)")))
     dealt = dealt.selectExpr("family", "least(own, other) as low", "greatest(own, other) as high", "class", "tokens")
     key = ["family", "low", "high"]
     dealt = dealt.repartition(*key).sortWithinPartitions(*key)
@@ -333,9 +350,10 @@ def compared_links(members: DataFrame, percent: int) -> DataFrame:
 
 def class_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """``class, tokens`` of the wanted classes, made anew from one text of each."""
-    members = settle(wanted.select("class").distinct().join(classes.select("class", "digest", "doc_id"), "class"), "members")
-    sets = shingle_sets(rows_with_keys(docs, members, ["doc_id"]), width, None, np.zeros(0, np.uint64))
-    sets = sets.join(small_or_shuffled(members.select("class", "digest")), "digest").groupBy("class").agg(F.any_value("tokens").alias("tokens"))
+    members = hinted(settle(classes.select("class", "digest", "doc_id").join(wanted.select("class"), "class"), "members"))
+    rows = docs.join(members.selectExpr("doc_id as _member"), F.expr("doc_id <=> _member"), "left_semi")
+    sets = shingle_sets(rows, width, None, np.zeros(0, np.uint64))
+    sets = sets.join(members.select("class", "digest"), "digest").groupBy("class").agg(F.any_value("tokens").alias("tokens"))
     return settle(sets, "sets")
 
 
@@ -354,7 +372,7 @@ def linked_sets(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     lists = inverted_lists(classes, percent)
     families = settle(list_families(lists, percent), "families")
     links = family_links(families, class_sets(families, classes, docs, width), percent)
-    places = connected_components(links)
+    places = connected_components(links, EDGES)
 
     named = classes.select("digest", "class", "doc_id").join(places.selectExpr("node as class", "component"), "class", "left")
     return sets, named.select("digest", "doc_id", F.coalesce("component", "class").alias("component"))

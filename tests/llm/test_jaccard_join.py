@@ -59,6 +59,8 @@ def test_long_lists_lose_no_link(make_docs, prose, monkeypatch, levels):
     monkeypatch.setattr(jaccard_join, "SHORT_DIFFERENCES", 2)
     monkeypatch.setattr(jaccard_join, "SAMPLE", 5)
     monkeypatch.setattr(jaccard_join, "LEVELS", levels)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 8 if levels == 3 else 256)
+    monkeypatch.setattr(jaccard_join, "EDGES", 4 if levels == 1 else 1 << 14)
     passage, rnd = prose(40), random.Random(levels)
     rows = near_copies(prose, rnd)
     rows += [(i, f"{passage} {prose(rnd.randrange(12))}") for i in range(40)]
