@@ -108,30 +108,42 @@ def canonical_arguments(arguments: Column, name: Column, schemas: Schemas) -> Co
 
 
 def topological_waves(refs: DataFrame) -> DataFrame:
-    """``(call_id, wave)`` for conversations in which a call refers to one that is not earlier.
-
-    ``refs(conv_id, call_id, turn, ref_id, ref_turn)`` has a row for each
-    reference to a known call. Where all references point to earlier turns,
-    turns are a topological order already and the conversation needs no
-    wave. The others are peeled: a call's wave follows those of all calls it
-    refers to. Calls on a cycle, or behind one, get wave null.
+    """``(node, wave)`` for every node of ``refs(node, ref, step)`` that refers to another; null on a cycle or behind one.
+
+    A node's wave is the largest that its references ask for: the wave of the
+    node referred to, plus the reference's ``step``. Nodes that only others
+    refer to have wave 0 and no row.
+
+    References are peeled in rounds. One to a node whose wave is known is
+    closed (``ref`` null) and leaves its demand in ``low``. One to a node with
+    a single open reference is led on to that reference's node, so rounds
+    grow with the logarithm of a chain's length, and with the depth only of
+    nodes that keep several open references. As long as a node is neither on
+    a cycle nor behind one, a round closes something. A reference led on
+    beyond as many steps as there are references runs in a circle and stays.
     """
-    late = refs.where("not coalesce(ref_turn < turn, false)").select("conv_id").distinct()
-    open_refs = settle(refs.join(late, "conv_id", "left_semi").select("call_id", "ref_id").distinct(), "refs")
-    nodes = open_refs.selectExpr("call_id").unionByName(open_refs.selectExpr("ref_id as call_id")).distinct()
-    waves = settle(nodes.limit(0).selectExpr("call_id", "0 as wave"), "waves")
-    rest, wave = settle(nodes, "rest"), 0
-    while not rest.isEmpty():
-        ready = rest.join(open_refs, "call_id", "left_anti")
-        ready = settle(ready.selectExpr("call_id", f"{wave} as wave"), "ready")
-        if ready.isEmpty():
-            return waves.unionByName(rest.selectExpr("call_id", "cast(null as int) as wave"))
-        waves = waves.unionByName(ready)
-        done = ready.selectExpr("call_id as ref_id")
-        rest = settle(rest.join(ready, "call_id", "left_anti"), "rest")
-        open_refs = settle(open_refs.join(done, "ref_id", "left_anti"), "refs")
-        wave += 1
-    return waves
+    every = [F.max("step").alias("step"), F.max("low").alias("low")]
+    rows = refs.selectExpr("node", "ref", "cast(step as long) as step", "0L as low").groupBy("node", "ref").agg(*every)
+    rows = settle(rows, "refs")
+    total = n_open = rows.count()
+    before = None
+    while n_open and n_open != before:
+        heads = rows.groupBy(F.col("node").alias("ref")).agg(
+            F.count("ref").alias("n_open"),
+            F.max("ref").alias("next"),
+            F.expr("max(step) filter (where ref is not null) as next_step"),
+            F.max("low").alias("next_low"),
+        )
+        stays = f"n_open > 1 or n_open = 1 and step > {total}"
+        met = rows.where("ref is not null").join(heads, "ref", "left").selectExpr(
+            "node",
+            f"if({stays}, ref, next) as ref",
+            f"if({stays}, step, coalesce(step + next_step, 0L)) as step",
+            f"if({stays}, low, greatest(low, step + coalesce(next_low, 0L))) as low",
+        )
+        rows = settle(met.unionByName(rows.where("ref is null")).groupBy("node", "ref").agg(*every), "refs")
+        before, n_open = n_open, rows.where("ref is not null").count()
+    return rows.groupBy("node").agg(F.expr("case when count(ref) = 0 then cast(max(low) as int) end as wave"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
@@ -140,9 +152,12 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
     ``calls(conv_id, turn, call_id, name, arguments)`` and ``results(conv_id,
     turn, call_id, content)`` meet in a hash join on the identifier. Of
     several results to one call the first by turn, then text, is written and
-    all are counted, so the join yields one row for each call. ``wave, turn,
-    call_id`` is a topological order of a conversation (see
-    ``topological_waves``); an argument value ``ref:ID`` refers to call ID.
+    all are counted, so the join yields one row for each call. An argument
+    value ``ref:ID`` refers to call ID, of any conversation. ``wave, turn,
+    call_id`` is a topological order of all calls, found from all references
+    (see ``topological_waves``): a call comes no earlier than the waves of
+    what it refers to at earlier turns, and after those of anything else it
+    refers to.
 
     Status: ``linked``, ``unanswered``, ``orphan`` (a result whose call is
     unknown; one row for each identifier) or ``cycle``. A call with a null
@@ -152,15 +167,18 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
     """
     first = F.min(F.struct("turn", "content", "conv_id")).alias("first")
     merged = settle(results.groupBy("call_id").agg(first, F.count("*").alias("n_results")), "results")
-    calls = settle(calls.select("conv_id", "turn", "call_id", "name", "arguments"), "calls")
-
-    values = calls.select("conv_id", "turn", "call_id", F.explode(F.map_values("arguments")).alias("value"))
-    refs = values.where("value like 'ref:%'").selectExpr("conv_id", "turn", "call_id", "substring(value, 5) as ref_id")
-    known = calls.where("call_id is not null").groupBy("call_id").agg(F.max("turn").alias("ref_turn"))
-    refs = refs.join(known.withColumnRenamed("call_id", "ref_id"), "ref_id")
-    waves = topological_waves(refs.where("call_id is not null")).withColumn("waved", F.lit(True))
-
-    joined = calls.join(merged, "call_id", "left").join(waves, "call_id", "left")
+    # Calls of one identifier are one node; each without any is a node of its own.
+    node = "coalesce(concat('=', call_id), concat('#', monotonically_increasing_id())) as node"
+    calls = settle(calls.selectExpr("conv_id", "turn", "call_id", "name", "arguments", node), "calls")
+
+    values = calls.select("turn", "node", F.explode(F.map_values("arguments")).alias("value"))
+    refs = values.where("value like 'ref:%'").selectExpr("turn", "node", "concat('=', substring(value, 5)) as ref")
+    known = calls.where("call_id is not null").groupBy(F.col("node").alias("ref")).agg(F.max("turn").alias("ref_turn"))
+    step = "if(coalesce(ref_turn < turn, false), 0, 1) as step"
+    waves = topological_waves(refs.join(known, "ref").selectExpr("node", "ref", step)).withColumn("waved", F.lit(True))
+
+    results = merged.select(F.concat(F.lit("="), "call_id").alias("node"), "first", "n_results")
+    joined = calls.join(results, "node", "left").join(waves, "node", "left")
     arguments = canonical_arguments(F.col("arguments"), F.col("name"), schemas)
     json = json_object(
         arguments=arguments, id=quoted(F.col("call_id")), name=quoted(F.col("name")), result=quoted(F.col("first.content"))
