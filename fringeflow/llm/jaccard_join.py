@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 from fringeflow.llm.components import connected_components
 from fringeflow.llm.matching import BROADCAST_KEYS, small_or_shuffled
 from fringeflow.llm.memory import returning_memory
-from fringeflow.llm.shingles import WordHasher
-from fringeflow.sources.stage_store import settle
+from fringeflow.llm.shingles import BUCKETS, WordHasher, run_levels, word_buckets
+from fringeflow.sources.stage_store import SETTLED, keep_settled, settle
 
 # At most so many frequent shingles, eight bytes each, are sent to all tasks.
 FREQUENT = 1 << 16
 # Shingles in fewer sets than this are never called frequent.
 RARE = 64
+# Levels of words that are twice as common differ by this.
+LEVEL_STEP = 6
+# Words counted at once.
+WORDS = 1 << 20
 
 # Classes of a list that are paired; those of a longer one belong to one family without pairs.
 SHORT = 64
@@ -33,6 +37,8 @@ LEVELS = 3
 # Edges that one task joins to components: 256 KB.
 EDGES = 1 << 14
 
+NONE = np.zeros(0, dtype=np.uint64)
+
 # Sets of a family that meet others in one task, and elements multiplied at once.
 CHUNK = 256
 ELEMENTS = 4096
@@ -61,27 +67,66 @@ def long_lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def set_batches(width: int, percent: int | None, frequent: np.ndarray) -> Callable[[Batches], Batches]:
+def count_batches(batches: Batches) -> Batches:
+    """``bucket, count`` of the words of all texts, one row for each bucket and task at most."""
+    hasher, counts = WordHasher(), np.zeros(BUCKETS, dtype=np.int64)
+    held, size = [np.zeros(0, dtype=np.int64)], 0
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            held.append(word_buckets(hasher.words(text or "")))
+            size += len(held[-1])
+            if size >= WORDS:
+                counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                held, size = held[:1], 0
+    counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
+    found = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["bucket", "count"])
+
+
+def word_levels(docs: DataFrame) -> np.ndarray:
+    """How common the words of each bucket are, as a logarithm; 256 KB at every size."""
+    counts = docs.select("text").mapInArrow(returning_memory(count_batches), "bucket long, count long")
+    counts = counts.groupBy("bucket").agg(F.sum("count").alias("count"))
+    rows = settle(counts.selectExpr("bucket", f"cast(round({LEVEL_STEP} * log2(count)) as long) as level"), "words").toArrow()
+    levels = np.zeros(BUCKETS, dtype=np.uint8)
+    levels[rows["bucket"].to_numpy()] = np.minimum(rows["level"].to_numpy(), 255)
+    return levels
+
+
+def set_batches(
+    width: int, percent: int | None, levels: np.ndarray, frequent: np.ndarray
+) -> Callable[[Batches], Batches]:
     """Size, 128-bit digest and elements of each text's set: the prefix only, or all without ``percent``.
 
-    Elements are in order of their hash, ``frequent`` ones last.
+    A prefix takes shingles of rare words first, by the sum of their words'
+    levels and then by hash, and ``frequent`` ones last. It is empty if one
+    element more or less already makes a set too different.
     """
 
+    def prefix(words: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        tokens, first = np.unique(runs, return_index=True)
+        if 100 * len(tokens) < percent * (len(tokens) + 1):
+            return tokens, tokens[:0]
+        level = run_levels(words, len(runs), levels)[first]
+        if len(frequent):
+            at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+            level[frequent[at] == tokens] += 1 << 40
+        return tokens, tokens[np.argsort(level, kind="stable")][: prefix_size(len(tokens), percent)]
+
     def run(batches: Batches) -> Batches:
         hasher = WordHasher()
         for batch in batches:
             sizes, digests, kept = [], [], []
             for text in batch.column("text").to_pylist():
-                tokens = hasher.shingles(text or "", width)
+                words = hasher.words(text or "")
+                runs = hasher.runs(words, width)
+                if percent is None:
+                    tokens = elements = np.unique(runs)
+                else:
+                    tokens, elements = prefix(words, runs)
                 sizes.append(len(tokens))
                 digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
-                if len(frequent) and len(tokens):
-                    at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-                    late = frequent[at] == tokens
-                    tokens = np.r_[tokens[~late], tokens[late]]
-                kept.append(tokens if percent is None else tokens[: prefix_size(len(tokens), percent)])
-                if not sizes[-1]:
-                    kept[-1] = kept[-1][:0]
+                kept.append(elements)
             columns = [batch.column("doc_id"), batch.column("code"), pa.array(sizes, pa.int64())]
             columns += [pa.array(digests, pa.binary()), long_lists(kept)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "code", "n", "digest", "tokens"])
@@ -89,30 +134,58 @@ def set_batches(width: int, percent: int | None, frequent: np.ndarray) -> Callab
     return run
 
 
-def shingle_sets(docs: DataFrame, width: int, percent: int | None, frequent: np.ndarray) -> DataFrame:
+def shingle_sets(
+    docs: DataFrame, width: int, percent: int | None = None, levels: np.ndarray = NONE, frequent: np.ndarray = NONE
+) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, code long, n long, digest binary, tokens array<long>"
     return docs.select("doc_id", "text", F.xxhash64("text").alias("code")).mapInArrow(
-        returning_memory(set_batches(width, percent, frequent)), schema
+        returning_memory(set_batches(width, percent, levels, frequent)), schema
     )
 
 
-def frequent_shingles(sets: DataFrame) -> np.ndarray:
-    """Shingles found in many prefixes, at most ``FREQUENT`` of them.
+def shared_tokens(classes: DataFrame) -> DataFrame:
+    """``token, count`` of the prefix elements of more than one class."""
+    tokens = classes.select(F.explode("tokens").alias("token"))
+    return settle(tokens.groupBy("token").count().where("count > 1"), "shared")
 
-    The limit grows with the table, so the bound holds at every size. Any
-    choice leaves the join exact: these shingles only move to the end of the
-    order, where prefixes seldom reach.
-    """
-    classes = sets.groupBy("digest").agg(F.any_value("tokens").alias("tokens"))
-    counts = settle(classes.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 1"), "df")
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    limit = max(RARE, total // FREQUENT + 1)
-    rows = counts.where(f"count >= {limit}").select("token").collect()
-    return np.sort(np.array([r.token for r in rows], dtype=np.int64).view(np.uint64))
 
+def frequent_tokens(shared: DataFrame) -> DataFrame:
+    """Of shingles in ``RARE`` prefixes or more the most frequent ones, at most ``FREQUENT``.
 
-def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
+    Any choice leaves the join exact: these shingles only move to the end of
+    the order, where prefixes seldom reach.
+    """
+    steps = shared.where(f"count >= {RARE}").withColumn("step", F.expr("cast(floor(16 * log2(count)) as int)"))
+    least, held = None, 0
+    for row in sorted(steps.groupBy("step").count().collect(), reverse=True):
+        held += row["count"]
+        if held > FREQUENT:
+            break
+        least = row.step
+    return steps.where(F.lit(False) if least is None else F.col("step") >= least).select("token")
+
+
+def without_frequent(
+    classes: DataFrame, shared: DataFrame, docs: DataFrame, width: int, percent: int, levels: np.ndarray
+) -> DataFrame:
+    """The classes again, with the frequent shingles at the end of the order; the same ones if there are none.
+
+    Only prefixes that hold such a shingle change, so only those are made anew.
+    """
+    found = frequent_tokens(shared)
+    rows = found.collect()
+    if not rows:
+        return classes
+    frequent = np.sort(np.array([r.token for r in rows], dtype=np.int64).view(np.uint64))
+    held = classes.select("class", F.explode("tokens").alias("token"))
+    held = hinted(settle(held.join(F.broadcast(found), "token", "left_semi").select("class").distinct(), "held"))
+    make = lambda rows: shingle_sets(rows, width, percent, levels, frequent)
+    changed = class_sets(held, classes, docs, make).select(*classes.columns)
+    return settle(classes.join(held, "class", "left_anti").unionByName(changed), "classes")
+
+
+def inverted_lists(classes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     """``token, window, at, n, block, class, least, length, root``: lists of the prefix elements that classes share.
 
     A block holds similar sizes, and a window a block and the next one, so
@@ -124,8 +197,8 @@ def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
     """
     ratio = block_width(percent)
     entries = classes.select(F.posexplode("tokens").alias("at", "token"), "n", "class")
-    counts = entries.groupBy("token").count().where("count > 1").select("token")
-    entries = settle(entries.join(counts, "token"), "common")
+    since = len(SETTLED)
+    entries = settle(entries.join(hinted(shared.select("token")), "token"), "common")
     entries = entries.withColumn("block", F.expr(f"cast(floor(ln(n) / {ratio}) as int)"))
     entries = entries.withColumn("window", F.explode(F.expr("array(block - 1, block)")))
     smallest = f"greatest(cast(floor(exp(window * {ratio} - 1e-9)) as long), ({percent} * n + 99) div 100)"
@@ -134,7 +207,9 @@ def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
     heads = entries.groupBy("token", "window").agg(
         F.count("*").alias("length"), F.min("class").alias("root"), F.bool_or(F.expr("block = window")).alias("own")
     )
-    return settle(entries.join(heads.where("length > 1 and own").drop("own"), ["token", "window"]), "lists")
+    lists = settle(entries.join(heads.where("length > 1 and own").drop("own"), ["token", "window"]), "lists")
+    keep_settled(classes.sparkSession, since, SETTLED[-1:])
+    return lists
 
 
 def short_list_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -215,7 +290,7 @@ def derived_links(families: DataFrame, sets: DataFrame, percent: int, level: int
     paired, longer ones make up the families of the next level, which have a
     nearer centre.
     """
-    twice = 2 * (100 + percent)
+    since, twice = len(SETTLED), 2 * (100 + percent)
     block = f"cast(floor(ln(n) / {block_width(percent)}) as int)"
     diffs = centred(families, sets, level).withColumn(
         "cost", F.expr(f"{100 + percent} * cast(size(diff) as long) - {100 - percent} * n")
@@ -253,7 +328,9 @@ def derived_links(families: DataFrame, sets: DataFrame, percent: int, level: int
     long = lists.where(f"length > {SHORT_DIFFERENCES}").selectExpr("class as src", "root as dst")
     rest = connected_components(long, EDGES).selectExpr("node as class", "component as family")
     rest = rest.join(rest.groupBy("family").agg(F.count("*").alias("members")), "family")
-    return settle(links, "links"), settle(rest, "families")
+    links, rest = settle(links, "links"), settle(rest, "families")
+    keep_settled(sets.sparkSession, since, SETTLED[-2:])
+    return links, rest
 
 
 def family_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -348,34 +425,48 @@ def compared_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return dealt.mapInArrow(returning_memory(family_batches(percent)), "src long, dst long")
 
 
-def class_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """``class, tokens`` of the wanted classes, made anew from one text of each."""
+def class_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``class, n, doc_id, digest, tokens`` of the wanted classes, made anew from one text of each."""
     members = hinted(settle(classes.select("class", "digest", "doc_id").join(wanted.select("class"), "class"), "members"))
     rows = docs.join(members.selectExpr("doc_id as _member"), F.expr("doc_id <=> _member"), "left_semi")
-    sets = shingle_sets(rows, width, None, np.zeros(0, np.uint64))
-    sets = sets.join(members.select("class", "digest"), "digest").groupBy("class").agg(F.any_value("tokens").alias("tokens"))
-    return settle(sets, "sets")
+    sets = make(rows).select("digest", "n", "tokens").join(members, "digest").groupBy("class")
+    return sets.agg(*[F.any_value(c).alias(c) for c in ("n", "doc_id", "digest", "tokens")])
 
 
 def linked_sets(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Sets of all rows, ``doc_id, code, n, digest``, and the component of each distinct non-empty one, ``digest, doc_id, component``.
 
-    The ``doc_id`` of a distinct set is the least of its rows.
+    The ``doc_id`` of a distinct set is the least of its rows. Both are
+    settled; what else was settled on the way is deleted.
     """
-    none = np.zeros(0, np.uint64)
-    frequent = frequent_shingles(shingle_sets(docs, width, percent, none))
-    sets = settle(shingle_sets(docs, width, percent, frequent), "sets")
+    spark, since = docs.sparkSession, len(SETTLED)
+    levels = word_levels(docs)
+    sets = settle(shingle_sets(docs, width, percent, levels), "sets")
     classes = sets.where("n > 0").groupBy("digest")
     classes = classes.agg(F.any_value("n").alias("n"), F.min("doc_id").alias("doc_id"), F.any_value("tokens").alias("tokens"))
     classes = settle(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-
-    lists = inverted_lists(classes, percent)
-    families = settle(list_families(lists, percent), "families")
-    links = family_links(families, class_sets(families, classes, docs, width), percent)
-    places = connected_components(links, EDGES)
-
-    named = classes.select("digest", "class", "doc_id").join(places.selectExpr("node as class", "component"), "class", "left")
-    return sets, named.select("digest", "doc_id", F.coalesce("component", "class").alias("component"))
+    class_path = SETTLED[-1]
+    rows = settle(sets.drop("tokens"), "rows")
+    row_path = SETTLED[-1]
+    keep_settled(spark, since, [row_path, class_path])
+
+    shared = shared_tokens(classes)
+    ordered = without_frequent(classes, shared, docs, width, percent, levels)
+    if ordered is not classes:
+        classes, class_path = ordered, SETTLED[-1]
+        keep_settled(spark, since, [row_path, class_path])
+        shared = shared_tokens(classes)
+    families = settle(list_families(inverted_lists(classes, shared, percent), percent), "families")
+    keep_settled(spark, since, [row_path, class_path, SETTLED[-1]])
+    full = settle(class_sets(families, classes, docs, lambda found: shingle_sets(found, width)).select("class", "tokens"), "sets")
+    places = settle(connected_components(family_links(families, full, percent), EDGES), "places")
+    keep_settled(spark, since, [row_path, class_path, SETTLED[-1]])
+
+    named = classes.select("digest", "class", "doc_id")
+    named = named.join(places.selectExpr("node as class", "component"), "class", "left")
+    named = settle(named.select("digest", "doc_id", F.coalesce("component", "class").alias("component")), "named")
+    keep_settled(spark, since, [row_path, SETTLED[-1]])
+    return rows, named
 
 
 def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -399,7 +490,6 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     Other columns are ignored; no rows give no rows.
     """
     sets, named = linked_sets(docs.select("doc_id", "text"), width, percent)
-    named = settle(named, "named")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "component").select("digest", "component_id")
     rows = sets.select("doc_id", "n", "digest").join(named, "digest", "left")
@@ -412,12 +502,15 @@ def keep_one_of_each(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     Of rows equal in both, any one. Rows without words all stay.
     """
+    since = len(SETTLED)
     sets, named = linked_sets(docs.select("doc_id", "text"), width, percent)
     first = "min(struct(doc_id is null as last, doc_id, code)) as first"
     members = sets.select("doc_id", "code", "digest").join(named.select("digest", "component"), "digest")
-    kept = members.groupBy("component").agg(F.expr(first)).selectExpr("first.doc_id as _doc_id", "first.code as _code")
+    kept = members.groupBy("component").agg(F.expr(first)).selectExpr("struct(first.doc_id) as _id", "first.code as _code")
     kept = settle(kept, "kept")
+    keep_settled(docs.sparkSession, since, SETTLED[-1:])
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_code"))
-    once = docs.where(worded).join(kept, same).dropDuplicates(["_doc_id", "_code"])
+    # Null ids are equal inside a struct. Rows join and meet their copies by the same key, so texts are dealt once.
+    keyed = docs.where(worded).withColumns({"_id": F.struct("doc_id"), "_code": F.xxhash64("text")})
+    once = keyed.join(kept, ["_id", "_code"]).dropDuplicates(["_id", "_code"])
     return once.select(*docs.columns).unionByName(docs.where(~worded))

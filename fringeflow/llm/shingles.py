@@ -6,6 +6,9 @@ import numpy as np
 
 # Bytes whose running sums are held at once, unless one word is longer.
 SEGMENT = 1 << 20
+# Words are counted in so many buckets, by their hash.
+BUCKET_BITS = 18
+BUCKETS = 1 << BUCKET_BITS
 _BASE = 0x9E3779B97F4A7C15
 _SPACES = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 _BYTES = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -53,13 +56,28 @@ class WordHasher:
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         return self.spans(data, edges[::2], edges[1::2])
 
-    def shingles(self, text: str, width: int) -> np.ndarray:
-        """Sorted distinct hashes of runs of ``width`` words; fewer words count as one run, none as no run."""
-        words = self.words(text)
+    def runs(self, words: np.ndarray, width: int) -> np.ndarray:
+        """Hashes of all runs of ``width`` words; fewer words count as one run, none as no run."""
         if not len(words):
             return words
         size = min(width, len(words))
         runs = np.full(len(words) - size + 1, size, dtype=np.uint64)
         for i in range(size):
             runs = mixed(runs * np.uint64(_BASE) + words[i : len(words) - size + 1 + i])
-        return np.unique(runs)
+        return runs
+
+    def shingles(self, text: str, width: int) -> np.ndarray:
+        """Sorted distinct hashes of runs of ``width`` words."""
+        return np.unique(self.runs(self.words(text), width))
+
+
+def word_buckets(words: np.ndarray) -> np.ndarray:
+    """Bucket of each word's hash, of ``BUCKETS``."""
+    return (words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def run_levels(words: np.ndarray, n_runs: int, levels: np.ndarray) -> np.ndarray:
+    """For each run of words the sum of its words' levels, which ``levels`` holds by bucket."""
+    sums = np.r_[0, np.cumsum(levels[word_buckets(words)], dtype=np.int64)]
+    size = len(words) - n_runs + 1
+    return sums[size:] - sums[:n_runs]

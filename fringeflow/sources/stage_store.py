@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -108,6 +109,32 @@ def remove_settled(spark: SparkSession, since: int = 0) -> None:
         remove_stage(spark, SETTLED.pop())
 
 
+def keep_settled(spark: SparkSession, since: int, kept: Sequence[str]) -> None:
+    """Delete all that was settled after the first ``since`` paths of ``SETTLED`` but ``kept``; nothing may read it any more."""
+    for path in SETTLED[since:]:
+        if path not in kept:
+            SETTLED.remove(path)
+            remove_stage(spark, path)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries begun inside remove their shuffle files when they end.
+
+    Otherwise these stay until the driver happens to collect its garbage,
+    which large stages do not hasten.
+    """
+    before = spark.conf.get(REMOVE_SHUFFLES, "false")
+    spark.conf.set(REMOVE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(REMOVE_SHUFFLES, before)
+
+
+REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(stage: DataFrame, name: str) -> DataFrame:
     """Run a stage once, at once, and go on from its stored result.
 
@@ -117,6 +144,7 @@ def settle(stage: DataFrame, name: str) -> DataFrame:
     ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
     """
     spark = stage.sparkSession
-    path = write_stage(stage, new_stage_path(spark, name))
+    with shuffles_removed(spark):
+        path = write_stage(stage, new_stage_path(spark, name))
     SETTLED.append(path)
     return read_stage(spark, path, stage.schema)

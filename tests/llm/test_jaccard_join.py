@@ -2,11 +2,14 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fringeflow.llm import jaccard_join, shingles
+from fringeflow.sources.stage_store import SETTLED, settle
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -80,6 +83,51 @@ def test_frequent_shingles_change_no_answer(make_docs, prose, monkeypatch, frequ
     assert sorted(map(tuple, got)) == components(rows, 3, 90)
 
 
+def test_common_words_make_no_families(make_docs, monkeypatch):
+    """Texts that share many shingles of common words by chance, and none of their rare ones, do not meet."""
+    monkeypatch.setattr(jaccard_join, "SHORT", 4)
+    found, families = [], jaccard_join.list_families
+
+    def counted(*args):
+        made = families(*args)
+        found.append(made.count())
+        return made
+
+    monkeypatch.setattr(jaccard_join, "list_families", counted)
+    rnd = random.Random(11)
+    rows = []
+    for i in range(150):
+        text = [rnd.choice(["the", "of", "and"]) for _ in range(60)]
+        for at in range(5, 60, 10):
+            text[at] = f"rare{i}x{at}"
+        rows.append((i, " ".join(text)))
+    rows.append((150, rows[0][1] + " last"))
+    got = jaccard_join.jaccard_components(make_docs(rows), 3, 90).collect()
+    assert sorted(map(tuple, got)) == components(rows, 3, 90)
+    assert found == [2]
+
+
+def test_disk_is_freed_on_the_way(spark, make_docs, prose):
+    """Only what the result reads stays stored, and no shuffle file of a settled stage does."""
+
+    def shuffle_files():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffle_files()
+    settle(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count(), "counts")
+    for _ in range(50):
+        if not (left := shuffle_files() - before):
+            break
+        time.sleep(0.2)
+    assert not left
+    rows = near_copies(prose, random.Random(2))
+    since = len(SETTLED)
+    kept = jaccard_join.keep_one_of_each(make_docs(rows), 3, 80)
+    assert len(SETTLED) == since + 1
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in components(rows, 3, 80)})
+
+
 def test_empty_table(make_docs):
     assert jaccard_join.jaccard_components(make_docs([]), 3, 90).collect() == []
     assert jaccard_join.keep_one_of_each(make_docs([]), 3, 90).collect() == []
